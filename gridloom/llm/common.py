@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = 4 << 20) -
     """The batches cut so that column number `text` holds about `limit` bytes at most (one row at least)."""
     for batch in batches:
         begin, held = 0, 0
-        sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
         for row, size in enumerate(sizes):
             if held and held + size > limit:
                 yield batch.slice(begin, row - begin)

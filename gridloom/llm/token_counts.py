@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,7 +110,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tokenizer(os.fspath(tokenizer) if tokenizer else default_tokenizer())
         for batch in slices(batches, 1, 2 << 20):
-            n_bytes = pa.compute.binary_length(batch.column(1)).fill_null(0).cast(pa.int64())
+            n_bytes = pc.binary_length(batch.column(1)).fill_null(0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(bpe.counts(batch.column(1).to_pylist()), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     made = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
