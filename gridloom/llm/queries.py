@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, iblt, langid, minhash, pieces, token_counts, token_files
+from . import decontam, htmltext, iblt, langid, licenses, minhash, pieces, token_counts, token_files, warc
 from .common import documents
 
 
@@ -19,6 +19,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(documents(spark, sf_dir))
 
@@ -31,6 +35,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), shingle=2, percent=80)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.as_files(documents(spark, sf_dir)))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     made = langid.identify(docs, langid.learnt(docs))
@@ -41,17 +49,24 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir))
 
 
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivative_rows(warc.derivatives(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_fingerprints,
             op2_decontamination,
+            op3_html_text,
             op4_token_files,
             op5_sentencepiece,
             op6_near_duplicates,
+            op7_license_scan,
             op8_language_id,
             op9_token_counts,
+            op10_warc_derivatives,
         )
     }
 
@@ -60,4 +75,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": decontam.ORACLE,
         "op6_near_duplicates": minhash.ORACLE,
+        "op7_license_scan": licenses.ORACLE,
+        "op10_warc_derivatives": warc.ORACLE,
     }
