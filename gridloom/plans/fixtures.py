@@ -11,9 +11,8 @@ BASE = "region nation customer supplier part orders lineitem events documents em
 
 
 def _views() -> dict[str, str]:
-    """The SQL blocks of FIXTURES.md: the document is their one definition."""
-    text = (Path(__file__).resolve().parents[2] / "FIXTURES.md").read_text(encoding="utf-8")
-    return dict(re.findall(r"^### (fx_\w+)\n.*?```sql\n(.*?)```", text, re.M | re.S))
+    text = Path(__file__).with_suffix(".sql").read_text(encoding="utf-8")
+    return dict(re.findall(r"^-- view (fx_\w+)\n(.*?)(?=^-- view |\Z)", text, re.M | re.S))
 
 
 VIEWS = _views()
