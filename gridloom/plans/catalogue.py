@@ -111,15 +111,15 @@ def _(t):
 
 
 for _name, _column, _sql in (
-    ("b1_parse_satellite", S.parse_satellite("scene_id"), _SAT),
-    ("b2_parse_sensor", S.parse_sensor("scene_id"), _SENSOR),
-    ("b3_parse_date_strict", S.parse_date_strict("scene_id"), _STRICT),
-    ("b4_reparse_date", S.reparse_date("scene_id", "date"), f"coalesce({_REPARSE}, date)"),
-    ("b5_gsd_bucket", S.gsd_bucket("gsd_m"), _BUCKET),
-    ("b6_low_precision_flag", S.low_precision_flag("tif_path"), _LOW),
-    ("b8_normalize_path", S.normalize_path(F.translate("tif_path", "/", "\\")), "tif_path"),
+    ("b1_parse_satellite", lambda: S.parse_satellite("scene_id"), _SAT),
+    ("b2_parse_sensor", lambda: S.parse_sensor("scene_id"), _SENSOR),
+    ("b3_parse_date_strict", lambda: S.parse_date_strict("scene_id"), _STRICT),
+    ("b4_reparse_date", lambda: S.reparse_date("scene_id", "date"), f"coalesce({_REPARSE}, date)"),
+    ("b5_gsd_bucket", lambda: S.gsd_bucket("gsd_m"), _BUCKET),
+    ("b6_low_precision_flag", lambda: S.low_precision_flag("tif_path"), _LOW),
+    ("b8_normalize_path", lambda: S.normalize_path(F.translate("tif_path", "/", "\\")), "tif_path"),
     ):
-    query(_name, f"SELECT scene_key, {_sql} AS v FROM fx_scenes")(lambda t, c=_column: t["fx_scenes"].select("scene_key", c.alias("v")))
+    query(_name, f"SELECT scene_key, {_sql} AS v FROM fx_scenes")(lambda t, c=_column: t["fx_scenes"].select("scene_key", c().alias("v")))
 
 
 @query("b7_approx_gsd", "SELECT province, city, county, township, minx, miny, round(0.0001*111320.0*cos(radians(miny)),6)+0.0 AS gsd_m FROM fx_areas")
