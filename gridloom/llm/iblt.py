@@ -29,7 +29,7 @@ from .common import next_in_order
 PIECE, ROWS, WIDTH = 32, 3, 8
 CELLS = ROWS * WIDTH
 #: Digests that a sketch of a retry is expected to hold, retries, and bits of a digest that each deals by at most.
-LOAD, RETRIES, BITS = 10, 4, 6
+LOAD, RETRIES, BITS = 10, 5, 5
 #: Times that peeling goes over the cells.
 PASSES = 2
 _HASH_BITS = (1 << 44) - 1
@@ -46,10 +46,13 @@ def paragraphs(text: str = "text", piece: int = PIECE) -> str:
     return f"array_distinct(transform({split}, p -> {_checked(f'(xxhash64(rtrim(p)) & {_HASH_BITS}L)')}))"
 
 
-def sketch(digests: str) -> str:
-    """SQL for a sketch, array<bigint>: each cell is the exclusive or of the digests whose octal digit in its row names it."""
+def sketch(digests: str, shift: int = 0) -> str:
+    """SQL for a sketch, array<bigint>: each cell is the exclusive or of the digests whose octal digit in its row names it.
+
+    The digits are those from bit `shift` on; retries take others, so that digests that share their cells part.
+    """
     cell = "aggregate({d}, 0L, (a, d) -> if((shiftright(d, {s}) & 7L) = {c}L, a ^ d, a))"
-    return "array(" + ", ".join(cell.format(d=digests, s=3 * r, c=c) for r in range(ROWS) for c in range(WIDTH)) + ")"
+    return "array(" + ", ".join(cell.format(d=digests, s=3 * r + shift, c=c) for r in range(ROWS) for c in range(WIDTH)) + ")"
 
 
 def to_text(sketched: str) -> str:
@@ -61,14 +64,14 @@ def subtract(left: str, right: str) -> str:
     return f"zip_with({left}, {right}, (x, y) -> x ^ y)"
 
 
-def peel(sketched: str) -> str:
+def peel(sketched: str, shift: int = 0) -> str:
     """SQL for struct<s, n>: what is left of the sketch, and the number of digests recovered from it.
 
     It goes over the cells PASSES times; a cell that holds one digest gives it up, and the digest leaves its other cells at once.
     """
     cell = f"cast(r % {CELLS} as int)"
-    alone = f"v = {_checked(f'(v & {_HASH_BITS}L)')} and (shiftright(v, 3 * cast(r % {CELLS} div {WIDTH} as int)) & 7L) = r % {WIDTH}"
-    without = f"transform(a.s, (e, i) -> if((shiftright(v, 3 * cast(i div {WIDTH} as int)) & 7L) = i % {WIDTH}, e ^ v, e))"
+    alone = f"v = {_checked(f'(v & {_HASH_BITS}L)')} and (shiftright(v, {shift} + 3 * cast(r % {CELLS} div {WIDTH} as int)) & 7L) = r % {WIDTH}"
+    without = f"transform(a.s, (e, i) -> if((shiftright(v, {shift} + 3 * cast(i div {WIDTH} as int)) & 7L) = i % {WIDTH}, e ^ v, e))"
     step = f"if(a.s[{cell}] = 0L, a, transform(array(a.s[{cell}]), v -> if({alone}, struct({without} as s, a.n + 1 as n), a))[0])"
     return f"aggregate(sequence(0, {CELLS * PASSES - 1}), struct({sketched} as s, 0 as n), (a, r) -> {step})"
 
@@ -83,15 +86,15 @@ _NO = "cast(array() as array<bigint>)"
 def _dealt(group: str, retry: int) -> str:
     """SQL for the parts that a failed group's digests go to, by bits of theirs that no earlier retry looked at."""
     want = f"(size({group}.x) + size({group}.y)) / {LOAD}.0D"
-    parts = f"cast(pow(2, least({BITS}, greatest(1, ceil(log2({want}))))) as bigint)"
-    own = f"(shiftright(d, {9 + BITS * retry}) & (m - 1))"
+    parts = f"cast(pow(2, least({BITS}, greatest(2, ceil(log2({want}))))) as bigint)"
+    own = f"(shiftright(d, {44 - BITS * (retry + 1)}) & (m - 1))"
     each = f"transform(sequence(0L, m - 1), b -> struct(-1 as n, filter({group}.x, d -> {own} = b) as x, filter({group}.y, d -> {own} = b) as y))"
     return f"transform(array({parts}), m -> {each})[0]"
 
 
-def _result(sketched: str, failed: str) -> str:
+def _result(sketched: str, failed: str, shift: int = 0) -> str:
     """SQL: a group without digests and with its number of differences, or `failed`."""
-    return f"transform(array({peel(sketched)}), p -> if({empty('p.s')}, struct(p.n as n, {_NO} as x, {_NO} as y), {failed}))[0]"
+    return f"transform(array({peel(sketched, shift)}), p -> if({empty('p.s')}, struct(p.n as n, {_NO} as x, {_NO} as y), {failed}))[0]"
 
 
 def differing(df: DataFrame, left: str, right: str, first: str, out: str) -> DataFrame:
@@ -102,7 +105,8 @@ def differing(df: DataFrame, left: str, right: str, first: str, out: str) -> Dat
     """
     df = df.withColumn(out, F.expr(f"array({_result(first, f'struct(-1 as n, {left} as x, {right} as y)')})"))
     for retry in range(RETRIES):
-        tried = f"transform({_dealt('g', retry)}, t -> {_result(subtract(sketch('t.x'), sketch('t.y')), 't')})"
+        shift = 0 if retry % 2 else 9
+        tried = f"transform({_dealt('g', retry)}, t -> {_result(subtract(sketch('t.x', shift), sketch('t.y', shift)), 't', shift)})"
         df = df.withColumn(out, F.expr(f"flatten(transform({out}, g -> if(g.n >= 0, array(g), {tried})))"))
     left_over = "if(g.n >= 0, g.n, size(array_distinct(concat(g.x, g.y))))"
     return df.withColumn(out, F.expr(f"aggregate({out}, 0L, (n, g) -> n + {left_over})"))
