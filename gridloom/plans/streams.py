@@ -27,14 +27,14 @@ def _(t):
 
 @query(
     "l2_metrics_stream",
-    "SELECT user_id AS job, CAST(event_id%10 AS INTEGER) AS epoch, round(avg(value),6)+0.0 AS rec, round(avg(value)+0.1*avg(value/2),4)+0.0 AS total, count(*) AS steps FROM events GROUP BY ALL",
+    "SELECT user_id AS job, CAST(event_id%10 AS INTEGER) AS epoch, round(avg(sqrt(abs(value))),6)+0.0 AS rec, round(avg(sqrt(abs(value)))+0.1*avg(sqrt(abs(value)/3)),6)+0.0 AS total, count(*) AS steps FROM events GROUP BY ALL",
 )
 def _(t):
-    e = t["events"].select(F.col("user_id").alias("job"), (F.col("event_id") % 10).cast("int").alias("epoch"), F.col("value").cast("double").alias("rec"), (F.col("value") / 2).cast("double").alias("uni"), F.col("ts").cast("timestamp").alias("ts"))
+    e = t["events"].select(F.col("user_id").alias("job"), (F.col("event_id") % 10).cast("int").alias("epoch"), F.sqrt(F.abs("value")).alias("rec"), F.sqrt(F.abs("value") / 3).alias("uni"), F.col("ts").cast("timestamp").alias("ts"))
     source, out, state = (scratch(t.spark, n) for n in ("metrics", "means", "state"))
     e.repartition(6).write.parquet(source)
     m = I.metrics_stream(t.spark, source, e.schema, out, state, files_per_batch=3)
-    return m.select("job", "epoch", r6("rec").alias("rec"), (F.round("total", 4) + 0.0).alias("total"), "steps")
+    return m.select("job", "epoch", r6("rec").alias("rec"), r6("total").alias("total"), "steps")
 
 
 @query(

@@ -1,5 +1,7 @@
 """Every registered query against its DuckDB SQL on the smallest tables."""
 
+import numbers
+
 import duckdb
 import pandas as pd
 import pytest
@@ -20,11 +22,11 @@ def duck():
 
 
 def plain(v):
-    if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+    if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
         return "NULL"
     if hasattr(v, "year"):
         return str(v)[:10]
-    return repr(float(v)) if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
+    return repr(float(v)) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
 
 
 def rows(df: pd.DataFrame) -> list[tuple]:
