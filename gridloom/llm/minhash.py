@@ -5,13 +5,13 @@
 2. Documents with equal sets become one class (an aggregation); only class representatives go on.
 3. A band key shared by several representatives makes a bucket. No bucket is expanded into pairs: first every member is
    held only against the smallest member of each of its buckets, the likeliest one by signature is confirmed on the full
-   sets, and the links give components. Then members that are in another component than their bucket's first member
-   are held, in blocks of bounded size, against the bucket's other members: first against the likeliest one each, and at
-   last against all that are still in another component, so that no link between components is lost.
+   sets, and the links give components. Then members outside their bucket's most frequent component look, in blocks of
+   bounded size, for components in which a signature is like theirs, and are held against all members of those, so that
+   no link between components is lost.
 4. Components come from alternating large-star and small-star steps.
 
 Misses are those of the method alone: with 32 bands of 4 rows, a pair at similarity 0.8 shares no band with probability
-5e-8, and the signature check (81 of 128 for 0.8) turns away a pair at 0.8 with probability 1e-6.
+5e-8, and the signature check (80 of 128 for 0.8) turns away a pair at 0.8 with probability 1e-6.
 
 Defined results: null or empty texts, and texts without words, have the size 0 and are linked with nothing; a text of
 fewer words than a shingle has its whole sequence as its one shingle. Rows with equal doc_id count as one document, which
@@ -24,10 +24,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, slices, written
@@ -36,6 +35,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Members of a bucket that are compared in one group at most (against as many).
 BLOCK = 256
+#: Edges of a partition while components are found.
+EDGES = 100_000
 #: Words whose hash a worker keeps.
 _KEPT_WORDS = 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -133,21 +134,21 @@ def least_agreement(percent: int) -> int:
     return max(1, math.floor(HASHES * p - 4.75 * math.sqrt(HASHES * p * (1 - p))))
 
 
+def _sets_similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    return similar(int((both[1:] == both[:-1]).sum()), len(x), len(y), percent)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; a row each, no grouping."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("a"), batch.column("b")
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate([x, y])
-                both.sort()
-                keep.append(similar(int((both[1:] == both[:-1]).sum()), len(x), len(y), percent))
+            keep = [_sets_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
@@ -167,15 +168,20 @@ def components(links: DataFrame) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     before = state(edges)
+    # Partitions follow the number of edges: a small graph in hundreds of partitions would be mostly files.
+    parts = max(1, -(-before[0] // EDGES))
+    few = lambda df: df.coalesce(parts)
+    edges = few(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = checkpointed(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = checkpointed(few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
+        moved = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = checkpointed(few(few(moved).distinct()))
         # large has u > v throughout, so the smaller neighbours of u are its v
-        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
-        met = large.join(least, "u")
+        least = checkpointed(few(large.groupBy("u").agg(F.min("v").alias("m"))))
+        met = few(large.join(least, "u"))
         small = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = checkpointed(small.select("e.u", "e.v").where("u <> v").distinct())
+        edges = checkpointed(few(small.select("e.u", "e.v").where("u <> v").distinct()))
         after = state(edges)
         if after == before:
             break
@@ -200,52 +206,122 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, same long")
 
 
-def _residual_pairs(members: DataFrame, sigs: DataFrame, labels: DataFrame, least: int, best_only: bool) -> DataFrame:
-    """Candidate pairs between components that share a bucket.
+def _grouped(rows: DataFrame, keys: list[str], columns: list[str], work, schema: str) -> DataFrame:
+    """work(columns of a group as lists) for each group of equal keys; groups are cut from sorted partitions, which is far cheaper
+    than a call of its own for each of very many small groups. work returns a list of rows of longs."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, [[] for _ in columns]
+        for batch in batches:
+            out: list[tuple] = []
+            data = [batch.column(c).to_pylist() for c in columns]
+            at = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            begin = 0
+            for k in range(1, len(at) + 1):
+                if k == len(at) or at[k] != at[begin]:
+                    if last is not None and at[begin] != last:
+                        out += work(*held)
+                        held = [[] for _ in columns]
+                    for h, d in zip(held, data, strict=True):
+                        h += d[begin:k]
+                    last, begin = at[begin], k
+            yield _longs(out, names)
+        if last is not None:
+            yield _longs(work(*held), names)
+
+    return rows.select(*dict.fromkeys([*keys, *columns])).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _longs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    data = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in data], names=names)
+
+
+def _count_to(n: Column) -> Column:
+    return F.sequence(F.lit(0), n - 1)
+
 
-    members: (band, id) of buckets of two and more. In each bucket, members in another component than the first member's
-    are compared with all members of the bucket, in blocks of BLOCK by BLOCK: those few rows are repeated for each block
-    of the others, and the others for each block of theirs.
+def _blocks(key: str, of: str, salt: int) -> tuple[Column, Column]:
+    """The number of blocks for a count, and the block of a key."""
+    n = F.ceil(F.col(of) / BLOCK).cast("int")
+    return n, F.pmod(F.xxhash64(key, F.lit(salt)), n).cast("int")
+
+
+def _asking(members: DataFrame, sigs: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """(a, b): members outside their bucket's most frequent component, and other components with a member that is like enough by signature.
+
+    Askers and members meet in blocks of BLOCK by BLOCK; no pair is a row before its signatures are compared, and two
+    documents that share several buckets are compared in the first of them.
     """
     named = members.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    span = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-    mixed = span.where("low <> high")
-    tagged = named.join(mixed, "band").withColumn("odd", F.col("component") != F.col("low"))
-    odd = tagged.where("odd").groupBy("band").agg(F.count("*").alias("n_odd"))
-    sized = tagged.join(odd, "band").join(sigs.select(F.col("doc_id").alias("id"), "bands", "sig"), "id")
-    blocks, odd_blocks = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("n_odd") / BLOCK).cast("int")
-    own, own_odd = F.pmod(F.xxhash64("id"), blocks).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), odd_blocks).cast("int")
-    count_to = lambda n: F.sequence(F.lit(0), n - 1)
-    as_other = F.transform(count_to(odd_blocks), lambda k: F.struct(k.alias("p"), own.alias("q"), F.lit(False).alias("asks")))
-    as_odd = F.transform(count_to(blocks), lambda k: F.struct(own_odd.alias("p"), k.alias("q"), F.lit(True).alias("asks")))
+    parts = named.groupBy("band", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    main = checkpointed(main.select("band", F.col("m.component").alias("main"), "n", (F.col("n") - F.col("m.n")).alias("n_odd")))
+    sized = named.join(main, "band").join(sigs.select(F.col("doc_id").alias("id"), "bands", "sig"), "id").withColumn("odd", F.col("component") != F.col("main"))
+    (blocks, own), (odd_blocks, own_odd) = _blocks("id", "n", 0), _blocks("id", "n_odd", 1)
+    as_other = F.transform(_count_to(odd_blocks), lambda k: F.struct(k.alias("p"), own.alias("q"), F.lit(False).alias("asks")))
+    as_odd = F.transform(_count_to(blocks), lambda k: F.struct(own_odd.alias("p"), k.alias("q"), F.lit(True).alias("asks")))
     rows = sized.select("band", "id", "component", "bands", "sig", F.explode(F.when(F.col("odd"), F.concat(as_other, as_odd)).otherwise(as_other)).alias("g"))
+
+    def work(here: list, asks: list, ids: list, components_: list, bands: list, sigs_: list) -> list[tuple]:
+        others = [k for k, x in enumerate(asks) if not x]
+        askers = [k for k, x in enumerate(asks) if x]
+        if not others or not askers:
+            return []
+        table = np.frombuffer(b"".join([sigs_[k] for k in others]), np.uint8).reshape(-1, HASHES)
+        comp_b, bands_b = np.array([components_[k] for k in others]), np.array([bands[k] for k in others])
+        out = []
+        for k in askers:
+            same = (table == np.frombuffer(sigs_[k], np.uint8)).sum(axis=1)
+            at = np.flatnonzero((same >= least) & (comp_b != components_[k]))
+            if len(at):
+                own_bands = np.array(bands[k])
+                first = own_bands[(bands_b[at] == own_bands).argmax(axis=1)]
+                out += [(ids[k], c) for c in np.unique(comp_b[at[first == here[0]]]).tolist()]
+        return out
+
     rows = rows.select("band", "g.p", "g.q", "g.asks", "id", "component", "bands", "sig")
+    return _grouped(rows, ["band", "p", "q"], ["band", "asks", "id", "component", "bands", "sig"], work, "a long, b long").distinct()
+
+
+def _links_to_components(asks: DataFrame, labels: DataFrame, sigs: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
+    """(a, b): a link for each asker a and component (asks: a, b) in which some member's full set is similar enough.
 
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        asks = g["asks"].to_numpy()
-        a, b = g[asks], g[~asks]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "same": []}, dtype="int64")
-        sig_a, sig_b = (np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(-1, HASHES) for x in (a, b))
-        band_b, id_b, comp_b = np.stack(b["bands"].to_numpy()), b["id"].to_numpy(), b["component"].to_numpy()
-        here = g["band"].iloc[0]
+    An asker is held against all members of the component, in blocks: sets of BLOCK askers and BLOCK members meet in a
+    group, and only links leave it.
+    """
+    named = labels.select("id", "component")
+    wanted = asks.groupBy(F.col("b").alias("component")).agg(F.count("*").alias("n_odd"))
+    inside = named.unionByName(wanted.select(F.col("component").alias("id"), "component"))
+    sizes = inside.groupBy("component").agg(F.count("*").alias("n"))
+    target = checkpointed(wanted.join(sizes, "component"))
+    held = sigs.select(F.col("doc_id").alias("id"), "sig").join(sets.select(F.col("doc_id").alias("id"), "shingles"), "id")
+    (blocks, own), (odd_blocks, own_odd) = _blocks("id", "n", 2), _blocks("id", "n_odd", 3)
+    others = inside.join(target, "component").select("id", "component", F.lit(False).alias("asks"), own.alias("q"), F.explode(_count_to(odd_blocks)).alias("p"))
+    askers = asks.select(F.col("a").alias("id"), F.col("b").alias("component")).join(target, "component").select("id", "component", F.lit(True).alias("asks"), own_odd.alias("p"), F.explode(_count_to(blocks)).alias("q"))
+    rows = others.unionByName(askers).join(held, "id")
+
+    def work(asks_: list, ids: list, sigs_: list, sets_: list) -> list[tuple]:
+        others_ = [k for k, x in enumerate(asks_) if not x]
+        askers_ = [k for k, x in enumerate(asks_) if x]
+        if not others_ or not askers_:
+            return []
+        table = np.frombuffer(b"".join([sigs_[k] for k in others_]), np.uint8).reshape(-1, HASHES)
         out = []
-        for sig, bands, id_, comp in zip(sig_a, a["bands"], a["id"], a["component"], strict=True):
-            same = (sig_b == sig).sum(axis=1)
-            ok = (same >= least) & (comp_b != comp)
-            if not best_only and ok.any():
-                # A pair that shares several bands is taken in the first of them only.
-                at = np.flatnonzero(ok)
-                shared = band_b[at] == np.asarray(bands)[None, :]
-                ok[at] = np.asarray(bands)[shared.argmax(axis=1)] == here
-            at = np.flatnonzero(ok)
-            if best_only and len(at):
-                at = at[[np.lexsort((id_b[at], -same[at]))[0]]]
-            out += [(min(id_, id_b[k]), max(id_, id_b[k]), same[k]) for k in at.tolist()]
-        return pd.DataFrame(out, columns=["a", "b", "same"]).astype("int64")
-
-    found = rows.groupBy("band", "p", "q").applyInPandas(compare, "a long, b long, same long")
-    return found.select("a", "b").distinct()
+        for k in askers_:
+            same = (table == np.frombuffer(sigs_[k], np.uint8)).sum(axis=1)
+            own_set = np.frombuffer(sets_[k], np.uint64)
+            for m in np.argsort(-same, kind="stable").tolist():
+                if same[m] < least:
+                    break
+                j = others_[m]
+                if ids[j] != ids[k] and _sets_similar(own_set, np.frombuffer(sets_[j], np.uint64), percent):
+                    out.append((min(ids[k], ids[j]), max(ids[k], ids[j])))
+                    break
+        return out
+
+    return _grouped(rows, ["component", "p", "q"], ["asks", "id", "sig", "shingles"], work, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,9 +346,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     links = checkpointed(confirmed(likely, sets, percent))
     labels = components(links)
     spots = members.select("band", "id")
-    for best_only in (True, False):
-        more = checkpointed(confirmed(_residual_pairs(spots, sigs, labels, least, best_only), sets, percent))
-        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    as_links = lambda x: x.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    asks = checkpointed(_asking(spots, sigs, labels, least))
+    more = _links_to_components(asks, labels, sigs, sets, least, percent)
+    labels = components(as_links(labels).unionByName(more))
     # The least doc_id of a class is its representative, so the least representative is the least doc_id reachable.
     joined = named.distinct().join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     component = joined.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("_c"))
