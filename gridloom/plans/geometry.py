@@ -157,3 +157,30 @@ def _(t):
 @query("e3_pairs_for_quarters", f"WITH {_PAIRS} SELECT patch_path_b AS patch_path_a, patch_path_a AS patch_path_b, quarter_b AS quarter_a, quarter_a AS quarter_b, CAST(-days_gap AS INTEGER) AS days_gap FROM pairs WHERE quarter_a='1998Q1' AND quarter_b='1998Q4'")
 def _(t):
     return G.reoriented(pairs_1998(t), "1998Q4", "1998Q1").select("patch_path_a", "patch_path_b", "quarter_a", "quarter_b", "days_gap")
+
+
+#: The reference's default thresholds for pairs: patch IoU, and IoU of two quarters' covers below which they aren't matched.
+MIN_IOU, MIN_QUARTER_IOU = 0.8, 0.1
+_ALL_PAIRS = f"""{_COVER}, p AS (SELECT patch_path, quarter, date, minx, miny, maxx, maxy FROM fx_patches),
+pairs AS (SELECT * FROM (SELECT a.patch_path AS patch_path_a, b.patch_path AS patch_path_b, a.quarter AS quarter_a, b.quarter AS quarter_b, b.date-a.date AS days_gap, i/(3276800.0-i) AS iou, i/1638400.0 AS share_a FROM
+ (SELECT a, b, (least(a.maxx,b.maxx)-greatest(a.minx,b.minx))*(least(a.maxy,b.maxy)-greatest(a.miny,b.miny)) AS i FROM p a JOIN p b ON a.miny<b.maxy AND b.miny<a.maxy AND a.minx<b.maxx AND b.minx<a.maxx AND a.quarter<b.quarter)) x
+ WHERE iou>={MIN_IOU} AND NOT EXISTS (FROM q WHERE q.quarter_a=x.quarter_a AND q.quarter_b=x.quarter_b AND q.iou<{MIN_QUARTER_IOU}))"""
+
+
+def all_pairs(t):
+    """Pairs of all quarters in the tables."""
+    return G.spatial_pair(t["fx_patches"], CELL, MIN_IOU, quarter_iou=G.quarter_iou(t["fx_scenes"], CELL), min_quarter_iou=MIN_QUARTER_IOU)
+
+
+@query("e1_spatial_pair_all", f"WITH {_ALL_PAIRS} SELECT patch_path_a, patch_path_b, quarter_a, quarter_b, CAST(days_gap AS INTEGER) AS days_gap, round(iou,6)+0.0 AS iou, round(share_a,6)+0.0 AS share_a FROM pairs")
+def _(t):
+    return all_pairs(t).select("patch_path_a", "patch_path_b", "quarter_a", "quarter_b", "days_gap", r6("iou").alias("iou"), r6("share_a").alias("share_a"))
+
+
+@query(
+    "e2_pair_summary_all",
+    f"""WITH {_ALL_PAIRS} SELECT quarter_a, quarter_b, count(*) AS n_pairs, round(avg(iou),6)+0.0 AS mean_iou, round(avg(days_gap),6)+0.0 AS mean_gap, round(quantile_cont(days_gap,0.5),6)+0.0 AS median_gap,
+    CAST(min(days_gap) AS INTEGER) AS min_gap, CAST(max(days_gap) AS INTEGER) AS max_gap FROM pairs GROUP BY ALL""",
+)
+def _(t):
+    return G.pair_summary(all_pairs(t)).withColumns({c: r6(c) for c in ("mean_iou", "mean_gap", "median_gap")})

@@ -56,6 +56,21 @@ def test_pairs_inclusive_threshold_and_no_contacts(spark):
     assert values(back, "patch_path_a", "share_a", "share_b", "days_gap") == [("b", 1.0, 0.5, -86)]
 
 
+def test_all_quarters_are_paired_and_far_quarters_pruned(spark):
+    from gridloom.plans import geometry, registry
+
+    # 1992Q1 and 1995Q3 cover one place; 1997Q2 covers ten more cells than they do, so its IoU with them is 1 / 11.
+    d = geometry.CELL
+    at = lambda q, k, dx=0.0: (f"{q}/{k}", "s", q, "2025-01-01", k * d + dx, 0.0, (k + 1) * d + dx, d)
+    rows = [at("1992Q1", 0), at("1995Q3", 0), at("1995Q3", 0, d / 4), at("1997Q2", 0)]
+    schema = "patch_path string, scene_id string, quarter string, date string, minx double, miny double, maxx double, maxy double"
+    patches = spark.createDataFrame(rows, schema).withColumn("date", F.col("date").cast("date"))
+    scenes = spark.createDataFrame([("1992Q1", 0.0, 0.0, d, d), ("1995Q3", 0.0, 0.0, d, d), ("1997Q2", 0.0, 0.0, 11 * d, d)], "quarter string, minx double, miny double, maxx double, maxy double")
+    assert values(geometry.all_pairs({"fx_patches": patches, "fx_scenes": scenes}), "quarter_a", "quarter_b", "iou") == [("1992Q1", "1995Q3", 1.0)]
+    made = registry.queries()["e2_pair_summary_all"](spark, "/root/testdata/sf0.001")
+    assert made.where("quarter_a not like '1998%' or quarter_b not like '1998%'").count()
+
+
 def test_grid_join_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     boxes = [(f"p{k}", "s", f"q{k % 3}", "2025-01-01", float(x), float(y), float(x + w), float(y + h)) for k, (x, y, w, h) in enumerate(zip(rng.uniform(-20, 20, 150), rng.uniform(-20, 20, 150), rng.uniform(0.1, 9, 150), rng.uniform(0.1, 9, 150), strict=True))]
