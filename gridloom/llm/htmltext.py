@@ -35,6 +35,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that can stand in a head; the start of any other ends a head whose end tag is left out.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
 CHROME_WORDS = frozenset(
@@ -89,6 +91,10 @@ class _Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
             self.flush()
+        if tag == "body":
+            self._pop({"head"}, frozenset(["template"]))
+        elif tag not in IN_HEAD and self._open and self._open[-1][0] == "head":
+            self._open.pop()
         if tag in _ENDS_P:
             self._pop({"p"}, frozenset("table td th button".split()))
         if tag in _CLOSES:
@@ -122,6 +128,8 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self._open and self._open[-1][0] == "head" and data.strip():
+            self._open.pop()
         if not self._state()[0]:
             self._text.append(data)
 

@@ -174,6 +174,17 @@ def test_main_text_of_marked_and_unmarked_pages(spark):
     assert htmltext.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_without_an_end_of_head_keep_their_text(spark):
+    heads = ["<head><title>t</title><meta charset=utf-8>", "<head><script>x</script><noscript><link href=x>", "<head><title>t</title></head>", "<title>t</title>"]
+    for head in heads:
+        assert [x.text for x in htmltext.page_lines(f"<html>{head}<body><p>One<p>two</body></html>")] == ["One", "two"]
+    assert [x.text for x in htmltext.page_lines("<head><title>t</title>\n<div>One</div><p>two")] == ["One", "two"]
+    assert [x.text for x in htmltext.page_lines("<head><style>x</style> One<template><p>no</p></template>")] == ["One"]
+    pages = spark.createDataFrame([(1, "http://h/1", "<html><head><title>t</title><body><p>One</p></body></html>")], "page_id long, url string, html string")
+    assert htmltext.main_text(pages).first()["text"] == "One"
+    assert warc.derivatives(warc.responses(pages)).where("warc_type = 'conversion'").first()["block"] == b"One"
+
+
 def test_main_text_equals_the_pages_articles(spark):
     import html
 
