@@ -7,8 +7,12 @@ template's elements with a text of their own on each page (adverts, breadcrumbs)
 repeat passages of other pages, which differencing alone would take for template lines; so where a page marks its article
 (article, main, or a body role), lines inside are kept, shared or not, and lines outside are not.
 
-The order is a range partitioning, so a host with a third of all pages is spread over many tasks; pages are held one pair at
-a time. At the border of two ranges, and at either end of a host, only one neighbour is looked at.
+Neighbours on one host with equal lines (captures of one page) are one run, and a page's neighbours are the last page of the run
+before its own and the first page of the run after it: held against its twin, a page would lose every line.
+
+The order is a range partitioning, so a host with a third of all pages is spread over many tasks. The runs at the ends of each
+range (four at most) go to one small task that finds their neighbours over the borders, so results don't depend on how the ranges
+were cut. At either end of a host only one run is looked at; a host of one run has no neighbour, and its pages keep all lines.
 
 Defined results: a null html is an empty page with an empty text. A null url is a host of its own. Pages with equal
 ids or urls each get a row. An empty table gives an empty result; extra columns are ignored.
@@ -23,10 +27,11 @@ from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, written
 
 # Elements of HTML by what they mean for a text.
 UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select option datalist button input textarea".split())
@@ -192,8 +197,159 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
+class _Run:
+    """Neighbouring pages of one host with equal text lines. The lines are held once, and each kind of markup flags once."""
+
+    __slots__ = ("host", "texts", "members", "variants", "first", "last")
+
+    def __init__(self, host: str, texts: list[str]):
+        self.host, self.texts = host, texts
+        self.members: list[tuple] = []  # page_id, url, path, number of its variant
+        self.variants: dict[bytes, int] = {}
+        self.first = self.last = None  # path, page_id
+
+    def add(self, k: int | None, u: str | None, path: str, lines: list[Line]) -> None:
+        flags = bytes(x.chrome + 2 * x.inside for x in lines)
+        self.members.append((k, u, path, self.variants.setdefault(flags, len(self.variants))))
+        self.first, self.last = self.first or (path, k), (path, k)
+
+
+def _choices(texts: list[str], flags: bytes, near: list[tuple]) -> list[tuple]:
+    """(path, page_id, text) for each neighbour (path, page_id, its texts) that the page may be held against; without any: one of nulls and the text."""
+    lines = [Line(t, bool(f & 1), bool(f & 2)) for t, f in zip(texts, flags, strict=True)]
+    return [(path, k, article(lines, [Line(t, False, False) for t in other])) for path, k, other in near] or [(None, None, article(lines, None))]
+
+
+def _chosen(choices: list[tuple], path: str) -> tuple:
+    return max(choices, key=lambda c: _prefix(c[0] or "", path))
+
+
+def _near(before, host: str, after) -> list[tuple]:
+    return [(*at, r.texts) for r, at in ((before, before and before.last), (after, after and after.first)) if r and r.host == host]
+
+
+_MADE = "page_id long, url string, text string, partner long, path string, run long, variant long, host string, first_path string, first long, last_path string, last long, texts array<string>, variants array<binary>"
+_MADE_ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}[t]) for n, t in (c.split() for c in _MADE.split(", "))])
+_NEAR_ARROW = pa.schema([("run", pa.int64()), ("variant", pa.int64()), ("near", pa.list_(pa.struct([("path", pa.string()), ("partner", pa.int64()), ("text", pa.string())])))])
+_NEAR = "run long, variant long, near array<struct<path:string,partner:long,text:string>>"
+
+
+def _filled(rows: Iterator[tuple[int, dict]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of about a MB from (size, row)."""
+    held, size = [], 0
+    for n, row in rows:
+        held.append(row)
+        size += n + 100
+        if size > 1 << 20:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def _in_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a range of pages in order: the finished pages; those of its first and last run, whose neighbours may be in other ranges, without
+    a text; and the two runs at either end, with their lines. A run's number is four times the partition's and its place: 0, 1, 2, 3."""
+    base = 4 * TaskContext.get().partitionId()
+
+    def runs() -> Iterator[_Run]:
+        now = None
+        for batch in slices(batches, 2, 1 << 20):
+            for k, u, h, host, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines = page_lines(h)
+                texts = [x.text for x in lines]
+                if now is None or now.host != host or now.texts != texts:
+                    if now:
+                        yield now
+                    now = _Run(host, texts)
+                now.add(k, u, path, lines)
+        if now:
+            yield now
+
+    def border(run: _Run, place: int) -> tuple[int, dict]:
+        ends = {"first_path": run.first[0], "first": run.first[1], "last_path": run.last[0], "last": run.last[1]}
+        return sum(map(len, run.texts)), {"run": base + place, "host": run.host, "texts": run.texts, "variants": list(run.variants), **ends}
+
+    def waiting(run: _Run, place: int) -> Iterator[tuple[int, dict]]:
+        yield border(run, place)
+        for k, u, path, variant in run.members:
+            yield 0, {"page_id": k, "url": u, "path": path, "run": base + place, "variant": variant}
+
+    def each() -> Iterator[tuple[int, dict]]:
+        before = now = None
+        n = -1  # now's place among the runs
+        for after in runs():
+            if n == 0:
+                yield from waiting(now, 0)
+            elif n > 0:
+                if n == 1:
+                    yield border(now, 1)
+                near = _near(before, now.host, after)
+                made = [_choices(now.texts, flags, near) for flags in now.variants]
+                for k, u, path, variant in now.members:
+                    _, partner, text = _chosen(made[variant], path)
+                    yield len(text), {"page_id": k, "url": u, "text": text, "partner": partner}
+            if now:
+                now.members = []
+            before, now, n = now, after, n + 1
+        if n > 2:
+            yield border(before, 2)
+        if now:
+            yield from waiting(now, 3 if n else 0)
+
+    return _filled(each(), _MADE_ARROW)
+
+
+def _over_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the border runs of all ranges in order: for each that waits and each of its variants, what its pages may be held against.
+    Equal runs on both sides of a border are one."""
+
+    def runs() -> Iterator[_Run]:
+        now = None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if now is None or now.host != r["host"] or now.texts != r["texts"]:
+                    if now:
+                        yield now
+                    now = _Run(r["host"], r["texts"])
+                    now.first = (r["first_path"], r["first"])
+                now.last = (r["last_path"], r["last"])
+                if r["run"] % 4 in (0, 3):
+                    now.members.append((r["run"], r["variants"]))
+        if now:
+            yield now
+
+    def done(before: _Run | None, now: _Run, after: _Run | None) -> Iterator[tuple[int, dict]]:
+        near = _near(before, now.host, after)
+        for run, variants in now.members:
+            for variant, flags in enumerate(variants):
+                found = [{"path": path, "partner": k, "text": text} for path, k, text in _choices(now.texts, flags, near)]
+                yield sum(len(x["text"]) for x in found), {"run": run, "variant": variant, "near": found}
+
+    def each() -> Iterator[tuple[int, dict]]:
+        before = now = None
+        for after in runs():
+            if now:
+                yield from done(before, now, after)
+            before, now = now, after
+        if now:
+            yield from done(before, now, None)
+
+    return _filled(each(), _NEAR_ARROW)
+
+
 _OUT = "page_id long, url string, text string, partner long"
-_NAMES = ["page_id", "url", "text", "partner"]
+_OUT_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("partner", pa.int64())])
+
+
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each() -> Iterator[tuple[int, dict]]:
+        for batch in slices(batches, 1, 1 << 20):
+            for k, u, path, near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, partner, text = _chosen([(x["path"], x["partner"], x["text"]) for x in near], path)
+                yield len(text), {"page_id": k, "url": u, "text": text, "partner": partner}
+
+    return _filled(each(), _OUT_ARROW)
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -201,37 +357,13 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     host = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     path = F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("k"), F.col(url).cast("string").alias("u"), F.col(html).cast("string").alias("h"), host.alias("host"), path.alias("path"))
-    ordered = rows.repartitionByRange("host", "path", "k").sortWithinPartitions("host", "path", "k", "u")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple]:
-            for batch in slices(batches, 2, 1 << 20):
-                for k, u, h, host_, path_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    yield k, u, page_lines(h), host_, path_
-
-        def done(before: tuple | None, page: tuple, after: tuple | None) -> tuple:
-            near = [p for p in (before, after) if p and p[3] == page[3]]
-            partner = max(near, key=lambda p: _prefix(p[4], page[4]), default=None)
-            return page[0], page[1], article(page[2], partner[2] if partner else None), partner[0] if partner else None
-
-        before = page = None
-        held: list[tuple] = []
-        size = 0
-        for after in each():
-            if page:
-                held.append(done(before, page, after))
-                size += len(held[-1][2])
-            before, page = page, after
-            if size > 1 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _TYPES, strict=True)], names=_NAMES)
-                held, size = [], 0
-        if page:
-            held.append(done(before, page, None))
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _TYPES, strict=True)], names=_NAMES)
-
-    made = ordered.mapInArrow(run, _OUT)
-    return made.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "partner")
-
-
-_TYPES = (pa.int64(), pa.string(), pa.string(), pa.int64())
+    ordered = rows.repartitionByRange("host", "path", "k").sortWithinPartitions("host", "path", "k", "u", "h")
+    # Written, because a second run of the range partitioning may cut other ranges.
+    made = written(ordered.mapInArrow(_in_range, _MADE), "pages")
+    # At most four rows for each range: their number follows the number of partitions, not the pages.
+    ends = made.where("texts is not null").select("run", "host", "first_path", "first", "last_path", "last", "texts", "variants").repartition(1).sortWithinPartitions("run")
+    near = ends.mapInArrow(_over_borders, _NEAR)
+    waiting = made.where("variant is not null").select("page_id", "url", "path", "run", "variant").join(near, ["run", "variant"])
+    late = waiting.select("page_id", "url", "path", "near").mapInArrow(_choose, _OUT)
+    out = made.where("run is null").select("page_id", "url", "text", "partner").unionByName(late)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "partner")

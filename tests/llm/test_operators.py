@@ -185,6 +185,45 @@ def test_pages_without_an_end_of_head_keep_their_text(spark):
     assert warc.derivatives(warc.responses(pages)).where("warc_type = 'conversion'").first()["block"] == b"One"
 
 
+def test_differencing_skips_twins_and_does_not_depend_on_ranges(spark):
+    rng = random.Random(8)
+    page = lambda *own: "<html><head></head><body><p>Site</p>" + "".join(f"<p>{x}</p>" for x in own) + "<p>Rights</p></body></html>"
+    rows = [(1, "http://t/a", page("A")), (2, "http://t/a", page("A")), (3, "http://t/b", page("B")), (4, "http://u/a", page("only")), (5, "http://u/b", page("only"))]
+    rows += [(6, "http://t/c", page("C")), (7, "http://t/c2", page("C").replace("<p>C", "<p class=ad>C")), (8, "http://v/x", None), (9, None, page("N"))]
+    rows += [(10 + k, f"http://w/{rng.randrange(30)}", page(f"own {rng.randrange(6)}", "more")) for k in range(60)]
+    rows += [(100 + k, "http://x/hot", page("hot")) for k in range(40)] + [(200, "http://x/last", page("last"))]
+
+    # Brute force: the order of all pages, the nearest pages of the host on either side that have other lines.
+    split = {k: re.match(r"\w+://([^/]*)(.*)", u or "") for k, u, _ in rows}
+    held = sorted(((m[1], m[2]) if (m := split[k]) else ("", ""), k, h) for k, u, h in rows)
+    lines = [htmltext.page_lines(h) for _, _, h in held]
+    texts = [[x.text for x in p] for p in lines]
+    want = {}
+    for i, ((host, path), k, _) in enumerate(held):
+        near = []
+        for step in (-1, 1):
+            j = i + step
+            while 0 <= j < len(held) and held[j][0][0] == host and texts[j] == texts[i]:
+                j += step
+            if 0 <= j < len(held) and held[j][0][0] == host:
+                near.append(j)
+        # After a run of twins its first page counts, before one its last: that is the nearest one.
+        j = max(near, key=lambda j: htmltext._prefix(held[j][0][1], path), default=None)
+        want[k] = (htmltext.article(lines[i], None if j is None else lines[j]), None if j is None else held[j][1])
+    assert want[1][0] == want[2][0] == "A" and want[3][0] == "B" and want[4][0] == "Site\nonly\nRights" and want[100][0] == "hot" and want[7][0] == ""
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (1, 2, 13, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = htmltext.main_text(pages.repartition(3)).collect()
+            assert len(got) == len(rows) and {r["page_id"]: (r["text"], r["partner"]) for r in got} == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_main_text_equals_the_pages_articles(spark):
     import html
 
