@@ -33,10 +33,13 @@ def pareto_front(points: DataFrame, cost: str, score: str, by: list[str]) -> Dat
     return points.withColumn("on_front", (before.isNull() | (F.col(score) > before)) & (F.col(score) >= F.max(score).over(same)))
 
 
-def rank_sensitivity(runs: DataFrame, ranks: dict[int, int], metric: str, params: str = "trainable_params") -> DataFrame:
-    """Mean and sample deviation of each rank, known by its number of parameters."""
-    m = F.create_map(*(F.lit(x) for kv in ranks.items() for x in kv))
-    named = runs.withColumn("rank", F.try_element_at(m, F.col(params).cast("int"))).where("rank IS NOT NULL")
+def rank_sensitivity(runs: DataFrame, ranks: dict[int, int] | DataFrame, metric: str, params: str = "trainable_params") -> DataFrame:
+    """Mean and sample deviation of each rank, known by its number of parameters; ranks may be a table (params, rank)."""
+    if isinstance(ranks, DataFrame):
+        named = runs.join(ranks.select(params, "rank").distinct(), params)
+    else:
+        m = F.create_map(*(F.lit(x) for kv in ranks.items() for x in kv))
+        named = runs.withColumn("rank", F.try_element_at(m, F.col(params).cast("int"))).where("rank IS NOT NULL")
     return named.groupBy("rank").agg(F.avg(metric).alias("mean"), F.coalesce(F.stddev_samp(metric), F.lit(0.0)).alias("std"), F.count("*").alias("n"))
 
 

@@ -71,6 +71,20 @@ def test_all_quarters_are_paired_and_far_quarters_pruned(spark):
     assert made.where("quarter_a not like '1998%' or quarter_b not like '1998%'").count()
 
 
+def test_every_run_has_a_rank_and_every_label_grid_can_be_named(spark):
+    from gridloom.plans import registry
+    from gridloom.plans.fixtures import Tables
+
+    dir_ = "/root/testdata/sf0.001"
+    t, q = Tables(spark, dir_), registry.queries()
+    assert q["i5_rank_sensitivity_all"](spark, dir_).agg(F.sum("n")).first()[0] == t["fx_runs"].count() > q["i5_rank_sensitivity"](spark, dir_).agg(F.sum("n")).first()[0]
+    sf = "/root/testdata/sf0.1"  # the smallest tables with more than 500 label grids
+    t = Tables(spark, sf)
+    grids = t["embeddings"].count()
+    assert grids > 500 and t["fx_patches"].select((F.col("scene_key") % grids).alias("g")).distinct().count() == grids
+    assert q["f8_slice_labels_all"](spark, dir_).count() == 9 * Tables(spark, dir_)["fx_patches"].count()
+
+
 def test_grid_join_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     boxes = [(f"p{k}", "s", f"q{k % 3}", "2025-01-01", float(x), float(y), float(x + w), float(y + h)) for k, (x, y, w, h) in enumerate(zip(rng.uniform(-20, 20, 150), rng.uniform(-20, 20, 150), rng.uniform(0.1, 9, 150), rng.uniform(0.1, 9, 150), strict=True))]
