@@ -7,7 +7,7 @@ and intersects list after list, from rare to frequent. A term that stands in a t
 no more in one segment than in another, no list is ever gathered over segments, and no postings are shuffled.
 
 Defined results: a null or empty text has no words; its row has counts 0, no items, and isn't contaminated. Rows with
-equal doc_id each get a row. Null item_id or items without words have no windows. Empty tables give empty results. Extra
+equal doc_id each get a row, and so do rows with a null doc_id. Null item_id or items without words have no windows. Empty tables give empty results. Extra
 columns of the inputs are ignored.
 """
 
@@ -17,14 +17,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, written
 
 #: Words: digits, a-z and everything beyond ASCII; A-Z count as a-z. In UTF-8 that is a table over bytes.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-INDEX_SCHEMA = "doc_ids binary, doc_starts binary, terms binary, term_starts binary, gaps binary"
+INDEX_SCHEMA = "doc_ids binary, no_ids binary, digests binary, doc_starts binary, terms binary, term_starts binary, gaps binary"
 #: Tokens after which a segment is closed. A document is never split, so a longer one makes a longer segment.
 SEGMENT_TOKENS = 1_000_000
 #: Bytes of test texts that go to the executors at once; more are taken in blocks of about this size.
@@ -36,7 +36,7 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_TABLE).split() if text else []
 
 
-def _segment(doc_ids: list[int], docs: list[list[bytes]]) -> dict[str, bytes]:
+def _segment(doc_ids: list[int | None], digests: list[bytes], docs: list[list[bytes]]) -> dict[str, bytes]:
     ids: dict[bytes, int] = {}
     flat = np.fromiter((ids.setdefault(w, len(ids)) for words in docs for w in words), np.int32)
     post = np.argsort(flat, kind="stable").astype(np.int32)
@@ -45,7 +45,9 @@ def _segment(doc_ids: list[int], docs: list[list[bytes]]) -> dict[str, bytes]:
     first = starts[:-1]
     gaps[first] = post[first]
     return {
-        "doc_ids": np.array(doc_ids, np.int64).tobytes(),
+        "doc_ids": np.array([k or 0 for k in doc_ids], np.int64).tobytes(),
+        "no_ids": bytes(k is None for k in doc_ids),
+        "digests": b"".join(digests),
         "doc_starts": np.concatenate([[0], np.cumsum([len(w) for w in docs])]).astype(np.int32).tobytes(),
         "terms": b" ".join(ids),
         "term_starts": starts.tobytes(),
@@ -56,26 +58,33 @@ def _segment(doc_ids: list[int], docs: list[list[bytes]]) -> dict[str, bytes]:
 _INDEX_ARROW = pa.schema([(n.split()[0], pa.binary()) for n in INDEX_SCHEMA.split(", ")])
 
 
+def digest_of(text: str) -> Column:
+    """16 bytes by which a row's text is known beside its doc_id."""
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+
+
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
-    """The index segments of docs, not yet stored. Rows whose key is null are indexed under -1."""
+    """The index segments of docs, not yet stored. A null key is kept as such."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
+        ids: list[int | None] = []
+        digests: list[bytes] = []
         held: list[list[bytes]] = []
         n = 0
         for batch in slices(batches, 1):
-            for key_, text_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key_, text_, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(text_)
-                ids.append(-1 if key_ is None else key_)
+                ids.append(key_)
+                digests.append(digest)
                 held.append(words)
                 n += len(words)
                 if n >= segment_tokens:
-                    yield pa.RecordBatch.from_pylist([_segment(ids, held)], _INDEX_ARROW)
-                    ids, held, n = [], [], 0
+                    yield pa.RecordBatch.from_pylist([_segment(ids, digests, held)], _INDEX_ARROW)
+                    ids, digests, held, n = [], [], [], 0
         if ids:
-            yield pa.RecordBatch.from_pylist([_segment(ids, held)], _INDEX_ARROW)
+            yield pa.RecordBatch.from_pylist([_segment(ids, digests, held)], _INDEX_ARROW)
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(build, INDEX_SCHEMA)
+    return docs.select(F.col(key).cast("long"), F.col(text).cast("string"), digest_of(text).alias("digest")).mapInArrow(build, INDEX_SCHEMA)
 
 
 def store_index(docs: DataFrame, key: str = "doc_id", text: str = "text", segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
@@ -87,7 +96,8 @@ class _Segment:
     """A stored segment, opened for the terms of a query."""
 
     def __init__(self, row: dict, vocabulary: dict[bytes, int]):
-        self.doc_ids = np.frombuffer(row["doc_ids"], np.int64)
+        self.doc_ids = [None if no else k for k, no in zip(np.frombuffer(row["doc_ids"], np.int64).tolist(), row["no_ids"], strict=True)]
+        self.digests = [row["digests"][k : k + 16] for k in range(0, len(row["digests"]), 16)]
         self.doc_starts = np.frombuffer(row["doc_starts"], np.int32)
         starts, self._gaps = np.frombuffer(row["term_starts"], np.int32), np.frombuffer(row["gaps"], np.int32)
         self._at = np.full(len(vocabulary) + 1, -1, np.int64)
@@ -174,19 +184,27 @@ def windows(item_words: list[bytes], size: int = WINDOW) -> list[list[bytes]]:
     return [item_words[k : k + size] for k in range(max(1, len(item_words) - size + 1))] if item_words else []
 
 
-def _blocks(tests: DataFrame, key: str, text: str, limit: int) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """The test texts in blocks of about `limit` bytes, each small enough to be sent to every executor."""
+def _blocks(tests: DataFrame, key: str, text: str, limit: int) -> tuple[int, Iterator[list[tuple[int, list[bytes]]]]]:
+    """The number of blocks, and the test texts in blocks of about `limit` bytes, each small enough to be sent to every executor.
+
+    With several blocks, what a block gives is to be stored before the next is taken: the driver holds one at a time.
+    """
     tests = tests.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null")
     n = max(1, -(-int(tests.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]) // limit))
-    for block in range(n):
-        part = tests.where(F.pmod(F.xxhash64("k"), F.lit(n)) == block) if n > 1 else tests
-        yield [(r.k, words_of(r.t)) for r in part.orderBy("k", "t").toLocalIterator()]
+
+    def each() -> Iterator[list[tuple[int, list[bytes]]]]:
+        for block in range(n):
+            part = tests.where(F.pmod(F.xxhash64("k"), F.lit(n)) == block) if n > 1 else tests
+            yield [(r.k, words_of(r.t)) for r in part.orderBy("k", "t").toLocalIterator()]
+
+    return n, each()
 
 
 def phrase_matches(index: DataFrame, tests: DataFrame, key: str = "item_id", text: str = "text", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(key, doc_id, start, length): every exact occurrence of each test text as a phrase; start counts words from 0."""
     out = None
-    for block in _blocks(tests, key, text, query_bytes):
+    n, blocks = _blocks(tests, key, text, query_bytes)
+    for block in blocks:
         phrases = Phrases(block)
 
         def find(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
@@ -195,10 +213,11 @@ def phrase_matches(index: DataFrame, tests: DataFrame, key: str = "item_id", tex
                 for terms in phrases.present(segment):
                     at = segment.phrase(terms)
                     for doc, start in zip(segment.documents(at).tolist(), at.tolist(), strict=True):
-                        rows += [(owner, int(segment.doc_ids[doc]), start - int(segment.doc_starts[doc]), len(terms)) for owner in phrases.owners[tuple(terms.tolist())]]
+                        rows += [(owner, segment.doc_ids[doc], start - int(segment.doc_starts[doc]), len(terms)) for owner in phrases.owners[tuple(terms.tolist())]]
                 yield _rows(rows, [key, "doc_id", "start", "length"])
 
         part = index.mapInArrow(find, f"{key} long, doc_id long, start long, length long")
+        part = written(part, "hits") if n > 1 else part
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -206,7 +225,8 @@ def phrase_matches(index: DataFrame, tests: DataFrame, key: str = "item_id", tex
 def proximity_matches(index: DataFrame, tests: DataFrame, span: int, key: str = "item_id", text: str = "text", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(key, doc_id, start, length): smallest stretches of at most `span` words that hold all words of a test text, in any order."""
     out = None
-    for block in _blocks(tests, key, text, query_bytes):
+    n, blocks = _blocks(tests, key, text, query_bytes)
+    for block in blocks:
         phrases = Phrases(block)
 
         def find(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
@@ -215,10 +235,11 @@ def proximity_matches(index: DataFrame, tests: DataFrame, span: int, key: str =
                 for terms in phrases.present(segment):
                     for start, end in segment.near(terms, span):
                         doc = int(segment.documents(np.array([start]))[0])
-                        rows += [(owner, int(segment.doc_ids[doc]), start - int(segment.doc_starts[doc]), end - start + 1) for owner in phrases.owners[tuple(terms.tolist())]]
+                        rows += [(owner, segment.doc_ids[doc], start - int(segment.doc_starts[doc]), end - start + 1) for owner in phrases.owners[tuple(terms.tolist())]]
                 yield _rows(rows, [key, "doc_id", "start", "length"])
 
         part = index.mapInArrow(find, f"{key} long, doc_id long, start long, length long")
+        part = written(part, "hits") if n > 1 else part
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -234,18 +255,20 @@ def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
-_HITS = "doc_id long, n_words long, spans array<struct<start:long,stop:long>>, items array<long>"
-_HITS_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.int64()))])
+_HITS = "doc_id long, digest binary, n_words long, spans array<struct<start:long,stop:long>>, items array<long>"
+_HITS_ARROW = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.int64()))])
 
 
 def contamination(index: DataFrame, tests: DataFrame, window: int = WINDOW, key: str = "item_id", text: str = "text", query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """A row for each indexed document: doc_id, n_words, hit spans (start, stop in words, merged) and the test items found.
+    """A row for each indexed document: doc_id, digest of its text, n_words, hit spans (start, stop in words, merged) and the test items found.
 
-    Everything about a document lies in its segment, so a block of tests needs no shuffle; with several blocks the rows
-    of a document are put together by a grouping on the document's place in the index.
+    Everything about a document lies in its segment, so a block of tests needs no shuffle; with several blocks each block's
+    hits are stored before the next block is made, and the rows of a document are put together by a grouping on the document's
+    place in the index.
     """
     parts = []
-    for block in _blocks(tests, key, text, query_bytes):
+    n_blocks, blocks = _blocks(tests, key, text, query_bytes)
+    for block in blocks:
         phrases = Phrases((item, w) for item, words in block for w in windows(words, window))
 
         def find(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
@@ -260,33 +283,35 @@ def contamination(index: DataFrame, tests: DataFrame, window: int = WINDOW, key:
                         items.setdefault(doc, set()).update(owners)
                 rows = []
                 sizes = np.diff(segment.doc_starts).tolist()
-                for doc, (doc_id, n) in enumerate(zip(segment.doc_ids.tolist(), sizes, strict=True)):
+                for doc, (doc_id, digest, n) in enumerate(zip(segment.doc_ids, segment.digests, sizes, strict=True)):
                     base, merged = int(segment.doc_starts[doc]), []
                     for start, stop in sorted(spans.get(doc, ())):
                         if merged and start <= merged[-1]["stop"] + base:
                             merged[-1]["stop"] = max(merged[-1]["stop"], stop - base)
                         else:
                             merged.append({"start": start - base, "stop": stop - base})
-                    rows.append({"doc_id": doc_id, "n_words": n, "spans": merged, "items": sorted(items.get(doc, ()))})
+                    rows.append({"doc_id": doc_id, "digest": digest, "n_words": n, "spans": merged, "items": sorted(items.get(doc, ()))})
                 yield pa.RecordBatch.from_pylist(rows, _HITS_ARROW)
 
-        parts.append(index.mapInArrow(find, _HITS))
-    if len(parts) == 1:
-        return parts[0]
-    # Equal doc_ids in one index must not merge: the place of a row in its (stable, stored) segment tells them apart.
-    raise_on = [p.withColumn("_row", F.monotonically_increasing_id()) for p in parts]
-    out = raise_on[0]
-    for p in raise_on[1:]:
+        part = index.mapInArrow(find, _HITS)
+        if n_blocks == 1:
+            return part
+        # Equal doc_ids in one index must not merge: the place of a row in its (stable, stored) segment tells them apart.
+        part = part.withColumn("_row", F.monotonically_increasing_id())
+        # The first block has a row for each document, so of the others only hits are needed.
+        parts.append(written(part.where(F.size("spans") > 0) if parts else part, "hits"))
+    out = parts[0]
+    for p in parts[1:]:
         out = out.unionByName(p)
-    grouped = out.groupBy("_row", "doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    grouped = out.groupBy("_row", "doc_id", "digest", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merged = F.expr(
         "aggregate(s, cast(array() as array<struct<start:bigint,stop:bigint>>), (acc, x) -> if(size(acc) > 0 and x.start <= element_at(acc, -1).stop,"
         " concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start as start, greatest(element_at(acc, -1).stop, x.stop) as stop))), concat(acc, array(x))))"
     )
-    return grouped.select("doc_id", "n_words", merged.alias("spans"), "items")
+    return grouped.select("doc_id", "digest", "n_words", merged.alias("spans"), "items")
 
 
-def report(hits: DataFrame) -> DataFrame:
+def report(hits: DataFrame, *also: str) -> DataFrame:
     """The rule: contaminated where some word is hit and the hit words are a twentieth of all words or more."""
     n_hit = F.expr("aggregate(spans, 0L, (n, x) -> n + x.stop - x.start)")
     named = F.array_join(F.array_sort(F.expr("transform(items, x -> cast(x as string))")), ",")
@@ -297,6 +322,7 @@ def report(hits: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(named.cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        *also,
     )
 
 
@@ -305,6 +331,13 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = WINDOW) -> Da
     return report(contamination(store_index(docs), tests, window))
 
 
+def without_contaminated(docs: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs that aren't contaminated, each by the result of its own text: equal or null doc_ids don't touch other rows."""
+    found = report(contamination(store_index(docs), tests, window), "digest").where("contaminated")
+    bad = found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    return docs.join(bad, (F.col("_digest") == digest_of("text")) & F.col("_id").eqNullSafe(F.col("doc_id")), "left_anti").select(docs.columns)
+
+
 #: DuckDB SQL for the rows of op2, from the contract's own words.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -126,6 +126,29 @@ def test_contamination_equals_brute_force_in_one_or_several_blocks(spark):
     assert decontam.decontaminate(docs_of(spark, ["a"]).limit(0), bench).count() == 0
 
 
+def test_null_ids_stay_null_and_each_row_has_its_own_result(spark):
+    rng = random.Random(11)
+    bad, clean = words(rng, 20), words(rng, 30)
+    bench = spark.createDataFrame([(0, bad), (1, words(rng, 20))], "item_id long, text string")
+    docs = spark.createDataFrame([(None, bad), (-1, clean), (None, clean), (5, bad), (5, clean), (0, clean), (None, None)], "doc_id long, text string")
+    for limit in (1 << 20, 60):
+        hits = decontam.report(decontam.contamination(decontam.store_index(docs), bench, query_bytes=limit)).collect()
+        assert sorted(((r["doc_id"], r["contaminated"]) for r in hits), key=str) == sorted([(None, True), (-1, False), (None, False), (5, True), (5, False), (0, False), (None, False)], key=str)
+    kept = decontam.without_contaminated(docs, bench).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(-1, clean), (None, clean), (5, clean), (0, clean), (None, None)], key=str)
+
+
+def test_hits_of_a_block_are_stored_before_the_next_block_is_made(spark, monkeypatch):
+    rng = random.Random(12)
+    bench = spark.createDataFrame([(k, words(rng, 20)) for k in range(12)], "item_id long, text string")
+    index = decontam.store_index(docs_of(spark, [words(rng, 50)]))
+    steps, phrases, written = [], decontam.Phrases, decontam.written
+    monkeypatch.setattr(decontam, "Phrases", lambda p: steps.append("made") or phrases(p))
+    monkeypatch.setattr(decontam, "written", lambda *a: steps.append("stored") or written(*a))
+    assert decontam.contamination(index, bench, query_bytes=200).count() == 1
+    assert len(steps) > 4 and steps == ["made", "stored"] * (len(steps) // 2)
+
+
 def test_phrases_and_proximity_equal_brute_force(spark):
     rng = random.Random(4)
     texts = [words(rng, 50, 12) for _ in range(25)]
