@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.scratch import scratch
 
 
 def hash_order(key: str, seed: int) -> Column:
@@ -28,12 +29,19 @@ def paired_dataset(patches: DataFrame, labels: DataFrame, year: int | None = Non
 def scene_split(df: DataFrame, val_frac: float = 0.2, scene: str = "scene_id") -> DataFrame:
     """split: `val` in the last max(1, n * val_frac) scenes in order, so that no scene is on both sides.
 
-    Scenes are ranked among themselves, far fewer rows than patches; each gets its place by range partitions' counts.
+    Scenes are ranked among themselves, far fewer rows than patches; each gets its place by range partitions' counts. The ranges
+    are stored, so that their counts and their rows are of one partitioning.
     """
-    scenes = df.select(scene).distinct()
-    n = scenes.count()
-    cut = max(1, int(n * val_frac))
-    last = scenes.orderBy(F.desc(scene)).limit(cut).withColumn("split", F.lit("val"))
+    spark = df.sparkSession
+    path = scratch(spark, "scenes")
+    df.select(scene).distinct().repartitionByRange(F.desc(scene)).select(scene, F.spark_partition_id().alias("_part")).write.parquet(path)
+    scenes = spark.read.parquet(path)
+    # A row for each range: its size follows the number of partitions, not the rows.
+    sizes = scenes.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    cut = max(1, int(scenes.count() * val_frac))
+    place = F.col("_before") + F.row_number().over(W.partitionBy("_part").orderBy(F.desc(scene)))
+    last = scenes.join(before, "_part").withColumn("_place", place).where(F.col("_place") <= cut).select(scene, F.lit("val").alias("split"))
     return df.join(last, scene, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 

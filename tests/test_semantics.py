@@ -141,6 +141,15 @@ def test_scene_split_keeps_scenes_apart_and_one_scene_is_validation(spark):
     assert set(values(datasets.scene_split(df.where("scene_id = 's0'")), "split")) == {"val"}
 
 
+def test_scene_split_ranks_by_ranges(spark):
+    names = [f"s{k:04d}" for k in range(997)]
+    df = spark.createDataFrame([(s, k) for s in names for k in range(2)] + [(None, 0)], "scene_id string, k int")
+    got = datasets.scene_split(df, 0.2)
+    assert set(values(got.where("split = 'val'"), "scene_id")) == set(names[-199:]) and got.count() == 1995
+    plan = got._jdf.queryExecution().toString()
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
+
+
 def test_rx_mean_identity_and_range():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 256, (3, 6, 256)).astype(float)
