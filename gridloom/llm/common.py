@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor and the driver can read: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, local runs) a folder of our own is made and set.
+    Only a local master (tests) may leave that unset: then a folder of our own is made and set. Elsewhere it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-gridloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -65,13 +67,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = 4 << 20) -
 
 
 def next_in_order(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, next_key) for every distinct key, next_key being the one after it in descending order; after the last: the first.
+    """df with next_key: the key after its own in descending order; after the last: the first. df has a row for each key, none null.
 
-    Only the keys are moved: they are range-partitioned, each range finds its successors in a window of its own, and the
-    largest key of the range below, from a table with a row a range, closes the gap. A null key has no place in the order.
+    The rows are range-partitioned, so df is to be small beside the data (keys and numbers): each range finds its successors
+    in a window of its own, and the largest key of the range below, from a table with a row a range, closes the gap.
     """
-    ranged = df.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(F.col(key).desc())
-    keys = checkpointed(ranged.select(key, F.spark_partition_id().alias("_part")))
+    keys = checkpointed(df.repartitionByRange(F.col(key).desc()).withColumn("_part", F.spark_partition_id()))
     inside = keys.withColumn("_next", F.lead(key).over(W.partitionBy("_part").orderBy(F.col(key).desc())))
     heads = keys.groupBy("_part").agg(F.max(key).alias("_head"))
     # One row for each range: its size follows the number of partitions, not the rows.
@@ -80,4 +81,4 @@ def next_in_order(df: DataFrame, key: str = "doc_id") -> DataFrame:
         F.col("_part"),
         F.coalesce(F.lead("_head").over(ring), F.first("_head").over(ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_after"),
     )
-    return inside.join(heads, "_part").select(key, F.coalesce("_next", "_after").alias(f"next_{key}"))
+    return inside.join(heads, "_part").withColumn(f"next_{key}", F.coalesce("_next", "_after")).drop("_part", "_next", "_after")

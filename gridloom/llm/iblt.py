@@ -5,17 +5,17 @@ of one line has several too. A paragraph's digest has 44 bits of a hash and 20 c
 of a text is a sketch of its distinct digests: three rows of eight cells, each digest xored into one cell of each row, which
 three octal digits of it name. Subtracting two versions' sketches (xor again) cancels what they share. Peeling then takes
 digests out of cells that hold a single one - its check bits and its place are right - which may leave others alone, until
-nothing is left: these are the differing digests.
+nothing is left: these are the differing digests. Before its cells, a fingerprint has the number of its digests, so that two
+fingerprints alone give the likeness: shared paragraphs over all paragraphs of either.
 
 When peeling fails, it retries larger: the digests are dealt by further bits to so many sketches that each is expected to
 hold LOAD of them, those that fail are dealt again, and so on; a very long text only makes more sketches of the same
-size. The likeness of two texts is shared paragraphs over all paragraphs of either, computed from the numbers of
-paragraphs and of recovered differences.
+size. Digests that RETRIES rounds leave unresolved are compared as sets, so the number of differences is always exact.
 
 Defined results: a null text is an empty one; it has no paragraphs and the empty sketch. Two texts without paragraphs are
 alike (1), one without and one with are not (0). Equal texts have equal fingerprints. Rows with equal doc_id share the
-next document, and where several rows have the next doc_id, its least text counts. A null doc_id has no next: its edited
-text takes nothing in, and near_next is null. Alone in the table, a document is its own next. Extra columns are ignored.
+next document, and where several rows have the next doc_id, the text with the least hash counts. A null doc_id has no next:
+its edited text takes nothing in, and near_next is null. Alone in the table, a document is its own next. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import next_in_order
+from .common import next_in_order, written
 
 #: Words of a paragraph at most, rows and cells of a row of a sketch.
 PIECE, ROWS, WIDTH = 32, 3, 8
@@ -55,8 +55,17 @@ def sketch(digests: str, shift: int = 0) -> str:
     return "array(" + ", ".join(cell.format(d=digests, s=3 * r + shift, c=c) for r in range(ROWS) for c in range(WIDTH)) + ")"
 
 
+def numbered(digests: str) -> str:
+    """SQL for a fingerprint, array<bigint>: the number of digests, then the cells of their sketch."""
+    return f"concat(array(cast(size({digests}) as bigint)), {sketch(digests)})"
+
+
+def cells(fingerprint_: str) -> str:
+    return f"slice({fingerprint_}, 2, {CELLS})"
+
+
 def to_text(sketched: str) -> str:
-    """SQL for the fingerprint string of a sketch: 16 hex digits a cell."""
+    """SQL for the string of a fingerprint: 16 hex digits a number."""
     return f"lower(array_join(transform({sketched}, e -> lpad(hex(e), 16, '0')), ''))"
 
 
@@ -97,18 +106,17 @@ def _result(sketched: str, failed: str, shift: int = 0) -> str:
     return f"transform(array({peel(sketched, shift)}), p -> if({empty('p.s')}, struct(p.n as n, {_NO} as x, {_NO} as y), {failed}))[0]"
 
 
-def differing(df: DataFrame, left: str, right: str, first: str, out: str) -> DataFrame:
-    """df with the number of differing paragraphs of two digest arrays; `first` is the subtracted fingerprint.
+def differing(df: DataFrame, left: str, right: str, first: str, out: str, retries: int = RETRIES) -> DataFrame:
+    """df with the number of differing paragraphs of two digest arrays; `first` is the subtracted fingerprint's cells.
 
-    n is -1 in a group that isn't resolved. Those that no retry resolves (a chance far below that of equal digests)
-    count as wholly different.
+    n is -1 in a group that isn't resolved; groups that no retry resolves are compared as sets.
     """
     df = df.withColumn(out, F.expr(f"array({_result(first, f'struct(-1 as n, {left} as x, {right} as y)')})"))
-    for retry in range(RETRIES):
+    for retry in range(retries):
         shift = 0 if retry % 2 else 9
         tried = f"transform({_dealt('g', retry)}, t -> {_result(subtract(sketch('t.x', shift), sketch('t.y', shift)), 't', shift)})"
         df = df.withColumn(out, F.expr(f"flatten(transform({out}, g -> if(g.n >= 0, array(g), {tried})))"))
-    left_over = "if(g.n >= 0, g.n, size(array_distinct(concat(g.x, g.y))))"
+    left_over = "if(g.n >= 0, g.n, size(array_except(g.x, g.y)) + size(array_except(g.y, g.x)))"
     return df.withColumn(out, F.expr(f"aggregate({out}, 0L, (n, g) -> n + {left_over})"))
 
 
@@ -120,39 +128,46 @@ def likeness(n_left: str, n_right: str, n_differing: str) -> Column:
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and the fingerprint of each row's text."""
     own = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("d", F.expr(paragraphs("t")))
-    return own.select(key, F.expr(to_text(sketch("d"))).alias("fingerprint"))
+    return own.select(key, F.expr(to_text(numbered("d"))).alias("fingerprint"))
+
+
+_CUT = "cast(floor(length(t) / 3) as int)"
 
 
 def versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row beside its edited text: the last third replaced by as much of the begin of the next document.
+    """doc_id, t and, of the next document, its digests (d_next) and as many characters as any row of the doc_id needs (head).
 
-    The texts are moved twice, to meet the next one; only its digests and the characters that are needed come along.
+    The texts are moved once, by doc_id. Keys and lengths say before that which document needs how much of which, so what a
+    document gives to the one before it is cut off where it lies, and only heads and digests are moved again.
     """
-    t = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("n_chars", F.length("t").cast("long"))
-    order = next_in_order(t.select("doc_id").where("doc_id is not null"), "doc_id")
-    following = t.where("doc_id is not null").groupBy("doc_id").agg(F.min("t").alias("next_t")).withColumnRenamed("doc_id", "next_doc_id")
-    return t.join(order, "doc_id", "left").join(following, "next_doc_id", "left")
+    t = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    known = t.where("doc_id is not null")
+    needs = written(known.groupBy("doc_id").agg(F.max(F.expr(_CUT)).alias("need")), "lengths")
+    order = next_in_order(needs).select(F.col("next_doc_id").alias("doc_id"), F.col("doc_id").alias("to"), "need")
+    given = known.join(order, "doc_id").select("to", F.struct(F.xxhash64("t").alias("h"), F.expr("substring(t, 1, need)").alias("head"), F.expr(paragraphs("t")).alias("d")).alias("g"))
+    # The least of equal keys' texts by hash; with one row a key only the sort that the join needs anyway.
+    given = given.groupBy(F.col("to").alias("doc_id")).agg(F.min("g").alias("g"))
+    met = known.join(given, "doc_id", "left").select("doc_id", "t", F.col("g.head").alias("head"), F.col("g.d").alias("d_next"))
+    alone = t.where("doc_id is null").select("doc_id", "t", F.lit(None).cast("string").alias("head"), F.lit(None).cast("array<bigint>").alias("d_next"))
+    return met.unionByName(alone)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: a row for each row of docs."""
-    both = versions(docs, key, text)
-    cut = F.floor(F.col("n_chars") / 3).cast("int")
-    edited = F.concat(F.substring(F.col("t"), F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring(F.coalesce("next_t", F.lit("")), F.lit(1), cut))
-    both = both.withColumn("e", edited).withColumn("has_next", F.col("next_t").isNotNull())
-    for name in ("t", "e", "next_t"):
-        both = both.withColumn(f"d_{name}", F.expr(paragraphs(f"coalesce({name}, '')")))
-    both = both.withColumn("edited_sha256", F.sha2(F.col("e").cast("binary"), 256)).drop("t", "e", "next_t")
-    for name in ("t", "e", "next_t"):
-        both = both.withColumn(f"s_{name}", F.expr(sketch(f"d_{name}")))
-    both = differing(both, "d_t", "d_e", subtract("s_t", "s_e"), "x_edited")
-    both = differing(both, "d_t", "d_next_t", subtract("s_t", "s_next_t"), "x_next")
+    both = versions(docs, key, text).withColumn("n_chars", F.length("t").cast("long"))
+    both = both.withColumn("e", F.expr(f"concat(substring(t, 1, length(t) - {_CUT}), substring(coalesce(head, ''), 1, {_CUT}))"))
+    both = both.withColumns({"d_t": F.expr(paragraphs("t")), "d_e": F.expr(paragraphs("e")), "edited_sha256": F.sha2(F.col("e").cast("binary"), 256), "has_next": F.col("head").isNotNull()}).drop("t", "e", "head")
+    both = both.withColumn("d_next", F.coalesce("d_next", F.expr(_NO)))
+    for name in ("t", "e", "next"):
+        both = both.withColumn(f"s_{name}", F.expr(numbered(f"d_{name}")))
+    both = differing(both, "d_t", "d_e", subtract(cells("s_t"), cells("s_e")), "x_edited")
+    both = differing(both, "d_t", "d_next", subtract(cells("s_t"), cells("s_next")), "x_next")
     return both.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         F.expr(to_text("s_t")).alias("fingerprint"),
         F.expr(to_text("s_e")).alias("edited_fingerprint"),
-        likeness("size(d_t)", "size(d_e)", "x_edited").alias("near_edited"),
-        F.when(F.col("has_next"), likeness("size(d_t)", "size(d_next_t)", "x_next")).alias("near_next"),
+        likeness("s_t[0]", "s_e[0]", "x_edited").alias("near_edited"),
+        F.when(F.col("has_next"), likeness("s_t[0]", "s_next[0]", "x_next")).alias("near_next"),
     )

@@ -93,6 +93,20 @@ def test_fingerprints_of_awkward_texts(spark):
     assert iblt.fingerprints(odd).count() == 4
 
 
+def test_digests_that_no_retry_resolves_are_compared_as_sets(spark):
+    rng = random.Random(2)
+    shared, x, y = (rng.sample(range(1 << 40), 400) for _ in range(3))
+    df = spark.createDataFrame([(shared + x, shared + y)], "l array<bigint>, r array<bigint>").selectExpr(*(f"transform({c}, d -> {iblt._checked('d')}) as {c}" for c in "lr"))
+    first = iblt.subtract(iblt.sketch("l"), iblt.sketch("r"))
+    for retries in (0, 1, iblt.RETRIES):
+        assert iblt.differing(df, "l", "r", first, "n", retries).first()["n"] == 800
+
+
+def test_a_fingerprint_begins_with_its_number_of_paragraphs(spark):
+    made = iblt.fingerprint(docs_of(spark, ["one\ntwo\none", None])).collect()
+    assert [int(r["fingerprint"][:16], 16) for r in made] == [2, 0] and all(len(r["fingerprint"]) == 16 * (1 + iblt.CELLS) for r in made)
+
+
 # 2. decontamination
 
 
