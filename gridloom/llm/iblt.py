@@ -140,15 +140,16 @@ def versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     The texts are moved once, by doc_id. Keys and lengths say before that which document needs how much of which, so what a
     document gives to the one before it is cut off where it lies, and only heads and digests are moved again.
     """
-    t = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    known = t.where("doc_id is not null")
-    needs = written(known.groupBy("doc_id").agg(F.max(F.expr(_CUT)).alias("need")), "lengths")
-    order = next_in_order(needs).select(F.col("next_doc_id").alias("doc_id"), F.col("doc_id").alias("to"), "need")
-    given = known.join(order, "doc_id").select("to", F.struct(F.xxhash64("t").alias("h"), F.expr("substring(t, 1, need)").alias("head"), F.expr(paragraphs("t")).alias("d")).alias("g"))
+    # Names that no input column keeps: both uses of the texts are one exchange only if their plans are alike to the letter.
+    t = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    known = t.where("_k is not null")
+    needs = written(known.groupBy(F.col("_k").alias("doc_id")).agg(F.max(F.expr(_CUT)).alias("need")), "lengths")
+    order = next_in_order(needs).select(F.col("next_doc_id").alias("_k"), F.col("doc_id").alias("to"), "need")
+    given = known.join(order, "_k").select("to", F.struct(F.xxhash64("t").alias("h"), F.expr("substring(t, 1, need)").alias("head"), F.expr(paragraphs("t")).alias("d")).alias("g"))
     # The least of equal keys' texts by hash; with one row a key only the sort that the join needs anyway.
-    given = given.groupBy(F.col("to").alias("doc_id")).agg(F.min("g").alias("g"))
-    met = known.join(given, "doc_id", "left").select("doc_id", "t", F.col("g.head").alias("head"), F.col("g.d").alias("d_next"))
-    alone = t.where("doc_id is null").select("doc_id", "t", F.lit(None).cast("string").alias("head"), F.lit(None).cast("array<bigint>").alias("d_next"))
+    given = given.groupBy(F.col("to").alias("_k")).agg(F.min("g").alias("g"))
+    met = known.join(given, "_k", "left").select(F.col("_k").alias("doc_id"), "t", F.col("g.head").alias("head"), F.col("g.d").alias("d_next"))
+    alone = t.where("_k is null").select(F.col("_k").alias("doc_id"), "t", F.lit(None).cast("string").alias("head"), F.lit(None).cast("array<bigint>").alias("d_next"))
     return met.unionByName(alone)
 
 
