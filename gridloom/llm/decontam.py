@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import free_name, slices, written
 
 #: Words: digits, a-z and everything beyond ASCII; A-Z count as a-z. In UTF-8 that is a table over bytes.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -334,8 +334,9 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = WINDOW) -> Da
 def without_contaminated(docs: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs that aren't contaminated, each by the result of its own text: equal or null doc_ids don't touch other rows."""
     found = report(contamination(store_index(docs), tests, window), "digest").where("contaminated")
-    bad = found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    return docs.join(bad, (F.col("_digest") == digest_of("text")) & F.col("_id").eqNullSafe(F.col("doc_id")), "left_anti").select(docs.columns)
+    id_, digest = free_name(docs, "_id"), free_name(docs, "_digest")
+    bad = found.select(F.col("doc_id").alias(id_), F.col("digest").alias(digest)).distinct()
+    return docs.join(bad, (F.col(digest) == digest_of("text")) & F.col(id_).eqNullSafe(F.col("doc_id").cast("long")), "left_anti").select(docs.columns)
 
 
 #: DuckDB SQL for the rows of op2, from the contract's own words.

@@ -2,11 +2,14 @@
 
 A document is a mixture of languages: each of its character n-grams was drawn from one language's n-gram distribution,
 languages being drawn by the document's proportions. Expectation-maximisation estimates the proportions; the language
-set is chosen by penalised likelihood (each further language costs half the logarithm of the number of n-grams), going
-from the proportions over all languages to their best one, best two and so on.
+set is chosen by penalised likelihood (each further language costs half the logarithm of the number of n-grams): the
+likeliest single language, or a set on the way from the proportions over all languages to their best one, best two and so on.
+The logarithm of a mixture's likelihood is concave, so its slope at a single language bounds what any mixture can gain on it;
+where that is less than a second language costs, the single one is the answer without any rounds.
 
-The n-gram distributions are learnt from a bounded sample of labelled documents: for each language the TRAIN_ROWS rows
-that come first by a hash of their key. Their whole texts count.
+The n-gram distributions are learnt from a bounded sample of labelled documents: for each language at most TRAIN_ROWS distinct texts,
+those that come first by a hash. Their whole texts count. The model has a column for each language; more than
+LANGUAGES labels are an error.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 (no languages). A row whose n-grams say
 nothing (all unseen) takes the language that is likeliest beforehand. Without any labelled row everything is `und`.
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Labelled rows of each language that are learnt from, at most.
-TRAIN_ROWS = 1500
+#: Labelled texts of each language that are learnt from, at most, and languages, at most.
+TRAIN_ROWS, LANGUAGES = 1500, 128
 #: n-grams are hashed to so many cells.
 CELLS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -75,16 +79,23 @@ class Model:
         total = n.sum()
         if not total:
             return self.prior, np.array([int(self.prior.argmax())])
-        start = _em(p, n, np.full(len(self.languages), 1 / len(self.languages)))
-        order = np.argsort(-start, kind="stable")
-        best, chosen, share = -np.inf, order[:1], None
-        for k in range(1, len(order) + 1):
-            sub = p[:, order[:k]]
-            w = np.ones(1) if k == 1 else _em(sub, n, start[order[:k]] + 1e-9)
-            fit = float(n @ np.log(sub @ w)) - 0.5 * (k - 1) * np.log(total)
-            if fit <= best:
-                break
-            best, chosen, share = fit, order[:k], w
+        cost = 0.5 * np.log(total)
+        single = n @ np.log(p)
+        best = int(single.argmax())
+        chosen, share, fit = np.array([best]), np.ones(1), single[best]
+        if (n @ (p / p[:, [best]])).max() - total > cost:
+            start = _em(p, n, np.full(len(self.languages), 1 / len(self.languages)))
+            order = np.argsort(-start, kind="stable")
+            before = single[order[0]]
+            for k in range(2, len(order) + 1):
+                sub = p[:, order[:k]]
+                w = _em(sub, n, start[order[:k]] + 1e-9)
+                now = float(n @ np.log(sub @ w)) - cost * (k - 1)
+                if now <= before:
+                    break
+                before = now
+                if now > fit:
+                    fit, chosen, share = now, order[:k], w
         out = np.zeros(len(self.languages))
         out[chosen] = share
         return out, chosen
@@ -109,15 +120,17 @@ def _em(p: np.ndarray, n: np.ndarray, w: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """Learns from at most `rows` rows of each non-null language. What reaches the driver is a row of counts a language and cell."""
-    order = W.partitionBy("_bin", "lang").orderBy("_order", "key")
-    labelled = labelled.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
-    # A bound in each of 64 bins first, so that no language's rows meet in one task; the bound over bins comes next.
-    ranked = labelled.select("key", "lang", F.xxhash64("key").alias("_order"), F.pmod(F.xxhash64("key", F.lit(7)), F.lit(64)).alias("_bin"))
-    ranked = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
-    ranked = ranked.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("_order", "key"))).where(F.col("r") <= rows)
-    sample = labelled.join(F.broadcast(ranked.select("key", "lang")), ["key", "lang"], "left_semi")
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Model:
+    """Learns from at most `rows` texts of each non-null language. What reaches the driver is a count for each language and cell."""
+    labelled = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    # A part of each language by hash that has the wanted number of texts and some more; the rest is cut from that.
+    parts = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, (rows + 8 * rows**0.5 + 10) / r["n"])) for r in sizes], "lang string, part double")
+    near = labelled.withColumn("h", F.xxhash64("text")).join(F.broadcast(parts), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("part") * (1 << 30))
+    near = near.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    sample = near.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -131,6 +144,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(counts[at].astype(np.int64))], names=["lang", "cell", "n"])
 
     found = sample.select("lang", "text").mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    # At most LANGUAGES x CELLS rows.
     languages = sorted(found["lang"].unique())
     counts = np.zeros((CELLS, len(languages)))
     for k, name in enumerate(languages):
@@ -146,7 +160,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score",
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (the language's estimated share of the document) and the chosen languages, a row for each row."""
-    # The model has a fixed size: CELLS rows of as many numbers as there are languages.
+    # The model has a bounded size: CELLS rows of at most LANGUAGES numbers.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,15 +186,12 @@ def learnt(docs: DataFrame) -> Model:
     return fit(docs.where(~held_out()))
 
 
-def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs, all columns, with lang_pred and score, in the same pass (columns of those names are replaced)."""
+def in_a_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs in whose text a language is found (not `und`), with all their columns and no others."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts):
-        import pandas as pd
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: shared.value.predict(t)[0] != "und")
 
-        return pd.DataFrame([shared.value.predict(t)[:2] for t in texts], columns=["lang_pred", "score"])
-
-    made = docs.withColumn("_language", predict(F.col(text).cast("string")))
-    return made.withColumns({"lang_pred": F.col("_language.lang_pred"), "score": F.col("_language.score")}).drop("_language")
+    return docs.where(found(F.col(text).cast("string")))

@@ -7,11 +7,12 @@
    held only against the smallest member of each of its buckets, the likeliest one by signature is confirmed on the full
    sets, and the links give components. Then members outside their bucket's most frequent component look, in blocks of
    bounded size, for components in which a signature is like theirs, and are held against all members of those, so that
-   no link between components is lost.
-4. Components come from alternating large-star and small-star steps.
+   no link between components is lost. A bucket in which that would be more than HOT comparisons (very many unlike texts with a
+   common part) is banded again first, by AGAIN bands of more minima, so that only likelier texts meet.
+4. Components come from alternating large-star and small-star steps. Classes that share a doc_id are linked as well.
 
 Misses are those of the method alone: with 32 bands of 4 rows, a pair at similarity 0.8 shares no band with probability
-5e-8, and the signature check (80 of 128 for 0.8) turns away a pair at 0.8 with probability 1e-6.
+5e-8, the signature check (80 of 128 for 0.8) turns away a pair at 0.8 with probability 1e-6, and so does the second banding.
 
 Defined results: null or empty texts, and texts without words, have the size 0 and are linked with nothing; a text of
 fewer words than a shingle has its whole sequence as its one shingle. Rows with equal doc_id count as one document, which
@@ -29,12 +30,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, written
+from .common import checkpointed, numbered, slices, written
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Members of a bucket that are compared in one group at most (against as many).
 BLOCK = 256
+#: Comparisons of signatures in a bucket beyond which it is banded again, and the bands and minima of each for that.
+HOT, AGAIN, AGAIN_ROWS = 1 << 24, 200, 12
+#: Parts that the rows of a component are dealt to when its least doc_id is given to them.
+SALTS = 32
 #: Edges of a partition while components are found.
 EDGES = 100_000
 #: Words whose hash a worker keeps.
@@ -112,16 +117,17 @@ def sketch(docs: DataFrame, shingle: int, key: str = "doc_id", text: str = "text
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, _SKETCH)
 
 
-def shingle_sets(docs: DataFrame, shingle: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and its full set: sorted 64-bit shingle hashes as bytes."""
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """Of (id, digest, text): id and the full set, sorted 64-bit shingle hashes as bytes, of each text whose set has the digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(shingle)
-        for batch in slices(batches, 1):
-            sets = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+        for batch in slices(batches, 2):
+            sets = [shingles(t).tobytes() for t in batch.column(2).to_pylist()]
+            own = pa.array([xxhash.xxh3_128_digest(x) == d for x, d in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"]).filter(own)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, shingles binary")
+    return texts.select("id", "digest", F.col("text").cast("string")).mapInArrow(run, "id long, shingles binary")
 
 
 def similar(n_common: int, n_a: int, n_b: int, percent: int) -> bool:
@@ -151,8 +157,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [_sets_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -202,7 +208,7 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same, pa.int64())], names=["a", "b", "same"])
             yield out.filter(pa.array(same >= least))
 
-    left, right = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("y"))
+    left, right = sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, same long")
 
 
@@ -248,17 +254,32 @@ def _blocks(key: str, of: str, salt: int) -> tuple[Column, Column]:
     return n, F.pmod(F.xxhash64(key, F.lit(salt)), n).cast("int")
 
 
-def _asking(members: DataFrame, sigs: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+def _banded_again(sig: str) -> Column:
+    """Further band keys of a signature: each of other AGAIN_ROWS of its bytes."""
+    places = np.random.default_rng(1).permuted(np.tile(np.arange(1, HASHES + 1), (AGAIN, 1)), axis=1)[:, :AGAIN_ROWS].tolist()
+    return F.expr(f"transform(array({', '.join(f'array({k}, ' + ', '.join(map(str, p)) + ')' for k, p in enumerate(places))}), p -> xxhash64(p[0], array_join(transform(slice(p, 2, {AGAIN_ROWS}), k -> hex(substring({sig}, k, 1))), '')))")
+
+
+def _asking(members: DataFrame, sigs: DataFrame, labels: DataFrame, least: int, again: bool = True) -> DataFrame:
     """(a, b): members outside their bucket's most frequent component, and other components with a member that is like enough by signature.
 
     Askers and members meet in blocks of BLOCK by BLOCK; no pair is a row before its signatures are compared, and two
-    documents that share several buckets are compared in the first of them.
+    documents that share several buckets of the first banding are compared in the first of them that isn't hot.
     """
     named = members.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     parts = named.groupBy("band", "component").agg(F.count("*").alias("n"))
     main = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
     main = checkpointed(main.select("band", F.col("m.component").alias("main"), "n", (F.col("n") - F.col("m.n")).alias("n_odd")))
-    sized = named.join(main, "band").join(sigs.select(F.col("doc_id").alias("id"), "bands", "sig"), "id").withColumn("odd", F.col("component") != F.col("main"))
+    is_hot = F.col("n") * F.col("n_odd") > HOT
+    hot = main.where(is_hot).select("band")
+    more = None
+    if again and not hot.isEmpty():
+        main = main.where(~is_hot)
+        spots = named.join(hot, "band", "left_semi").select("id").distinct().join(sigs, "id").select(F.explode(_banded_again("sig")).alias("band"), "id")
+        more = _asking(written(spots, "spots"), sigs.withColumn("bands", F.lit(None).cast("array<long>")), labels, least, False)
+        # A pair isn't to wait for a bucket that isn't looked into.
+        sigs = sigs.withColumn("bands", F.lit(None).cast("array<long>"))
+    sized = named.join(main, "band").join(sigs.select("id", "bands", "sig"), "id").withColumn("odd", F.col("component") != F.col("main"))
     (blocks, own), (odd_blocks, own_odd) = _blocks("id", "n", 0), _blocks("id", "n_odd", 1)
     as_other = F.transform(_count_to(odd_blocks), lambda k: F.struct(k.alias("p"), own.alias("q"), F.lit(False).alias("asks")))
     as_odd = F.transform(_count_to(blocks), lambda k: F.struct(own_odd.alias("p"), k.alias("q"), F.lit(True).alias("asks")))
@@ -270,19 +291,21 @@ def _asking(members: DataFrame, sigs: DataFrame, labels: DataFrame, least: int)
         if not others or not askers:
             return []
         table = np.frombuffer(b"".join([sigs_[k] for k in others]), np.uint8).reshape(-1, HASHES)
-        comp_b, bands_b = np.array([components_[k] for k in others]), np.array([bands[k] for k in others])
+        comp_b = np.array([components_[k] for k in others])
+        bands_b = np.array([bands[k] for k in others]) if bands[0] is not None else None
         out = []
         for k in askers:
             same = (table == np.frombuffer(sigs_[k], np.uint8)).sum(axis=1)
             at = np.flatnonzero((same >= least) & (comp_b != components_[k]))
-            if len(at):
+            if len(at) and bands_b is not None:
                 own_bands = np.array(bands[k])
-                first = own_bands[(bands_b[at] == own_bands).argmax(axis=1)]
-                out += [(ids[k], c) for c in np.unique(comp_b[at[first == here[0]]]).tolist()]
+                at = at[own_bands[(bands_b[at] == own_bands).argmax(axis=1)] == here[0]]
+            out += [(ids[k], c) for c in np.unique(comp_b[at]).tolist()]
         return out
 
     rows = rows.select("band", "g.p", "g.q", "g.asks", "id", "component", "bands", "sig")
-    return _grouped(rows, ["band", "p", "q"], ["band", "asks", "id", "component", "bands", "sig"], work, "a long, b long").distinct()
+    found = _grouped(rows, ["band", "p", "q"], ["band", "asks", "id", "component", "bands", "sig"], work, "a long, b long")
+    return (found.unionByName(more) if more is not None else found).distinct()
 
 
 def _links_to_components(asks: DataFrame, labels: DataFrame, sigs: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
@@ -296,7 +319,7 @@ def _links_to_components(asks: DataFrame, labels: DataFrame, sigs: DataFrame, se
     inside = named.unionByName(wanted.select(F.col("component").alias("id"), "component"))
     sizes = inside.groupBy("component").agg(F.count("*").alias("n"))
     target = checkpointed(wanted.join(sizes, "component"))
-    held = sigs.select(F.col("doc_id").alias("id"), "sig").join(sets.select(F.col("doc_id").alias("id"), "shingles"), "id")
+    held = sigs.select("id", "sig").join(sets, "id")
     (blocks, own), (odd_blocks, own_odd) = _blocks("id", "n", 2), _blocks("id", "n_odd", 3)
     others = inside.join(target, "component").select("id", "component", F.lit(False).alias("asks"), own.alias("q"), F.explode(_count_to(odd_blocks)).alias("p"))
     askers = asks.select(F.col("a").alias("id"), F.col("b").alias("component")).join(target, "component").select("id", "component", F.lit(True).alias("asks"), own_odd.alias("p"), F.explode(_count_to(blocks)).alias("q"))
@@ -328,35 +351,53 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
     sketches = written(sketch(docs, shingle, key, text), "sketches")
     sound = sketches.where("digest is not null and doc_id is not null")
-    # A class of equal sets: partial minima, whatever its size.
-    classes = checkpointed(sound.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    named = sound.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep")
-    first = sound.join(classes.select(F.col("rep").alias("doc_id"), F.col("digest")), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
-    rows = first.select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"))
+    # A class of equal sets: partial minima, whatever its size. Its number is stored, so it stays the same.
+    classes = written(sound.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    # A row of each class, whose sets and so bands and signatures are equal.
+    first = sound.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"]).select("id", "bands", "sig").dropDuplicates(["id"])
+    rows = first.select(F.explode("bands").alias("band"), "id")
     buckets = checkpointed(rows.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead"))
     members = written(rows.join(buckets, "band").select("band", "id", "lead").distinct(), "buckets")
-    within = checkpointed(members.select(F.col("id").alias("doc_id")).distinct())
-    sigs = written(first.select("doc_id", "bands", "sig").join(within, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "signatures")
-    wanted = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(within, "doc_id", "left_semi")
-    sets = written(shingle_sets(wanted, shingle, "doc_id", "text"), "sets")
+    within = checkpointed(members.select("id").distinct())
+    sigs = written(first.join(within, "id", "left_semi"), "signatures")
+    reps = classes.join(within, "id", "left_semi").withColumnRenamed("rep", "doc_id")
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(reps, "doc_id")
+    texts = texts.groupBy("doc_id", "id", "digest", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    sets = written(shingle_sets(texts, shingle), "sets")
     least = least_agreement(percent)
 
     pairs = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     likely = _agreeing(pairs, sigs, least).groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    links = checkpointed(confirmed(likely, sets, percent))
-    labels = components(links)
-    spots = members.select("band", "id")
+    named = checkpointed(sound.select("doc_id", "digest").join(classes, "digest").select("doc_id", "id").distinct())
+    several = named.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
+    of_one = named.join(several, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
+    labels = components(checkpointed(confirmed(likely, sets, percent).unionByName(of_one)))
     as_links = lambda x: x.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    asks = checkpointed(_asking(spots, sigs, labels, least))
+    asks = checkpointed(_asking(members.select("band", "id"), sigs, labels, least))
     more = _links_to_components(asks, labels, sigs, sets, least, percent)
-    labels = components(as_links(labels).unionByName(more))
-    # The least doc_id of a class is its representative, so the least representative is the least doc_id reachable.
-    joined = named.distinct().join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    component = joined.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("_c"))
+    labels = checkpointed(components(as_links(labels).unionByName(more)))
+    # The least doc_id of each component, given to its classes in parts: a component may hold a third of them.
+    own = classes.join(labels, "id", "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
+    lowest = own.groupBy("component").agg(F.min("rep").alias("_c"), F.count("*").alias("n")).where("n > 1").select("component", "_c", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    found = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(lowest, ["component", "salt"], "left").select("id", F.coalesce("_c", "rep").alias("_c"))
+    component = named.join(found, "id").groupBy("doc_id").agg(F.min("_c").alias("_c"))
     out = sketches.select("doc_id", "n_shingles").join(component, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"), F.coalesce(F.coalesce("_c", "doc_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the least key, null keys last.
+
+    Rows count one by one, whatever their keys: of repeated rows one stays. Rows without words are linked with nothing and stay.
+    """
+    rows, row = numbered(docs, "rows")
+    found = checkpointed(near_duplicates(rows, shingle, percent, row, text).select(F.col("doc_id").alias("row"), "component_id"))
+    named = found.join(rows.select(F.col(row).alias("row"), F.col(key).alias("k")), "row")
+    groups = checkpointed(named.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("k").isNull(), "k", "row")).alias("m")).where("n > 1"))
+    out = found.where("row <> component_id").select("row").unionByName(groups.select(F.col("component_id").alias("row"))).join(groups.select(F.col("m.row").alias("row")), "row", "left_anti")
+    return rows.join(out.withColumnRenamed("row", row), row, "left_anti").select(docs.columns)
+
+
 #: DuckDB SQL for the rows of op6, from the contract's own words: all pairs that share a shingle, then reachability.
 ORACLE = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -1,21 +1,26 @@
 """WARC derivatives: from each response a linked metadata record and a plain-text conversion record.
 
 Both name the response in WARC-Refers-To (with its target URI and date), and carry the response's own content type, digests
-and HTTP headers, so that a derivative can be checked against its source without it. Each row makes its own derivatives;
-nothing is grouped or shuffled. Identifiers are made from what a record is about, so a repeated run gives the same ones.
+and HTTP headers, so that a derivative can be checked against its source without it. Headers are lists of names and values, so
+repeated ones all stay, in their order. Each row makes its own derivatives; nothing is grouped or shuffled. Identifiers are made
+from what a record is about, so a repeated run gives the same ones.
 
 Defined results: a null or empty page is a response with an empty payload; its conversion record is empty. A null URL is
 an empty target. Rows with equal ids give records with equal ids. Responses without the HTTP separator are all header.
-Extra columns are ignored; an empty table gives no records.
+Transfer and content codings (chunked, gzip, deflate, zstd) are undone for the text, as far as the payload goes if it is cut; a payload
+that isn't what its header says is taken as it is. Of a cut WARC file the last record keeps what there is of its
+block and gets a WARC-Truncated header; a cut header is no record. Extra columns are ignored; an empty table gives no records.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +29,7 @@ from .htmltext import page_lines
 
 VERSION = "WARC/1.1"
 NO_DATE = "1970-01-01T00:00:00Z"
-_SCHEMA = "warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, headers map<string,string>, block binary"
+_SCHEMA = "warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, headers array<struct<name:string,value:string>>, block binary"
 
 
 def _urn(*of: Column) -> Column:
@@ -37,6 +42,16 @@ def _digest(of: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(of, 256))
 
 
+def _headers(of: dict[str, Column]) -> Column:
+    return F.array(*(F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in of.items()))
+
+
+def header(headers: Column, name: str) -> Column:
+    """The value of the first header of a name, whatever its case; empty without one."""
+    found = F.filter(headers, lambda h: F.lower(h["name"]) == name.lower())
+    return F.coalesce(F.when(F.size(found) > 0, found[0]["value"]), F.lit(""))
+
+
 def responses(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", date: str = NO_DATE) -> DataFrame:
     """Pages as response records, a row each, beside the page's key."""
     payload = F.coalesce(F.col(page).cast("string"), F.lit("")).cast("binary")
@@ -51,7 +66,7 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
         target.alias("target_uri"),
         F.lit(date).alias("date"),
         F.lit("application/http; msgtype=response").alias("content_type"),
-        F.create_map(F.lit("WARC-Payload-Digest"), _digest(payload), F.lit("WARC-Block-Digest"), _digest(block)).alias("headers"),
+        _headers({"WARC-Payload-Digest": _digest(payload), "WARC-Block-Digest": _digest(block)}).alias("headers"),
         block.alias("block"),
     )
 
@@ -62,12 +77,66 @@ _HREF = re.compile(r"<a\b[^>]*?\bhref\s*=", re.I)
 _CHARSET = re.compile(r"charset=[\"']?([A-Za-z0-9_-]+)", re.I)
 
 
-def _read(block: bytes) -> tuple[dict[str, str], str, str, str, str, int]:
+def _inflated(data: bytes, bits: int) -> bytes | None:
+    """All members of compressed data, as far as they go; None where it doesn't begin as such data does."""
+    out = []
+    while data:
+        one = zlib.decompressobj(bits)
+        try:
+            out.append(one.decompress(data))
+        except zlib.error:
+            return b"".join(out) if out else None
+        data = one.unused_data
+    return b"".join(out)
+
+
+def _unchunked(data: bytes) -> bytes:
+    out, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0:
+        try:
+            n = int(data[at:end].split(b";")[0], 16)
+        except ValueError:
+            return b"".join(out) if out else data
+        if not n:
+            return b"".join(out)
+        out.append(data[end + 2 : end + 2 + n])
+        at = end + 4 + n
+    return b"".join(out) if out else data
+
+
+def _plain(payload: bytes, headers: list[tuple[str, str]]) -> bytes:
+    """The payload without its transfer and content codings, the last one first."""
+    for name in ("transfer-encoding", "content-encoding"):
+        codings = [c.strip().lower() for k, v in headers if k.lower() == name for c in v.split(",")]
+        for coding in reversed(codings):
+            if coding == "chunked":
+                payload = _unchunked(payload)
+            elif coding in ("gzip", "x-gzip"):
+                payload = payload if (x := _inflated(payload, 31)) is None else x
+            elif coding == "deflate":
+                for bits in (15, -15):
+                    if (x := _inflated(payload, bits)) is not None:
+                        payload = x
+                        break
+            elif coding == "zstd":
+                try:
+                    payload = zstandard.ZstdDecompressor().decompressobj().decompress(payload)
+                except zstandard.ZstdError:
+                    pass
+    return payload
+
+
+def _pairs(lines: list[str]) -> list[tuple[str, str]]:
+    return [(k.strip(), v.strip()) for k, _, v in (line.partition(":") for line in lines) if k.strip()]
+
+
+def _read(block: bytes) -> tuple[list[tuple[str, str]], str, str, str, str, int]:
     """Of an HTTP response: its headers, status, text lines, title, language, number of links."""
     head, _, payload = block.partition(b"\r\n\r\n")
     status, *rest = head.decode("latin-1").split("\r\n")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in rest) if k}
-    named = _CHARSET.search(headers.get("content-type", ""))
+    headers = _pairs(rest)
+    payload = _plain(payload, headers)
+    named = next(filter(None, (_CHARSET.search(v) for k, v in headers if k.lower() == "content-type")), None)
     try:
         page = payload.decode(named[1] if named else "utf-8", "replace")
     except LookupError:
@@ -85,16 +154,18 @@ def derivatives(source: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
             out = list(zip(*(_read(b or b"") for b in batch.column(2).to_pylist()), strict=True)) or [[]] * 6
-            types = (pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
-            heads = [list(x.items()) for x in out[0]]
+            types = (_HEADERS, pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
+            heads = [[{"name": k, "value": v} for k, v in x] for x in out[0]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip([heads, *out[1:]], types, strict=True))], names=["page_id", "s", "http", "status", "text", "title", "lang", "links"])
 
     kept = F.struct("record_id", "target_uri", "date", "headers")
     rows = source.where("warc_type = 'response'").select(F.col("page_id").cast("long"), kept.alias("s"), "block")
     kind = rows.schema["s"].dataType.simpleString()
-    read = rows.mapInArrow(run, f"page_id long, s {kind}, http map<string,string>, status string, text string, title string, lang string, links long")
+    read = rows.mapInArrow(run, f"page_id long, s {kind}, http array<struct<name:string,value:string>>, status string, text string, title string, lang string, links long")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r"[\r\n]+", " "), F.lit("\r\n"))
-    http = F.array_join(F.transform(F.array_sort(F.map_entries("http")), lambda e: F.concat(F.lit("http-"), e["key"], F.lit(": "), e["value"], F.lit("\r\n"))), "")
+    # By name, repeated ones in their order.
+    placed = F.array_sort(F.transform("http", lambda e, k: F.struct(F.lower(e["name"]).alias("name"), k.alias("k"), e["value"].alias("value"))))
+    http = F.array_join(F.transform(placed, lambda e: F.concat(F.lit("http-"), e["name"], F.lit(": "), e["value"], F.lit("\r\n"))), "")
     fields = F.concat(line("http-status", F.col("status")), http, line("title", F.col("title")), line("language", F.col("lang")), line("outlinks", F.col("links").cast("string")))
     made = F.array(
         F.struct(F.lit("metadata").alias("t"), F.lit("application/warc-fields").alias("c"), fields.cast("binary").alias("b")),
@@ -105,9 +176,9 @@ def derivatives(source: DataFrame) -> DataFrame:
         "WARC-Refers-To-Target-URI": F.col("s.target_uri"),
         "WARC-Refers-To-Date": F.col("s.date"),
         "WARC-Block-Digest": _digest(F.col("m.b")),
-        "X-Source-Payload-Digest": F.coalesce(F.col("s.headers")["WARC-Payload-Digest"], F.lit("")),
-        "X-Source-Block-Digest": F.coalesce(F.col("s.headers")["WARC-Block-Digest"], F.lit("")),
-        "X-Source-Content-Type": F.coalesce(F.col("http")["content-type"], F.lit("")),
+        "X-Source-Payload-Digest": header(F.col("s.headers"), "WARC-Payload-Digest"),
+        "X-Source-Block-Digest": header(F.col("s.headers"), "WARC-Block-Digest"),
+        "X-Source-Content-Type": header(F.col("http"), "Content-Type"),
     }
     return each.select(
         "page_id",
@@ -117,7 +188,7 @@ def derivatives(source: DataFrame) -> DataFrame:
         F.col("s.target_uri").alias("target_uri"),
         F.col("s.date").alias("date"),
         F.col("m.c").alias("content_type"),
-        F.create_map(*(x for k, v in own.items() for x in (F.lit(k), v))).alias("headers"),
+        _headers(own).alias("headers"),
         F.col("m.b").alias("block"),
     )
 
@@ -133,10 +204,10 @@ def derivative_rows(records: DataFrame) -> DataFrame:
         "date",
         "content_type",
         F.octet_length("block").cast("long").alias("content_length"),
-        F.col("headers")["WARC-Block-Digest"].alias("block_digest"),
-        F.col("headers")["X-Source-Payload-Digest"].alias("source_payload_digest"),
-        F.col("headers")["X-Source-Block-Digest"].alias("source_block_digest"),
-        F.col("headers")["X-Source-Content-Type"].alias("source_content_type"),
+        header(F.col("headers"), "WARC-Block-Digest").alias("block_digest"),
+        header(F.col("headers"), "X-Source-Payload-Digest").alias("source_payload_digest"),
+        header(F.col("headers"), "X-Source-Block-Digest").alias("source_block_digest"),
+        header(F.col("headers"), "X-Source-Content-Type").alias("source_content_type"),
         F.col("block").cast("string").alias("content"),
     )
 
@@ -144,7 +215,7 @@ def derivative_rows(records: DataFrame) -> DataFrame:
 def write_warc(records: DataFrame, path: str) -> None:
     """WARC files, one a partition, each begun by nothing but its records; written by Spark's text writer with CRLF ends."""
     line = lambda name, value: F.when(value.isNull() | (value == ""), "").otherwise(F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r"[\r\n]+", " "), F.lit("\r\n")))
-    more = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.when(e["value"] == "", "").otherwise(F.concat(e["key"], F.lit(": "), e["value"], F.lit("\r\n")))), "")
+    more = F.array_join(F.transform("headers", lambda e: F.when(e["value"] == "", "").otherwise(F.concat(e["name"], F.lit(": "), F.regexp_replace(e["value"], r"[\r\n]+", " "), F.lit("\r\n")))), "")
     block = F.coalesce("block", F.lit("").cast("binary"))
     head = F.concat(
         F.lit(f"{VERSION}\r\n"), line("WARC-Type", F.col("warc_type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("date")), line("WARC-Target-URI", F.col("target_uri")),
@@ -154,32 +225,66 @@ def write_warc(records: DataFrame, path: str) -> None:
     records.select(whole.cast("string").alias("value")).write.option("lineSep", "\r\n").text(path)
 
 
+#: Fields of a record that have a column of their own.
+_FIELDS = {"warc-type": "warc_type", "warc-record-id": "record_id", "warc-refers-to": "refers_to", "warc-target-uri": "target_uri", "warc-date": "date", "content-type": "content_type"}
+
+
+def _members(data: bytes) -> Iterator[bytes]:
+    """A plain file as it is; a compressed one member by member, as far as each goes."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data[:2] == b"\x1f\x8b":
+        one = zlib.decompressobj(31)
+        try:
+            yield one.decompress(data)
+        except zlib.error:
+            return
+        data = one.unused_data
+
+
+def _records(data: bytes) -> Iterator[dict]:
+    at = 0
+    while (at := data.find(b"WARC/", at)) >= 0 and (end := data.find(b"\r\n\r\n", at)) >= 0:
+        row = dict.fromkeys(_FIELDS.values()) | {"target_uri": "", "headers": []}
+        size = "0"
+        for name, value in _pairs(data[at:end].decode("utf-8", "replace").split("\r\n")[1:]):
+            if name.lower() == "content-length":
+                size = value
+            elif (field := _FIELDS.get(name.lower())) and not row[field]:
+                row[field] = value
+            else:
+                row["headers"].append({"name": name, "value": value})
+        n = int(size) if size.isdecimal() else 0
+        row["block"] = data[end + 4 : end + 4 + n]
+        if len(row["block"]) < n:
+            row["headers"].append({"name": "WARC-Truncated", "value": "length"})
+        yield row
+        at = end + 4 + n
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files (not compressed, each under 2 GB): the columns that write_warc() takes."""
+    """The records of WARC files, plain or compressed by gzip (each under 2 GB): the columns that write_warc() takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                data, at, rows, size = content.as_py(), 0, [], 0
-                while (at := data.find(b"WARC/", at)) >= 0:
-                    end = data.index(b"\r\n\r\n", at)
-                    own = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])}
-                    n = int(own.pop("Content-Length", 0))
-                    rows.append({
-                        "warc_type": own.pop("WARC-Type", None), "record_id": own.pop("WARC-Record-ID", None), "refers_to": own.pop("WARC-Refers-To", None), "target_uri": own.pop("WARC-Target-URI", ""),
-                        "date": own.pop("WARC-Date", None), "content_type": own.pop("Content-Type", None), "headers": list(own.items()), "block": data[end + 4 : end + 4 + n],
-                    })
-                    at, size = end + 4 + n, size + n
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, _ARROW)
-                        rows, size = [], 0
+                rows, size = [], 0
+                for part in _members(content.as_py()):
+                    for row in _records(part):
+                        rows.append(row)
+                        size += len(row["block"])
+                        if size > 4 << 20:
+                            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                            rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _SCHEMA)
 
 
-_ARROW = pa.schema([*((n, pa.string()) for n in "warc_type record_id refers_to target_uri date content_type".split()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
+_HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+_ARROW = pa.schema([*((n, pa.string()) for n in "warc_type record_id refers_to target_uri date content_type".split()), ("headers", _HEADERS), ("block", pa.binary())])
 
 _H = "sha256({})"
 _UUID = "'<urn:uuid:'||substr({h},1,8)||'-'||substr({h},9,4)||'-8'||substr({h},14,3)||'-a'||substr({h},18,3)||'-'||substr({h},21,12)||'>'"

@@ -185,7 +185,7 @@ def test_phrases_and_proximity_equal_brute_force(spark):
 # 3. pages
 
 
-def test_common_lines_is_longest():
+def test_common_lines_is_longest(monkeypatch):
     r = random.Random(3)
     for _ in range(500):
         a, b = ([r.choice("abcde") for _ in range(r.randint(0, 12))] for _ in range(2))
@@ -193,7 +193,23 @@ def test_common_lines_is_longest():
         for i in range(len(a)):
             for j in range(len(b)):
                 d[i + 1][j + 1] = d[i][j] + 1 if a[i] == b[j] else max(d[i][j + 1], d[i + 1][j])
-        assert len(htmltext.common_lines(a, b)) == d[-1][-1]
+        for cells in (1 << 28, 8):
+            monkeypatch.setattr(htmltext, "CELLS", cells)
+            found = sorted(htmltext.common_lines(a, b))
+            rest = iter(b)
+            assert len(found) == d[-1][-1] and all(a[k] in rest for k in found)
+
+
+def test_long_and_deep_pages_take_little_time():
+    import time
+
+    began = time.process_time()
+    deep = "<p><table><tr><td>" + "<div>" * 20_000 + "x" + "</span></li>" * 2000 + "<p>y</p>" * 2000
+    assert len(htmltext.page_lines(deep)) == 2001
+    r = random.Random(4)
+    two, other = ([r.choice("ab") for _ in range(4000)] for _ in range(2))
+    assert len(htmltext.common_lines(two, other)) > 2500
+    assert time.process_time() - began < 5
 
 
 def test_main_text_of_marked_and_unmarked_pages(spark):
@@ -206,7 +222,7 @@ def test_main_text_of_marked_and_unmarked_pages(spark):
     ]
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in htmltext.main_text(clashing(spark.createDataFrame(pages, "page_id long, url string, html string"))).collect())
     text = dict((k, t) for k, t, _ in got)
-    assert text[1] == "One & only <b>" and text[2] == "Two words\nmore" and text[3] == "T\nSite name\nx" and text[4] == text[5] == ""
+    assert text[1] == "One & only <b>" and text[2] == "Two words\nmore" and text[3] == "T\nSite name\nx\nout" and text[4] == text[5] == ""
     assert all(len(t) == n for _, t, n in got) and len(got) == 7
     assert htmltext.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -280,8 +296,18 @@ def test_elias_fano():
     for _ in range(60):
         v = np.sort(np.array([r.randrange(10 ** r.randint(1, 12)) for _ in range(r.randint(1, 900))]))
         e = token_files.EliasFano.read(memoryview(token_files.EliasFano.of(v).to_bytes()))
-        assert (e.all() == v).all() and all(e[i] == v[i] for i in range(0, len(v), 53))
-    assert len(token_files.EliasFano.read(memoryview(token_files.EliasFano.of(np.zeros(0)).to_bytes())).all()) == 0
+        a, b = sorted((r.randrange(len(v) + 1), r.randrange(len(v) + 1)))
+        assert (e.some(0, len(v)) == v).all() and (e.some(a, b) == v[a:b]).all() and all(e[i] == v[i] for i in range(0, len(v), 53))
+    assert len(token_files.EliasFano.read(memoryview(token_files.EliasFano.of(np.zeros(0)).to_bytes())).some(0, 9)) == 0
+
+
+def test_very_many_empty_documents_close_blocks_by_their_number(spark, tmp_path):
+    docs = spark.range(0, 5000, 1, 1).selectExpr("id * id * 1000003 as doc_id", "if(id % 7 = 0, null, '') as text")
+    token_files.write_tokens(docs, str(tmp_path / "out"), block_docs=300)
+    held = [b.n_docs for p in sorted((tmp_path / "out").glob("*.txt")) for b in token_files.blocks(p.read_bytes())]
+    assert sum(held) == 5000 and max(held) == 300
+    got = token_files.read_tokens(spark, str(tmp_path / "out")).orderBy("start").collect()
+    assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in got] == [(k * k * 1000003, k, 1) for k in range(5000)]
 
 
 def test_token_files_round_trip(spark, tmp_path):
@@ -289,7 +315,9 @@ def test_token_files_round_trip(spark, tmp_path):
 
     tk = Tokenizer.from_file(token_counts.default_tokenizer())
     rng = random.Random(6)
-    texts = {-3: "first", 2**40: "far"} | {100 + k: t for k, t in enumerate([*AWKWARD, *(words(rng, 80) for _ in range(40))])}
+    parts = ["a", "ab", " ", "  ", "   ", "\n", "\n\n", "é", "日本", "🙂", "\t", "the", "ing", "<|endoftext|>", "'s", "--", "1", "\r\n", "\x85", "\xa0", "\u3000"]
+    mixed = ("".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(800))
+    texts = {-3: "first", 2**40: "far"} | {100 + k: t for k, t in enumerate([*AWKWARD, *(words(rng, 80) for _ in range(40)), *mixed])}
     docs = clashing(spark.createDataFrame([(k, t, None, "s", None) for k, t in texts.items()], DOCS)).repartition(3)
     token_files.write_tokens(docs, str(tmp_path / "out"), block_ids=500)
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_tokens(spark, str(tmp_path / "out")).collect()}
@@ -320,17 +348,42 @@ def test_token_counts_equal_the_library(spark):
     assert all("".join(chunks.space_chunks(t)) == t for t in texts if t)
 
 
-def test_merging_one_place_a_round_equals_a_heap():
+def test_merge_rounds_equal_single_merges_for_any_table():
     rng = np.random.default_rng(8)
-    left, right = (x.ravel() for x in np.meshgrid(np.arange(6), np.arange(6)))
-    keep = rng.random(36) < 0.6
-    table = merging.MergeTable(left[keep], right[keep], rng.permutation(keep.sum()), rng.integers(0, 6, keep.sum()), 6)
-    for _ in range(100):
-        lengths = rng.integers(1, 9, 5)
+    for _ in range(60):
+        left, right = (x.ravel() for x in np.meshgrid(np.arange(6), np.arange(6)))
+        keep = rng.random(36) < 0.6
+        rank, into = rng.integers(0, keep.sum(), keep.sum()), rng.integers(0, 6, keep.sum())
+        table = merging.MergeTable(left[keep], right[keep], rank, into, 6)
+        pairs = {(a, b): (r, m) for a, b, r, m in zip(left[keep].tolist(), right[keep].tolist(), rank.tolist(), into.tolist(), strict=True)}
+        lengths = rng.integers(1, 30, 5)
         sym = rng.integers(0, 6, lengths.sum())
-        out, counts = merging.merge(table, sym, lengths, everywhere=False)
-        want = [merging._by_heap(table, w.astype(np.int32)) for w in np.split(sym, np.cumsum(lengths)[:-1])]
-        assert counts.tolist() == [len(w) for w in want] and out.tolist() == np.concatenate(want).tolist()
+        out, counts = merging.merge(table, sym, lengths)
+        want = []
+        for w in np.split(sym, np.cumsum(lengths)[:-1]):
+            w = w.tolist()
+            while found := [(pairs[p][0], k) for k, p in enumerate(zip(w, w[1:], strict=False)) if p in pairs]:
+                _, k = min(found)
+                w[k : k + 2] = [pairs[w[k], w[k + 1]][1]]
+            want.append(w)
+        assert counts.tolist() == [len(w) for w in want] and out.tolist() == [x for w in want for x in w]
+
+
+def test_chunks_of_many_texts_are_those_of_each():
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    parts = ["a", "bc", " ", "  ", "\n", "\n\n", "é", "\t", "<|x|>", "\x85", "\xa0", "\u3000", "\r\n"]
+    texts = [None, "", " ", "\n", "\n\n", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(600))]
+    for special in ([], ["<|x|>"]):
+        distinct, codes, bounds = chunks.chunked(pa.array(texts, pa.string()), special)
+        for k, t in enumerate(texts):
+            made = [distinct[c] for c in codes[bounds[k] : bounds[k + 1]] if distinct[c]]
+            assert "".join(made) == (t or "")
+            if not special or "<|x|>" not in (t or ""):
+                assert made == chunks.space_chunks(t or "")
+            else:
+                assert made.count("<|x|>") == t.count("<|x|>")
 
 
 # 5. pieces
@@ -387,9 +440,10 @@ def edited(rng, text, n):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("size", [2, 5])
-def test_near_duplicates_equal_brute_force(spark, size, monkeypatch):
+@pytest.mark.parametrize(("size", "hot"), [(2, 1 << 24), (5, 1 << 24), (2, 30)])
+def test_near_duplicates_equal_brute_force(spark, size, hot, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 16)  # so that a group has many blocks
+    monkeypatch.setattr(minhash, "HOT", hot)
     rng = random.Random(11)
     base = [words(rng, 120) for _ in range(4)]
     texts = [*AWKWARD, *(edited(rng, base[0], rng.randrange(0, 13)) for _ in range(150)), *(edited(rng, b, rng.randrange(0, 9)) for b in base for _ in range(12)), *([base[1]] * 20), *(words(rng, 50) for _ in range(40))]
@@ -405,6 +459,15 @@ def test_near_duplicates_of_odd_tables(spark):
     assert got == [(-1, -1, False), (1, 1, True), (1, 1, True), (2, 2, True)]
 
 
+def test_rows_of_one_id_with_two_texts_link_what_is_like_either(spark):
+    rng = random.Random(13)
+    a, b = words(rng, 200), words(rng, 200)
+    rows = [(1, a), (2, edited(rng, a, 3)), (2, edited(rng, b, 3)), (3, b), (3, b), (4, words(rng, 50)), (None, a), (0, None), (0, ""), (9, edited(rng, a, 3)), (9, words(rng, 90))]
+    for n in (1, 7):
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), 5).collect()
+        assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got if r["doc_id"] is not None) == [(0, 0, True), (0, 0, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (3, 1, False), (4, 4, True), (9, 1, False), (9, 1, False)]
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (300, 301), (300, 301)]
     got = dict(tuple(r) for r in minhash.components(spark.createDataFrame(links, "a long, b long")).collect())
@@ -450,6 +513,42 @@ def test_mixtures_and_undetermined_texts(spark):
     assert [langid.is_held_out(k) for k in range(50)] == [r[0] for r in spark.range(50).select(langid.held_out("id")).collect()]
 
 
+def test_mixtures_equal_direct_maximisation():
+    rng = np.random.default_rng(5)
+    grid = [(a, b, 60 - a - b) for a in range(61) for b in range(61 - a)]
+    found_sizes = set()
+    for trial in range(40):
+        p = rng.dirichlet(np.full(30, 0.3), 3).T + 1e-3
+        p /= p.sum(axis=0)
+        share = [(1, 0, 0), (0.5, 0.5, 0), (0.4, 0.3, 0.3), (0.9, 0.1, 0)][trial % 4]
+        n = rng.multinomial(rng.integers(20, 400), p @ np.array(share)).astype(float)
+        at = np.flatnonzero(n)
+        model = langid.Model(["a", "b", "c"], p, np.full(3, 1 / 3))
+        got, chosen = model.mixture(at, n[at])
+        q, m = p[at], n[at]
+        keep = q.max(axis=1) > 1.001 * q.min(axis=1)
+        q, m = q[keep], m[keep]
+        cost = 0.5 * np.log(m.sum())
+        fits = {w: m @ np.log(q @ (np.array(w) / 60)) - cost * (sum(x > 0 for x in w) - 1) for w in grid}
+        best = max(fits, key=fits.get)
+        own = m @ np.log(q @ got) - cost * (len(chosen) - 1)
+        assert own >= fits[best] - 0.1
+        if fits[best] > max(v for w, v in fits.items() if [x > 0 for x in w] != [x > 0 for x in best]) + 0.2:
+            assert sorted(chosen.tolist()) == [k for k, x in enumerate(best) if x] and np.abs(got - np.array(best) / 60).max() < 0.06
+        found_sizes.add(len(chosen))
+    assert found_sizes == {1, 2, 3}
+
+
+def test_learning_takes_a_bounded_number_of_texts_and_refuses_too_many_languages(spark, monkeypatch):
+    many = spark.range(3000).selectExpr("cast(null as long) as doc_id", "if(id % 3 = 0, 'aaa', concat('w', id)) as text", "if(id % 2 = 0, 'x', 'y') as lang")
+    model = langid.fit(many, rows=50)
+    assert model.languages == ["x", "y"] and len(model.prior) == 2
+    monkeypatch.setattr(langid, "LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        langid.fit(many)
+    assert langid.identify(many.limit(0), model).count() == 0 and sum(r["lang_pred"] == "und" for r in langid.identify(many.withColumn("text", F.lit("12")), model).collect()) == 3000
+
+
 # 10. WARC
 
 
@@ -462,12 +561,42 @@ def test_warc_files_round_trip_and_derivatives_link(spark, tmp_path):
     assert "title: T & u\r\nlanguage: en\r\noutlinks: 1" in rows[1, "metadata"]["content"]
     ids = {r["page_id"]: r for r in source.collect()}
     for (k, _), r in rows.items():
-        assert r["refers_to"] == ids[k]["record_id"] and r["source_payload_digest"] == ids[k]["headers"]["WARC-Payload-Digest"]
+        assert r["refers_to"] == ids[k]["record_id"] and r["source_payload_digest"] == dict(ids[k]["headers"])["WARC-Payload-Digest"]
         assert r["block_digest"] == "sha256:" + hashlib.sha256(r["content"].encode()).hexdigest()
     every = source.drop("page_id").unionByName(made.drop("page_id"))
     warc.write_warc(every, str(tmp_path / "w"))
     back = {r["record_id"]: r for r in warc.read_warc(spark, str(tmp_path / "w") + "/*.txt").collect()}
     for r in every.collect():
         b = back[r["record_id"]]
-        assert bytes(b["block"]) == bytes(r["block"]) and b["warc_type"] == r["warc_type"] and b["refers_to"] == r["refers_to"] and b["headers"] == {k: v for k, v in r["headers"].items() if v}
+        assert bytes(b["block"]) == bytes(r["block"]) and b["warc_type"] == r["warc_type"] and b["refers_to"] == r["refers_to"] and [tuple(h) for h in b["headers"]] == [tuple(h) for h in r["headers"] if h["value"]]
     assert warc.derivatives(source.limit(0)).count() == 0
+
+
+def test_warc_keeps_repeated_headers_undoes_codings_and_reads_cut_and_compressed_files(spark, tmp_path):
+    import gzip
+
+    import zstandard
+
+    page = b"<html><body><p>One</p><p>two</p></body></html>"
+    packed = gzip.compress(page)
+    chunked = b"".join(b"%x;x=y\r\n" % len(c) + c + b"\r\n" for c in (packed[:10], packed[10:])) + b"0\r\n\r\n"
+    codings = {
+        "plain": (b"", page), "gzip": (b"Content-Encoding: gzip\r\n", packed), "both": (b"content-encoding: GZIP\r\nTransfer-Encoding: chunked\r\n", chunked),
+        "deflate": (b"Content-Encoding: deflate\r\n", zlib.compress(page)), "zstd": (b"Content-Encoding: zstd\r\n", zstandard.compress(page)), "untrue": (b"Content-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n", page),
+    }
+    body = lambda more, payload: b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nContent-Type: text/html\r\nSet-Cookie: b=2\r\n" + more + b"\r\n" + payload
+    record = lambda name, block: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: " + name.encode() + b"\r\nWARC-Note: x\r\nWARC-Note: y\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    records = [record(n, body(*c)) for n, c in codings.items()]
+    (tmp_path / "a.warc").write_bytes(b"".join(records) + record("cut", body(b"", page))[:-30])
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "c.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\n")
+    rows = warc.read_warc(spark, str(tmp_path)).cache()
+    assert rows.count() == 13
+    for r in rows.collect():
+        notes = [tuple(h) for h in r["headers"]]
+        assert notes == [("WARC-Note", "x"), ("WARC-Note", "y"), *([("WARC-Truncated", "length")] if r["record_id"] == "cut" else [])]
+    for r in warc.derivative_rows(warc.derivatives(rows)).collect():
+        if r["warc_type"] == "metadata":
+            assert "http-set-cookie: a=1\r\nhttp-set-cookie: b=2\r\n" in r["content"] and r["source_content_type"] == "text/html"
+        else:
+            assert r["content"].startswith("One\ntwo") or r["refers_to"] == "cut"

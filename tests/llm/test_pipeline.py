@@ -1,5 +1,7 @@
 """The pipeline against a brute-force version of its stages."""
 
+import random
+
 import corpus_pipeline
 from gridloom.llm import langid, minhash, pieces
 
@@ -27,3 +29,35 @@ def test_stages_keep_the_columns_of_documents(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "sentencepiece"]
     for _, stage in corpus_pipeline.STAGES[:3]:
         assert stage(spark, docs, DIR).columns == docs.columns
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score string, _language string, _id string, _digest string, _row string, id string, row string"
+
+
+def made(spark, rows):
+    return spark.createDataFrame([(k, t, lang, "s", None, *"abcdefgh") for k, t, lang in rows], SCHEMA)
+
+
+def kept(stage, spark, docs):
+    out = stage(spark, docs, DIR)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert all(tuple(r)[5:] == tuple("abcdefgh") for r in rows)
+    return sorted(((r["doc_id"], r["text"]) for r in rows), key=str)
+
+
+def test_stages_on_null_empty_repeated_and_clashing_rows(spark):
+    rng = random.Random(21)
+    text, other, third = (" ".join(rng.choice(["the", "thing", "with", "that", "of"]) + str(rng.randrange(300)) for _ in range(80)) for _ in range(3))
+    language, near, clean, encode = (f for _, f in corpus_pipeline.STAGES)
+    rows = [(1, text, "en"), (None, None, "en"), (2, "", None), (3, "12 34", "en"), (None, other, None), (3, other, "en"), (3, other, "en")]
+    assert kept(language, spark, made(spark, rows)) == sorted([(1, text), (None, other), (3, other), (3, other)], key=str)
+    rows = [(7, text, None), (7, text, None), (None, text, None), (None, text, None), (5, other, None), (5, third, None), (8, third + " x", None), (9, None, None), (9, None, None), (None, "", None)]
+    assert kept(near, spark, made(spark, rows)) == sorted([(7, text), (5, other), (5, third), (9, None), (9, None), (None, "")], key=str)
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [(None, item, None), (-1, text, None), (5, item, None), (5, text, None), (5, text, None), (None, None, None), (0, "", None)]
+    assert kept(clean, spark, made(spark, rows)) == sorted([(-1, text), (5, text), (5, text), (None, None), (0, "")], key=str)
+    out = encode(spark, made(spark, rows), DIR).collect()
+    assert sorted(r["doc_id"] is None for r in out) == [False] * 5 + [True] * 2 and sorted(r["n_tokens"] for r in out)[:2] == [2, 2]
+    for stage in (language, near, clean, encode):
+        assert stage(spark, made(spark, rows).limit(0), DIR).count() == 0
