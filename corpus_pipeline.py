@@ -3,27 +3,30 @@
 language ID (documents without a language go) -> near-duplicate removal (one document of each group stays) -> benchmark
 decontamination (contaminated documents go) -> SentencePiece encoding and decoding. All but the last return the columns
 of documents; each works on all rows that its predecessor kept.
+
+Defined results of the stages: a row's own text decides about it, so null or repeated doc_ids don't touch other rows. A null
+or empty text, or one without a letter, has no language and goes in the first stage; the second and third keep it (it
+is linked with nothing and has no words), the last gives it the begin and end ids alone. Of repeated rows the second
+stage keeps one. Ties go to the least doc_id, null last. Empty tables give empty results with the same columns; further columns,
+whatever their names, are kept by all but the last, which gives doc_id and its own columns.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridloom.llm import decontam, langid, minhash, pieces
 from gridloom.llm.common import documents, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in which a language is found: those that aren't null, empty or without any letter."""
-    named = langid.with_language(docs, langid.learnt(docs))
-    return named.where("lang_pred <> 'und'").select(docs.columns)
+    """Keeps the documents in which a language is found."""
+    return langid.in_a_language(docs, langid.learnt(docs))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each group of near-duplicates (shingles of five words, similarity 0.8), and all that is linked with nothing."""
-    found = minhash.near_duplicates(docs)
-    return docs.join(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Keeps one document of each group of near-duplicates (shingles of five words, similarity 0.8), and all that is linked with nothing."""
+    return minhash.without_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
