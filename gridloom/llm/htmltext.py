@@ -3,9 +3,9 @@
 Pages are ordered by host and URL path, so that pages made by one template stand together. Each page is paired with the
 neighbour of its host whose path shares the longer prefix with its own; the text lines of the two are aligned by longest common
 subsequence, and lines that both have are the template's: they are deleted. Two things need more than that. A
-template's elements with a text of their own on each page (adverts, breadcrumbs) are known by their markup. And articles may
-repeat passages of other pages, which differencing alone would take for template lines; so where a page marks its article
-(article, main, or a body role), lines inside are kept, shared or not, and lines outside are not.
+template's elements with a text of their own on each page (adverts, breadcrumbs) are known by their markup and go as well. And
+articles may repeat passages of other pages, which differencing alone would take for template lines; so a shared line comes back
+where the page marks it as its article's (article, main, or a body role).
 
 Neighbours on one host with equal lines (captures of one page) are one run, and a page's neighbours are the last page of the run
 before its own and the first page of the run after it: held against its twin, a page would lose every line.
@@ -21,12 +21,14 @@ ids or urls each get a row. An empty table gives an empty result; extra columns
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections import defaultdict, deque
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,11 +66,14 @@ class Line:
 
 
 class _Lines(HTMLParser):
+    """Places of open elements are kept by tag, so that a tag costs the same at any depth."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self._text: list[str] = []
         self._open: list[tuple[str, bool, bool, bool]] = []  # tag, unseen, chrome, inside
+        self._at: defaultdict[str, list[int]] = defaultdict(list)
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # line numbers aren't wanted
@@ -85,13 +90,20 @@ class _Lines(HTMLParser):
             _, chrome, inside = self._state()
             self.lines.append(Line(text, chrome, inside))
 
+    def _last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these tags, -1 without any."""
+        return max((at[-1] for t in tags if (at := self._at.get(t))), default=-1)
+
+    def _cut(self, k: int) -> None:
+        """Closes the elements from place k on."""
+        for tag, *_ in self._open[k:]:
+            self._at[tag].pop()
+        del self._open[k:]
+
     def _pop(self, tags: set[str], within: frozenset = frozenset("table ul ol dl".split())) -> None:
-        for k in range(len(self._open) - 1, -1, -1):
-            if self._open[k][0] in tags:
-                del self._open[k:]
-                return
-            if self._open[k][0] in within:
-                return
+        k = self._last(tags)
+        if k >= 0 and k >= self._last(within):
+            self._cut(k)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -99,7 +111,7 @@ class _Lines(HTMLParser):
         if tag == "body":
             self._pop({"head"}, frozenset(["template"]))
         elif tag not in IN_HEAD and self._open and self._open[-1][0] == "head":
-            self._open.pop()
+            self._cut(len(self._open) - 1)
         if tag in _ENDS_P:
             self._pop({"p"}, frozenset("table td th button".split()))
         if tag in _CLOSES:
@@ -115,6 +127,7 @@ class _Lines(HTMLParser):
             chrome = chrome or role in CHROME_ROLES or bool(words & CHROME_WORDS) and tag not in ("body", "html", "article", "main")
             unseen = unseen or "hidden" in named or named.get("aria-hidden") == "true"
             inside = inside or role in ("main", "article") or named.get("itemprop") == "articlebody"
+        self._at[tag].append(len(self._open))
         self._open.append((tag, unseen, chrome, inside))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -125,16 +138,13 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        for k in range(len(self._open) - 1, -1, -1):
-            if self._open[k][0] == tag:
-                del self._open[k:]
-                return
-            if self._open[k][0] in ("article", "main", "body") and tag not in ("html", "body"):
-                return
+        k = self._last((tag,))
+        if k >= 0 and (tag in ("html", "body") or k >= self._last(("article", "main", "body"))):
+            self._cut(k)
 
     def handle_data(self, data: str) -> None:
         if self._open and self._open[-1][0] == "head" and data.strip():
-            self._open.pop()
+            self._cut(len(self._open) - 1)
         if not self._state()[0]:
             self._text.append(data)
 
@@ -150,8 +160,12 @@ def page_lines(page: str | None) -> list[Line]:
     return parser.lines
 
 
+#: Cells of an alignment that are kept as bits for walking back; larger ones are halved first.
+CELLS = 1 << 28
+
+
 def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Places in a of a longest common subsequence of a and b (longest increasing chain of matches)."""
+    """Places in a of a longest common subsequence of a and b."""
     begin = 0
     while begin < min(len(a), len(b)) and a[begin] == b[begin]:
         begin += 1
@@ -159,33 +173,57 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     while end < min(len(a), len(b)) - begin and a[-1 - end] == b[-1 - end]:
         end += 1
     out = set(range(begin)) | set(range(len(a) - end, len(a)))
-    where: dict[str, list[int]] = {}
-    for k in range(len(b) - end - 1, begin - 1, -1):
-        where.setdefault(b[k], []).append(k)
-    tails: list[int] = []
-    chains: list[tuple[int, tuple | None]] = []
-    for i in range(begin, len(a) - end):
-        for j in where.get(a[i], ()):  # places in b from the last to the first
-            k = bisect_left(tails, j)
-            chain = (i, chains[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                chains.append(chain)
-            else:
-                tails[k] = j
-                chains[k] = chain
-    at = chains[-1] if chains else None
-    while at:
-        out.add(at[0])
-        at = at[1]
+    # Lines that only one of them has can't be common.
+    both = set(a[begin : len(a) - end]).intersection(b[begin : len(b) - end])
+    at = [k for k in range(begin, len(a) - end) if a[k] in both]
+    if at:
+        out.update(at[k] for k in _aligned([a[k] for k in at], [x for x in b[begin : len(b) - end] if x in both]))
     return out
 
 
+def _rows(x: list[str], y: list[str]) -> Iterator[int]:
+    """For each begin of x, its longest common subsequences with the begins of y as bits: bit j is 0 where that with y[:j + 1] is longer by one than that with y[:j]."""
+    masks: dict[str, int] = {}
+    for j, line in enumerate(y):
+        masks[line] = masks.get(line, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row = full
+    for line in x:
+        met = row & masks.get(line, 0)
+        row = ((row + met) | (row - met)) & full
+        yield row
+
+
+def _lengths(x: list[str], y: list[str]) -> np.ndarray:
+    """The length of a longest common subsequence of x and y[:j] for each j."""
+    row = deque(_rows(x, y), maxlen=1).pop()
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), np.uint8), count=len(y), bitorder="little")
+    return np.append(0, np.cumsum(1 - bits.astype(np.int64)))
+
+
+def _aligned(x: list[str], y: list[str]) -> list[int]:
+    """Places in x of a longest common subsequence, by bit-parallel rows: lines times lines / 64 steps, however often a line repeats."""
+    if not x or not y:
+        return []
+    if len(x) * len(y) > CELLS and len(x) > 1:
+        half = len(x) // 2
+        j = int((_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]).argmax())
+        return _aligned(x[:half], y[:j]) + [half + k for k in _aligned(x[half:], y[j:])]
+    rows = [(1 << len(y)) - 1, *_rows(x, y)]
+    out, j = [], len(y)
+    for i in range(len(x), 0, -1):
+        below = (1 << j) - 1
+        now = rows[i] & below
+        if now.bit_count() < (rows[i - 1] & below).bit_count():  # the sequence is longer with line i
+            out.append(i - 1)
+            j = (now ^ below).bit_length() - 1
+    return out[::-1]
+
+
 def article(lines: list[Line], neighbour: list[Line] | None) -> str:
-    """The page's text without lines that its neighbour has too, and without those that their markup tells from the article."""
+    """The page's text without lines that its neighbour has too, unless its article is marked to have them, and without those that their markup tells from the article."""
     shared = common_lines([x.text for x in lines], [x.text for x in neighbour]) if neighbour else set()
-    marked = any(x.inside and not x.chrome for x in lines)
-    return "\n".join(x.text for k, x in enumerate(lines) if not x.chrome and (x.inside if marked else k not in shared))
+    return "\n".join(x.text for k, x in enumerate(lines) if not x.chrome and (x.inside or k not in shared))
 
 
 def _prefix(a: str, b: str) -> int:
@@ -247,6 +285,13 @@ def _filled(rows: Iterator[tuple[int, dict]], schema: pa.Schema) -> Iterator[pa.
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages compressed, so that moving them takes less than the table has; a null page is an empty one."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in slices(batches, 2):
+        yield batch.set_column(2, "h", pa.array([pack((h or "").encode("utf-8", "replace")) for h in batch.column(2).to_pylist()], pa.binary()))
+
+
 def _in_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a range of pages in order: the finished pages; those of its first and last run, whose neighbours may be in other ranges, without
     a text; and the two runs at either end, with their lines. A run's number is four times the partition's and its place: 0, 1, 2, 3."""
@@ -254,9 +299,10 @@ def _in_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def runs() -> Iterator[_Run]:
         now = None
-        for batch in slices(batches, 2, 1 << 20):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in slices(batches, 2, 1 << 19):
             for k, u, h, host, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lines = page_lines(h)
+                lines = page_lines(unpack(h).decode())
                 texts = [x.text for x in lines]
                 if now is None or now.host != host or now.texts != texts:
                     if now:
@@ -357,7 +403,8 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     host = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     path = F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("k"), F.col(url).cast("string").alias("u"), F.col(html).cast("string").alias("h"), host.alias("host"), path.alias("path"))
-    ordered = rows.repartitionByRange("host", "path", "k").sortWithinPartitions("host", "path", "k", "u", "h")
+    packed = rows.mapInArrow(_packed, "k long, u string, h binary, host string, path string")
+    ordered = packed.repartitionByRange("host", "path", "k").sortWithinPartitions("host", "path", "k", "u", "h")
     # Written, because a second run of the range partitioning may cut other ranges.
     made = written(ordered.mapInArrow(_in_range, _MADE), "pages")
     # At most four rows for each range: their number follows the number of partitions, not the pages.
