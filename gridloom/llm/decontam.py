@@ -4,7 +4,9 @@ The index is partitioned by document, as search clusters do it: a segment holds
 term in them, the sorted list of the term's positions. Every training token has its posting. A query visits each segment
 once; in it, a phrase starts from the postings of its rarest term, shifts each list by the term's offset in the phrase
 and intersects list after list, from rare to frequent. A term that stands in a third of all documents therefore costs
-no more in one segment than in another, no list is ever gathered over segments, and no postings are shuffled.
+no more in one segment than in another, no list is ever gathered over segments, and no postings are shuffled. Proximity
+matches come from the same postings: stretches of at most NEAR times an item's number of words that hold all its words in any order.
+Test texts go to the segments in blocks of QUERY_BYTES at most, one at a time; a single longer text is a block of its own.
 
 Defined results: a null or empty text has no words; its row has counts 0, no items, and isn't contaminated. Rows with
 equal doc_id each get a row, and so do rows with a null doc_id. Null item_id or items without words have no windows. Empty tables give empty results. Extra
@@ -30,6 +32,8 @@ SEGMENT_TOKENS = 1_000_000
 #: Bytes of test texts that go to the executors at once; more are taken in blocks of about this size.
 QUERY_BYTES = 4 << 20
 WINDOW = 13
+#: Words of a stretch that counts as a proximity match, for each word of the item.
+NEAR = 2
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -88,14 +92,15 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", segmen
 
 
 def store_index(docs: DataFrame, key: str = "doc_id", text: str = "text", segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
-    """The index of docs, written to the shared folder."""
-    return written(build_index(docs, key, text, segment_tokens), "postings")
+    """The index of docs, written to the shared folder, each segment with a number by which it and its documents are known from then on."""
+    return written(build_index(docs, key, text, segment_tokens).withColumn("segment", F.monotonically_increasing_id()), "postings")
 
 
 class _Segment:
     """A stored segment, opened for the terms of a query."""
 
     def __init__(self, row: dict, vocabulary: dict[bytes, int]):
+        self.number = row["segment"]
         self.doc_ids = [None if no else k for k, no in zip(np.frombuffer(row["doc_ids"], np.int64).tolist(), row["no_ids"], strict=True)]
         self.digests = [row["digests"][k : k + 16] for k in range(0, len(row["digests"]), 16)]
         self.doc_starts = np.frombuffer(row["doc_starts"], np.int32)
@@ -160,8 +165,8 @@ class _Segment:
 class Phrases:
     """A block of phrases over one vocabulary; equal phrases are looked for once."""
 
-    def __init__(self, phrases: Iterable[tuple[int, list[bytes]]]):
-        self.vocabulary: dict[bytes, int] = {}
+    def __init__(self, phrases: Iterable[tuple[int, list[bytes]]], vocabulary: dict[bytes, int] | None = None):
+        self.vocabulary: dict[bytes, int] = {} if vocabulary is None else vocabulary
         self.owners: dict[tuple[int, ...], list[int]] = {}
         for owner, words in phrases:
             if words:
@@ -255,12 +260,13 @@ def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
-_HITS = "doc_id long, digest binary, n_words long, spans array<struct<start:long,stop:long>>, items array<long>"
-_HITS_ARROW = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.int64()))])
+_HITS = "segment long, place long, doc_id long, digest binary, n_words long, spans array<struct<start:long,stop:long>>, items array<long>, near array<long>"
+_HITS_ARROW = pa.schema([("segment", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.int64())), ("near", pa.list_(pa.int64()))])
 
 
 def contamination(index: DataFrame, tests: DataFrame, window: int = WINDOW, key: str = "item_id", text: str = "text", query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """A row for each indexed document: doc_id, digest of its text, n_words, hit spans (start, stop in words, merged) and the test items found.
+    """A row for each indexed document: doc_id, digest of its text, n_words, hit spans (start, stop in words, merged), the test items
+    found, and those with a proximity match (near).
 
     Everything about a document lies in its segment, so a block of tests needs no shuffle; with several blocks each block's
     hits are stored before the next block is made, and the rows of a document are put together by a grouping on the document's
@@ -270,11 +276,17 @@ def contamination(index: DataFrame, tests: DataFrame, window: int = WINDOW, key:
     n_blocks, blocks = _blocks(tests, key, text, query_bytes)
     for block in blocks:
         phrases = Phrases((item, w) for item, words in block for w in windows(words, window))
+        wholes = Phrases(block, phrases.vocabulary)
 
-        def find(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases, wholes: Phrases = wholes) -> Iterator[pa.RecordBatch]:
             for segment in _opened(batches, phrases.vocabulary):
                 spans: dict[int, list[tuple[int, int]]] = {}
                 items: dict[int, set[int]] = {}
+                near: dict[int, set[int]] = {}
+                for terms in wholes.present(segment):
+                    starts = [start for start, _ in segment.near(terms, NEAR * len(terms))]
+                    for doc in set(segment.documents(np.array(starts, np.int64)).tolist()):
+                        near.setdefault(doc, set()).update(wholes.owners[tuple(terms.tolist())])
                 for terms in phrases.present(segment):
                     at = segment.phrase(terms)
                     owners = phrases.owners[tuple(terms.tolist())]
@@ -290,29 +302,30 @@ def contamination(index: DataFrame, tests: DataFrame, window: int = WINDOW, key:
                             merged[-1]["stop"] = max(merged[-1]["stop"], stop - base)
                         else:
                             merged.append({"start": start - base, "stop": stop - base})
-                    rows.append({"doc_id": doc_id, "digest": digest, "n_words": n, "spans": merged, "items": sorted(items.get(doc, ()))})
+                    found = {"spans": merged, "items": sorted(items.get(doc, ())), "near": sorted(near.get(doc, ()))}
+                    rows.append({"segment": segment.number, "place": doc, "doc_id": doc_id, "digest": digest, "n_words": n, **found})
                 yield pa.RecordBatch.from_pylist(rows, _HITS_ARROW)
 
         part = index.mapInArrow(find, _HITS)
         if n_blocks == 1:
             return part
-        # Equal doc_ids in one index must not merge: the place of a row in its (stable, stored) segment tells them apart.
-        part = part.withColumn("_row", F.monotonically_increasing_id())
+        # Equal doc_ids in one index must not merge: a document is known by its place in its stored segment.
         # The first block has a row for each document, so of the others only hits are needed.
-        parts.append(written(part.where(F.size("spans") > 0) if parts else part, "hits"))
+        parts.append(written(part.where("size(spans) > 0 or size(near) > 0") if parts else part, "hits"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    grouped = out.groupBy("_row", "doc_id", "digest", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    all_of = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    grouped = out.groupBy("segment", "place", "doc_id", "digest", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), all_of("items"), all_of("near"))
     merged = F.expr(
         "aggregate(s, cast(array() as array<struct<start:bigint,stop:bigint>>), (acc, x) -> if(size(acc) > 0 and x.start <= element_at(acc, -1).stop,"
         " concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start as start, greatest(element_at(acc, -1).stop, x.stop) as stop))), concat(acc, array(x))))"
     )
-    return grouped.select("doc_id", "digest", "n_words", merged.alias("spans"), "items")
+    return grouped.select("segment", "place", "doc_id", "digest", "n_words", merged.alias("spans"), "items", "near")
 
 
 def report(hits: DataFrame, *also: str) -> DataFrame:
-    """The rule: contaminated where some word is hit and the hit words are a twentieth of all words or more."""
+    """The rule: contaminated where some word is hit and the hit words are a twentieth of all words or more. n_near: items with a proximity match."""
     n_hit = F.expr("aggregate(spans, 0L, (n, x) -> n + x.stop - x.start)")
     named = F.array_join(F.array_sort(F.expr("transform(items, x -> cast(x as string))")), ",")
     return hits.select(
@@ -322,6 +335,7 @@ def report(hits: DataFrame, *also: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(named.cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near"),
         *also,
     )
 
@@ -348,8 +362,14 @@ iw AS (SELECT DISTINCT item_id, least(len(w),13) AS n, array_to_string(w[k:k+lea
 dw AS (SELECT doc_id, k, n, array_to_string(w[k:k+n-1],' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w)-n+2)) AS k FROM d, (SELECT DISTINCT n FROM iw) ns WHERE len(w)>=n)),
 hit AS (SELECT dw.doc_id, dw.k, dw.n, iw.item_id FROM dw JOIN iw ON dw.n=iw.n AND dw.g=iw.g),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k+n)) AS p FROM hit) GROUP BY doc_id),
+dp AS (SELECT doc_id, w[p] AS g, p FROM (SELECT doc_id, w, unnest(range(1, len(w)+1)) AS p FROM d)),
+ig AS (SELECT item_id, len(w) AS n, unnest(list_distinct(w)) AS g, len(list_distinct(w)) AS m FROM i WHERE len(w)>0),
+has AS (SELECT doc_id, ig.item_id FROM (SELECT DISTINCT doc_id, g FROM dp) t JOIN ig USING(g) GROUP BY doc_id, ig.item_id, ig.m HAVING count(*)=ig.m),
+sp AS (SELECT has.doc_id, has.item_id, ig.g, dp.p, ig.m, ig.n FROM has JOIN ig USING(item_id) JOIN dp ON dp.doc_id=has.doc_id AND dp.g=ig.g),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (SELECT x.doc_id, x.item_id FROM sp x JOIN sp y ON y.doc_id=x.doc_id AND y.item_id=x.item_id AND y.p>x.p-NEAR*x.n AND y.p<=x.p
+  GROUP BY x.doc_id, x.item_id, x.p, x.m HAVING count(DISTINCT y.g)=x.m) GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit,0) AS BIGINT) AS n_hit, CAST(coalesce(n_items,0) AS BIGINT) AS n_items,
- sha256(coalesce(ids,'')) AS items_sha256, coalesce(n_hit,0)>0 AND 20*coalesce(n_hit,0)>=len(d.w) AS contaminated
-FROM d LEFT JOIN pos USING(doc_id) LEFT JOIN its USING(doc_id)
-"""
+ sha256(coalesce(ids,'')) AS items_sha256, coalesce(n_hit,0)>0 AND 20*coalesce(n_hit,0)>=len(d.w) AS contaminated, CAST(coalesce(n_near,0) AS BIGINT) AS n_near
+FROM d LEFT JOIN pos USING(doc_id) LEFT JOIN its USING(doc_id) LEFT JOIN near USING(doc_id)
+""".replace("NEAR", str(NEAR))

@@ -120,7 +120,11 @@ def brute_contamination(texts, items, size=13):
                     if w[k : k + len(run)] == run:
                         hit.update(range(k, k + len(run)))
                         found.add(item)
-        out[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+        close = 0
+        for text in items.values():
+            q = decontam.words_of(text)
+            close += bool(q) and any(set(q) <= set(w[k : k + decontam.NEAR * len(q)]) for k in range(len(w)))
+        out[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w), close)
     return out
 
 
@@ -157,7 +161,7 @@ def test_hits_of_a_block_are_stored_before_the_next_block_is_made(spark, monkeyp
     bench = spark.createDataFrame([(k, words(rng, 20)) for k in range(12)], "item_id long, text string")
     index = decontam.store_index(docs_of(spark, [words(rng, 50)]))
     steps, phrases, written = [], decontam.Phrases, decontam.written
-    monkeypatch.setattr(decontam, "Phrases", lambda p: steps.append("made") or phrases(p))
+    monkeypatch.setattr(decontam, "Phrases", lambda p, *shared: (shared or steps.append("made")) and None or phrases(p, *shared))
     monkeypatch.setattr(decontam, "written", lambda *a: steps.append("stored") or written(*a))
     assert decontam.contamination(index, bench, query_bytes=200).count() == 1
     assert len(steps) > 4 and steps == ["made", "stored"] * (len(steps) // 2)
@@ -487,6 +491,31 @@ def test_licences_and_inheritance(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
 
+def test_full_texts_tags_and_versions(spark):
+    from gridloom.llm import license_texts as L
+
+    year = "Copyright (c) 2021 Some Body\n\n"
+    files = {
+        "MIT": year + L._MIT, "ISC": year + L._ISC + "\n\n" + L._ISC_TAIL, "BSD-2-Clause": year + L._BSD_HEAD.replace(". 2.", ".\n2.") + "\n\n" + L._BSD_TAIL, "BSD-3-Clause": year + L._BSD_HEAD + "\n\n" + L._BSD_NAMES + "\n\n" + L._BSD_TAIL,
+        "Apache-2.0": year + L._APACHE, "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999\n\nmore", "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nmore",
+        "GPL-3.0": L._GNU.format(name="General Public License", version="3"), "GPL-2.0": "licensed under the GPL v2", "Zlib": L._ZLIB, "Unlicense": L._UNLICENSE, "BSL-1.0": L._BOOST, "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    }
+    tags = {"MPL-2.0": "// SPDX-License-Identifier: MPL-2.0", "GPL-2.0": "# SPDX-License-Identifier: GPL-2.0-only", "LGPL-2.1": "/* SPDX-License-Identifier: LGPL-2.1-or-later */", "MIT": "SPDX-License-Identifier: (MIT OR Apache-2.0)", "AGPL-3.0": "SPDX-License-Identifier: AGPL-3.0+"}
+    rows = [(k, f"p{k}/LICENSE", text, want) for k, (want, text) in enumerate(files.items())] + [(100 + k, f"q{k}/a.c", "int x;\n" + text + "\nint y;", want) for k, (want, text) in enumerate(tags.items())]
+    rows += [(300, "r/LICENSE", "All rights reserved, no licence to anybody whatsoever, ask our lawyers", None), (301, "r/x", "the copyright of 1999 and of 2.0 things", None)]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string")).collect()}
+    assert got == {k: want for k, _, _, want in rows}
+
+
+def test_licences_of_awkward_files(spark):
+    mit = "Released under the MIT License."
+    rows = [(1, "a/LICENSE", mit), (1, "a/LICENSE", mit), (1, "a/LICENSE", None), (2, "a/b/c/d/e/f.txt", None), (None, "a/x", mit), (3, "LICENSE", "Released under the ISC License."), (4, "top.txt", "x" * 200_000), (5, "z/COPYING", "text\n" * 5000 + mit)]
+    rows += [(6, "t/LICENSE", "Released under the MIT License.\nReleased under the ISC License."), (7, "t/u", "")]
+    made = licenses.scan(clashing(spark.createDataFrame(rows, "doc_id long, path string, text string"))).collect()
+    got = sorted((str(r["doc_id"]), r["license_id"], r["origin"]) for r in made)
+    assert got == sorted([("1", "MIT", "file")] * 3 + [("2", "MIT", "inherited"), ("None", "MIT", "inherited"), ("3", "ISC", "file"), ("4", "ISC", "inherited"), ("5", "MIT", "file"), ("6", "ISC", "file"), ("7", "ISC", "inherited")])
+
+
 # 8. languages
 
 
