@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
 NONE = np.iinfo(np.int32).max
-#: Words of more symbols are merged by a heap: with one merge a round they would take as many rounds as merges.
-LONG = 2000
-
 
 class MergeTable:
     """Which two symbols merge into which third, and how early (a smaller rank is earlier)."""
@@ -18,6 +13,10 @@ class MergeTable:
         keys = left.astype(np.int64) * symbols + right
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.merged, self.symbols = keys[order], rank[order].astype(np.int32), merged[order].astype(np.int32), symbols
+        # Whether every pair that a merge makes possible ranks later than the merge.
+        latest = np.full(symbols, -1, np.int64)
+        np.maximum.at(latest, merged, rank)
+        self.later = bool((np.maximum(latest[left], latest[right]) < rank).all())
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks (NONE where the pair doesn't merge) and merged symbols. A negative symbol merges with nothing."""
@@ -27,59 +26,18 @@ class MergeTable:
         return np.where(ok, self.rank[at], NONE), np.where(ok, self.merged[at], -1)
 
 
-def _by_heap(table: MergeTable, symbols: np.ndarray) -> np.ndarray:
-    """One word: always the earliest pair, of equal ones the leftmost."""
-    sym, n = symbols.tolist(), len(symbols)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    rank, merged = table.look_up(symbols[:-1], symbols[1:])
-    heap = [(r, i, sym[i], sym[i + 1], m) for i, (r, m) in enumerate(zip(rank.tolist(), merged.tolist(), strict=True)) if r != NONE]
-    heapq.heapify(heap)
-    pairs: dict[tuple[int, int], tuple[int, int]] = {}
-
-    def push(i: int, j: int) -> None:
-        pair = sym[i], sym[j]
-        if pair not in pairs:
-            r, m = table.look_up(np.array([pair[0]]), np.array([pair[1]]))
-            pairs[pair] = int(r[0]), int(m[0])
-        if pairs[pair][0] != NONE:
-            heapq.heappush(heap, (pairs[pair][0], i, *pair, pairs[pair][1]))
-
-    gone = [False] * n
-    while heap:
-        _, i, a, b, m = heapq.heappop(heap)
-        j = after[i]
-        if gone[i] or j >= n or sym[i] != a or sym[j] != b:
-            continue
-        sym[i], gone[j] = m, True
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
-            push(i, after[j])
-        if before[i] >= 0:
-            push(before[i], i)
-    return np.array([s for s, g in zip(sym, gone, strict=True) if not g], np.int32)
-
-
-def merge(table: MergeTable, symbols: np.ndarray, lengths: np.ndarray, everywhere: bool) -> tuple[np.ndarray, np.ndarray]:
+def merge(table: MergeTable, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merges each word until no pair is left; returns the surviving symbols, word by word, and each word's number of them.
 
-    In a round, every word takes its lowest rank: at its leftmost place, or everywhere at once (leftmost first where places
-    overlap), which gives the same where a pair made by a merge always ranks later than the merge. Words in which nothing
-    merges leave the arrays, the others are compacted.
+    In a round, every word takes its lowest rank and merges all its places at once, leftmost first where places overlap. The
+    result is that of single merges, always the earliest pair and of equal ones the leftmost, for any table: a merge that
+    makes a pair of a rank as low or lower is the last one of its word in the round. Words in which nothing merges leave the
+    arrays, the others are compacted.
     """
     lengths = np.asarray(lengths, np.int64)
     word = np.repeat(np.arange(len(lengths)), lengths)
     sym = np.asarray(symbols, np.int32).copy()
     done_words, done_symbols = [], []
-    if not everywhere and len(lengths) and lengths.max() > LONG:
-        begin = np.concatenate([[0], np.cumsum(lengths)])
-        rest = np.ones(len(sym), bool)
-        for k in np.flatnonzero(lengths > LONG).tolist():
-            out = _by_heap(table, sym[begin[k] : begin[k + 1]])
-            done_words.append(np.full(len(out), k))
-            done_symbols.append(out)
-            rest[begin[k] : begin[k + 1]] = False
-        sym, word = sym[rest], word[rest]
     rank, into = np.full(len(sym), NONE, np.int32), np.full(len(sym), -1, np.int32)
 
     def refresh(at: np.ndarray) -> None:
@@ -88,6 +46,16 @@ def merge(table: MergeTable, symbols: np.ndarray, lengths: np.ndarray, everywher
         ok = ok[word[ok] == word[ok + 1]]
         rank[ok], into[ok] = table.look_up(sym[ok], sym[ok + 1])
 
+    def early(at: np.ndarray) -> np.ndarray:
+        """Which merges at these places, made from left to right, make a pair that doesn't rank later than they do."""
+        now, made = rank[at], into[at]
+        before = np.maximum(at - 1, 0)
+        left = np.where(np.diff(at, prepend=-9) == 2, np.append(-1, made[:-1]), sym[before])
+        has_left = (at > 0) & (word[before] == word[at])
+        after = np.minimum(at + 2, len(sym) - 1)
+        has_right = (at + 2 < len(sym)) & (word[after] == word[at])
+        return has_left & (table.look_up(left, made)[0] <= now) | has_right & (table.look_up(made, sym[after])[0] <= now)
+
     refresh(np.arange(len(sym)))
     while len(sym):
         starts = np.flatnonzero(np.diff(word, prepend=-1))
@@ -103,13 +71,16 @@ def merge(table: MergeTable, symbols: np.ndarray, lengths: np.ndarray, everywher
             if not len(sym):
                 break
         at = np.flatnonzero(rank == np.repeat(low, sizes))
-        if everywhere:
-            run = np.arange(len(at)) - at  # equal along neighbouring places
-            first = np.flatnonzero(np.diff(run, prepend=run[0] - 1))
-            place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-            at = at[place % 2 == 0]
-        else:
-            at = at[np.diff(word[at], prepend=-1) != 0]
+        run = np.arange(len(at)) - at  # equal along neighbouring places
+        first = np.flatnonzero(np.diff(run, prepend=run[0] - 1))
+        place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+        at = at[place % 2 == 0]
+        if not table.later and len(at):
+            stop = early(at)
+            new_word = np.diff(word[at], prepend=-1) != 0
+            begin = np.flatnonzero(new_word)
+            stops = np.cumsum(stop) - stop  # such merges before this one, over all words
+            at = at[stops == np.repeat(stops[begin], np.diff(np.append(begin, len(at))))]
         sym[at] = into[at]
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False
@@ -124,27 +95,28 @@ def merge(table: MergeTable, symbols: np.ndarray, lengths: np.ndarray, everywher
 
 
 class Kept:
-    """What is known about pieces of text: short ones are kept over batches up to a number of them, long ones for a batch."""
-
-    def __init__(self, make, most: int = 300_000, longest: int = 64):
-        self.make, self.most, self.longest, self.known = make, most, longest, {}
-
-    def of(self, pieces: list[list[str]]) -> dict:
-        """A table with every piece; make() gets the new ones as a list and returns a value for each."""
-        if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        new = list({p for row in pieces for p in row if p not in known})
-        made = dict(zip(new, self.make(new), strict=True)) if new else {}
-        long = {p: v for p, v in made.items() if len(p) > self.longest}
-        known.update((p, v) for p, v in made.items() if p not in long)
-        return _Both(long, known) if long else known
-
-
-class _Both(dict):
-    def __init__(self, long: dict, known: dict):
-        super().__init__(long)
-        self._known = known
-
-    def __missing__(self, key):
-        return self._known[key]
+    """What is known about pieces of text. Short ones are kept over batches, in two generations: when the younger is full, it replaces the older."""
+
+    def __init__(self, make, most: int = 150_000, longest: int = 64):
+        self.make, self.most, self.longest, self.young, self.old = make, most, longest, {}, {}
+
+    def of(self, pieces: list[str]) -> list:
+        """A value for each of distinct pieces; make() gets the new ones as a list."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        out = list(map(young.get, pieces))
+        missing = [k for k, v in enumerate(out) if v is None]
+        new = []
+        for k in missing:
+            v = old.get(pieces[k])
+            if v is None:
+                new.append(k)
+            else:
+                out[k] = young[pieces[k]] = v
+        if new:
+            for k, v in zip(new, self.make([pieces[k] for k in new]), strict=True):
+                out[k] = v
+                if len(pieces[k]) <= self.longest:
+                    young[pieces[k]] = v
+        return out

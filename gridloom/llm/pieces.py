@@ -3,7 +3,7 @@
 A text gets its dummy prefix, spaces become the meta symbol, and it is cut where no piece of the vocabulary can reach
 across: before a run of meta symbols and, inside a word, between two characters that stand side by side in no piece. The words
 of a batch are flat arrays of symbols; each round finds the best-scored pair of every word by segmented minima, merges
-its leftmost place in all words at once and compacts. Characters without a piece become byte pieces. Equal words are encoded once.
+its places leftmost first in all words at once and compacts. Characters without a piece become byte pieces. Equal words are encoded once.
 
 Defined results: a null text counts as empty and has only the begin and end ids. Repeated rows each get a row; extra
 columns of the input are ignored; an empty table gives an empty result.
@@ -110,7 +110,7 @@ class PieceModel:
         symbols = self.of_char[chars]
         unknown = symbols < 0
         symbols = np.where(unknown, -1 - chars, symbols).astype(np.int64)
-        merged, counts = merge(self.table, symbols, np.diff(np.append(starts, len(chars))), everywhere=False)
+        merged, counts = merge(self.table, symbols, np.diff(np.append(starts, len(chars))))
         of_word = np.repeat(owner[starts], counts)
         odd = np.flatnonzero((merged < 0) | (merged >= self.n_ids))
         if len(odd):
@@ -136,7 +136,8 @@ class PieceModel:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids with the begin and end ids around, as little-endian unsigned 32-bit numbers."""
         rows = [self.words(t) if t else [] for t in texts]
-        known = self.kept.of(rows)
+        distinct = list({w for row in rows for w in row})
+        known = dict(zip(distinct, self.kept.of(distinct), strict=True))
         kind = np.uint16 if self.n_ids <= 1 << 16 else np.uint32
         out = []
         for row in rows:

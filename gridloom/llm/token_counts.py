@@ -2,8 +2,7 @@
 
 Texts are cut at special strings and into pre-tokens; the distinct pre-tokens of a batch are one ragged numpy array of
 byte symbols. In each round every pre-token applies its lowest-rank pair at all its places, leftmost first; the symbols
-that survive are the tokens. A vocabulary whose merges don't rank later than those that made their parts takes one place
-a round instead.
+that survive are the tokens. (Where a merge makes a pair that ranks as early as itself or earlier, the word waits for the next round.)
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens). Special strings inside texts are one token each, as
 the tokenizer file's library takes them by default. Rows with equal keys each get a row; an empty table gives an empty
@@ -14,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import space_chunks
+from .chunks import chunked
 from .common import slices
 from .merging import Kept, MergeTable, merge
 
@@ -58,7 +58,8 @@ class ByteBPE:
         if spec["normalizer"] or model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or not plain:
             raise ValueError("only plain byte-level BPE files are supported")
         self.special = [t["content"] for t in added]
-        self._special = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
+        if any(re.search(r"\s", t) for t in self.special):
+            raise ValueError("special strings with white space aren't supported")
         self._words = regex.compile(public_tokenizers.PATTERN)
         vocab = model["vocab"]
         stand_in = byte_symbols()
@@ -67,36 +68,23 @@ class ByteBPE:
         left, right, into = (np.array([vocab[x] for x in col], np.int64) for col in ((a for a, _ in merges), (b for _, b in merges), (a + b for a, b in merges)))
         rank = np.arange(len(merges))
         self.table = MergeTable(left, right, rank, into, max(vocab.values()) + 1)
-        made = np.full(max(vocab.values()) + 1, -1)
-        made[into[::-1]] = rank[::-1]
-        # A pair that a merge makes possible must rank later than the merge itself.
-        self.everywhere = bool((np.maximum(made[left], made[right]) < rank).all()) and len(np.unique(into)) == len(into)
-        self.kept = Kept(self._count_pieces, 500_000)
+        self.kept = Kept(self._count_pieces, 250_000)
 
     def pre_tokens(self, piece: str) -> list[str]:
         return self._words.findall(piece)
 
     def _count_pieces(self, pieces: list[str]) -> list[int]:
-        rows = [self.pre_tokens(p) for p in pieces]
+        rows = [[] if p in self.special else self.pre_tokens(p) for p in pieces]
         distinct = {w: k for k, w in enumerate(dict.fromkeys(w for row in rows for w in row))}
-        if not distinct:
-            return [0] * len(pieces)
         raw = [w.encode("utf-8", "replace") for w in distinct]
         symbols = self.of_byte[np.frombuffer(b"".join(raw), np.uint8)]
-        _, counts = merge(self.table, symbols, np.array([len(r) for r in raw]), self.everywhere)
-        counts = counts.tolist()
-        return [sum(counts[distinct[w]] for w in row) for row in rows]
-
-    def counts(self, texts: list[str | None]) -> list[int]:
-        plain, extra = [], []
-        for t in texts:
-            parts = [t or ""]
-            if t and self._special and any(s in t for s in self.special):
-                parts = self._special.split(t)
-            plain.append([c for p in parts if p for c in space_chunks(p)])
-            extra.append(len(parts) - 1)
-        known = self.kept.of(plain)
-        return [sum(map(known.__getitem__, row)) + n for row, n in zip(plain, extra, strict=True)]
+        counts = merge(self.table, symbols, np.array([len(r) for r in raw], np.int64))[1].tolist()
+        return [int(p in self.special) if not row else sum(counts[distinct[w]] for w in row) for p, row in zip(pieces, rows, strict=True)]
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        distinct, codes, bounds = chunked(texts, self.special)
+        ends = np.append(0, np.cumsum(np.array(self.kept.of(distinct), np.int64)[codes] if len(codes) else []))
+        return np.diff(ends[bounds]).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -109,9 +97,9 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tokenizer(os.fspath(tokenizer) if tokenizer else default_tokenizer())
-        for batch in slices(batches, 1, 2 << 20):
+        for batch in slices(batches, 1):
             n_bytes = pc.binary_length(batch.column(1)).fill_null(0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(bpe.counts(batch.column(1).to_pylist()), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(bpe.counts(batch.column(1)), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     made = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     return made.withColumn("over_limit", F.col("n_tokens") > limit)
