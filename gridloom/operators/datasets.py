@@ -5,11 +5,10 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..sources.scratch import scratch
+from .ranges import placed
 
 
 def hash_order(key: str, seed: int) -> Column:
@@ -32,16 +31,9 @@ def scene_split(df: DataFrame, val_frac: float = 0.2, scene: str = "scene_id") -
     Scenes are ranked among themselves, far fewer rows than patches; each gets its place by range partitions' counts. The ranges
     are stored, so that their counts and their rows are of one partitioning.
     """
-    spark = df.sparkSession
-    path = scratch(spark, "scenes")
-    df.select(scene).distinct().repartitionByRange(F.desc(scene)).select(scene, F.spark_partition_id().alias("_part")).write.parquet(path)
-    scenes = spark.read.parquet(path)
-    # A row for each range: its size follows the number of partitions, not the rows.
-    sizes = scenes.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    scenes = placed(df.select(scene).distinct(), F.desc(scene))
     cut = max(1, int(scenes.count() * val_frac))
-    place = F.col("_before") + F.row_number().over(W.partitionBy("_part").orderBy(F.desc(scene)))
-    last = scenes.join(before, "_part").withColumn("_place", place).where(F.col("_place") <= cut).select(scene, F.lit("val").alias("split"))
+    last = scenes.where(F.col("_place") <= cut).select(scene, F.lit("val").alias("split"))
     return df.join(last, scene, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
@@ -97,11 +89,9 @@ def best_feature_per_patch(features: DataFrame, pattern: str, path: str, score:
     return named.join(best, ["patch_id", "_s"]).groupBy("patch_id").agg(F.min(F.struct(path, *rest)).alias("r")).select("patch_id", "r.*")
 
 
-def experiment_matrix(spark, methods: list[str], modalities: list[str], seeds: list[int], done: DataFrame | None = None) -> DataFrame:
-    """Every combination that isn't done."""
+def experiment_matrix(methods: DataFrame, modalities: DataFrame, seeds: list[int], done: DataFrame | None = None) -> DataFrame:
+    """Every combination of the distinct names in methods and modalities (one column each) with the seeds that isn't done."""
     keys = ["method", "modality", "seed"]
-    every = spark.range(1)
-    for name, values in zip(keys, (methods, modalities, seeds), strict=True):
-        every = every.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    every = every.select(*keys)
+    # All combinations are the result itself.
+    every = methods.toDF("method").distinct().crossJoin(modalities.toDF("modality").distinct()).withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
     return every if done is None else every.join(done.select(*keys), keys, "left_anti")

@@ -58,8 +58,39 @@ def _met_blocks(df: DataFrame, key: str, columns: list[str], n: int) -> DataFram
     return df.select(key, *columns, own.alias("b"), other.alias("o")).withColumns({"p": F.least("b", "o"), "q": F.greatest("b", "o")})
 
 
+def _distances(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of u to all of w, a dimension at a time, so memory is that of the result and no digits are lost."""
+    out = np.zeros((len(u), len(w)))
+    for k in range(u.shape[1]):
+        d = u[:, k, None] - w[None, :, k]
+        out += d * d
+    return np.sqrt(out)
+
+
+def silhouette_squared(df: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
+    """Each point's silhouette by squared Euclidean distances; a cluster of one has 0. For any number of points.
+
+    The mean squared distance to a cluster follows from its mean vector and its mean squared norm, so only clusters are moved
+    (a row each), never pairs of points. It is another number than silhouette().
+    """
+    v = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(cluster).cast("long").alias("c"))
+    at = v.select("c", F.posexplode("v").alias("i", "x")).groupBy("c", "i").agg(F.avg("x").alias("m"), F.avg(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
+    clusters = at.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m"), F.sum("q").alias("q"), F.max("n").alias("n"))
+    other = clusters.select(F.col("c").alias("o"), "m", "q", "n")
+    # Points beside clusters: the result of the definition has as many terms.
+    met = v.join(other, F.lit(True))
+    d = F.greatest(dot("v", "v") - 2 * dot("v", "m") + F.col("q"), F.lit(0.0))
+    own = F.col("c") == F.col("o")
+    mean = met.select("k", "c", "o", "n", own.alias("own"), d.alias("d")).withColumn("d", F.when(F.col("own"), F.col("d") * F.col("n") / F.nullif(F.col("n") - 1, F.lit(0))).otherwise(F.col("d")))
+    ab = mean.groupBy("k", "c").agg(F.max(F.when(F.col("own"), F.col("d"))).alias("a"), F.min(F.when(~F.col("own"), F.col("d"))).alias("b"))
+    return ab.select(F.col("k").alias(key), F.col("c").alias(cluster), F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0)).alias("silhouette"))
+
+
 def silhouette(df: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
-    """Each point's exact Euclidean silhouette, by distances between blocks of points; a cluster of one has 0."""
+    """Each point's exact Euclidean silhouette, by distances between blocks of points; a cluster of one has 0.
+
+    Quadratic by definition: for many points see silhouette_squared().
+    """
     df = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(cluster).cast("long").alias("c"))
 
     def sums(g: pd.DataFrame) -> pd.DataFrame:
@@ -69,7 +100,7 @@ def silhouette(df: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
         for x, y in ((a, b),) if p == q else ((a, b), (b, a)):
             if len(x) and len(y):
                 u, w = np.stack(x["v"]), np.stack(y["v"])
-                d = np.sqrt(np.maximum(((u[:, None, :] - w[None]) ** 2).sum(-1) if len(u) * len(w) < 200_000 else (u**2).sum(1)[:, None] + (w**2).sum(1)[None] - 2 * u @ w.T, 0))
+                d = _distances(u, w)
                 for c in np.unique(y["c"]):
                     out.append(pd.DataFrame({"k": x["k"].to_numpy(), "c": x["c"].to_numpy(), "other": c, "d": d[:, (y["c"] == c).to_numpy()].sum(1)}))
         return pd.concat(out) if out else pd.DataFrame({"k": [], "c": [], "other": [], "d": []})

@@ -70,6 +70,25 @@ def slice_labels(patches: DataFrame, labels: DataFrame, width: int, height: int,
     return patches.select("patch_path", "tile").join(window, "tile").select("patch_path", "px", "v")
 
 
+def slice_labels_by_bounds(patches: DataFrame, mosaic: DataFrame, cell: float, tile: int, size: int) -> DataFrame:
+    """(patch_path, px, v): each patch's window of a label mosaic, cut at the patch's own bounds; a window cell takes the mosaic cell that holds its centre.
+
+    mosaic: (tile_x, tile_y, codes), codes a flat array of tile x tile cells of side `cell`, rows from the top; tile (i, j) lies at
+    x = i * tile * cell, y = j * tile * cell. A patch meets the tiles under it by their numbers, and each gives the window cells that fall
+    in it, so tiles move once for each patch over them, and cells outside the mosaic are left out.
+    """
+    side = tile * cell
+    n = lambda lo, hi: F.sequence(F.floor(F.col(lo) / side).cast("int"), F.greatest(F.ceil(F.col(hi) / side).cast("int") - 1, F.floor(F.col(lo) / side).cast("int")))
+    met = patches.select("patch_path", "minx", "miny", "maxx", "maxy", F.explode(n("minx", "maxx")).alias("tile_x"), n("miny", "maxy").alias("_y")).withColumn("tile_y", F.explode("_y"))
+    met = met.drop("_y").join(mosaic.select("tile_x", "tile_y", "codes"), ["tile_x", "tile_y"])
+    x = lambda px: F.col("minx") + (px % size + 0.5) * (F.col("maxx") - F.col("minx")) / size
+    y = lambda px: F.col("maxy") - (F.floor(px / size) + 0.5) * (F.col("maxy") - F.col("miny")) / size
+    cells = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda px: F.struct(px.alias("px"), F.floor(x(px) / cell).cast("int").alias("cx"), F.floor(y(px) / cell).cast("int").alias("cy")))
+    col, row = (lambda c: c["cx"] - F.col("tile_x") * tile), (lambda c: (F.col("tile_y") + 1) * tile - 1 - c["cy"])
+    own = F.filter(cells, lambda c: (col(c) >= 0) & (col(c) < tile) & (row(c) >= 0) & (row(c) < tile))
+    return met.select("patch_path", F.explode(F.transform(own, lambda c: F.struct(c["px"].alias("px"), F.get("codes", row(c) * tile + col(c)).alias("v")))).alias("c")).select("patch_path", "c.px", "c.v")
+
+
 def scene_stats(scenes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """By quarter, by satellite, satellites against resolution buckets, and by bucket."""
     quarter = scenes.groupBy("quarter").agg(F.count("*").alias("n"), (F.sum("file_size_mb") / 1024).alias("gb"), F.array_join(F.sort_array(F.collect_set("satellite")), ",").alias("satellites"))

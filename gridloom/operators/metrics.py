@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ranges import running_sums
 
 
 def confusion(df: DataFrame) -> DataFrame:
@@ -46,11 +46,11 @@ def mean_iou(df: DataFrame, ignore_index: int | None = None) -> DataFrame:
 def average_precision(df: DataFrame, label: str = "class", truth: str = "y_bin", score: str = "score") -> DataFrame:
     """AP of each class; equal scores count together, a class without positives has 0.
 
-    Rows are summed by (class, score) first, so the ordered window runs over distinct scores.
+    Rows are summed by (class, score) first; the running sums over distinct scores go by ranges of (class, score), so that a class with
+    very many scores is spread over tasks.
     """
     s = df.groupBy(label, score).agg(F.sum(truth).alias("_p"), F.count("*").alias("_n"))
-    w = W.partitionBy(label).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    s = s.select(label, "_p", (F.sum("_p").over(w) / F.sum("_n").over(w)).alias("_precision"))
+    s = running_sums(s, label, F.desc(score), ["_p", "_n"]).withColumn("_precision", F.col("running__p") / F.col("running__n"))
     return s.groupBy(label).agg(F.coalesce(F.sum(F.col("_p") * F.col("_precision")) / F.nullif(F.sum("_p"), F.lit(0)), F.lit(0.0)).alias("ap"))
 
 

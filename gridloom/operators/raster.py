@@ -1,4 +1,7 @@
-"""Rasters as tables. Cell form: rows (tile, band, px, v), px = row * width + col. Array form: array<array<double>> by band."""
+"""Rasters as tables. Cell form: rows (tile, band, px, v), px = row * width + col. Array form: array<array<double>> by band.
+
+Functions of columns work on the array form, inside a row: nothing is shuffled. Those of DataFrames are for pixels that lie in cell form.
+"""
 
 from __future__ import annotations
 
@@ -141,3 +144,104 @@ def scale_01(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
         return df.withColumn("v", F.col("v") / 255)
     top = df.groupBy(*keys).agg(F.max("v").alias("_t"))
     return df.join(top, keys).withColumn("v", F.when(F.col("_t") > 1, F.col("v") / 255).otherwise(F.col("v").cast("double"))).drop("_t")
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), the value computed once for each row or element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def mean_of(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
+
+
+def zscore_bands(bands: Column | str, ddof: int = 1, log1p: bool = False, eps: float = 1e-6) -> Column:
+    """Each band of an array: (v - mean) / (std + eps), as zscore()."""
+
+    def one(b: Column) -> Column:
+        v = F.transform(b, S.log1p_scale) if log1p else b
+        spread = lambda m: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.nullif(F.size(v) - ddof, F.lit(0)))
+        return _let(mean_of(v), lambda m: _let(spread(m), lambda s: F.transform(v, lambda x: (x - m) / (s + eps))))
+
+    return F.transform(S.col(bands), one)
+
+
+def zero_share(bands: Column | str) -> Column:
+    """The share of zeros among all values of all bands."""
+    return _let(F.flatten(S.col(bands)), lambda v: F.size(F.filter(v, lambda x: x == 0)) / F.size(v))
+
+
+def without_empty_tiles(df: DataFrame, bands: str = "bands", max_zero: float = 0.5) -> DataFrame:
+    """drop_empty_tiles() for arrays: a filter."""
+    return df.where(zero_share(bands) <= max_zero)
+
+
+def thumb_stats_bands(bands: Column | str, width: int, height: int, dark: float = 5, share: float = 0.5) -> Column:
+    """thumb_stats() of an array: struct<black_edge_ratio, center_dark_ratio, brightness_mean, brightness_std>."""
+    b = S.col(bands)
+    w0, h0 = int(width * (1 - share) / 2), int(height * (1 - share) / 2)
+    black = F.transform(b[0], lambda _, k: F.forall(b, lambda p: F.get(p, k) <= dark))
+    centre = lambda k: (F.floor(k / width) >= h0) & (F.floor(k / width) < height - h0) & (k % width >= w0) & (k % width < width - w0)
+
+    def stats(of: Column) -> Column:
+        middle = F.filter(of, lambda _, k: centre(k))
+        part = lambda x: F.size(F.filter(x, lambda y: y)) / F.nullif(F.size(x), F.lit(0))
+        light = F.flatten(F.transform(b, lambda p: F.filter(p, lambda _, k: ~F.get(of, k))))
+        mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(v), F.lit(0))
+        both = _let(light, lambda v: _let(mean(v), lambda m: F.struct(m.alias("mean"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.nullif(F.size(v), F.lit(0))).alias("std"))))
+        return F.struct(part(of).alias("black_edge_ratio"), part(middle).alias("center_dark_ratio"), both["mean"].alias("brightness_mean"), both["std"].alias("brightness_std"))
+
+    return _let(black, stats)
+
+
+def _resampled(bands: Column | str, n: int, place, value) -> Column:
+    """Bands of n pixels, each value(band, place(px)); places are made once for all bands of a row."""
+    places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), place)
+    return _let(places, lambda at: F.transform(S.col(bands), lambda b: F.transform(at, lambda p: value(b, p))))
+
+
+def average_bands(bands: Column | str, width: int, height: int, factor: int) -> Column:
+    """resample_average() of an array whose width and height are multiples of the factor."""
+    to = width // factor
+    near = [i * width + j for i in range(factor) for j in range(factor)]
+    first = lambda px: F.floor(px / to).cast("int") * factor * width + (px % to) * factor
+    return _resampled(bands, to * (height // factor), first, lambda b, p: sum((F.get(b, p + k) for k in near), F.lit(0.0)) / len(near))
+
+
+def nearest_bands(bands: Column | str, width: int, height: int, to_width: int, to_height: int) -> Column:
+    """resample_nearest() of an array."""
+    r = lambda px: F.floor((F.floor(px / to_width) + 0.5) * height / to_height)
+    c = lambda px: F.floor((px % to_width + 0.5) * width / to_width)
+    return _resampled(bands, to_width * to_height, lambda px: (r(px) * width + c(px)).cast("int"), lambda b, p: F.get(b, p))
+
+
+def bilinear_bands(bands: Column | str, width: int, height: int, to_width: int, to_height: int) -> Column:
+    """resample_bilinear() of an array."""
+
+    def place(px: Column) -> Column:
+        y = F.greatest(F.lit(0.0), F.least(F.lit(height - 1.0), (F.floor(px / to_width) + 0.5) * height / to_height - 0.5))
+        x = F.greatest(F.lit(0.0), F.least(F.lit(width - 1.0), (px % to_width + 0.5) * width / to_width - 0.5))
+        at = F.floor(y) * width + F.floor(x)
+        right, below = F.when(F.floor(x) < width - 1, 1).otherwise(0), F.when(F.floor(y) < height - 1, width).otherwise(0)
+        return F.struct(at.cast("int").alias("at"), right.alias("right"), below.alias("below"), (x - F.floor(x)).alias("dx"), (y - F.floor(y)).alias("dy"))
+
+    def value(b: Column, p: Column) -> Column:
+        top = (1 - p["dx"]) * F.get(b, p["at"]) + p["dx"] * F.get(b, p["at"] + p["right"])
+        return (1 - p["dy"]) * top + p["dy"] * ((1 - p["dx"]) * F.get(b, p["at"] + p["below"]) + p["dx"] * F.get(b, p["at"] + p["below"] + p["right"]))
+
+    return _resampled(bands, to_width * to_height, place, value)
+
+
+def stack_bands(sources: list[DataFrame], keys: list[str], bands: str = "bands") -> DataFrame:
+    """stack_sources() for arrays on one grid: tiles that all sources have, each one's bands after those before. Tiles move, not pixels."""
+    out = sources[0].select(*keys, F.col(bands).alias("_b0"))
+    for k, df in enumerate(sources[1:], 1):
+        out = out.join(df.select(*keys, F.col(bands).alias(f"_b{k}")), keys)
+    return out.select(*keys, F.concat(*(F.col(f"_b{k}") for k in range(len(sources)))).alias(bands))
+
+
+def scale_01_bands(bands: Column | str, always: bool = True) -> Column:
+    """v / 255 of an array; without `always`, only where a value is beyond 1."""
+    b = S.col(bands)
+    scaled = lambda by: F.transform(b, lambda p: F.transform(p, lambda x: x / by))
+    return scaled(F.lit(255.0)) if always else F.when(F.exists(b, lambda p: F.exists(p, lambda x: x > 1)), scaled(F.lit(255.0))).otherwise(scaled(F.lit(1.0)))

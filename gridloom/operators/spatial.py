@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import percentiles
+
 BOX = ["minx", "miny", "maxx", "maxy"]
 
 
@@ -82,10 +84,13 @@ def spatial_pair(patches: DataFrame, cell: float, min_iou: float = 0.5, quarters
     p = patches.select(keep)
     if quarters:
         p = p.where(F.col("quarter").isin(quarters))
-    pairs = overlap_join(p, p, cell, F.col("quarter_a") < F.col("quarter_b"))
+    left, meet = p, F.col("quarter_a") < F.col("quarter_b")
     if quarter_iou is not None:
-        q = quarter_iou.select("quarter_a", "quarter_b", F.col("iou").alias("_q"))
-        pairs = pairs.join(q, ["quarter_a", "quarter_b"], "left").where(F.coalesce("_q", F.lit(min_quarter_iou)) >= min_quarter_iou).drop("_q")
+        # The quarters that a quarter isn't matched with, a short list; the join itself looks at it, so pruned pairs are never made.
+        pruned = quarter_iou.where(F.col("iou") < min_quarter_iou).groupBy(F.col("quarter_a").alias("quarter")).agg(F.collect_set("quarter_b").alias("_not"))
+        left = p.join(pruned, "quarter", "left").select(*keep, "_not")
+        meet &= ~F.coalesce(F.array_contains("_not_a", F.col("quarter_b")), F.lit(False))
+    pairs = overlap_join(left, p, cell, meet)
     area = lambda s: (F.col(f"maxx_{s}") - F.col(f"minx_{s}")) * (F.col(f"maxy_{s}") - F.col(f"miny_{s}"))
     out = pairs.select(
         *(f"{c}_{s}" for c in keep[:4] for s in "ab"),
@@ -111,14 +116,35 @@ def reoriented(pairs: DataFrame, qa: str, qb: str) -> DataFrame:
     return out.select(*(new.get(c, F.when(swap, -F.col(c)).otherwise(F.col(c)) if c == "days_gap" else F.col(c)).alias(c) for c in pairs.columns))
 
 
-def cell_cover(df: DataFrame, cell: float, by: list[str]) -> DataFrame:
-    """Distinct cells that the boxes of each group cover."""
+def cell_cover(df: DataFrame, cell: float, by: list[str], ring: str | None = None) -> DataFrame:
+    """Distinct cells that the footprints of each group cover: those their boxes meet or, with a ring column, those whose centre is in the ring."""
+    if ring is not None:
+        return ring_cells(df, cell, ring).select(*by, "gx", "gy").distinct()
     return grid_keys(df, cell).select(*by, "gx", "gy").distinct()
 
 
-def quarter_iou(scenes: DataFrame, cell: float) -> DataFrame:
-    """IoU of every two quarters' covered cells, both ways and with themselves: exact for boxes on the grid."""
-    cover = cell_cover(scenes, cell, ["quarter"])
+def ring_cells(df: DataFrame, cell: float, ring: str) -> DataFrame:
+    """A row for each grid cell whose centre is in a row's closed ring: gx, gy. A row of cells at a time: between every two crossings of its middle line."""
+    ys = F.transform(ring, lambda p: p["y"])
+    low, high = F.ceil(F.array_min(ys) / cell - 0.5), F.ceil(F.array_max(ys) / cell - 0.5) - 1
+    rows = df.withColumn("gy", F.explode(F.when(high >= low, F.sequence(low, high))))
+    spans = inside_spans(edges(F.col(ring)), (F.col("gy") + 0.5) * cell)
+    runs = F.transform(spans, lambda s: F.struct(F.ceil(s["a"] / cell - 0.5).alias("a"), (F.ceil(s["b"] / cell - 0.5) - 1).alias("b")))
+    cells = F.transform(F.filter(runs, lambda s: s["b"] >= s["a"]), lambda s: F.sequence(s["a"], s["b"]))
+    return rows.withColumn("gx", F.explode(F.flatten(cells)))
+
+
+def inside_spans(e: Column, y: Column) -> Column:
+    """array<struct<a, b>>: the stretches a <= x < b of the line at y that are inside a ring, given its edges: between each two crossings."""
+    cut = F.filter(e, lambda k: (k["ay"] > y) != (k["by"] > y))
+    at = F.array_sort(F.transform(cut, lambda k: (k["bx"] - k["ax"]) * (y - k["ay"]) / (k["by"] - k["ay"]) + k["ax"]))
+    pairs = F.filter(F.transform(at, lambda x, k: F.struct(x.alias("a"), F.try_element_at(at, k + 2).alias("b"), k.alias("k"))), lambda s: s["k"] % 2 == 0)
+    return F.transform(pairs, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b")))
+
+
+def quarter_iou(scenes: DataFrame, cell: float, ring: str | None = None) -> DataFrame:
+    """IoU of every two quarters' covered cells, both ways and with themselves: exact for boxes on the grid; with rings off by their edges' cells at most."""
+    cover = cell_cover(scenes, cell, ["quarter"], ring)
     sizes = cover.groupBy("quarter").agg(F.count("*").alias("n"))
     a, b = cover.withColumnRenamed("quarter", "quarter_a"), cover.withColumnRenamed("quarter", "quarter_b")
     both = a.join(b, ["gx", "gy"]).groupBy("quarter_a", "quarter_b").agg(F.count("*").alias("i"))
@@ -127,10 +153,10 @@ def quarter_iou(scenes: DataFrame, cell: float) -> DataFrame:
     return every.join(both, ["quarter_a", "quarter_b"], "left").select("quarter_a", "quarter_b", (i / (F.col("na") + F.col("nb") - i)).alias("iou"))
 
 
-def union_area(df: DataFrame, cell: float) -> DataFrame:
+def union_area(df: DataFrame, cell: float, ring: str | None = None) -> DataFrame:
     """Covered area, extent and its centre; one row."""
     extent = df.agg(*(F.min(c).alias(c) for c in BOX[:2]), *(F.max(c).alias(c) for c in BOX[2:]))
-    area = cell_cover(df, cell, []).agg((F.count("*") * cell * cell).alias("area"))
+    area = cell_cover(df, cell, [], ring).agg((F.count("*") * cell * cell).alias("area"))
     return area.crossJoin(extent).withColumns({"centre_x": (F.col("minx") + F.col("maxx")) / 2, "centre_y": (F.col("miny") + F.col("maxy")) / 2})
 
 
@@ -172,14 +198,16 @@ def dedup_rings(df: DataFrame) -> DataFrame:
 
 
 def footprint_stats(df: DataFrame, area: str = "area") -> DataFrame:
-    return df.agg(F.count("*").alias("n"), F.sum(area).alias("total"), F.percentile(area, 0.5).alias("median"), F.percentile(area, 0.95).alias("p95"), F.max(area).alias("largest"))
+    """Number, total, median, 95th percentile and largest of areas; one row. The percentiles are picked by rank from ranges, so no task holds all areas."""
+    sums = df.agg(F.count("*").alias("n"), F.sum(area).alias("total"), F.max(area).alias("largest"))
+    return sums.crossJoin(percentiles(df, area, {"median": 0.5, "p95": 0.95}))
 
 
 def rasterize(polygons: DataFrame, patches: DataFrame, gsd: float, patch: int, min_area: float = 0.0, coarse: float | None = None) -> DataFrame:
     """(patch_path, row, col) of every cell that a polygon touches: an edge meets the cell's inside, or its centre is in the ring.
 
-    Polygons (way_id, ring) meet patches by overlap_join() on their bounds; only cells of the bounds' overlap are tried,
-    with tests as array expressions over the ring's edges.
+    Polygons (way_id, ring) meet patches by overlap_join() on their bounds. A row of a patch's cells is taken at once: what of each edge
+    lies in the row, and the stretches of its middle line inside the ring, give the columns; no cell is tried alone.
     """
     r = F.col("ring")
     xs, ys = F.transform(r, lambda p: p["x"]), F.transform(r, lambda p: p["y"])
@@ -188,24 +216,27 @@ def rasterize(polygons: DataFrame, patches: DataFrame, gsd: float, patch: int, m
     low = lambda v, origin: F.greatest(F.floor((v - origin) / gsd).cast("int"), F.lit(0))
     high = lambda v, origin: F.least(F.ceil((v - origin) / gsd).cast("int") - 1, F.lit(patch - 1))
     # Rows count down from the patch's upper bound.
-    cols = F.sequence(low(F.col("minx_a"), F.col("minx_b")), high(F.col("maxx_a"), F.col("minx_b")))
     rows = F.sequence(low(F.col("maxy_b"), F.col("maxy_a")), high(F.col("maxy_b"), F.col("miny_a")))
-    cells = met.select("patch_path_b", "minx_b", "maxy_b", edges(F.col("ring_a")).alias("e"), F.explode(cols).alias("col"), rows.alias("rows"))
-    cells = cells.withColumn("row", F.explode("rows")).withColumns({"x0": F.col("minx_b") + F.col("col") * gsd, "y1": F.col("maxy_b") - F.col("row") * gsd})
-    x0, x1, y0, y1 = F.col("x0"), F.col("x0") + gsd, F.col("y1") - gsd, F.col("y1")
-    cx, cy = x0 + gsd / 2, y1 - gsd / 2
-
-    def meets(e: Column) -> Column:
-        apart = (F.greatest(e["ax"], e["bx"]) <= x0) | (F.least(e["ax"], e["bx"]) >= x1) | (F.greatest(e["ay"], e["by"]) <= y0) | (F.least(e["ay"], e["by"]) >= y1)
-        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
-        side = dx * (cy - e["ay"]) - dy * (cx - e["ax"])
-        return ~apart & (F.abs(side) < (F.abs(dx) + F.abs(dy)) * (gsd / 2))
-
-    def crosses(e: Column) -> Column:
-        return ((e["ay"] > cy) != (e["by"] > cy)) & (cx < (e["bx"] - e["ax"]) * (cy - e["ay"]) / (e["by"] - e["ay"]) + e["ax"])
-
-    inside = F.size(F.filter("e", lambda e: F.when((e["ay"] > cy) != (e["by"] > cy), crosses(e)).otherwise(False))) % 2 == 1
-    return cells.where(F.exists("e", meets) | inside).select(F.col("patch_path_b").alias("patch_path"), "row", "col").distinct()
+    lines = met.select("patch_path_b", "minx_b", "maxy_b", edges(F.col("ring_a")).alias("e"), F.explode(rows).alias("row"))
+    lines = lines.withColumn("y1", F.col("maxy_b") - F.col("row") * gsd).withColumn("y0", F.col("y1") - gsd)
+    y0, y1 = F.col("y0"), F.col("y1")
+
+    def at(e: Column, y: Column) -> Column:
+        return F.when(y == e["ay"], e["ax"]).when(y == e["by"], e["bx"]).otherwise(e["ax"] + (y - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"]))
+
+    def within(e: Column) -> Column:
+        """Columns whose inside the edge meets in this row."""
+        level = e["ay"] == e["by"]
+        p = F.when(level, e["ax"]).otherwise(at(e, F.greatest(F.least(e["ay"], e["by"]), y0)))
+        q = F.when(level, e["bx"]).otherwise(at(e, F.least(F.greatest(e["ay"], e["by"]), y1)))
+        return F.struct(F.floor((F.least(p, q) - F.col("minx_b")) / gsd).alias("a"), (F.ceil((F.greatest(p, q) - F.col("minx_b")) / gsd) - 1).alias("b"))
+
+    crossed = F.transform(F.filter("e", lambda e: (F.greatest(e["ay"], e["by"]) > y0) & (F.least(e["ay"], e["by"]) < y1)), within)
+    middle = lambda x: F.ceil((x - F.col("minx_b")) / gsd - 0.5)
+    inside = F.transform(inside_spans(F.col("e"), y1 - gsd / 2), lambda s: F.struct(middle(s["a"]).alias("a"), (middle(s["b"]) - 1).alias("b")))
+    runs = F.transform(F.concat(crossed, inside), lambda s: F.struct(F.greatest(s["a"], F.lit(0)).cast("int").alias("a"), F.least(s["b"], F.lit(patch - 1)).cast("int").alias("b")))
+    cols = F.flatten(F.transform(F.filter(runs, lambda s: s["b"] >= s["a"]), lambda s: F.sequence(s["a"], s["b"])))
+    return lines.select(F.col("patch_path_b").alias("patch_path"), "row", F.explode(F.array_distinct(cols)).alias("col")).distinct()
 
 
 def mask_summary(cells: DataFrame, patches: DataFrame, patch: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources import catalogue as C
+from ..sources.scratch import scratch
 from .registry import query, r6
 
 _SAT = "CASE WHEN regexp_matches(scene_id,'^[A-Z0-9]+_[0-9]+_') THEN regexp_extract(scene_id,'^([A-Z0-9]+)_[0-9]+_',1) ELSE split_part(scene_id,'_',1) END"
@@ -49,6 +50,43 @@ def _(t):
     return p.select("patch_path", "minx", C.point_feature("minx", "miny", {"quarter": F.col("quarter"), "row": F.col("row")}).alias("feature"))
 
 
+@query("a3_read_geojson", "SELECT patch_path, quarter, 'Polygon' AS geometry_type, 5 AS points, minx, maxy FROM fx_patches")
+def _(t):
+    """Footprints written as GeoJSON features, a line each, and read back."""
+    path = scratch(t.spark, "features")
+    corner = lambda x, y: F.array(F.col(x), F.col(y))
+    ring = F.array(F.array(corner("minx", "miny"), corner("maxx", "miny"), corner("maxx", "maxy"), corner("minx", "maxy"), corner("minx", "miny")))
+    C.write_geojson(t["fx_patches"], path, "Polygon", ring, ["patch_path", "quarter"])
+    r = F.col("coordinates")[0]
+    return C.read_geojson_lines(t.spark, path).select("patch_path", "quarter", "geometry_type", F.size(r).alias("points"), F.array_min(F.transform(r, lambda p: p[0])).alias("minx"), F.array_max(F.transform(r, lambda p: p[1])).alias("maxy"))
+
+
+@query("a5_patch_index_round_trip", "SELECT quarter, count(*) AS n, count(DISTINCT patch_path) AS n_paths, CAST(sum(row) AS BIGINT) AS rows FROM fx_patches WHERE quarter LIKE '1998%' GROUP BY 1")
+def _(t):
+    """The index written by quarter and read back; the filter reads four folders."""
+    path = scratch(t.spark, "patch_index")
+    C.write_patch_index(t["fx_patches"], path)
+    some = C.read_patch_index(t.spark, path).where(F.col("quarter").startswith("1998"))
+    return some.groupBy("quarter").agg(F.count("*").alias("n"), F.countDistinct("patch_path").alias("n_paths"), F.sum("row").cast("long").alias("rows"))
+
+
+@query("a9_list_written_datasets", "SELECT quarter AS dataset, count(*) AS n_files FROM (SELECT DISTINCT quarter FROM fx_patches) GROUP BY 1")
+def _(t):
+    """Datasets by the files that lie in their folders, as they were written: one for each quarter."""
+    path = scratch(t.spark, "datasets")
+    t["fx_patches"].repartition("quarter").write.partitionBy("quarter").parquet(path)
+    found = C.files(t.spark, path, "*.parquet").select(F.regexp_extract("path", "quarter=([^/]*)/", 1).alias("dataset"), F.to_date("modificationTime").alias("modified"))
+    return C.list_datasets(found).select("dataset", F.col("n_patches").alias("n_files"))
+
+
+@query("a10_files_on_disk", "SELECT count(*) AS n_files, true AS has_size FROM (SELECT DISTINCT quarter FROM fx_patches)")
+def _(t):
+    path = scratch(t.spark, "files")
+    t["fx_patches"].repartition("quarter").write.partitionBy("quarter").parquet(path)
+    out = C.file_inventory(C.files(t.spark, path, "*.parquet").select((F.col("length") / 1048576).alias("size_mb")))
+    return out.select("n_files", (F.col("total_gb") > 0).alias("has_size"))
+
+
 @query("a5_manifest", "SELECT count(*) AS n_patches, count(DISTINCT scene_id) AS n_scenes, (SELECT string_agg(q, ',' ORDER BY q) FROM (SELECT DISTINCT quarter AS q FROM fx_patches)) AS quarters, max(patch_size) AS patch_size FROM fx_patches")
 def _(t):
     return C.manifest(t["fx_patches"])

@@ -70,7 +70,5 @@ def _(t):
     "SELECT m AS method, o AS modality, s AS seed FROM (SELECT DISTINCT o_orderpriority AS m FROM orders), (SELECT DISTINCT o_orderstatus AS o FROM orders), (SELECT unnest([0,1,2,3]) AS s) WHERE (m,o,s) NOT IN (SELECT (method,modality,seed) FROM fx_runs)",
 )
 def _(t):
-    # The lists of an experiment are configuration: a handful of names.
     runs = t["fx_runs"]
-    methods, modalities = ([r[0] for r in runs.select(c).distinct().limit(1000).collect()] for c in ("method", "modality"))
-    return D.experiment_matrix(t.spark, methods, modalities, [0, 1, 2, 3], runs).select("method", "modality", F.col("seed").cast("int").alias("seed"))
+    return D.experiment_matrix(runs.select("method"), runs.select("modality"), [0, 1, 2, 3], runs).select("method", "modality", F.col("seed").cast("int").alias("seed"))

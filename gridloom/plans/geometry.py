@@ -123,6 +123,30 @@ def _(t):
     return G.union_area(t["fx_scenes"], CELL).select("area", "centre_x", "centre_y")
 
 
+# Slanted footprints: each scene's box with its upper side moved right by 0.37 of its width.
+_SLANT = """k AS (SELECT quarter, minx, maxx, maxx-minx AS w, miny, maxy, unnest(range(CAST(ceil(miny/{c}-0.5) AS BIGINT), CAST(ceil(maxy/{c}-0.5) AS BIGINT))) AS y FROM fx_scenes),
+c AS (SELECT DISTINCT quarter, y, unnest(range(CAST(ceil((minx+0.37*w*((y+0.5)*{c}-miny)/(maxy-miny))/{c}-0.5) AS BIGINT), CAST(ceil((maxx+0.37*w*((y+0.5)*{c}-miny)/(maxy-miny))/{c}-0.5) AS BIGINT))) AS x FROM k),
+n AS (SELECT quarter, count(*) AS n FROM c GROUP BY 1), i AS (SELECT a.quarter AS qa, b.quarter AS qb, count(*) AS i FROM c a JOIN c b ON a.x=b.x AND a.y=b.y GROUP BY ALL)"""
+FINE = 320.0
+
+
+def slanted(t):
+    s = t["fx_scenes"].withColumn("shift", 0.37 * (F.col("maxx") - F.col("minx")))
+    at = lambda x, y: F.struct(x.alias("x"), F.col(y).alias("y"))
+    corners = [at(F.col("minx"), "miny"), at(F.col("maxx"), "miny"), at(F.col("maxx") + F.col("shift"), "maxy"), at(F.col("minx") + F.col("shift"), "maxy"), at(F.col("minx"), "miny")]
+    return s.withColumn("ring", F.array(*corners))
+
+
+@query("c12_quarter_iou_slanted", f"WITH {_SLANT.format(c=FINE)} SELECT na.quarter AS quarter_a, nb.quarter AS quarter_b, round(coalesce(i,0)/(na.n+nb.n-coalesce(i,0)),6)+0.0 AS iou FROM n na CROSS JOIN n nb LEFT JOIN i ON qa=na.quarter AND qb=nb.quarter")
+def _(t):
+    return G.quarter_iou(slanted(t), FINE, "ring").withColumn("iou", r6("iou"))
+
+
+@query("c13_union_area_slanted", f"WITH {_SLANT.format(c=FINE)} SELECT (SELECT count(DISTINCT (x,y)) FROM c)*{FINE}::DOUBLE*{FINE}::DOUBLE AS area")
+def _(t):
+    return G.union_area(slanted(t), FINE, "ring").select("area")
+
+
 @query("c14_iou_pairs", f"WITH {_COVER} SELECT quarter_a, quarter_b, round(iou,6)+0.0 AS iou FROM q WHERE quarter_a<quarter_b AND iou>0.1 AND quarter_a LIKE '199%' AND quarter_b LIKE '199%'")
 def _(t):
     return G.iou_pairs(G.quarter_iou(t["fx_scenes"], CELL), 0.1, "199").withColumn("iou", r6("iou"))

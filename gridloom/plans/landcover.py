@@ -82,6 +82,20 @@ def _(t):
     return L.slice_labels(t["fx_patches"].select("patch_path", (F.col("scene_key") % t["embeddings"].count()).alias("tile")), grid, 4, 4, 3)
 
 
+# The mosaic: tiles of 4 x 4 cells of 640 m; tile (i, j) has the codes of grid (i * 31 + j) modulo their number.
+_MOSAIC = f"""{_CODES}, w AS (SELECT patch_path, px, CAST(floor((minx+(px%5+0.5)*256)/640) AS BIGINT) AS cx, CAST(floor((maxy-(px//5+0.5)*256)/640) AS BIGINT) AS cy FROM fx_patches, range(25) r(px))
+SELECT patch_path, CAST(px AS INTEGER) AS px, CAST(code AS INTEGER) AS v FROM (SELECT patch_path, px, (cx//4)*31+cy//4 AS grid, (3-cy%4)*4+cx%4 AS src FROM w) w JOIN (SELECT patch_id, px AS src, code FROM c) c ON c.patch_id=w.grid%(SELECT count(*) FROM embeddings) AND c.src=w.src"""
+
+
+@query("f8_label_windows_by_bounds", f"WITH {_MOSAIC}")
+def _(t):
+    grids = L.remap_classes(codes(t)).groupBy("patch_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("px", "code"))), lambda c: c["code"]).alias("codes"))
+    used = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / 2560).cast("int"), F.ceil(F.col(hi) / 2560).cast("int") - 1))
+    tiles = t["fx_patches"].select(used("minx", "maxx").alias("tile_x"), "miny", "maxy").select("tile_x", used("miny", "maxy").alias("tile_y")).distinct()
+    mosaic = tiles.withColumn("patch_id", (F.col("tile_x").cast("long") * 31 + F.col("tile_y")) % t["embeddings"].count()).join(grids, "patch_id")
+    return L.slice_labels_by_bounds(t["fx_patches"], mosaic, 640.0, 4, 5)
+
+
 def _stats(t, k):
     s = t["fx_scenes"].withColumns({"satellite": S.parse_satellite("scene_id"), "gsd_bucket": S.gsd_bucket("gsd_m")})
     return L.scene_stats(s)[k]

@@ -11,13 +11,21 @@ KEYS = ["patch_id"]
 
 
 def arrays(t):
-    return R.assemble(t["fx_pixels"], KEYS)
+    """The pixels of fx_pixels in array form: cut from each embedding, nothing is moved."""
+    e = t["embeddings"].select(F.col("vec_id").alias("patch_id"), F.col("label").alias("class_id"), F.col("embedding").cast("array<double>").alias("e"))
+    value = lambda x: F.floor((x + 0.6) * 200).cast("int")
+    return e.select("patch_id", "class_id", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: F.transform(F.slice("e", b * 16 + 1, 16), value)).alias("bands"))
 
 
 def cells(t):
     return t["fx_pixels"].select("patch_id", "band", "px", "v")
 
 
+def exploded(df):
+    """patch_id, band, px, v to 6 digits."""
+    return R.explode_pixels(df, KEYS).withColumn("v", r6("v"))
+
+
 @query("d1_explode_pixels", "SELECT patch_id, band, px, v FROM fx_pixels")
 def _(t):
     return R.explode_pixels(arrays(t), KEYS)
@@ -25,7 +33,7 @@ def _(t):
 
 @query("d2_assemble_patch", "SELECT patch_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY band, px) AS vs FROM fx_pixels GROUP BY 1")
 def _(t):
-    return arrays(t).select("patch_id", F.array_join(F.flatten("bands"), ",").alias("vs"))
+    return R.assemble(t["fx_pixels"], KEYS).select("patch_id", F.array_join(F.flatten("bands"), ",").alias("vs"))
 
 
 @query("d3_select_bands", "SELECT patch_id, CAST(3-band AS INTEGER) AS band, px, v FROM fx_pixels WHERE band>0")
@@ -40,13 +48,13 @@ def _(t):
 
 @query("d5_zscore", "SELECT patch_id, band, px, round((v-m)/(s+1e-6),6)+0.0 AS v FROM fx_pixels JOIN (SELECT patch_id, band, avg(v) AS m, stddev_samp(v) AS s FROM fx_pixels GROUP BY ALL) USING(patch_id,band)")
 def _(t):
-    return R.zscore(cells(t), ["patch_id", "band"]).select("patch_id", "band", "px", r6("v").alias("v"))
+    return exploded(arrays(t).select("patch_id", R.zscore_bands("bands").alias("bands")))
 
 
 @query("d6_drop_empty_tiles", "WITH z AS (SELECT patch_id, band, px, CASE WHEN v<100+patch_id%30 THEN 0 ELSE v END AS v FROM fx_pixels) SELECT * FROM z WHERE patch_id IN (SELECT patch_id FROM z GROUP BY 1 HAVING avg((v=0)::INT)<=0.5)")
 def _(t):
-    z = cells(t).withColumn("v", F.when(F.col("v") < F.lit(100) + F.col("patch_id") % 30, 0).otherwise(F.col("v")))
-    return R.drop_empty_tiles(z, KEYS).select("patch_id", "band", "px", "v")
+    dim = F.transform("bands", lambda b: F.transform(b, lambda v: F.when(v < 100 + F.col("patch_id") % 30, 0).otherwise(v)))
+    return R.explode_pixels(R.without_empty_tiles(arrays(t).withColumn("bands", dim)), KEYS)
 
 
 @query(
@@ -56,13 +64,14 @@ def _(t):
     round(avg(CASE WHEN NOT b THEN v END),6)+0.0 AS brightness_mean, round(stddev_pop(CASE WHEN NOT b THEN v END),6)+0.0 AS brightness_std FROM z JOIN p USING(patch_id,px) GROUP BY 1""",
 )
 def _(t):
-    z = cells(t).withColumn("v", F.greatest(F.col("v") - 130, F.lit(0)))
-    return R.thumb_stats(z, KEYS, 4, 4).select("patch_id", *(r6(c).alias(c) for c in ("black_edge_ratio", "center_dark_ratio", "brightness_mean", "brightness_std")))
+    dim = F.transform("bands", lambda b: F.transform(b, lambda v: F.greatest(v - 130, F.lit(0))))
+    s = arrays(t).withColumn("bands", dim).select("patch_id", R.thumb_stats_bands("bands", 4, 4).alias("s"))
+    return s.select("patch_id", *(r6(F.col("s")[c]).alias(c) for c in ("black_edge_ratio", "center_dark_ratio", "brightness_mean", "brightness_std")))
 
 
 @query("d8_resample_average", "SELECT patch_id, band, CAST((px//8)*2+(px%4)//2 AS INTEGER) AS px, round(avg(v),6)+0.0 AS v FROM fx_pixels GROUP BY ALL")
 def _(t):
-    return R.resample_average(cells(t), ["patch_id", "band"], 4, 2).select("patch_id", "band", "px", r6("v").alias("v"))
+    return exploded(arrays(t).select("patch_id", R.average_bands("bands", 4, 4, 2).alias("bands")))
 
 
 @query(
@@ -70,7 +79,7 @@ def _(t):
     "SELECT s.patch_id, s.band, CAST(d.px AS INTEGER) AS px, s.v FROM fx_pixels s JOIN (SELECT px, CAST(floor((px//6+0.5)*4/6) AS INTEGER)*4+CAST(floor((px%6+0.5)*4/6) AS INTEGER) AS src FROM range(36) r(px)) d ON d.src=s.px",
 )
 def _(t):
-    return R.resample_nearest(cells(t), ["patch_id", "band"], 4, 4, 6, 6).select("patch_id", "band", "px", "v")
+    return R.explode_pixels(arrays(t).select("patch_id", R.nearest_bands("bands", 4, 4, 6, 6).alias("bands")), KEYS)
 
 
 @query(
@@ -80,14 +89,14 @@ def _(t):
     SELECT patch_id, band, CAST(n.px AS INTEGER) AS px, round(sum(w*v),5)+0.0 AS v FROM fx_pixels s JOIN n ON n.src=s.px GROUP BY ALL""",
 )
 def _(t):
-    return R.resample_bilinear(cells(t), ["patch_id", "band"], 4, 4, 6, 6).select("patch_id", "band", "px", (F.round("v", 5) + 0.0).alias("v"))
+    return R.explode_pixels(arrays(t).select("patch_id", R.bilinear_bands("bands", 4, 4, 6, 6).alias("bands")), KEYS).withColumn("v", F.round("v", 5) + 0.0)
 
 
 @query("d9_stack_sources", "SELECT patch_id, px, CAST(band AS INTEGER) AS band, v FROM fx_pixels WHERE patch_id%5<>0")
 def _(t):
-    c = cells(t)
-    a, b = c.where("band < 2"), c.where("band >= 2 AND patch_id % 5 <> 0").withColumn("band", F.col("band") - 2)
-    return R.stack_sources([a, b], [2, 2], KEYS).select("patch_id", "px", "band", "v")
+    b = arrays(t)
+    first, second = b.select("patch_id", F.slice("bands", 1, 2).alias("bands")), b.where("patch_id % 5 <> 0").select("patch_id", F.slice("bands", 3, 2).alias("bands"))
+    return R.explode_pixels(R.stack_bands([first, second], KEYS), KEYS).select("patch_id", "px", "band", "v")
 
 
 @query("d10_clip_to_box", "SELECT patch_id, band, px, v FROM fx_pixels WHERE px%4+0.5 BETWEEN 1 AND 3 AND px//4+0.5 BETWEEN 0 AND 2")
@@ -108,5 +117,5 @@ def _(t):
 
 @query("d12_scale_01", "SELECT patch_id, band, px, round(CASE WHEN patch_id%2=0 THEN (v%2)::DOUBLE ELSE v/255 END,6)+0.0 AS v FROM fx_pixels")
 def _(t):
-    c = cells(t).withColumn("v", F.when(F.col("patch_id") % 2 == 0, F.col("v") % 2).otherwise(F.col("v")))
-    return R.scale_01(c, KEYS).select("patch_id", "band", "px", r6("v").alias("v"))
+    odd = F.transform("bands", lambda b: F.transform(b, lambda v: F.when(F.col("patch_id") % 2 == 0, v % 2).otherwise(v)))
+    return exploded(arrays(t).withColumn("bands", odd).select("patch_id", R.scale_01_bands("bands", always=False).alias("bands")))

@@ -47,5 +47,5 @@ def _(t):
     for k in (0, 1):
         runs.where(F.col("seed") == k).write.mode("append").parquet(source)
         done = I.incremental_index(t.spark, source, runs.schema, lambda df: df, ["method", "modality", "seed"], out, state)
-    methods, modalities = ([r[0] for r in runs.select(c).distinct().limit(1000).collect()] for c in ("method", "modality"))
-    return D.experiment_matrix(t.spark, methods, modalities, [0, 1, 2], done).select("method", "modality", F.col("seed").cast("int").alias("seed"))
+    names = t["fx_runs"]
+    return D.experiment_matrix(names.select("method"), names.select("modality"), [0, 1, 2], done).select("method", "modality", F.col("seed").cast("int").alias("seed"))

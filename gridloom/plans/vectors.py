@@ -20,6 +20,12 @@ def _(t):
     return E.pca_project(vectors(t), "vec_id", "e").select("vec_id", r6(F.abs(F.col("projected")[0])).alias("c0"), r6(F.abs(F.col("projected")[1])).alias("c1"))
 
 
+@query("j1_pca_norms", f"WITH {_V}, x AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e,1) AS i FROM v), m AS (SELECT i, avg(x) AS m FROM x GROUP BY 1) SELECT vec_id, round(sum((x-m)*(x-m)),5)+0.0 AS squared_norm FROM x JOIN m USING(i) GROUP BY 1")
+def _(t):
+    """All components together only turn the centred vectors, so their lengths stay."""
+    return E.pca_project(vectors(t), "vec_id", "e", 64).select("vec_id", (F.round(E.dot("projected", "projected"), 5) + 0.0).alias("squared_norm"))
+
+
 @query("j2_kmeans")
 def _(t):
     return E.kmeans_labels(vectors(t), "vec_id", "e")
@@ -41,6 +47,14 @@ def _(t):
     return s.select((F.round("silhouette", 5) + 0.0).alias("silhouette"), (F.round("estimate", 4) + 0.0).alias("estimate"))
 
 
+_SIL2 = _SIL.replace("sum(list_distance(a.e,b.e))", "sum(list_distance(a.e,b.e)*list_distance(a.e,b.e))")
+
+
+@query("j3_silhouette_squared", f"WITH {_SIL2} SELECT vec_id, round(s,5)+0.0 AS silhouette FROM sil")
+def _(t):
+    return E.silhouette_squared(vectors(t), "vec_id", "e", "label").select("vec_id", (F.round("silhouette", 5) + 0.0).alias("silhouette"))
+
+
 @query(
     "j4_uniformity",
     f"WITH {_V}, u AS (SELECT vec_id, list_transform(e, lambda x: x/sqrt(list_dot_product(e,e))) AS e FROM v) SELECT round(ln(sum(exp(-2*list_distance(a.e,b.e))))/count(*)*1000,6)+0.0 AS uniformity_k, round(2*sum(abs(list_dot_product(a.e,b.e)))/pow((SELECT count(*) FROM u),2),6)+0.0 AS mean_abs_cosine FROM u a JOIN u b ON a.vec_id<b.vec_id",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,14 +109,17 @@ def manifest(patches: DataFrame) -> DataFrame:
 
 def load_labels(spark: SparkSession, path: str | None) -> DataFrame:
     """Labels, or an empty table of their schema where no path is given or nothing is there."""
-    from pyspark.errors import AnalysisException
+    return read_or_empty(spark, path, LABELS) if path else spark.createDataFrame([], LABELS)
 
-    if path:
-        try:
-            return spark.read.schema(LABELS).parquet(path)
-        except AnalysisException:
-            pass
-    return spark.createDataFrame([], LABELS)
+
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A Parquet table, or an empty one of its schema where nothing is at the path. Any other failure is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def list_datasets(patches: DataFrame, memory: DataFrame | None = None) -> DataFrame:
@@ -179,6 +182,18 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return f.select("f.properties.*", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 
+def write_geojson(df: DataFrame, path: str, kind: str, coordinates: Column, properties: list[str]) -> None:
+    """A line for each feature, written by all tasks: the form of GeoJSON that can be split and read by many."""
+    geometry = F.named_struct(F.lit("type"), F.lit(kind), F.lit("coordinates"), coordinates)
+    feature = F.named_struct(F.lit("type"), F.lit("Feature"), F.lit("geometry"), geometry, F.lit("properties"), F.struct(*properties))
+    df.select(F.to_json(feature).alias("value")).write.text(path)
+
+
+def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """read_geojson() of files with a feature on each line."""
+    return spark.read.json(path).select("properties.*", F.col("geometry.type").alias("geometry_type"), F.col("geometry.coordinates").alias("coordinates"))
+
+
 def point_feature(lon: Column | str, lat: Column | str, properties: dict[str, Column]) -> Column:
     """A GeoJSON point: coordinates to 6 digits, numbers among the properties to 4 as given."""
     point = F.named_struct(F.lit("type"), F.lit("Point"), F.lit("coordinates"), F.array(F.round(S.col(lon), 6), F.round(S.col(lat), 6)))
@@ -198,6 +213,3 @@ def write_report(df: DataFrame, path: str) -> None:
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
-
-def latest(df: DataFrame, key: str, order: Column) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(order))).where("_r = 1").drop("_r")

@@ -1,18 +1,22 @@
 """Incremental work by Structured Streaming: files that arrive are processed once, a stopped run goes on where it was.
 
 Each micro-batch is written to a folder of its number, replacing what an earlier attempt at it left, so a batch that is
-run again after a failure doesn't double its rows.
+run again after a failure doesn't double its rows. An index is cut into PARTS by a hash of its keys, and a batch reads the keys of
+those parts alone that its own rows fall in.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.catalogue import read_or_empty
+
+PARTS = 64
+
 
 def read_stream(spark: SparkSession, source: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
@@ -20,10 +24,7 @@ def read_stream(spark: SparkSession, source: str, schema: T.StructType, files_pe
 
 def table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """What the batches so far have written, or an empty table."""
-    try:
-        return spark.read.schema(T.StructType([*schema, T.StructField("batch", T.LongType())])).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], T.StructType([*schema, T.StructField("batch", T.LongType())]))
+    return read_or_empty(spark, path, T.StructType([*schema, T.StructField("batch", T.LongType())]))
 
 
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -35,13 +36,17 @@ def incremental_index(spark: SparkSession, source: str, schema: T.StructType, ro
     """Appends rows(new files) whose key isn't in the index yet; returns the index."""
     made = rows(spark.createDataFrame([], schema)).schema
 
+    stored = T.StructType([*made, T.StructField("part", T.IntegerType())])
+
     def write(batch: DataFrame, number: int) -> None:
-        known = table(spark, out, made).where(F.col("batch") != number).select(*keys)
-        new = rows(batch).dropDuplicates(keys).join(known, keys, "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        new = rows(batch).dropDuplicates(keys).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")).persist()
+        touched = [r["part"] for r in new.select("part").distinct().collect()]  # at most PARTS numbers
+        known = table(spark, out, stored).where((F.col("batch") != number) & F.col("part").isin(touched)).select("part", *keys)
+        new.join(known, ["part", *keys], "left_anti").select(*stored.names).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{out}/batch={number}")
+        new.unpersist()
 
     run_available(read_stream(spark, source, schema, files_per_batch), write, checkpoint)
-    return table(spark, out, made).drop("batch")
+    return table(spark, out, stored).drop("batch", "part")
 
 
 def metrics_stream(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str, time: str = "ts", late: str = "30 days", files_per_batch: int = 1000) -> DataFrame:

@@ -296,3 +296,79 @@ def test_presets_and_channels(spark):
 def test_fit_size_crops_and_pads(spark):
     df = spark.createDataFrame([(1, 0, p, p + 1) for p in range(4)], "k int, band int, px int, v int")
     assert sorted(values(raster.fit_size(df, 2, 2, 3, 1, ["k"]), "px", "v")) == [(0, 1), (1, 2), (2, 0)]
+
+
+def test_ranges_give_exact_places_sums_and_percentiles(spark):
+    from gridloom.operators import ranges
+
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 50, 400).astype(float)
+    df = spark.createDataFrame([(k % 3 or None, float(v), int(k)) for k, v in enumerate(x)], "g int, v double, n int").repartition(7)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in (1, 13):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = ranges.percentiles(df, "v", {"a": 0.0, "b": 0.5, "c": 0.95, "d": 1.0}).first()
+            assert np.allclose(tuple(got), [np.percentile(x, q) for q in (0, 50, 95, 100)])
+            assert sorted(values(ranges.placed(df, F.col("n")), "n", "_place")) == [(k, k + 1) for k in range(400)]
+            made = values(ranges.running_sums(df, "g", F.desc("n"), ["v"]), "g", "n", "running_v")
+            assert len(made) == 400 and all(s == x[[k for k in range(n, 400) if (k % 3 or None) == g]].sum() for g, n, s in made)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert tuple(ranges.percentiles(df.limit(0), "v", {"a": 0.5}).first()) == (None,)
+    assert tuple(ranges.percentiles(df.where("n = 5"), "v", {"a": 0.95}).first()) == (x[5],)
+
+
+def test_cells_of_a_slanted_ring_are_those_with_their_centre_inside(spark):
+    ring = [(12.0, 3.0), (71.0, 22.0), (40.0, 66.0), (30.0, 20.0), (12.0, 3.0)]
+    df = spark.createDataFrame([("q", [{"x": x, "y": y} for x, y in ring])], "quarter string, ring array<struct<x:double,y:double>>")
+    made = {tuple(r) for r in G.ring_cells(df, 4.0, "ring").select("gx", "gy").collect()}
+    want = set()
+    for i in range(30):
+        for j in range(30):
+            x, y, inside = i * 4 + 2, j * 4 + 2, False
+            for (ax, ay), (bx, by) in zip(ring, ring[1:], strict=False):
+                if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                    inside = not inside
+            if inside:
+                want.add((i, j))
+    assert made == want and len(made) > 40
+
+
+def test_array_forms_equal_cell_forms(spark):
+    rng = np.random.default_rng(11)
+    bands = rng.integers(0, 9, (5, 3, 16)).astype(float)
+    bands[0, 0] = 0
+    df = spark.createDataFrame([(k, b.tolist()) for k, b in enumerate(bands)], "t int, bands array<array<double>>")
+    cells = raster.explode_pixels(df, ["t"])
+    flat = lambda d: sorted((*map(int, r[:-1]), round(r[-1], 9)) for r in values(d, "t", "band", "px", "v"))
+    held = lambda c: flat(raster.explode_pixels(df.select("t", c.alias("bands")), ["t"]))
+    for ddof in (0, 1):
+        assert held(raster.zscore_bands("bands", ddof, True)) == flat(raster.zscore(cells, ["t", "band"], ddof, True))
+    for n in ((6, 6), (3, 5), (4, 4)):
+        assert held(raster.bilinear_bands("bands", 4, 4, *n)) == flat(raster.resample_bilinear(cells, ["t", "band"], 4, 4, *n))
+        assert held(raster.nearest_bands("bands", 4, 4, *n)) == flat(raster.resample_nearest(cells, ["t", "band"], 4, 4, *n))
+    assert held(raster.average_bands("bands", 4, 4, 2)) == flat(raster.resample_average(cells, ["t", "band"], 4, 2))
+    assert held(raster.scale_01_bands("bands", always=False)) == flat(raster.scale_01(cells, ["t"]))
+    for share in (0.1, 0.2):
+        assert set(values(raster.without_empty_tiles(df, max_zero=share), "t")) == set(values(raster.drop_empty_tiles(cells, ["t"], share), "t"))
+    names = ["black_edge_ratio", "center_dark_ratio", "brightness_mean", "brightness_std"]
+    want = {r["t"]: [r[c] for c in names] for r in raster.thumb_stats(cells, ["t"], 4, 4).collect()}
+    for r in df.select("t", raster.thumb_stats_bands("bands", 4, 4).alias("s")).collect():
+        assert [x if x is None else pytest.approx(x) for x in r["s"]] == want[r["t"]]
+
+
+def test_index_batches_read_the_touched_parts_only_and_other_failures_are_raised(spark, tmp_path):
+    from gridloom.streaming import incremental
+
+    schema = spark.createDataFrame([], "k long, v string").schema
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for rows in ([(k, "a") for k in range(50)], [(k, "b") for k in range(40, 60)], [(0, "c")]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        made = incremental.incremental_index(spark, source, schema, lambda df: df, ["k"], out, state)
+    assert sorted(values(made, "k", "v")) == [(k, "a" if k < 50 else "b") for k in range(60)]
+    assert incremental.table(spark, str(tmp_path / "none"), schema).count() == 0
+    with pytest.raises(Exception, match="nosuchstore"):
+        incremental.table(spark, "nosuchstore://there/x", schema)
