@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 _BEFORE_WORD = re.compile(r"(?= \S)")
 #: White space but the line feed. Two such side by side, three line feeds, or two at the end belong to tokens of their own kind.
 _WHITE = "\t\x0b\x0c\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_TIGHT = rf"[{_WHITE}][{_WHITE}\n]|\n[{_WHITE}]|\n\n\n|\n\n\z"
-_TIGHT_PY = re.compile(_TIGHT.replace(r"\z", r"\Z"))
+TIGHT = rf"[{_WHITE}][{_WHITE}\n]|\n[{_WHITE}]|\n\n\n|\n\n\z"
+_TIGHT_PY = re.compile(TIGHT.replace(r"\z", r"\Z"))
 
 
 def space_chunks(text: str) -> list[str]:
@@ -41,7 +41,7 @@ def chunked(texts: pa.Array, special: list[str] = ()) -> tuple[list[str], np.nda
     are cut one by one. The list may have an empty chunk.
     """
     texts = pc.fill_null(texts, "")
-    odd = pc.match_substring_regex(texts, _TIGHT)
+    odd = pc.match_substring_regex(texts, TIGHT)
     for s in special:
         odd = pc.or_(odd, pc.match_substring(texts, s))
     is_odd = odd.to_numpy(zero_copy_only=False)
@@ -49,7 +49,7 @@ def chunked(texts: pa.Array, special: list[str] = ()) -> tuple[list[str], np.nda
     parts = pc.split_pattern(pc.replace_substring(plain, "\n", " \n "), " ")
     bounds, coded = parts.offsets.to_numpy().astype(np.int64), parts.values.dictionary_encode()
     words = coded.dictionary
-    at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    at = coded.indices.to_numpy(zero_copy_only=False)
     # Bare of a space before it: a text's first part, a line feed, and the part after it.
     bare = np.zeros(len(at), bool)
     bare[bounds[:-1]] = True
@@ -58,7 +58,7 @@ def chunked(texts: pa.Array, special: list[str] = ()) -> tuple[list[str], np.nda
     bare[1:] |= feed[:-1]
     at = 2 * at + bare
     used = np.bincount(at, minlength=2 * len(words)) > 0
-    codes = (np.cumsum(used) - 1)[at]
+    codes = (np.cumsum(used, dtype=np.int32) - 1)[at]
     where = np.flatnonzero(used)
     distinct = [w if b else f" {w}" for w, b in zip(words.take(pa.array(where >> 1)).to_pylist(), (where & 1).tolist(), strict=True)]
     if not is_odd.any():
@@ -71,9 +71,9 @@ def chunked(texts: pa.Array, special: list[str] = ()) -> tuple[list[str], np.nda
         rows.append([known.setdefault(c, len(known)) for k, part in enumerate(cut) for c in ([part] if k % 2 else space_chunks(part)) if c])
     sizes = np.zeros(len(texts), np.int64)
     sizes[~is_odd], sizes[is_odd] = np.diff(bounds), [len(r) for r in rows]
-    out = np.empty(int(sizes.sum()), np.int64)
+    out = np.empty(int(sizes.sum()), np.int32)
     mine = np.repeat(is_odd, sizes)
-    out[~mine], out[mine] = codes, np.array([c for r in rows for c in r], np.int64)
+    out[~mine], out[mine] = codes, np.array([c for r in rows for c in r], np.int32)
     return list(known), out, np.concatenate([[0], np.cumsum(sizes)])
 
 
