@@ -31,6 +31,20 @@ def _(t):
     return E.kmeans_labels(vectors(t), "vec_id", "e")
 
 
+@query(
+    "j2_kmeans_inertia",
+    f"WITH {_V}, x AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e,1) AS i FROM v), m AS (SELECT i, avg(x) AS m FROM x GROUP BY 1) SELECT (SELECT count(*) FROM v) AS n, CAST(least(5,(SELECT count(*) FROM v)-1) AS BIGINT) AS n_clusters, round(sum((x-m)*(x-m)),3)+0.0 AS total, true AS less FROM x JOIN m USING(i)",
+)
+def _(t):
+    """Of the labels: rows, clusters, the sum of squares around the common mean, and whether that around the clusters' own means is less."""
+    v = vectors(t)
+    named = v.join(E.kmeans_labels(v, "vec_id", "e"), "vec_id").select("cluster", F.posexplode("e").alias("i", "x"))
+    part = named.groupBy("cluster", "i").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.var_pop("x").alias("v"))
+    one = part.groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("n") * F.col("v")).alias("inner"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), F.countDistinct("cluster").alias("k"))
+    total = F.sum(F.col("inner") + F.col("q") - F.col("s") * F.col("s") / F.col("n"))
+    return one.agg(F.max("n").alias("n"), F.max("k").alias("n_clusters"), (F.round(total, 3) + 0.0).alias("total"), (F.sum("inner") < total).alias("less"))
+
+
 _SIL = f"""{_V}, n AS (SELECT label, count(*) AS n FROM v GROUP BY 1), d AS (SELECT a.vec_id, a.label, b.label AS o, sum(list_distance(a.e,b.e)) AS s FROM v a, v b GROUP BY ALL),
 m AS (SELECT vec_id, d.label, o, CASE WHEN o=d.label THEN s/nullif(n-1,0) ELSE s/n END AS m FROM d JOIN n ON n.label=d.o), ab AS (SELECT vec_id, label, max(m) FILTER (WHERE o=label) AS a, min(m) FILTER (WHERE o<>label) AS b FROM m GROUP BY ALL),
 sil AS (SELECT vec_id, label, coalesce((b-a)/greatest(a,b),0.0) AS s FROM ab)"""
@@ -78,6 +92,14 @@ def _(t):
     return M.overall_accuracy(out.withColumnRenamed("label", "y_true"))
 
 
+@query("j6_probe_against_majority", f"WITH {_V} SELECT (SELECT count(*) FROM v) AS n, round(max(n)/sum(n),6)+0.0 AS majority, true AS as_good FROM (SELECT count(*) AS n FROM v GROUP BY label)")
+def _(t):
+    """Rows, the accuracy of always saying their most frequent class, and whether the probe is as good or better on what it learnt from."""
+    v = vectors(t)
+    out = E.linear_probe(v, v, "e", "label").withColumnRenamed("label", "y_true")
+    return M.overall_accuracy(out).crossJoin(M.constant_baseline(out)).crossJoin(out.agg(F.count("*").alias("n"))).select("n", r6("accuracy").alias("majority"), (F.col("overall_accuracy") >= F.col("accuracy")).alias("as_good"))
+
+
 _WEIGHTS = [[((i * 7 + j * 3) % 11 - 5) / 10 for i in range(64)] for j in range(4)]
 _BIAS = [0.0, 0.1, -0.1, 0.05]
 
