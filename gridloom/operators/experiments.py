@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import running_sums
+
 
 def aggregate_runs(runs: DataFrame, metric: str) -> DataFrame:
     """Mean, sample deviation (0 of one run), number of runs and the first seed's parameters of each method and modality."""
@@ -54,6 +56,13 @@ def mean_time_by_method(runs: DataFrame, time: str = "train_time_sec") -> DataFr
 
 
 def training_curves(lines: DataFrame) -> DataFrame:
-    """(method, modality, seed) with arrays of epochs and losses in order of epoch."""
+    """(method, modality, seed) with arrays of epochs and losses in order of epoch; runs of any length are rather curve_points()."""
     s = F.array_sort(F.collect_list(F.struct("epoch", "loss")))
     return lines.groupBy("method", "modality", "seed").agg(s.alias("_s")).select("method", "modality", "seed", F.transform("_s", lambda x: x["epoch"]).alias("epochs"), F.transform("_s", lambda x: x["loss"]).alias("losses"))
+
+
+def curve_points(lines: DataFrame) -> DataFrame:
+    """(method, modality, seed, place, epoch, loss): each point of a run with its place, from 1, in order of epoch and loss. A long run is spread over tasks."""
+    keys = ["method", "modality", "seed"]
+    points = lines.select(*keys, "epoch", "loss", F.to_json(F.struct(*keys)).alias("_run"), F.struct("epoch", "loss").alias("_at"), F.lit(1).alias("_one"))
+    return running_sums(points, "_run", F.col("_at"), ["_one"]).select(*keys, F.col("running__one").alias("place"), "epoch", "loss")

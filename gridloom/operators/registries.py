@@ -29,6 +29,13 @@ def job_progress(jobs: DataFrame, metrics: str = "metrics") -> DataFrame:
     return jobs.withColumn("_m", m).withColumns({"current_epoch": F.coalesce(last(F.col("_m.epoch")), F.lit(0)), "last_loss": last(F.col("_m.loss")), "n_entries": F.coalesce(F.size("_m.loss"), F.lit(0))}).drop("_m")
 
 
+def entry_progress(entries: DataFrame, job: str, order: str, epoch: str, loss: str) -> DataFrame:
+    """job_progress() of jobs whose entries are rows: the last one's epoch and loss by an order, and their number. Nothing is gathered."""
+    last = F.max(F.struct(order, epoch, loss)).alias("_l")
+    out = entries.groupBy(job).agg(last, F.count("*").cast("int").alias("n_entries"))
+    return out.select(job, F.coalesce(F.col(f"_l.{epoch}"), F.lit(0)).alias("current_epoch"), F.col(f"_l.{loss}").alias("last_loss"), "n_entries")
+
+
 def register_result(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """The next snapshot: of rows with one key, the last written; the new ones come after the old ones."""
     both = old.withColumn("_s", F.lit(0)).unionByName(new.withColumn("_s", F.lit(1)), allowMissingColumns=True)

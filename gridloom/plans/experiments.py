@@ -85,3 +85,12 @@ def _(t):
 def _(t):
     c = X.training_curves(C.parse_training_logs(t["fx_logs"]))
     return c.select("method", "modality", "seed", F.array_join("epochs", ",").alias("epochs"), r6(F.aggregate("losses", F.lit(0.0), lambda a, x: a + x)).alias("total"), F.size("losses").cast("long").alias("n"))
+
+
+@query(
+    "i8_curve_points",
+    r"""WITH l AS (SELECT regexp_extract(line,'\[([^|]+)\|',1) AS method, regexp_extract(line,'\|(m[0-9])\|',1) AS modality, CAST(regexp_extract(line,'seed=(\d+)',1) AS INTEGER) AS seed, CAST(regexp_extract(line,'Epoch (\d+)/',1) AS INTEGER) AS epoch, CAST(regexp_extract(line,'loss=([\d.]+)',1) AS DOUBLE) AS loss FROM fx_logs WHERE regexp_matches(line,'loss=[\d.]+'))
+    SELECT method, modality, seed, row_number() OVER (PARTITION BY method, modality, seed ORDER BY epoch, loss) AS place, epoch, loss FROM l""",
+)
+def _(t):
+    return X.curve_points(C.parse_training_logs(t["fx_logs"]))

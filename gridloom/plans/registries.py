@@ -33,10 +33,8 @@ def _(t):
     """WITH e AS (SELECT user_id, event_id, CAST(json_extract(props,'$.k') AS INTEGER) AS k FROM events) SELECT user_id, CAST(arg_max(k,event_id) AS INTEGER) AS current_epoch, arg_max(k,event_id)+0.5::DOUBLE AS last_loss, CAST(count(*) AS INTEGER) AS n_entries FROM e GROUP BY 1""",
 )
 def _(t):
-    e = t["events"].select("user_id", "event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    s = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "k"))).alias("s"))
-    jobs = s.select("user_id", F.to_json(F.struct(F.transform("s", lambda x: x["k"]).alias("epoch"), F.transform("s", lambda x: x["k"] + 0.5).alias("loss"))).alias("metrics"))
-    return K.job_progress(jobs).select("user_id", "current_epoch", F.col("last_loss").cast("double").alias("last_loss"), "n_entries")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return K.entry_progress(t["events"].select("user_id", "event_id", k.alias("k"), (k + 0.5).cast("double").alias("loss")), "user_id", "event_id", "k", "loss")
 
 
 @query("k4_register_result", "SELECT o_orderkey AS model_id, CASE WHEN o_orderkey%3=0 THEN o_totalprice*2 ELSE o_totalprice END AS score FROM orders")

@@ -246,6 +246,13 @@ def test_reoriented_activation_and_registration(spark):
     assert sorted(values(registries.register_result(old, new, "id", "at"), "id", "v")) == [(1, "c"), (2, "b")]
 
 
+def test_progress_of_json_and_of_rows(spark):
+    jobs = spark.createDataFrame([(1, '{"epoch": [1, 2], "loss": [0.5, 0.25]}'), (2, '{"epoch": [], "loss": []}'), (3, None)], "job int, metrics string")
+    assert sorted(values(registries.job_progress(jobs), "job", "current_epoch", "last_loss", "n_entries")) == [(1, 2, 0.25, 2), (2, 0, None, 0), (3, 0, None, 0)]
+    rows = spark.createDataFrame([(1, 7, 1, 0.5), (1, 8, 2, 0.25), (2, 1, None, None)], "job int, at int, epoch int, loss double")
+    assert sorted(values(registries.entry_progress(rows, "job", "at", "epoch", "loss"), "job", "current_epoch", "last_loss", "n_entries")) == [(1, 2, 0.25, 2), (2, 0, None, 1)]
+
+
 def test_pareto_front_with_ties(spark):
     p = spark.createDataFrame([("a", 1, 0.5), ("b", 1, 0.6), ("c", 2, 0.6), ("d", 3, 0.7)], "m string, cost int, score double").withColumn("g", F.lit(1))
     assert sorted(values(experiments.pareto_front(p, "cost", "score", ["g"]).where("on_front"), "m")) == ["b", "d"]
