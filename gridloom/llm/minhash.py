@@ -311,40 +311,48 @@ def _asking(members: DataFrame, sigs: DataFrame, labels: DataFrame, least: int,
 def _links_to_components(asks: DataFrame, labels: DataFrame, sigs: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
     """(a, b): a link for each asker a and component (asks: a, b) in which some member's full set is similar enough.
 
-    An asker is held against all members of the component, in blocks: sets of BLOCK askers and BLOCK members meet in a
-    group, and only links leave it.
+    An asker is held against all members of the component, in blocks: BLOCK askers and BLOCK members meet in a group, first with their
+    signatures alone. Full sets go only to those of a group that have a signature like theirs on the other side, and only links leave it.
     """
     named = labels.select("id", "component")
     wanted = asks.groupBy(F.col("b").alias("component")).agg(F.count("*").alias("n_odd"))
     inside = named.unionByName(wanted.select(F.col("component").alias("id"), "component"))
     sizes = inside.groupBy("component").agg(F.count("*").alias("n"))
     target = checkpointed(wanted.join(sizes, "component"))
-    held = sigs.select("id", "sig").join(sets, "id")
+    signed = sigs.select("id", "sig")
     (blocks, own), (odd_blocks, own_odd) = _blocks("id", "n", 2), _blocks("id", "n_odd", 3)
-    others = inside.join(target, "component").select("id", "component", F.lit(False).alias("asks"), own.alias("q"), F.explode(_count_to(odd_blocks)).alias("p"))
-    askers = asks.select(F.col("a").alias("id"), F.col("b").alias("component")).join(target, "component").select("id", "component", F.lit(True).alias("asks"), own_odd.alias("p"), F.explode(_count_to(blocks)).alias("q"))
-    rows = others.unionByName(askers).join(held, "id")
+    others = inside.join(target, "component").select("id", "component", F.lit(0).alias("asks"), own.alias("q"), F.explode(_count_to(odd_blocks)).alias("p"))
+    askers = asks.select(F.col("a").alias("id"), F.col("b").alias("component")).join(target, "component").select("id", "component", F.lit(1).alias("asks"), own_odd.alias("p"), F.explode(_count_to(blocks)).alias("q"))
+    place = ["component", "p", "q"]
 
-    def work(asks_: list, ids: list, sigs_: list, sets_: list) -> list[tuple]:
+    def sides(asks_: list, ids: list, sigs_: list) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """Each asker's place in the group, and the places of others with a like signature beside the number of equal minima, likest first."""
         others_ = [k for k, x in enumerate(asks_) if not x]
-        askers_ = [k for k, x in enumerate(asks_) if x]
-        if not others_ or not askers_:
-            return []
-        table = np.frombuffer(b"".join([sigs_[k] for k in others_]), np.uint8).reshape(-1, HASHES)
+        if others_:
+            table = np.frombuffer(b"".join([sigs_[k] for k in others_]), np.uint8).reshape(-1, HASHES)
+            for k, x in enumerate(asks_):
+                if x:
+                    same = (table == np.frombuffer(sigs_[k], np.uint8)).sum(axis=1)
+                    at = np.flatnonzero(same >= least)
+                    yield k, [others_[m] for m in at[np.argsort(-same[at], kind="stable")].tolist() if ids[others_[m]] != ids[k]]
+
+    def like(component: list, p: list, q: list, asks_: list, ids: list, sigs_: list) -> list[tuple]:
+        kept: set[int] = set()
+        for k, found in sides(asks_, ids, sigs_):
+            kept.update(found, [k] if found else ())
+        return [(component[k], p[k], q[k], asks_[k], ids[k]) for k in sorted(kept)]
+
+    def work(asks_: list, ids: list, sigs_: list, sets_: list) -> list[tuple]:
         out = []
-        for k in askers_:
-            same = (table == np.frombuffer(sigs_[k], np.uint8)).sum(axis=1)
+        for k, found in sides(asks_, ids, sigs_):
             own_set = np.frombuffer(sets_[k], np.uint64)
-            for m in np.argsort(-same, kind="stable").tolist():
-                if same[m] < least:
-                    break
-                j = others_[m]
-                if ids[j] != ids[k] and _sets_similar(own_set, np.frombuffer(sets_[j], np.uint64), percent):
-                    out.append((min(ids[k], ids[j]), max(ids[k], ids[j])))
-                    break
+            j = next((j for j in found if _sets_similar(own_set, np.frombuffer(sets_[j], np.uint64), percent)), None)
+            if j is not None:
+                out.append((min(ids[k], ids[j]), max(ids[k], ids[j])))
         return out
 
-    return _grouped(rows, ["component", "p", "q"], ["asks", "id", "sig", "shingles"], work, "a long, b long").distinct()
+    near = _grouped(others.unionByName(askers).join(signed, "id"), place, [*place, "asks", "id", "sig"], like, "component long, p long, q long, asks long, id long")
+    return _grouped(near.join(signed, "id").join(sets, "id"), place, ["asks", "id", "sig", "shingles"], work, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
