@@ -42,6 +42,12 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that both grow with the input: by sorting and merging. The planner would send a compressed table to the driver
+    and to all executors as long as it looks small."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores after it, that no column of df has (whatever its case)."""
     taken = {c.lower() for c in df.columns}

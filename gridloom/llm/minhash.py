@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, numbered, slices, written
+from .common import checkpointed, merged, numbered, slices, written
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
@@ -360,9 +360,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     sketches = written(sketch(docs, shingle, key, text), "sketches")
     sound = sketches.where("digest is not null and doc_id is not null")
     # A class of equal sets: partial minima, whatever its size. Its number is stored, so it stays the same.
-    classes = written(sound.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = checkpointed(sound.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("id", F.monotonically_increasing_id()))
     # A row of each class, whose sets and so bands and signatures are equal.
-    first = sound.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"]).select("id", "bands", "sig").dropDuplicates(["id"])
+    first = merged(sound, classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"]).select("id", "bands", "sig").dropDuplicates(["id"])
     rows = first.select(F.explode("bands").alias("band"), "id")
     buckets = checkpointed(rows.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead"))
     members = written(rows.join(buckets, "band").select("band", "id", "lead").distinct(), "buckets")
@@ -376,7 +376,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
 
     pairs = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     likely = _agreeing(pairs, sigs, least).groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    named = checkpointed(sound.select("doc_id", "digest").join(classes, "digest").select("doc_id", "id").distinct())
+    named = checkpointed(merged(sound.select("doc_id", "digest"), classes, "digest").select("doc_id", "id").distinct())
     several = named.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
     of_one = named.join(several, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
     labels = components(checkpointed(confirmed(likely, sets, percent).unionByName(of_one)))
@@ -385,11 +385,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     more = _links_to_components(asks, labels, sigs, sets, least, percent)
     labels = checkpointed(components(as_links(labels).unionByName(more)))
     # The least doc_id of each component, given to its classes in parts: a component may hold a third of them.
-    own = classes.join(labels, "id", "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
+    own = merged(classes, labels, "id", "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
     lowest = own.groupBy("component").agg(F.min("rep").alias("_c"), F.count("*").alias("n")).where("n > 1").select("component", "_c", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     found = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(lowest, ["component", "salt"], "left").select("id", F.coalesce("_c", "rep").alias("_c"))
-    component = named.join(found, "id").groupBy("doc_id").agg(F.min("_c").alias("_c"))
-    out = sketches.select("doc_id", "n_shingles").join(component, "doc_id", "left")
+    component = merged(named, found, "id").groupBy("doc_id").agg(F.min("_c").alias("_c"))
+    out = merged(sketches.select("doc_id", "n_shingles"), component, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"), F.coalesce(F.coalesce("_c", "doc_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
@@ -400,7 +400,7 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80
     """
     rows, row = numbered(docs, "rows")
     found = checkpointed(near_duplicates(rows, shingle, percent, row, text).select(F.col("doc_id").alias("row"), "component_id"))
-    named = found.join(rows.select(F.col(row).alias("row"), F.col(key).alias("k")), "row")
+    named = merged(found, rows.select(F.col(row).alias("row"), F.col(key).alias("k")), "row")
     groups = checkpointed(named.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("k").isNull(), "k", "row")).alias("m")).where("n > 1"))
     out = found.where("row <> component_id").select("row").unionByName(groups.select(F.col("component_id").alias("row"))).join(groups.select(F.col("m.row").alias("row")), "row", "left_anti")
     return rows.join(out.withColumnRenamed("row", row), row, "left_anti").select(docs.columns)
