@@ -19,9 +19,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import TIGHT, chunked, gathered
 from .common import slices
 from .merging import Kept, MergeTable, merge
 
@@ -133,30 +135,57 @@ class PieceModel:
     def _char_of(self, symbol: int) -> str:
         return chr(int(np.flatnonzero(self.of_char == symbol)[0]))
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids with the begin and end ids around, as little-endian unsigned 32-bit numbers."""
-        rows = [self.words(t) if t else [] for t in texts]
-        distinct = list({w for row in rows for w in row})
-        known = dict(zip(distinct, self.kept.of(distinct), strict=True))
-        kind = np.uint16 if self.n_ids <= 1 << 16 else np.uint32
-        out = []
-        for row in rows:
-            ids = np.frombuffer(b"".join(map(known.__getitem__, row)), kind)
-            whole = np.empty(len(ids) + 2, "<u4")
-            whole[0], whole[-1], whole[1:-1] = self.begin, self.end, ids
-            out.append(whole)
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids with the begin and end ids around, as little-endian unsigned 32-bit numbers.
+
+        Texts in which spaces stand alone are cut and their words counted by Arrow, the others one by one by words().
+        """
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.match_substring_regex(texts, f"{TIGHT}|^ |{META}"), pa.scalar(not self.line_alone))
+        plain = texts.filter(pc.invert(odd))
+        distinct, codes, bounds = chunked(plain)
+        # The prefix stands before a text's first chunk, if the text isn't empty.
+        k, first = len(distinct), bounds[:-1]
+        codes = codes.astype(np.int64)
+        codes[first[pc.binary_length(plain).to_numpy(zero_copy_only=False) > 0]] += k
+        used = np.bincount(codes, minlength=2 * k) > 0
+        names = [self.prefix + distinct[c - k] if c >= k else META + distinct[c][1:] if distinct[c].startswith(" ") else distinct[c] for c in np.flatnonzero(used).tolist()]
+        rows = [self.words(t) for t in texts.filter(odd).to_pylist()]
+        place: dict[str, int] = {}
+        at = np.array([place.setdefault(w, len(place)) for w in names], np.int64)
+        cut = np.cumsum([0, *map(len, rows)])
+        flat = np.array([place.setdefault(w, len(place)) for row in rows for w in row], np.int64)
+        place.pop("", None)
+        known = dict(zip(place, self.kept.of(list(place)), strict=True)) | {"": b""}
+        # By place: an empty chunk has one as well.
+        values = [b""] * (len(known) + 1)
+        for w, c in [*place.items()]:
+            values[c] = known[w]
+        kind = np.dtype(np.uint16 if self.n_ids <= 1 << 16 else np.uint32)
+        pool, sizes = np.frombuffer(b"".join(values), kind), np.array([len(v) for v in values], np.int64) // kind.itemsize
+        begins = np.cumsum(sizes) - sizes
+        out: list = [None] * len(texts)
+        dense = at[(np.cumsum(used) - 1)[codes]] if len(codes) else np.zeros(0, np.int64)
+        is_odd = odd.to_numpy(zero_copy_only=False)
+        for where, own, ends in ((np.flatnonzero(~is_odd), dense, bounds), (np.flatnonzero(is_odd), flat, cut)):
+            ids = pool[gathered(own, begins, sizes)]
+            stops = np.append(0, np.cumsum(sizes[own]))[ends].tolist()
+            for k, a, b in zip(where.tolist(), stops, stops[1:], strict=False):
+                whole = np.empty(b - a + 2, "<u4")
+                whole[0], whole[-1], whole[1:-1] = self.begin, self.end, ids[a:b]
+                out[k] = whole
         return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, bytes read as UTF-8, one leading space of the dummy prefix taken off."""
-        table = self.bytes_of
-        data = b"".join([table[k] for k in ids.tolist()])
+        table, listed = self.bytes_of, ids.tolist()
+        data = b"".join([table[k] for k in listed])
         try:
             text = data.decode()
         except UnicodeDecodeError:
             text = self._decode_runs(ids)
         # The dummy prefix is the meta symbol of the first piece; a space spelled as a byte isn't one.
-        first = next((table[k] for k in ids.tolist() if table[k]), b"") if self.prefix and text.startswith(" ") else b""
+        first = next((table[k] for k in listed if table[k]), b"") if self.prefix and text.startswith(" ") else b""
         return text[1:] if len(first) > 1 or first == b" " and ids[ids > self.end][:1].tolist() != [int(self.byte_ids[32])] else text
 
     def _decode_runs(self, ids: np.ndarray) -> str:
@@ -205,8 +234,8 @@ def round_trip(docs: DataFrame, model: str | None = None, key: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _worker_model(model)
-        for batch in slices(batches, 1, 2 << 20):
-            ids = pieces.encode(batch.column(1).to_pylist())
+        for batch in slices(batches, 1):
+            ids = pieces.encode(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([pieces.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, ids binary, decoded string")
