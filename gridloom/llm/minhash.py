@@ -4,7 +4,7 @@
    byte of each minimum (one universal hash function each).
 2. Documents with equal sets become one class (an aggregation); only class representatives go on.
 3. A band key shared by several representatives makes a bucket. No bucket is expanded into pairs: first every member is
-   held only against the smallest member of each of its buckets, the likeliest one by signature is confirmed on the full
+   held only against the first member of each of its buckets (that of the least doc_id, likely what the others were made from), the likeliest one by signature is confirmed on the full
    sets, and the links give components. Then members outside their bucket's most frequent component look, in blocks of
    bounded size, for components in which a signature is like theirs, and are held against all members of those, so that
    no link between components is lost. A bucket in which that would be more than HOT comparisons (very many unlike texts with a
@@ -85,36 +85,35 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
-_SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary"
-_SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+_SKETCH = "doc_id long, place long, n_shingles long, digest binary, bands array<long>, sig binary"
+_SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
-def sketch(docs: DataFrame, shingle: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null when empty), band keys, and a byte of each minimum."""
+def sketch(docs: DataFrame, shingle: int, key: str = "doc_id", text: str = "text", order: str | None = None) -> DataFrame:
+    """doc_id, place (order, or the key), n_shingles, digest of the set (null when empty), band keys, and a byte of each minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(shingle)
         band = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for batch in slices(batches, 1):
-            out: list[list] = [[], [], [], [], []]
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out: list = [batch.column(0), batch.column(2), [], [], [], []]
+            for t in batch.column(1).to_pylist():
                 s = shingles(t)
-                out[0].append(doc_id)
-                out[1].append(len(s))
+                out[2].append(len(s))
                 if len(s):
                     low = minima(s)
                     keys = band.copy()
                     for row in low.reshape(BANDS, ROWS).T:
                         keys = _mix(keys + row.astype(np.uint64))
-                    out[2].append(xxhash.xxh3_128_digest(s.tobytes()))
-                    out[3].append(keys.view(np.int64))
-                    out[4].append((low & np.uint32(255)).astype(np.uint8).tobytes())
+                    out[3].append(xxhash.xxh3_128_digest(s.tobytes()))
+                    out[4].append(keys.view(np.int64))
+                    out[5].append((low & np.uint32(255)).astype(np.uint8).tobytes())
                 else:
-                    for column in out[2:]:
+                    for column in out[3:]:
                         column.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SKETCH_ARROW.types, strict=True)], schema=_SKETCH_ARROW)
+            yield pa.RecordBatch.from_arrays([*out[:2], *(pa.array(c, t) for c, t in zip(out[2:], _SKETCH_ARROW.types[2:], strict=True))], schema=_SKETCH_ARROW)
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, _SKETCH)
+    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), F.col(order or key).cast("long").alias("o")).mapInArrow(run, _SKETCH)
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -355,20 +354,22 @@ def _links_to_components(asks: DataFrame, labels: DataFrame, sigs: DataFrame, se
     return _grouped(near.join(signed, "id").join(sets, "id"), place, ["asks", "id", "sig", "shingles"], work, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
-    sketches = written(sketch(docs, shingle, key, text), "sketches")
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", order: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row for each row of docs. `order` says which texts are looked at first (else the key); results don't depend on it."""
+    sketches = written(sketch(docs, shingle, key, text, order), "sketches")
     sound = sketches.where("digest is not null and doc_id is not null")
     # A class of equal sets: partial minima, whatever its size. Its number is stored, so it stays the same.
-    classes = checkpointed(sound.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("id", F.monotonically_increasing_id()))
+    classes = checkpointed(sound.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("place").alias("place")).withColumn("id", F.monotonically_increasing_id()))
     # A row of each class, whose sets and so bands and signatures are equal.
-    first = merged(sound, classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"]).select("id", "bands", "sig").dropDuplicates(["id"])
-    rows = first.select(F.explode("bands").alias("band"), "id")
-    buckets = checkpointed(rows.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead"))
+    first = merged(sound.drop("place"), classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"]).select("id", "place", "bands", "sig").dropDuplicates(["id"])
+    rows = first.select(F.explode("bands").alias("band"), "id", "place")
+    # Null places, if any, come last.
+    lead = F.min(F.struct(F.col("place").isNull(), "place", "id"))["id"].alias("lead")
+    buckets = checkpointed(rows.groupBy("band").agg(lead, F.count("*").alias("n")).where("n > 1").select("band", "lead"))
     members = written(rows.join(buckets, "band").select("band", "id", "lead").distinct(), "buckets")
     within = checkpointed(members.select("id").distinct())
-    sigs = written(first.join(within, "id", "left_semi"), "signatures")
-    reps = classes.join(within, "id", "left_semi").withColumnRenamed("rep", "doc_id")
+    sigs = written(first.drop("place").join(within, "id", "left_semi"), "signatures")
+    reps = classes.drop("place").join(within, "id", "left_semi").withColumnRenamed("rep", "doc_id")
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(reps, "doc_id")
     texts = texts.groupBy("doc_id", "id", "digest", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
     sets = written(shingle_sets(texts, shingle), "sets")
@@ -376,7 +377,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
 
     pairs = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     likely = _agreeing(pairs, sigs, least).groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    named = checkpointed(merged(sound.select("doc_id", "digest"), classes, "digest").select("doc_id", "id").distinct())
+    named = checkpointed(merged(sound.select("doc_id", "digest"), classes.select("digest", "id"), "digest").select("doc_id", "id").distinct())
     several = named.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
     of_one = named.join(several, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
     labels = components(checkpointed(confirmed(likely, sets, percent).unionByName(of_one)))
@@ -399,7 +400,7 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80
     Rows count one by one, whatever their keys: of repeated rows one stays. Rows without words are linked with nothing and stay.
     """
     rows, row = numbered(docs, "rows")
-    found = checkpointed(near_duplicates(rows, shingle, percent, row, text).select(F.col("doc_id").alias("row"), "component_id"))
+    found = checkpointed(near_duplicates(rows, shingle, percent, row, text, key).select(F.col("doc_id").alias("row"), "component_id"))
     named = merged(found, rows.select(F.col(row).alias("row"), F.col(key).alias("k")), "row")
     groups = checkpointed(named.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("k").isNull(), "k", "row")).alias("m")).where("n > 1"))
     out = found.where("row <> component_id").select("row").unionByName(groups.select(F.col("component_id").alias("row"))).join(groups.select(F.col("m.row").alias("row")), "row", "left_anti")

@@ -138,7 +138,7 @@ class Encoder:
             raise ValueError("a special string with white space would be cut")
         # Tokens that begin with a space: in byte-level vocabularies it stands as U+0120.
         self._spaced = np.array([(self._tokenizer.id_to_token(k) or "").startswith("\u0120") for k in range(size)])
-        self.kept = Kept(self._encode, 200_000)
+        self.kept = Kept(self._encode, 120_000)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -238,7 +238,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end:
             packed = pack_block(keys, np.concatenate(held), np.cumsum(np.concatenate(sizes)))
             return pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], names=["block"])
 
-        for batch in slices(batches, 1, 8 << 20):
+        for batch in slices(batches, 1):
             ids, ends = encode(batch.column(1), end)
             names, row = batch.column(0).to_pylist(), 0
             while row < len(names):
