@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, iblt, langid, licenses, minhash, pieces, token_counts, token_files, warc
+from . import decontam, fim, htmltext, iblt, langid, lexical, licenses, minhash, pieces, sharding, token_counts, token_files, warc
 from .common import documents
 
 
@@ -53,6 +53,18 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivative_rows(warc.derivatives(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(documents(spark, sf_dir))
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_table(documents(spark, sf_dir))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -67,6 +79,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_language_id,
             op9_token_counts,
             op10_warc_derivatives,
+            op11_fill_in_middle,
+            op12_shards,
+            op13_ranked_search,
         )
     }
 
@@ -77,4 +92,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_near_duplicates": minhash.ORACLE,
         "op7_license_scan": licenses.ORACLE,
         "op10_warc_derivatives": warc.ORACLE,
+        "op11_fill_in_middle": fim.ORACLE,
+        "op13_ranked_search": lexical.ORACLE,
     }
