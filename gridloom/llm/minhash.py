@@ -5,14 +5,15 @@
 2. Documents with equal sets become one class (an aggregation); only class representatives go on.
 3. A band key shared by several representatives makes a bucket. No bucket is expanded into pairs: first every member is
    held only against the first member of each of its buckets (that of the least doc_id, likely what the others were made from), the likeliest one by signature is confirmed on the full
-   sets, and the links give components. Then members outside their bucket's most frequent component look, in blocks of
-   bounded size, for components in which a signature is like theirs, and are held against all members of those, so that
-   no link between components is lost. A bucket in which that would be more than HOT comparisons (very many unlike texts with a
-   common part) is banded again first, by AGAIN bands of more minima, so that only likelier texts meet.
-4. Components come from alternating large-star and small-star steps. Classes that share a doc_id are linked as well.
+   sets, and the links give components.
+4. Members of buckets that hold several components are banded once more, by FINE bands of FINE_ROWS minima, so that only likely
+   texts meet. In a fine bucket, members outside its most frequent component meet the others in blocks of bounded size: signatures first, then the
+   full sets of those that have a like one in their block. So no link between components is lost, and the rule is the same for buckets of every size.
+5. Components come from alternating large-star and small-star steps. Classes that share a doc_id are linked as well.
 
 Misses are those of the method alone: with 32 bands of 4 rows, a pair at similarity 0.8 shares no band with probability
-5e-8, the signature check (80 of 128 for 0.8) turns away a pair at 0.8 with probability 1e-6, and so does the second banding.
+5e-8; the signature check (80 of 128 for 0.8) and the fine bands each turn away a pair at 0.8 with probability 1e-6. Tables that grow
+with the input are joined by sorting and merging only, so none goes through the driver.
 
 Defined results: null or empty texts, and texts without words, have the size 0 and are linked with nothing; a text of
 fewer words than a shingle has its whole sequence as its one shingle. Rows with equal doc_id count as one document, which
@@ -27,19 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import checkpointed, merged, numbered, slices, written
+from .common import merged, numbered, slices, written
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Members of a bucket that are compared in one group at most (against as many).
 BLOCK = 256
-#: Comparisons of signatures in a bucket beyond which it is banded again, and the bands and minima of each for that.
-HOT, AGAIN, AGAIN_ROWS = 1 << 24, 200, 12
-#: Parts that the rows of a component are dealt to when its least doc_id is given to them.
-SALTS = 32
+#: Fine bands, and the minima of each: a pair at 0.8 shares none of them with probability 1e-6.
+FINE, FINE_ROWS = 124, 10
 #: Edges of a partition while components are found.
 EDGES = 100_000
 #: Words whose hash a worker keeps.
@@ -48,6 +47,7 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _rng = np.random.default_rng(20240607)
 _MUL = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_FINE_PLACES = _rng.permuted(np.tile(np.arange(HASHES), (FINE, 1)), axis=1)[:, :FINE_ROWS]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -158,36 +158,35 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return merged(merged(pairs.select("a", "b"), left, "a"), right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _edges(df: DataFrame, parts: int) -> tuple[DataFrame, int, int]:
+    """Edges (u, v) stored, with their number and the sum of their hashes, counted as they are written."""
+    seen = Observation()
+    counts = [F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("h")]
+    made = written(df.select("u", "v").observe(seen, *counts).coalesce(parts), "edges")
+    return made, seen.get["n"], int(seen.get["h"])
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every linked id, component being the least id reachable: alternating large-star and small-star.
 
     A step groups to a minimum with partial sums and joins it back, so a node with very many neighbours is never
-    gathered; the edges of each round are checkpointed. Rounds end when the edge set stays the same.
+    gathered; the edges of each round are written. Rounds end when the edge set stays the same.
     """
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    before = state(edges)
-    # Partitions follow the number of edges: a small graph in hundreds of partitions would be mostly files.
-    parts = max(1, -(-before[0] // EDGES))
-    few = lambda df: df.coalesce(parts)
-    edges = few(edges)
+    few = links.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    edges, *before = _edges(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), int(few))
     while before[0]:
+        # Files follow the number of edges: a small graph in hundreds of partitions would be mostly files.
+        parts = max(1, -(-before[0] // EDGES))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpointed(few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
-        moved = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = checkpointed(few(few(moved).distinct()))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = merged(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # large has u > v throughout, so the smaller neighbours of u are its v
-        least = checkpointed(few(large.groupBy("u").agg(F.min("v").alias("m"))))
-        met = few(large.join(least, "u"))
+        met = merged(large, large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = checkpointed(few(small.select("e.u", "e.v").where("u <> v").distinct()))
-        after = state(edges)
+        edges, *after = _edges(small.select("e.u", "e.v").where("u <> v").distinct(), parts)
         if after == before:
             break
         before = after
@@ -208,7 +207,7 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
             yield out.filter(pa.array(same >= least))
 
     left, right = sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, same long")
+    return merged(merged(pairs, left, "a"), right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, same long")
 
 
 def _grouped(rows: DataFrame, keys: list[str], columns: list[str], work, schema: str) -> DataFrame:
@@ -253,142 +252,126 @@ def _blocks(key: str, of: str, salt: int) -> tuple[Column, Column]:
     return n, F.pmod(F.xxhash64(key, F.lit(salt)), n).cast("int")
 
 
-def _banded_again(sig: str) -> Column:
-    """Further band keys of a signature: each of other AGAIN_ROWS of its bytes."""
-    places = np.random.default_rng(1).permuted(np.tile(np.arange(1, HASHES + 1), (AGAIN, 1)), axis=1)[:, :AGAIN_ROWS].tolist()
-    return F.expr(f"transform(array({', '.join(f'array({k}, ' + ', '.join(map(str, p)) + ')' for k, p in enumerate(places))}), p -> xxhash64(p[0], array_join(transform(slice(p, 2, {AGAIN_ROWS}), k -> hex(substring({sig}, k, 1))), '')))")
+def fine_keys(sigs: np.ndarray) -> np.ndarray:
+    """FINE band keys of each signature (rows of bytes), each of other FINE_ROWS of its bytes."""
+    keys = np.broadcast_to(np.arange(1, FINE + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407), (len(sigs), FINE))
+    for k in range(FINE_ROWS):
+        keys = _mix(keys + sigs[:, _FINE_PLACES[:, k]].astype(np.uint64))
+    return keys.view(np.int64)
 
 
-def _asking(members: DataFrame, sigs: DataFrame, labels: DataFrame, least: int, again: bool = True) -> DataFrame:
-    """(a, b): members outside their bucket's most frequent component, and other components with a member that is like enough by signature.
+def _fine_rows(members: DataFrame) -> DataFrame:
+    """(band, id, component): FINE rows for each member (id, component, sig)."""
 
-    Askers and members meet in blocks of BLOCK by BLOCK; no pair is a row before its signatures are compared, and two
-    documents that share several buckets of the first banding are compared in the first of them that isn't hot.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1000):
+                part = batch.slice(begin, 1000)
+                keys = fine_keys(np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, HASHES))
+                each = [pa.array(np.repeat(part.column(k).to_numpy(), FINE), pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), *each], names=["band", "id", "component"])
+
+    return members.select("id", "component", "sig").mapInArrow(run, "band long, id long, component long")
+
+
+def _like(asks: list, ids: list, comps: list, sigs: list, here: int | None, least: int) -> Iterator[tuple[int, list[int]]]:
+    """Each asker's place in a block, and the places of others in it of another component with a like signature, likest first.
+    Two documents that share several fine bands are looked at in the first of them (here) alone."""
+    others = [k for k, x in enumerate(asks) if not x]
+    askers = [k for k, x in enumerate(asks) if x]
+    if not others or not askers:
+        return
+    table = np.frombuffer(b"".join([sigs[k] for k in others]), np.uint8).reshape(-1, HASHES)
+    keys, of = None, np.array([comps[k] for k in others])
+    for k in askers:
+        own = np.frombuffer(sigs[k], np.uint8)
+        same = (table == own).sum(axis=1)
+        at = np.flatnonzero((same >= least) & (of != comps[k]))
+        if len(at):
+            keys = fine_keys(table) if keys is None else keys
+            mine = fine_keys(own[None, :])
+            at = at[mine[0, (keys[at] == mine).argmax(axis=1)] == here]
+        if len(at):
+            yield k, [others[m] for m in at[np.argsort(-same[at], kind="stable")].tolist()]
+
+
+def _links_between(members: DataFrame, sigs: DataFrame, sets: DataFrame, labels: DataFrame, least: int, percent: int) -> DataFrame:
+    """(a, b): links between components. members: (band, id). A document is linked with one member of each component that is similar enough in a block.
+
+    Blocks hold BLOCK members at most that ask and as many that are asked. No pair is a row, and full sets go only to the blocks
+    in which a signature is like theirs.
     """
-    named = members.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    parts = named.groupBy("band", "component").agg(F.count("*").alias("n"))
-    main = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    main = checkpointed(main.select("band", F.col("m.component").alias("main"), "n", (F.col("n") - F.col("m.n")).alias("n_odd")))
-    is_hot = F.col("n") * F.col("n_odd") > HOT
-    hot = main.where(is_hot).select("band")
-    more = None
-    if again and not hot.isEmpty():
-        main = main.where(~is_hot)
-        spots = named.join(hot, "band", "left_semi").select("id").distinct().join(sigs, "id").select(F.explode(_banded_again("sig")).alias("band"), "id")
-        more = _asking(written(spots, "spots"), sigs.withColumn("bands", F.lit(None).cast("array<long>")), labels, least, False)
-        # A pair isn't to wait for a bucket that isn't looked into.
-        sigs = sigs.withColumn("bands", F.lit(None).cast("array<long>"))
-    sized = named.join(main, "band").join(sigs.select("id", "bands", "sig"), "id").withColumn("odd", F.col("component") != F.col("main"))
+    named = merged(members, labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    mixed = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
+    inner = merged(named, mixed, "band", "left_semi").select("id", "component").distinct()
+    spots = written(_fine_rows(merged(inner, sigs.select("id", "sig"), "id")), "spots")
+    spread = spots.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
+    near = written(merged(spots, spread, "band", "left_semi"), "near")
+    parts = near.groupBy("band", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"))
+    main = main.select("band", F.col("m.component").alias("main"), "n", (F.col("n") - F.col("m.n")).alias("n_odd"))
     (blocks, own), (odd_blocks, own_odd) = _blocks("id", "n", 0), _blocks("id", "n_odd", 1)
-    as_other = F.transform(_count_to(odd_blocks), lambda k: F.struct(k.alias("p"), own.alias("q"), F.lit(False).alias("asks")))
-    as_odd = F.transform(_count_to(blocks), lambda k: F.struct(own_odd.alias("p"), k.alias("q"), F.lit(True).alias("asks")))
-    rows = sized.select("band", "id", "component", "bands", "sig", F.explode(F.when(F.col("odd"), F.concat(as_other, as_odd)).otherwise(as_other)).alias("g"))
-
-    def work(here: list, asks: list, ids: list, components_: list, bands: list, sigs_: list) -> list[tuple]:
-        others = [k for k, x in enumerate(asks) if not x]
-        askers = [k for k, x in enumerate(asks) if x]
-        if not others or not askers:
-            return []
-        table = np.frombuffer(b"".join([sigs_[k] for k in others]), np.uint8).reshape(-1, HASHES)
-        comp_b = np.array([components_[k] for k in others])
-        bands_b = np.array([bands[k] for k in others]) if bands[0] is not None else None
-        out = []
-        for k in askers:
-            same = (table == np.frombuffer(sigs_[k], np.uint8)).sum(axis=1)
-            at = np.flatnonzero((same >= least) & (comp_b != components_[k]))
-            if len(at) and bands_b is not None:
-                own_bands = np.array(bands[k])
-                at = at[own_bands[(bands_b[at] == own_bands).argmax(axis=1)] == here[0]]
-            out += [(ids[k], c) for c in np.unique(comp_b[at]).tolist()]
-        return out
-
-    rows = rows.select("band", "g.p", "g.q", "g.asks", "id", "component", "bands", "sig")
-    found = _grouped(rows, ["band", "p", "q"], ["band", "asks", "id", "component", "bands", "sig"], work, "a long, b long")
-    return (found.unionByName(more) if more is not None else found).distinct()
+    as_other = F.transform(_count_to(odd_blocks), lambda k: F.struct(k.alias("p"), own.alias("q"), F.lit(0).alias("asks")))
+    as_odd = F.transform(_count_to(blocks), lambda k: F.struct(own_odd.alias("p"), k.alias("q"), F.lit(1).alias("asks")))
+    met = merged(near, main, "band").select("band", "id", "component", F.explode(F.when(F.col("component") != F.col("main"), F.concat(as_other, as_odd)).otherwise(as_other)).alias("g"))
+    place = ["band", "p", "q"]
+    rows = merged(met.select("band", "g.p", "g.q", "g.asks", "id", "component"), sigs.select("id", "sig"), "id")
 
-
-def _links_to_components(asks: DataFrame, labels: DataFrame, sigs: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
-    """(a, b): a link for each asker a and component (asks: a, b) in which some member's full set is similar enough.
-
-    An asker is held against all members of the component, in blocks: BLOCK askers and BLOCK members meet in a group, first with their
-    signatures alone. Full sets go only to those of a group that have a signature like theirs on the other side, and only links leave it.
-    """
-    named = labels.select("id", "component")
-    wanted = asks.groupBy(F.col("b").alias("component")).agg(F.count("*").alias("n_odd"))
-    inside = named.unionByName(wanted.select(F.col("component").alias("id"), "component"))
-    sizes = inside.groupBy("component").agg(F.count("*").alias("n"))
-    target = checkpointed(wanted.join(sizes, "component"))
-    signed = sigs.select("id", "sig")
-    (blocks, own), (odd_blocks, own_odd) = _blocks("id", "n", 2), _blocks("id", "n_odd", 3)
-    others = inside.join(target, "component").select("id", "component", F.lit(0).alias("asks"), own.alias("q"), F.explode(_count_to(odd_blocks)).alias("p"))
-    askers = asks.select(F.col("a").alias("id"), F.col("b").alias("component")).join(target, "component").select("id", "component", F.lit(1).alias("asks"), own_odd.alias("p"), F.explode(_count_to(blocks)).alias("q"))
-    place = ["component", "p", "q"]
-
-    def sides(asks_: list, ids: list, sigs_: list) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-        """Each asker's place in the group, and the places of others with a like signature beside the number of equal minima, likest first."""
-        others_ = [k for k, x in enumerate(asks_) if not x]
-        if others_:
-            table = np.frombuffer(b"".join([sigs_[k] for k in others_]), np.uint8).reshape(-1, HASHES)
-            for k, x in enumerate(asks_):
-                if x:
-                    same = (table == np.frombuffer(sigs_[k], np.uint8)).sum(axis=1)
-                    at = np.flatnonzero(same >= least)
-                    yield k, [others_[m] for m in at[np.argsort(-same[at], kind="stable")].tolist() if ids[others_[m]] != ids[k]]
-
-    def like(component: list, p: list, q: list, asks_: list, ids: list, sigs_: list) -> list[tuple]:
+    def like(band: list, p: list, q: list, asks: list, ids: list, comps: list, sigs_: list) -> list[tuple]:
         kept: set[int] = set()
-        for k, found in sides(asks_, ids, sigs_):
-            kept.update(found, [k] if found else ())
-        return [(component[k], p[k], q[k], asks_[k], ids[k]) for k in sorted(kept)]
+        for k, found in _like(asks, ids, comps, sigs_, band[0], least):
+            kept.update(found, [k])
+        return [(band[k], p[k], q[k], asks[k], ids[k], comps[k]) for k in sorted(kept)]
 
-    def work(asks_: list, ids: list, sigs_: list, sets_: list) -> list[tuple]:
+    def work(band: list, asks: list, ids: list, comps: list, sigs_: list, sets_: list) -> list[tuple]:
         out = []
-        for k, found in sides(asks_, ids, sigs_):
-            own_set = np.frombuffer(sets_[k], np.uint64)
-            j = next((j for j in found if _sets_similar(own_set, np.frombuffer(sets_[j], np.uint64), percent)), None)
-            if j is not None:
-                out.append((min(ids[k], ids[j]), max(ids[k], ids[j])))
+        for k, found in _like(asks, ids, comps, sigs_, band[0], least):
+            own_set, done = np.frombuffer(sets_[k], np.uint64), set()
+            for j in found:
+                if comps[j] not in done and _sets_similar(own_set, np.frombuffer(sets_[j], np.uint64), percent):
+                    done.add(comps[j])
+                    out.append((min(ids[k], ids[j]), max(ids[k], ids[j])))
         return out
 
-    near = _grouped(others.unionByName(askers).join(signed, "id"), place, [*place, "asks", "id", "sig"], like, "component long, p long, q long, asks long, id long")
-    return _grouped(near.join(signed, "id").join(sets, "id"), place, ["asks", "id", "sig", "shingles"], work, "a long, b long").distinct()
+    kept = written(_grouped(rows, place, [*place, "asks", "id", "component", "sig"], like, "band long, p long, q long, asks long, id long, component long"), "like")
+    full = merged(kept, sets.join(kept.select("id").distinct().hint("merge"), "id", "left_semi"), "id")
+    return _grouped(merged(full, sigs.select("id", "sig"), "id"), place, ["band", "asks", "id", "component", "sig", "shingles"], work, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", order: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs. `order` says which texts are looked at first (else the key); results don't depend on it."""
     sketches = written(sketch(docs, shingle, key, text, order), "sketches")
     sound = sketches.where("digest is not null and doc_id is not null")
-    # A class of equal sets: partial minima, whatever its size. Its number is stored, so it stays the same.
-    classes = checkpointed(sound.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("place").alias("place")).withColumn("id", F.monotonically_increasing_id()))
-    # A row of each class, whose sets and so bands and signatures are equal.
-    first = merged(sound.drop("place"), classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"]).select("id", "place", "bands", "sig").dropDuplicates(["id"])
-    rows = first.select(F.explode("bands").alias("band"), "id", "place")
+    # A class of equal sets, whose bands and signatures are equal: partial minima, whatever its size. Its number is stored, so it stays the same.
+    classes = sound.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("place").alias("place"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    rows = classes.select(F.explode(F.array_distinct("bands")).alias("band"), "id", "place")
     # Null places, if any, come last.
     lead = F.min(F.struct(F.col("place").isNull(), "place", "id"))["id"].alias("lead")
-    buckets = checkpointed(rows.groupBy("band").agg(lead, F.count("*").alias("n")).where("n > 1").select("band", "lead"))
-    members = written(rows.join(buckets, "band").select("band", "id", "lead").distinct(), "buckets")
-    within = checkpointed(members.select("id").distinct())
-    sigs = written(first.drop("place").join(within, "id", "left_semi"), "signatures")
-    reps = classes.drop("place").join(within, "id", "left_semi").withColumnRenamed("rep", "doc_id")
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(reps, "doc_id")
+    buckets = rows.groupBy("band").agg(lead, F.count("*").alias("n")).where("n > 1").select("band", "lead")
+    members = written(merged(rows.drop("place"), buckets, "band").select("band", "id", "lead"), "buckets")
+    within = written(members.select("id").distinct(), "within")
+    shared = merged(classes.select("id", "rep", "digest", "sig"), within, "id", "left_semi")
+    sigs = written(shared.select("id", "sig"), "signatures")
+    reps = shared.select("id", F.col("rep").alias("doc_id"), "digest")
+    texts = merged(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), reps, "doc_id")
     texts = texts.groupBy("doc_id", "id", "digest", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
     sets = written(shingle_sets(texts, shingle), "sets")
     least = least_agreement(percent)
 
     pairs = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     likely = _agreeing(pairs, sigs, least).groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    named = checkpointed(merged(sound.select("doc_id", "digest"), classes.select("digest", "id"), "digest").select("doc_id", "id").distinct())
+    named = written(merged(sound.select("doc_id", "digest"), classes.select("digest", "id"), "digest").select("doc_id", "id").distinct(), "named")
     several = named.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
-    of_one = named.join(several, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
-    labels = components(checkpointed(confirmed(likely, sets, percent).unionByName(of_one)))
-    as_links = lambda x: x.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    asks = checkpointed(_asking(members.select("band", "id"), sigs, labels, least))
-    more = _links_to_components(asks, labels, sigs, sets, least, percent)
-    labels = checkpointed(components(as_links(labels).unionByName(more)))
-    # The least doc_id of each component, given to its classes in parts: a component may hold a third of them.
-    own = merged(classes, labels, "id", "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
-    lowest = own.groupBy("component").agg(F.min("rep").alias("_c"), F.count("*").alias("n")).where("n > 1").select("component", "_c", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    found = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(lowest, ["component", "salt"], "left").select("id", F.coalesce("_c", "rep").alias("_c"))
+    of_one = merged(named, several, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
+    labels = components(confirmed(likely, sets, percent).unionByName(of_one))
+    more = written(_links_between(members.select("band", "id"), sigs, sets, labels, least, percent), "links")
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    # The least doc_id of each component, given to its classes by a join that Spark splits where a component holds very many.
+    own = merged(classes.select("id", "rep"), labels, "id", "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
+    lowest = own.groupBy("component").agg(F.min("rep").alias("_c"), F.count("*").alias("n")).where("n > 1").select("component", "_c")
+    found = merged(own, lowest, "component", "left").select("id", F.coalesce("_c", "rep").alias("_c"))
     component = merged(named, found, "id").groupBy("doc_id").agg(F.min("_c").alias("_c"))
     out = merged(sketches.select("doc_id", "n_shingles"), component, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"), F.coalesce(F.coalesce("_c", "doc_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
@@ -400,11 +383,11 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80
     Rows count one by one, whatever their keys: of repeated rows one stays. Rows without words are linked with nothing and stay.
     """
     rows, row = numbered(docs, "rows")
-    found = checkpointed(near_duplicates(rows, shingle, percent, row, text, key).select(F.col("doc_id").alias("row"), "component_id"))
+    found = written(near_duplicates(rows, shingle, percent, row, text, key).select(F.col("doc_id").alias("row"), "component_id"), "found")
     named = merged(found, rows.select(F.col(row).alias("row"), F.col(key).alias("k")), "row")
-    groups = checkpointed(named.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("k").isNull(), "k", "row")).alias("m")).where("n > 1"))
-    out = found.where("row <> component_id").select("row").unionByName(groups.select(F.col("component_id").alias("row"))).join(groups.select(F.col("m.row").alias("row")), "row", "left_anti")
-    return rows.join(out.withColumnRenamed("row", row), row, "left_anti").select(docs.columns)
+    groups = written(named.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("k").isNull(), "k", "row")).alias("m")).where("n > 1"), "groups")
+    out = merged(found.where("row <> component_id").select("row").unionByName(groups.select(F.col("component_id").alias("row"))), groups.select(F.col("m.row").alias("row")), "row", "left_anti")
+    return merged(rows, out.withColumnRenamed("row", row), row, "left_anti").select(docs.columns)
 
 
 #: DuckDB SQL for the rows of op6, from the contract's own words: all pairs that share a shingle, then reachability.

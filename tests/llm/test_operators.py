@@ -444,10 +444,9 @@ def edited(rng, text, n):
     return " ".join(w)
 
 
-@pytest.mark.parametrize(("size", "hot"), [(2, 1 << 24), (5, 1 << 24), (2, 30)])
-def test_near_duplicates_equal_brute_force(spark, size, hot, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 16)  # so that a group has many blocks
-    monkeypatch.setattr(minhash, "HOT", hot)
+@pytest.mark.parametrize(("size", "block"), [(2, 16), (5, 16), (2, 3)])
+def test_near_duplicates_equal_brute_force(spark, size, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", block)  # so that a group has many blocks
     rng = random.Random(11)
     base = [words(rng, 120) for _ in range(4)]
     texts = [*AWKWARD, *(edited(rng, base[0], rng.randrange(0, 13)) for _ in range(150)), *(edited(rng, b, rng.randrange(0, 9)) for b in base for _ in range(12)), *([base[1]] * 20), *(words(rng, 50) for _ in range(40))]
@@ -456,6 +455,24 @@ def test_near_duplicates_equal_brute_force(spark, size, hot, monkeypatch):
     assert got == brute_components(dict(enumerate(texts)), size, 80)
 
 
+def test_near_duplicates_with_a_hot_group_use_no_broadcast(spark, tmp_path):
+    """A third of all rows near copies, another sixth unlike texts with a common passage, over many partitions."""
+    rng = random.Random(12)
+    base, passage = words(rng, 100), words(rng, 30)
+    texts = [*(edited(rng, base, rng.randrange(0, 9)) for _ in range(200)), *(passage + " " + words(rng, 40) for _ in range(100)), *(words(rng, 60) for _ in range(300))]
+    rng.shuffle(texts)
+    docs = docs_of(spark, texts)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        made = minhash.near_duplicates(docs.repartition(64), 2, 80)
+        got = {r["doc_id"]: tuple(r)[1:] for r in made.collect()}
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == brute_components(dict(enumerate(texts)), 2, 80)
+    assert "Broadcast" not in plan
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert minhash.near_duplicates(docs_of(spark, ["x"]).limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "a b c", None, None, None), (1, "a b c", None, None, None), (1, "a b c", None, None, None), (2, None, None, None, None)], DOCS)
