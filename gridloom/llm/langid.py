@@ -8,11 +8,13 @@ The logarithm of a mixture's likelihood is concave, so its slope at a single lan
 where that is less than a second language costs, the single one is the answer without any rounds.
 
 The n-gram distributions are learnt from a bounded sample of labelled documents: for each language at most TRAIN_ROWS distinct texts,
-those that come first by a hash. Their whole texts count. The model has a column for each language; more than
-LANGUAGES labels are an error.
+those that come first by a hash. Their whole texts count. A model has NUMBERS numbers at most: up to 128 languages
+have a column of 65,536 cells each, and with every doubling of the languages beyond that cells are joined two and two, so their number is
+bounded only by the smallest useful column (LEAST_CELLS: 32,768 languages; more labels aren't languages and are an error).
 
 Defined results: a null text, or one without a letter, is `und` with score 0 (no languages). A row whose n-grams say
-nothing (all unseen) takes the language that is likeliest beforehand. Without any labelled row everything is `und`.
+nothing (all unseen) takes the language that is likeliest beforehand. Without any labelled row identify() says `und` of everything, and
+in_a_language() keeps every text with a letter: where no language is known, none can be missed.
 Ties go to the language that comes first in order. Extra columns of the input are ignored; rows with equal keys each get a row.
 """
 
@@ -33,10 +35,12 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Labelled texts of each language that are learnt from, at most, and languages, at most.
-TRAIN_ROWS, LANGUAGES = 1500, 128
-#: n-grams are hashed to so many cells.
-CELLS = 1 << 16
+#: Labelled texts of each language that are learnt from, at most.
+TRAIN_ROWS = 1500
+#: n-grams are hashed to so many cells, fewer where a model would have more than so many numbers, and so many at least.
+CELLS, NUMBERS, LEAST_CELLS = 1 << 16, 1 << 23, 1 << 8
+#: The share of a document that its main language has at least, for the document to be in a language.
+LEAST_SHARE = 1 / 3
 ORDERS = (1, 2, 3)
 EM_ROUNDS = 25
 _LETTER = regex.compile(r"\p{L}")
@@ -59,8 +63,15 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(out)
 
 
-def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.bincount(grams(text), minlength=CELLS)
+def cells_for(languages: int) -> int:
+    """Cells of a column: a power of two."""
+    if languages * LEAST_CELLS > NUMBERS:
+        raise ValueError(f"more than {NUMBERS // LEAST_CELLS} languages")
+    return min(CELLS, 1 << ((NUMBERS // max(1, languages)).bit_length() - 1))
+
+
+def counted(text: str, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.bincount(grams(text) // (CELLS // cells), minlength=cells)
     at = np.flatnonzero(counts)
     return at, counts[at].astype(np.float64)
 
@@ -103,10 +114,17 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float, list[str]]:
         if not text or not self.languages or not _LETTER.search(text):
             return "und", 0.0, []
-        share, chosen = self.mixture(*counted(text))
+        share, chosen = self.mixture(*counted(text, len(self.likelihood)))
         best = int(share.argmax())
         return self.languages[best], float(min(1.0, share[best])), sorted(self.languages[k] for k in chosen)
 
+    def accepts(self, text: str | None, wanted: frozenset[str] | None = None, least: float = LEAST_SHARE) -> bool:
+        """Whether the text's main language is one of the wanted (of all learnt, if None) and has the least share of it."""
+        if not self.languages:
+            return bool(text and _LETTER.search(text))
+        name, score, _ = self.predict(text)
+        return name != "und" and score >= least and (wanted is None or name in wanted)
+
 
 def _em(p: np.ndarray, n: np.ndarray, w: np.ndarray) -> np.ndarray:
     w = w / w.sum()
@@ -123,9 +141,9 @@ def _em(p: np.ndarray, n: np.ndarray, w: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Model:
     """Learns from at most `rows` texts of each non-null language. What reaches the driver is a count for each language and cell."""
     labelled = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(NUMBERS // LEAST_CELLS + 1).collect()
+    languages = sorted(r["lang"] for r in sizes)
+    cells, number = cells_for(len(languages)), {name: k for k, name in enumerate(languages)}
     # A part of each language by hash that has the wanted number of texts and some more; the rest is cut from that.
     parts = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, (rows + 8 * rows**0.5 + 10) / r["n"])) for r in sizes], "lang string, part double")
     near = labelled.withColumn("h", F.xxhash64("text")).join(F.broadcast(parts), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("part") * (1 << 30))
@@ -137,19 +155,19 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int =
         for batch in slices(batches, 1):
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if _LETTER.search(t):
-                    at, n = counted(t)
-                    held.setdefault(name, np.zeros(CELLS))[at] += n
-        for name, counts in held.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(counts[at].astype(np.int64))], names=["lang", "cell", "n"])
-
-    found = sample.select("lang", "text").mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
-    # At most LANGUAGES x CELLS rows.
-    languages = sorted(found["lang"].unique())
-    counts = np.zeros((CELLS, len(languages)))
-    for k, name in enumerate(languages):
-        own = found[found["lang"] == name]
-        counts[own["cell"].to_numpy(), k] = own["n"].to_numpy()
+                    at, n = counted(t, cells)
+                    held.setdefault(number[name], np.zeros(cells))[at] += n
+        for k, own in held.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.int64()), pa.array(at), pa.array(own[at].astype(np.int64))], names=["lang", "cell", "n"])
+
+    counts = np.zeros((cells, len(languages)))
+    found = sample.select("lang", "text").mapInArrow(count, "lang long, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    # At most NUMBERS rows of three numbers, as columns.
+    table = found.toArrow()
+    counts[table.column(1).to_numpy(), table.column(0).to_numpy()] = table.column(2).to_numpy()
+    known = counts.sum(axis=0) > 0
+    languages, counts = [name for name, k in zip(languages, known.tolist(), strict=True) if k], counts[:, known]
     total = counts.sum(axis=0) if languages else np.ones(0)
     used = max(1, int((counts.sum(axis=1) > 0).sum())) if languages else 1
     return Model(languages, (counts + 0.5) / (total + 0.5 * used), total / total.sum() if languages else total)
@@ -160,7 +178,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score",
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (the language's estimated share of the document) and the chosen languages, a row for each row."""
-    # The model has a bounded size: CELLS rows of at most LANGUAGES numbers.
+    # The model has a bounded size: NUMBERS at most.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,12 +204,12 @@ def learnt(docs: DataFrame) -> Model:
     return fit(docs.where(~held_out()))
 
 
-def in_a_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs in whose text a language is found (not `und`), with all their columns and no others."""
+def in_a_language(docs: DataFrame, model: Model, text: str = "text", wanted: frozenset[str] | None = None, least: float = LEAST_SHARE) -> DataFrame:
+    """The rows of docs in whose text a (wanted) language is found that has the least share of it, with all their columns and no others."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: shared.value.predict(t)[0] != "und")
+        return pd.Series([shared.value.accepts(t, wanted, least) for t in texts], dtype="boolean")
 
     return docs.where(found(F.col(text).cast("string")))

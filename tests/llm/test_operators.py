@@ -585,14 +585,34 @@ def test_mixtures_equal_direct_maximisation():
     assert found_sizes == {1, 2, 3}
 
 
-def test_learning_takes_a_bounded_number_of_texts_and_refuses_too_many_languages(spark, monkeypatch):
+def test_learning_takes_a_bounded_number_of_texts_and_any_number_of_languages(spark, monkeypatch):
     many = spark.range(3000).selectExpr("cast(null as long) as doc_id", "if(id % 3 = 0, 'aaa', concat('w', id)) as text", "if(id % 2 = 0, 'x', 'y') as lang")
     model = langid.fit(many, rows=50)
-    assert model.languages == ["x", "y"] and len(model.prior) == 2
-    monkeypatch.setattr(langid, "LANGUAGES", 1)
-    with pytest.raises(ValueError):
-        langid.fit(many)
+    assert model.languages == ["x", "y"] and len(model.prior) == 2 and len(model.likelihood) == langid.CELLS
     assert langid.identify(many.limit(0), model).count() == 0 and sum(r["lang_pred"] == "und" for r in langid.identify(many.withColumn("text", F.lit("12")), model).collect()) == 3000
+    assert [langid.cells_for(n) for n in (0, 1, 128, 129, 256, 32_768)] == [1 << 16, 1 << 16, 1 << 16, 1 << 15, 1 << 15, 1 << 8]
+    with pytest.raises(ValueError):
+        langid.cells_for(32_769)
+    # 300 languages with a word of their own: more than the 128 of whole columns, and none is lost.
+    word = lambda k: f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + k % 7)}"
+    rows = [(k, " ".join([word(k % 300)] * 30), f"l{k % 300:03}") for k in range(900)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=5)
+    assert len(model.languages) == 300 and len(model.likelihood) == 1 << 14
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()}
+    assert sum(got[k] == lang for k, _, lang in rows) > 850
+
+
+def test_the_language_decides_what_stays_and_none_is_missed_without_labels(spark):
+    rows = [(k, " ".join([("the thing with that", "und schön nicht auch")[k % 2]] * 20), ("aa", "bb")[k % 2]) for k in range(40)]
+    docs = spark.createDataFrame([*rows, (50, "12 34", "aa"), (51, None, "aa"), (52, "", None)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect())
+    assert ids(langid.in_a_language(docs, model)) == list(range(40))
+    assert ids(langid.in_a_language(docs, model, wanted=frozenset(["bb"]))) == list(range(1, 40, 2))
+    mixed = spark.createDataFrame([(0, "the thing with that " * 20 + "und schön nicht auch " * 20, None)], "doc_id long, text string, lang string")
+    assert ids(langid.in_a_language(mixed, model, least=0.3)) == [0] and ids(langid.in_a_language(mixed, model, least=0.9)) == []
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert ids(langid.in_a_language(bare, langid.learnt(bare))) == list(range(40))
 
 
 # 10. WARC
