@@ -231,6 +231,25 @@ def test_main_text_of_marked_and_unmarked_pages(spark):
     assert htmltext.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_layout_classes_forms_and_words_in_articles_keep_their_text():
+    """Expectations by hand."""
+    pages = {
+        '<div class="layout has-sidebar"><article><p>Body text one.': "Body text one.",
+        '<div id="page" class="header-fixed"><main><p>Body text two.': "Body text two.",
+        '<form id="aspnetForm"><article><p>Body text three.</form>': "Body text three.",
+        '<body class="no-comments sidebar"><div class="site-header">Logo</div><article><h1>T</h1><p>Body.</p></article><div class="sidebar-right">Side</div><div class="footer">F</div>': "T\nBody.",
+        '<article><h2 id="related-work">Related work</h2><p id="banner-ads">On ads.</p><div class="reply-to"><p>Kept.</p></div><div class="ad">Buy</div><div class="comments"><p>First!</p></div></article>': "Related work\nOn ads.\nKept.",
+        '<main><p>The article is long enough here.</p><div class="related"><article><p>Teaser</p></article></div><aside><article><p>Side</p></article></aside></main>': "The article is long enough here.",
+        '<main><article><p>Short.</p></article><div id="comments"><article class="c"><p>A comment that is far longer than the article.</p></article></div></main>': "Short.",
+        '<main><form action="/x"><article><p>In a form.</p><form><p>Mail us</p></form></article></form></main>': "In a form.",
+        '<header><div class="wrap"><main><p>Main in a header.</p></main></div></header><nav>N</nav>': "Main in a header.",
+        '<div class="comment-policy"><p>Our policy.</p></div><div class="promo-box">Buy</div><p>Text</p>': "Text",
+        '<div class="is-menu-open"><p>No mark at all.</p></div>': "No mark at all.",
+    }
+    for page, want in pages.items():
+        assert htmltext.article(htmltext.page_lines(page), None) == want, page
+
+
 def test_pages_without_an_end_of_head_keep_their_text(spark):
     heads = ["<head><title>t</title><meta charset=utf-8>", "<head><script>x</script><noscript><link href=x>", "<head><title>t</title></head>", "<title>t</title>"]
     for head in heads:
