@@ -11,7 +11,7 @@ A file is a row of blocks, each of some documents whole, in ascending order of k
 Files are written by Spark's text writer (a block is a line, whatever bytes it has, and sizes in the header say where it ends)
 and read as binary files, so they can be in any store that Spark reaches.
 
-Defined results: null and empty texts have the end id alone. Rows with equal keys stay separate rows, ordered by text;
+Defined results: null and empty texts have the end id alone. Rows with equal keys stay separate rows, ordered by a hash of the text;
 rows with a null key come first. Extra columns are ignored; an empty table writes no block and reads as no rows.
 """
 
@@ -225,7 +225,7 @@ def blocks(content: bytes) -> Iterator[Block]:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END_ID, key: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS, block_docs: int = BLOCK_DOCS) -> None:
-    """Encodes docs and writes token files, ascending in key over file numbers. The texts are moved once, by ranges of the key."""
+    """Encodes docs and writes token files, ascending in key over file numbers. The texts are moved once, by ranges of the key and a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(os.fspath(tokenizer) if tokenizer else default_tokenizer())
@@ -255,7 +255,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end:
         if keys:
             yield block()
 
-    ordered = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
+    # By a hash of the text as well, so that the rows of one key, or without a key, are dealt to many tasks.
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
+    ordered = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")
     made = ordered.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value"))
     made.write.option("maxRecordsPerFile", FILE_BLOCKS).text(path)
 
