@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quadtree import overlaps
 from .ranges import percentiles
 
 BOX = ["minx", "miny", "maxx", "maxy"]
@@ -74,23 +75,20 @@ def overlap_join(a: DataFrame, b: DataFrame, cell: float, also: Column | None =
     return pairs.withColumn("shared", (x1 - x0) * (y1 - y0)).drop("gx", "gy")
 
 
-def spatial_pair(patches: DataFrame, cell: float, min_iou: float = 0.5, quarters: list[str] | None = None, quarter_iou: DataFrame | None = None, min_quarter_iou: float = 0.0) -> DataFrame:
-    """Patches of different quarters at the same place: IoU (from min_iou on), shares, days from a to b.
+def spatial_pair(patches: DataFrame, min_iou: float = 0.8, quarters: list[str] | None = None, quarter_iou: DataFrame | None = None, min_quarter_iou: float = 0.1) -> DataFrame:
+    """Patches of different quarters at the same place: IoU (from min_iou on), shares, days from a to b. By quadtree.overlaps().
 
-    quarter_iou (quarter_a, quarter_b, iou), a row for each pair of quarters, prunes pairs of quarters beforehand; a pair that
-    isn't in it is kept.
+    quarter_iou (quarter_a, quarter_b, iou), a row for each pair of quarters, prunes pairs of quarters; a pair that isn't in it is kept.
     """
     keep = ["patch_path", "scene_id", "quarter", "date", *BOX]
     p = patches.select(keep)
     if quarters:
         p = p.where(F.col("quarter").isin(quarters))
-    left, meet = p, F.col("quarter_a") < F.col("quarter_b")
+    pairs = overlaps(p, p, min_iou, "quarter")
     if quarter_iou is not None:
-        # The quarters that a quarter isn't matched with, a short list; the join itself looks at it, so pruned pairs are never made.
-        pruned = quarter_iou.where(F.col("iou") < min_quarter_iou).groupBy(F.col("quarter_a").alias("quarter")).agg(F.collect_set("quarter_b").alias("_not"))
-        left = p.join(pruned, "quarter", "left").select(*keep, "_not")
-        meet &= ~F.coalesce(F.array_contains("_not_a", F.col("quarter_b")), F.lit(False))
-    pairs = overlap_join(left, p, cell, meet)
+        # The quarters that a quarter isn't matched with, a short list.
+        pruned = quarter_iou.where(F.col("iou") < min_quarter_iou).groupBy("quarter_a").agg(F.collect_set("quarter_b").alias("_not"))
+        pairs = pairs.join(pruned, "quarter_a", "left").where(~F.coalesce(F.array_contains("_not", F.col("quarter_b")), F.lit(False)))
     area = lambda s: (F.col(f"maxx_{s}") - F.col(f"minx_{s}")) * (F.col(f"maxy_{s}") - F.col(f"miny_{s}"))
     out = pairs.select(
         *(f"{c}_{s}" for c in keep[:4] for s in "ab"),

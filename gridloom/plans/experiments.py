@@ -49,15 +49,7 @@ def _(t):
     return X.pareto_front(means(t), "trainable_params", "mean", ["modality"]).select("method", "modality", "on_front")
 
 
-_RANKS = {7690 + k: 4 * (k % 4 + 1) for k in range(60)}
-
-
-@query("i5_rank_sensitivity", "SELECT CAST(4*((trainable_params-7690)%4+1) AS INTEGER) AS rank, round(avg(overall_accuracy),6)+0.0 AS mean, round(coalesce(stddev_samp(overall_accuracy),0.0),6)+0.0 AS std, count(*) AS n FROM fx_runs WHERE trainable_params<7750 GROUP BY 1")
-def _(t):
-    return X.rank_sensitivity(t["fx_runs"], _RANKS, "overall_accuracy").withColumns({"mean": r6("mean"), "std": r6("std")})
-
-
-@query("i5_rank_sensitivity_all", "SELECT CAST(4*((trainable_params-7690)%4+1) AS INTEGER) AS rank, round(avg(overall_accuracy),6)+0.0 AS mean, round(coalesce(stddev_samp(overall_accuracy),0.0),6)+0.0 AS std, count(*) AS n FROM fx_runs GROUP BY 1")
+@query("i5_rank_sensitivity", "SELECT CAST(4*((trainable_params-7690)%4+1) AS INTEGER) AS rank, round(avg(overall_accuracy),6)+0.0 AS mean, round(coalesce(stddev_samp(overall_accuracy),0.0),6)+0.0 AS std, count(*) AS n FROM fx_runs GROUP BY 1")
 def _(t):
     # Every number of parameters in the table has a rank, so that every run counts.
     rank = (4 * ((F.col("trainable_params") - 7690) % 4 + 1)).cast("int").alias("rank")

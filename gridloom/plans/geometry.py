@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import overlay as O
 from ..operators import spatial as G
 from .registry import query, r6
 
@@ -147,6 +148,25 @@ def _(t):
     return G.union_area(slanted(t), FINE, "ring").select("area")
 
 
+def sheared(t):
+    """Footprints slanted by one shear of the whole plane, which keeps every area: what unions have in common is known from the boxes."""
+    x = lambda c, y: F.struct((F.col(c) + 0.37 * (F.col(y) - 4828160.0)).alias("x"), F.col(y).alias("y"))
+    return t["fx_scenes"].withColumn("ring", F.array(x("minx", "miny"), x("maxx", "miny"), x("maxx", "maxy"), x("minx", "maxy"), x("minx", "miny")))
+
+
+@query("c12_quarter_iou_exact", f"WITH {_COVER} SELECT quarter_a, quarter_b, round(iou,6)+0.0 AS iou FROM q")
+def _(t):
+    return O.union_iou(sheared(t), 2 * CELL, group="quarter").select(F.col("group_a").alias("quarter_a"), F.col("group_b").alias("quarter_b"), r6(F.round("iou", 10)).alias("iou"))
+
+
+@query("c13_union_area_exact", f"WITH {_COVER} SELECT round((SELECT count(DISTINCT (x,y)) FROM c)*1.6384::DOUBLE,4)+0.0 AS square_km, n.quarter, round(n.n*1.6384::DOUBLE,4)+0.0 AS own_square_km FROM n")
+def _(t):
+    rings = sheared(t).select("ring", "quarter")
+    every = O.union_areas(rings.select("ring", F.lit("all").alias("group")), 2 * CELL).select((F.round(F.col("area") / 1e6, 4) + 0.0).alias("square_km"))
+    own = O.union_areas(rings, 2 * CELL, group="quarter").where("group_a = group_b").select(F.col("group_a").alias("quarter"), (F.round(F.col("area") / 1e6, 4) + 0.0).alias("own_square_km"))
+    return own.crossJoin(every)
+
+
 @query("c14_iou_pairs", f"WITH {_COVER} SELECT quarter_a, quarter_b, round(iou,6)+0.0 AS iou FROM q WHERE quarter_a<quarter_b AND iou>0.1 AND quarter_a LIKE '199%' AND quarter_b LIKE '199%'")
 def _(t):
     return G.iou_pairs(G.quarter_iou(t["fx_scenes"], CELL), 0.1, "199").withColumn("iou", r6("iou"))
@@ -159,23 +179,7 @@ pairs AS (SELECT * FROM (SELECT a.patch_path AS patch_path_a, b.patch_path AS pa
 
 
 def pairs_1998(t):
-    return G.spatial_pair(t["fx_patches"], CELL, 0.5, QUARTERS)
-
-
-@query("e1_spatial_pair", f"WITH {_PAIRS} SELECT patch_path_a, patch_path_b, quarter_a, quarter_b, CAST(days_gap AS INTEGER) AS days_gap, round(iou,6)+0.0 AS iou, round(share_a,6)+0.0 AS share_a FROM pairs")
-def _(t):
-    # The matrix of quarters prunes nothing at 0.05; it shows the pruned form.
-    p = G.spatial_pair(t["fx_patches"], CELL, 0.5, QUARTERS, G.quarter_iou(t["fx_scenes"], CELL), 0.0)
-    return p.select("patch_path_a", "patch_path_b", "quarter_a", "quarter_b", "days_gap", r6("iou").alias("iou"), r6("share_a").alias("share_a"))
-
-
-@query(
-    "e2_pair_summary",
-    f"""WITH {_PAIRS} SELECT quarter_a, quarter_b, count(*) AS n_pairs, round(avg(iou),6)+0.0 AS mean_iou, round(avg(days_gap),6)+0.0 AS mean_gap, round(quantile_cont(days_gap,0.5),6)+0.0 AS median_gap,
-    CAST(min(days_gap) AS INTEGER) AS min_gap, CAST(max(days_gap) AS INTEGER) AS max_gap FROM pairs GROUP BY ALL""",
-)
-def _(t):
-    return G.pair_summary(pairs_1998(t)).withColumns({c: r6(c) for c in ("mean_iou", "mean_gap", "median_gap")})
+    return G.spatial_pair(t["fx_patches"], 0.5, QUARTERS)
 
 
 @query("e3_pairs_for_quarters", f"WITH {_PAIRS} SELECT patch_path_b AS patch_path_a, patch_path_a AS patch_path_b, quarter_b AS quarter_a, quarter_a AS quarter_b, CAST(-days_gap AS INTEGER) AS days_gap FROM pairs WHERE quarter_a='1998Q1' AND quarter_b='1998Q4'")
@@ -193,16 +197,16 @@ pairs AS (SELECT * FROM (SELECT a.patch_path AS patch_path_a, b.patch_path AS pa
 
 def all_pairs(t):
     """Pairs of all quarters in the tables."""
-    return G.spatial_pair(t["fx_patches"], CELL, MIN_IOU, quarter_iou=G.quarter_iou(t["fx_scenes"], CELL), min_quarter_iou=MIN_QUARTER_IOU)
+    return G.spatial_pair(t["fx_patches"], MIN_IOU, quarter_iou=G.quarter_iou(t["fx_scenes"], CELL), min_quarter_iou=MIN_QUARTER_IOU)
 
 
-@query("e1_spatial_pair_all", f"WITH {_ALL_PAIRS} SELECT patch_path_a, patch_path_b, quarter_a, quarter_b, CAST(days_gap AS INTEGER) AS days_gap, round(iou,6)+0.0 AS iou, round(share_a,6)+0.0 AS share_a FROM pairs")
+@query("e1_spatial_pair", f"WITH {_ALL_PAIRS} SELECT patch_path_a, patch_path_b, quarter_a, quarter_b, CAST(days_gap AS INTEGER) AS days_gap, round(iou,6)+0.0 AS iou, round(share_a,6)+0.0 AS share_a FROM pairs")
 def _(t):
     return all_pairs(t).select("patch_path_a", "patch_path_b", "quarter_a", "quarter_b", "days_gap", r6("iou").alias("iou"), r6("share_a").alias("share_a"))
 
 
 @query(
-    "e2_pair_summary_all",
+    "e2_pair_summary",
     f"""WITH {_ALL_PAIRS} SELECT quarter_a, quarter_b, count(*) AS n_pairs, round(avg(iou),6)+0.0 AS mean_iou, round(avg(days_gap),6)+0.0 AS mean_gap, round(quantile_cont(days_gap,0.5),6)+0.0 AS median_gap,
     CAST(min(days_gap) AS INTEGER) AS min_gap, CAST(max(days_gap) AS INTEGER) AS max_gap FROM pairs GROUP BY ALL""",
 )

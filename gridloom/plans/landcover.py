@@ -66,15 +66,6 @@ def _(t):
 
 @query(
     "f8_slice_labels",
-    f"WITH {_CODES} SELECT patch_path, CAST(d.px AS INTEGER) AS px, CAST(code AS INTEGER) AS v FROM fx_patches p JOIN c ON c.patch_id=p.scene_key%500 JOIN (SELECT px, CAST(floor((px//3+0.5)*4/3) AS INTEGER)*4+CAST(floor((px%3+0.5)*4/3) AS INTEGER) AS src FROM range(9) r(px)) d ON d.src=c.px",
-)
-def _(t):
-    grid = L.remap_classes(codes(t)).select(F.col("patch_id").alias("tile"), "px", F.col("code").alias("v"))
-    return L.slice_labels(t["fx_patches"].select("patch_path", (F.col("scene_key") % 500).alias("tile")), grid, 4, 4, 3)
-
-
-@query(
-    "f8_slice_labels_all",
     f"WITH {_CODES} SELECT patch_path, CAST(d.px AS INTEGER) AS px, CAST(code AS INTEGER) AS v FROM fx_patches p JOIN c ON c.patch_id=p.scene_key%(SELECT count(*) FROM embeddings) JOIN (SELECT px, CAST(floor((px//3+0.5)*4/3) AS INTEGER)*4+CAST(floor((px%3+0.5)*4/3) AS INTEGER) AS src FROM range(9) r(px)) d ON d.src=c.px",
 )
 def _(t):

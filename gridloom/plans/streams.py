@@ -25,16 +25,34 @@ def _(t):
     return I.incremental_index(t.spark, source, s.schema, rows, ["scene_key", "row", "col"], out, state, 2)
 
 
+def _metrics(t):
+    """The metric stream of all events, which arrive in four lots in the order of their time."""
+    ts = F.col("ts").cast("timestamp")
+    e = t["events"].select(F.col("user_id").alias("job"), (F.col("event_id") % 10).cast("int").alias("epoch"), F.sqrt(F.abs("value")).alias("rec"), F.sqrt(F.abs("value") / 3).alias("uni"), ts.alias("ts"))
+    source, out, state = (scratch(t.spark, n) for n in ("metrics", "means", "state"))
+    first, last = e.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    lot = F.least(F.floor((F.unix_seconds("ts") - first) * 4 / (last - first + 1)), F.lit(3))
+    made = None
+    for k in range(4):
+        e.where(lot == k).write.mode("append").parquet(source)
+        made = I.metrics_stream(t.spark, source, e.schema, out, state)
+    return made
+
+
 @query(
     "l2_metrics_stream",
     "SELECT user_id AS job, CAST(event_id%10 AS INTEGER) AS epoch, round(avg(sqrt(abs(value))),6)+0.0 AS rec, round(avg(sqrt(abs(value)))+0.1*avg(sqrt(abs(value)/3)),6)+0.0 AS total, count(*) AS steps FROM events GROUP BY ALL",
 )
 def _(t):
-    e = t["events"].select(F.col("user_id").alias("job"), (F.col("event_id") % 10).cast("int").alias("epoch"), F.sqrt(F.abs("value")).alias("rec"), F.sqrt(F.abs("value") / 3).alias("uni"), F.col("ts").cast("timestamp").alias("ts"))
-    source, out, state = (scratch(t.spark, n) for n in ("metrics", "means", "state"))
-    e.repartition(6).write.parquet(source)
-    m = I.metrics_stream(t.spark, source, e.schema, out, state, files_per_batch=3)
-    return m.select("job", "epoch", r6("rec").alias("rec"), r6("total").alias("total"), "steps")
+    return _metrics(t).select("job", "epoch", r6("rec").alias("rec"), r6("total").alias("total"), "steps")
+
+
+@query(
+    "l2_remaining_time",
+    "SELECT job, epoch, round((12-epoch)*n*0.25,6)+0.0 AS seconds_left FROM (SELECT job, max(epoch) AS epoch, avg(steps) AS n FROM (SELECT user_id AS job, CAST(event_id%10 AS INTEGER) AS epoch, count(*) AS steps FROM events GROUP BY ALL) GROUP BY 1)",
+)
+def _(t):
+    return I.remaining_time(_metrics(t), 12, 0.25).withColumn("seconds_left", r6("seconds_left"))
 
 
 @query(

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from ..sources.catalogue import read_or_empty
 
 PARTS = 64
+#: Progress of the batches of the last run_available(), oldest first.
+LAST_PROGRESS: list[dict] = []
 
 
 def read_stream(spark: SparkSession, source: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -29,7 +31,9 @@ def table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Processes all that is there and returns."""
-    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    LAST_PROGRESS[:] = query.recentProgress
 
 
 def incremental_index(spark: SparkSession, source: str, schema: T.StructType, rows: Callable[[DataFrame], DataFrame], keys: list[str], out: str, checkpoint: str, files_per_batch: int = 1000) -> DataFrame:
@@ -49,21 +53,35 @@ def incremental_index(spark: SparkSession, source: str, schema: T.StructType, ro
     return table(spark, out, stored).drop("batch", "part")
 
 
-def metrics_stream(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str, time: str = "ts", late: str = "30 days", files_per_batch: int = 1000) -> DataFrame:
-    """(job, epoch): mean rec and uni, total = rec + 0.1 uni, number of steps; the last update of each key.
+def metrics_stream(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str, time: str = "ts", late: str = "30 days", window: str = "1 day", files_per_batch: int = 1000) -> DataFrame:
+    """(job, epoch): mean rec and uni, total = rec + 0.1 uni, number of steps.
 
-    The watermark bounds the state: an epoch that gets no more rows within `late` is dropped from it.
+    Steps are summed in windows of their event time, which is a part of the state's key, so the watermark ends the state: a window
+    is dropped from it once the latest time seen is `late` after the window's end. What a batch changes is stored, and an epoch is put together
+    from the last sums of each of its windows, open or ended. A step that comes when its window has been dropped isn't counted; late_steps() says
+    how many of each epoch those are. A step without a time isn't counted either.
     """
     stream = read_stream(spark, source, schema, files_per_batch).withWatermark(time, late)
-    means = stream.groupBy("job", "epoch").agg(F.avg("rec").alias("rec"), F.avg("uni").alias("uni"), F.count("*").alias("steps"))
+    sums = stream.groupBy("job", "epoch", F.window(time, window).alias("window")).agg(*(F.sum(c).alias(c) for c in ("rec", "uni")), *(F.count(c).alias(f"n_{c}") for c in ("rec", "uni")), F.count("*").alias("steps"))
+    sums = sums.select("job", "epoch", F.col("window.start").alias("begin"), "rec", "uni", "n_rec", "n_uni", "steps")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    run_available(means, write, checkpoint, "update")
-    kind = T.StructType([T.StructField("job", schema["job"].dataType), T.StructField("epoch", schema["epoch"].dataType), *(T.StructField(n, t) for n, t in (("rec", T.DoubleType()), ("uni", T.DoubleType()), ("steps", T.LongType())))])
-    last = table(spark, out, kind).groupBy("job", "epoch").agg(F.max(F.struct("batch", "rec", "uni", "steps")).alias("m"))
-    return last.select("job", "epoch", "m.rec", "m.uni", (F.col("m.rec") + 0.1 * F.col("m.uni")).alias("total"), "m.steps")
+    run_available(sums, write, checkpoint, "update")
+    own = [("begin", T.TimestampType()), ("rec", T.DoubleType()), ("uni", T.DoubleType()), ("n_rec", T.LongType()), ("n_uni", T.LongType()), ("steps", T.LongType())]
+    kind = T.StructType([T.StructField("job", schema["job"].dataType), T.StructField("epoch", schema["epoch"].dataType), *(T.StructField(n, t) for n, t in own)])
+    last = table(spark, out, kind).groupBy("job", "epoch", "begin").agg(F.max(F.struct("batch", *(n for n, _ in own[1:]))).alias("m")).select("job", "epoch", "m.*")
+    made = last.groupBy("job", "epoch").agg(*((F.sum(c) / F.nullif(F.sum(f"n_{c}"), F.lit(0))).alias(c) for c in ("rec", "uni")), F.sum("steps").alias("steps"))
+    return made.select("job", "epoch", "rec", "uni", (F.col("rec") + 0.1 * F.col("uni")).alias("total"), "steps")
+
+
+def late_steps(spark: SparkSession, source: str, schema: T.StructType, metrics: DataFrame) -> DataFrame:
+    """(job, epoch, late): the steps of the source's files that metrics_stream() came to too late, or without a time, to count. Epochs without such have no row."""
+    there = spark.read.schema(schema).parquet(source).groupBy("job", "epoch").agg(F.count("*").alias("_there"))
+    counted = metrics.select(F.col("job").alias("_job"), F.col("epoch").alias("_epoch"), "steps")
+    met = there.join(counted, F.col("job").eqNullSafe(F.col("_job")) & F.col("epoch").eqNullSafe(F.col("_epoch")), "left")
+    return met.select("job", "epoch", (F.col("_there") - F.coalesce("steps", F.lit(0))).alias("late")).where("late > 0")
 
 
 def remaining_time(metrics: DataFrame, epochs: int, seconds_a_step: float) -> DataFrame:
