@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources import catalogue as C
+from ..sources.geojson import write_collections
 from ..sources.scratch import scratch
 from .registry import query, r6
 
@@ -27,8 +28,6 @@ _LOW = "regexp_matches(tif_path,'低精度|低精|预处理|中间')"
 )
 def _(t):
     s = t["fx_scenes"]
-    one = s.groupBy("scene_id").agg(F.count("*").alias("n"))
-    del one
     headers = s.select(F.concat("scene_id", F.lit("#"), "scene_key").alias("scene_id"), "scene_key", "minx", "miny", "maxx", "maxy")
     meta = s.where("scene_key % 3 = 0").select(
         F.concat("scene_id", F.lit("#"), "scene_key").alias("folder_name"), F.when(F.col("scene_key") % 2 == 0, "MUX").otherwise("").alias("sensor"), "date", F.lit(0.0).alias("cloud_cover"), "quarter"
@@ -52,13 +51,14 @@ def _(t):
 
 @query("a3_read_geojson", "SELECT patch_path, quarter, 'Polygon' AS geometry_type, 5 AS points, minx, maxy FROM fx_patches")
 def _(t):
-    """Footprints written as GeoJSON features, a line each, and read back."""
-    path = scratch(t.spark, "features")
+    """Footprints written as GeoJSON collections, one a task, and read back by as many tasks as the collections have splits."""
+    path, lines = scratch(t.spark, "collections"), scratch(t.spark, "features")
     corner = lambda x, y: F.array(F.col(x), F.col(y))
     ring = F.array(F.array(corner("minx", "miny"), corner("maxx", "miny"), corner("maxx", "maxy"), corner("minx", "maxy"), corner("minx", "miny")))
-    C.write_geojson(t["fx_patches"], path, "Polygon", ring, ["patch_path", "quarter"])
+    C.write_geojson(t["fx_patches"], lines, "Polygon", ring, ["patch_path", "quarter"])
+    write_collections(t.spark.read.text(lines), path, "value")
     r = F.col("coordinates")[0]
-    return C.read_geojson_lines(t.spark, path).select("patch_path", "quarter", "geometry_type", F.size(r).alias("points"), F.array_min(F.transform(r, lambda p: p[0])).alias("minx"), F.array_max(F.transform(r, lambda p: p[1])).alias("maxy"))
+    return C.read_geojson(t.spark, path).select("patch_path", "quarter", "geometry_type", F.size(r).alias("points"), F.array_min(F.transform(r, lambda p: p[0])).alias("minx"), F.array_max(F.transform(r, lambda p: p[1])).alias("maxy"))
 
 
 @query("a5_patch_index_round_trip", "SELECT quarter, count(*) AS n, count(DISTINCT patch_path) AS n_paths, CAST(sum(row) AS BIGINT) AS rows FROM fx_patches WHERE quarter LIKE '1998%' GROUP BY 1")

@@ -17,12 +17,21 @@ def means(t):
     return X.aggregate_runs(t["fx_runs"], "overall_accuracy")
 
 
-@query("a7_read_results", "SELECT method, count(*) AS n, count(DISTINCT modality) AS n_modalities, true AS has_batch FROM fx_runs GROUP BY 1")
+@query(
+    "a7_read_results",
+    """SELECT method, modality, CAST(seed AS BIGINT) AS seed, CASE WHEN modality<>'P' THEN round(overall_accuracy,6)+0.0 END AS overall_accuracy, CASE WHEN modality='O' THEN round(overall_accuracy/2,6)+0.0 END AS mAP,
+    CASE WHEN modality<>'P' THEN CAST(trainable_params AS BIGINT) END AS trainable_params FROM fx_runs""",
+)
 def _(t):
-    path = scratch(t.spark, "results")
-    t["fx_runs"].write.json(path)
-    back = t.spark.read.json(path).withColumn("batch", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
-    return back.groupBy("method").agg(F.count("*").alias("n"), F.countDistinct("modality").alias("n_modalities"), F.min(F.length("batch") > 0).alias("has_batch"))
+    """A file for each modality and seed: one kind has the accuracy as a number, one as text beside a field of its own, one has none, and an object for the parameters."""
+    path, key = scratch(t.spark, "results"), ["method", "modality", "seed"]
+    as_text = F.when(F.col("modality") == "F", F.to_json(F.struct(*key, "overall_accuracy", "trainable_params")))
+    as_text = as_text.when(F.col("modality") == "O", F.to_json(F.struct(*key, F.col("overall_accuracy").cast("string").alias("overall_accuracy"), (F.col("overall_accuracy") / 2).alias("mAP"), "trainable_params")))
+    as_text = as_text.otherwise(F.to_json(F.struct(*key, F.struct(F.col("trainable_params").alias("total")).alias("trainable_params"))))
+    files = t["fx_runs"].groupBy("modality", "seed").agg(F.concat(F.lit("["), F.array_join(F.collect_list(as_text), ", "), F.lit("]")).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    back = C.read_results(t.spark, path, {"method": "string", "modality": "string", "seed": "bigint", "overall_accuracy": "double", "mAP": "double", "trainable_params": "bigint"})
+    return back.select(*key, r6("overall_accuracy").alias("overall_accuracy"), r6("mAP").alias("mAP"), "trainable_params")
 
 
 @query("i1_aggregate_runs", f"WITH {_MEANS} SELECT method, modality, round(mean,6)+0.0 AS mean, round(std,6)+0.0 AS std, n, trainable_params FROM m")

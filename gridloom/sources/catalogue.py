@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from .geojson import feature_texts
+from .scratch import scratch
 
 # Header words of metadata tables and the columns that they mean, first match first.
 HEADERS = [("folder", "folder_name"), ("云", "cloud_cover"), ("传感器", "sensor"), ("sensor", "sensor"), ("时间", "date"), ("date", "date"), ("季度", "quarter")]
@@ -171,15 +173,37 @@ def parse_training_results(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.where(F.col(line).rlike(RESULT_LINE)).select(part(1).alias("method"), part(2).alias("modality"), part(3).cast("int").alias("seed"), part(4).cast("double").alias("overall_accuracy"))
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """JSON result files of different columns as one table, with the file's stem as batch."""
-    return spark.read.option("multiLine", True).json(path).withColumn("batch", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
+#: Kinds of JSON numbers.
+_NUMBERS = ("TINYINT", "SMALLINT", "INT", "BIGINT", "DECIMAL", "FLOAT", "DOUBLE")
+
+
+def read_results(spark: SparkSession, path: str, fields: dict[str, str] | None = None) -> DataFrame:
+    """JSON result files (an object or an array of objects each) as one table, with the file's stem as batch and each record as a variant, record.
+
+    Records are variants, so files of different columns need no common schema: a field that a record doesn't have, or has as something
+    that isn't of the wanted type, is null. fields: names and their types; without it, every name found in any record: numbers as double, booleans as such,
+    and anything else, also a name with values of several kinds, as string. Text that is no JSON, and records that are no objects, give no rows.
+    """
+    files_ = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("batch"), F.try_parse_json("value").alias("v"))
+    several = F.expr("try_cast(v AS array<variant>)")
+    records = files_.select("batch", F.explode(F.coalesce(several, F.array("v"))).alias("record")).where("try_cast(record AS map<string, variant>) IS NOT NULL")
+    if fields is None:
+        # A row for each name and kind: names of columns, whose number doesn't grow with the records.
+        each = records.select(F.explode(F.expr("try_cast(record AS map<string, variant>)")).alias("name", "value"))
+        kinds: dict[str, set[str]] = {}
+        for name, kind in each.select("name", F.regexp_extract(F.schema_of_variant("value"), r"^\w+", 0).alias("kind")).distinct().collect():
+            kinds.setdefault(name, set()).add("DOUBLE" if kind in _NUMBERS else kind)
+        kinds = {n: k - {"VOID"} for n, k in kinds.items()}
+        fields = {n: "double" if k == {"DOUBLE"} else "boolean" if k == {"BOOLEAN"} else "string" for n, k in sorted(kinds.items())}
+    own = F.expr("try_cast(record AS map<string, variant>)")
+    return records.select("batch", *(F.try_variant_get(F.try_element_at(own, F.lit(n)), F.lit("$"), t).alias(n) for n, t in fields.items()), "record")
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each feature: its properties as columns and its geometry's type and rings."""
-    f = spark.read.option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    return f.select("f.properties.*", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"))
+    """A row for each feature of the FeatureCollections at a path: its properties as columns and its geometry's type and rings. One collection is read by many tasks."""
+    lines = scratch(spark, "features")
+    feature_texts(spark, path).write.text(lines)
+    return read_geojson_lines(spark, lines)
 
 
 def write_geojson(df: DataFrame, path: str, kind: str, coordinates: Column, properties: list[str]) -> None:
@@ -191,7 +215,10 @@ def write_geojson(df: DataFrame, path: str, kind: str, coordinates: Column, prop
 
 def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     """read_geojson() of files with a feature on each line."""
-    return spark.read.json(path).select("properties.*", F.col("geometry.type").alias("geometry_type"), F.col("geometry.coordinates").alias("coordinates"))
+    schema = spark.read.json(path).schema
+    if "properties" not in schema.names or "geometry" not in schema.names:
+        return spark.createDataFrame([], "geometry_type string, coordinates string")
+    return spark.read.schema(schema).json(path).where("type = 'Feature'").select("properties.*", F.col("geometry.type").alias("geometry_type"), F.col("geometry.coordinates").alias("coordinates"))
 
 
 def point_feature(lon: Column | str, lat: Column | str, properties: dict[str, Column]) -> Column:

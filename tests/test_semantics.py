@@ -484,3 +484,54 @@ def test_metric_state_ends_and_late_rows_are_counted(spark, tmp_path):
     # A restart goes on with what is stored, and nothing is counted twice.
     again = incremental.metrics_stream(spark, source, kind, out, state)
     assert sorted(map(str, again.collect())) == sorted(map(str, made.collect()))
+
+
+def test_collections_are_read_by_many_tasks(spark, tmp_path):
+    from gridloom.sources import geojson
+
+    odd = ['a}b{c', 'q"{[', "back\\", 'x\\"}', "line\nfeed", "日本}", ""]
+    features = [
+        {"type": "Feature", "properties": {"k": k, "name": odd[k % 7] * (k % 3), "more": {"deep": [{"type": "Feature"}, {"a": [1, {"b": "}"}]}]}}, "geometry": None if k % 11 == 0 else {"type": "Polygon", "coordinates": [[[k + j / 7, 0.5] for j in range(1 + k % 40)]]}}
+        for k in range(400)
+    ]
+    body = {"type": "FeatureCollection", "name": "t{[", "bbox": [0, 1, [2]], "links": [{"href": "x"}], "features": features, "after": {"z": [1]}}
+    one = tmp_path / "one.geojson"
+    one.write_text(json.dumps(body, indent=1, ensure_ascii=False))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        made = geojson.feature_texts(spark, str(one))
+        parts = spark.read.option("lineSep", "}").text(str(one)).rdd.getNumPartitions()
+        texts = [json.loads(r.feature) for r in made.collect()]
+        assert parts > 40
+        assert sorted((x for x in texts if x.get("type") == "Feature"), key=lambda x: x["properties"]["k"]) == features
+        assert [x for x in texts if x.get("type") != "Feature"] == [{"href": "x"}]
+        table = C.read_geojson(spark, str(one))
+        whole = spark.read.option("multiLine", True).json(str(one)).select(F.explode("features").alias("f")).select("f.properties.k", "f.properties.name", "f.geometry.type")
+        assert values(table.orderBy("k"), "k", "name", "geometry_type") == [tuple(r) for r in whole.orderBy("k").collect()]
+        # Several files, one of them cut in the middle of a feature, an empty one, and one without features.
+        text = json.dumps(body, ensure_ascii=False)
+        cut = text.index('"k": 300')
+        (tmp_path / "cut.geojson").write_text(text[:cut])
+        (tmp_path / "empty.geojson").write_text("")
+        (tmp_path / "none.geojson").write_text('{"type": "FeatureCollection", "features": []}')
+        got = [json.loads(r.feature) for r in geojson.feature_texts(spark, str(tmp_path / "*.geojson")).collect()]
+        ks = sorted(x["properties"]["k"] for x in got if x.get("type") == "Feature")
+        assert ks == sorted([*range(400), *range(300)])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert C.read_geojson(spark, str(tmp_path / "none.geojson")).count() == 0
+
+
+def test_results_of_drifting_and_conflicting_shape(spark, tmp_path):
+    runs = {"a": [{"method": "m", "seed": 1, "acc": 0.5}, 7, None], "b": {"method": "n", "acc": "0.25", "ok": True, "odd.name": "x", "it's": 1}, "c": [{"method": {"name": "o"}, "acc": [1, 2], "ok": "no"}]}
+    for name, x in runs.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(x, indent=2))
+    (tmp_path / "d.json").write_text("{broken")
+    r = C.read_results(spark, str(tmp_path / "*.json"), {"method": "string", "acc": "double", "seed": "int"})
+    assert sorted(values(r, "batch", "method", "acc", "seed"), key=str) == sorted([("a", "m", 0.5, 1), ("b", "n", 0.25, None), ("c", '{"name":"o"}', None, None)], key=str)
+    r = C.read_results(spark, str(tmp_path / "*.json"))
+    assert dict(r.dtypes) == {"batch": "string", "acc": "string", "it's": "double", "method": "string", "odd.name": "string", "ok": "string", "seed": "double", "record": "variant"}
+    assert sorted(map(str, values(r, "acc"))) == ["0.25", "0.5", "[1,2]"]
+    assert values(r.where("batch = 'b'"), "`odd.name`", "ok", "`it's`") == [("x", "true", 1.0)]
