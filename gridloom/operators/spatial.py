@@ -84,11 +84,17 @@ def spatial_pair(patches: DataFrame, min_iou: float = 0.8, quarters: list[str] |
     p = patches.select(keep)
     if quarters:
         p = p.where(F.col("quarter").isin(quarters))
-    pairs = overlaps(p, p, min_iou, "quarter")
+    # Patches of a common grid have one box in many quarters: places meet once, and their patches are joined to the pairs of places.
+    places = p.select(BOX).distinct()
+    near = overlaps(places, places, min_iou)
+    left, meet = p, F.col("quarter_a") < F.col("quarter_b")
     if quarter_iou is not None:
-        # The quarters that a quarter isn't matched with, a short list.
-        pruned = quarter_iou.where(F.col("iou") < min_quarter_iou).groupBy("quarter_a").agg(F.collect_set("quarter_b").alias("_not"))
-        pairs = pairs.join(pruned, "quarter_a", "left").where(~F.coalesce(F.array_contains("_not", F.col("quarter_b")), F.lit(False)))
+        # The quarters that a quarter isn't matched with, a short list; the join itself looks at it, so pruned pairs are never made.
+        pruned = quarter_iou.where(F.col("iou") < min_quarter_iou).groupBy(F.col("quarter_a").alias("quarter")).agg(F.collect_set("quarter_b").alias("_not"))
+        left = p.join(pruned, "quarter", "left").select(*keep, "_not")
+        meet &= ~F.coalesce(F.array_contains("_not_a", F.col("quarter_b")), F.lit(False))
+    sides = [df.withColumnsRenamed({c: f"{c}_{s}" for c in df.columns}) for df, s in ((left, "a"), (p, "b"))]
+    pairs = near.join(sides[0], [f"{c}_a" for c in BOX]).join(sides[1], [f"{c}_b" for c in BOX]).where(meet)
     area = lambda s: (F.col(f"maxx_{s}") - F.col(f"minx_{s}")) * (F.col(f"maxy_{s}") - F.col(f"miny_{s}"))
     out = pairs.select(
         *(f"{c}_{s}" for c in keep[:4] for s in "ab"),
