@@ -1,11 +1,11 @@
 """A training-corpus pipeline of four stages; each is written as Parquet and read again before the next.
 
-language ID (documents without a language go) -> near-duplicate removal (one document of each group stays) -> benchmark
+language ID (documents whose main language has less than a third of them, or that have none, go) -> near-duplicate removal (one document of each group stays) -> benchmark
 decontamination (contaminated documents go) -> SentencePiece encoding and decoding. All but the last return the columns
 of documents; each works on all rows that its predecessor kept.
 
 Defined results of the stages: a row's own text decides about it, so null or repeated doc_ids don't touch other rows. A null
-or empty text, or one without a letter, has no language and goes in the first stage; the second and third keep it (it
+or empty text, or one without a letter, has no language and goes in the first stage (where no row is labelled, all others stay); the second and third keep it (it
 is linked with nothing and has no words), the last gives it the begin and end ids alone. Of repeated rows the second
 stage keeps one. Ties go to the least doc_id, null last. Empty tables give empty results with the same columns; further columns,
 whatever their names, are kept by all but the last, which gives doc_id and its own columns.
@@ -20,7 +20,7 @@ from gridloom.llm.common import documents, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in which a language is found."""
+    """Keeps the documents in which a language is found that has a third of them at least."""
     return langid.in_a_language(docs, langid.learnt(docs))
 
 
