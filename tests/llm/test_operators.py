@@ -359,11 +359,14 @@ def test_token_files_round_trip(spark, tmp_path):
 
 def test_rows_of_one_key_are_dealt_to_many_files(spark, tmp_path):
     docs = spark.range(0, 3000, 1, 3).selectExpr("if(id % 3 = 0, null, 7) as doc_id", "concat('w', id) as text")
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    held = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in held.items():
+        spark.conf.set(k, v)
     try:
         token_files.write_tokens(docs, str(tmp_path / "out"))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     files = [[b.n_docs for b in token_files.blocks(p.read_bytes())] for p in sorted((tmp_path / "out").glob("*.txt"))]
     assert len(files) >= 6 and max(map(sum, files)) < 900 and sum(map(sum, files)) == 3000
     got = token_files.read_tokens(spark, str(tmp_path / "out")).orderBy("start").collect()
