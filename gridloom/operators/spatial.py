@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -207,40 +210,60 @@ def footprint_stats(df: DataFrame, area: str = "area") -> DataFrame:
     return sums.crossJoin(percentiles(df, area, {"median": 0.5, "p95": 0.95}))
 
 
+def _shift(name: str, word: Column, by: Column) -> Column:
+    return F.call_function(name, word, by.cast("int"))
+
+
+def _stretch(a: Column, b: Column, word: int) -> Column:
+    """The bits of columns a to b that lie in a word of 64 columns."""
+    lo, hi, ones = F.greatest(a - 64 * word, F.lit(0)), F.least(b - 64 * word, F.lit(63)), F.lit(-1).cast("long")
+    return F.when(lo <= hi, _shift("shiftleft", ones, lo).bitwiseAND(_shift("shiftrightunsigned", ones, 63 - hi))).otherwise(F.lit(0).cast("long"))
+
+
 def rasterize(polygons: DataFrame, patches: DataFrame, gsd: float, patch: int, min_area: float = 0.0, coarse: float | None = None) -> DataFrame:
-    """(patch_path, row, col) of every cell that a polygon touches: an edge meets the cell's inside, or its centre is in the ring.
+    """(patch_path, row, col) of every cell that a polygon touches: an edge meets the cell's inside, or its centre is in the polygon.
 
-    Polygons (way_id, ring) meet patches by overlap_join() on their bounds. A row of a patch's cells is taken at once: what of each edge
-    lies in the row, and the stretches of its middle line inside the ring, give the columns; no cell is tried alone.
+    Polygons are (way_id, ring); several rings of a way_id are one polygon by even and odd, so a ring inside another is a hole. Those whose
+    largest ring is under min_area are left out. Bounds alone meet patches, by overlap_join(). Edges are rows of their own, and each goes by
+    bands of y to the rows of patches that it crosses, never a whole ring: there it marks the columns that it meets and flips the
+    inside from one column on. A row of a patch is a few numbers of 64 columns, so marks and flips are aggregated by bits.
     """
-    r = F.col("ring")
-    xs, ys = F.transform(r, lambda p: p["x"]), F.transform(r, lambda p: p["y"])
-    polys = polygons.where(ring_area(r) >= min_area).select("way_id", "ring", F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"), F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
-    met = overlap_join(polys, patches.select("patch_path", *BOX), coarse or gsd * patch)
-    low = lambda v, origin: F.greatest(F.floor((v - origin) / gsd).cast("int"), F.lit(0))
-    high = lambda v, origin: F.least(F.ceil((v - origin) / gsd).cast("int") - 1, F.lit(patch - 1))
+    cell, words = coarse or gsd * patch, range(-(-patch // 64))
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    least, most = (lambda v: F.min(F.array_min(v))), (lambda v: F.max(F.array_max(v)))
+    bounds = polygons.groupBy("way_id").agg(least(xs).alias("minx"), least(ys).alias("miny"), most(xs).alias("maxx"), most(ys).alias("maxy"), F.max(ring_area(F.col("ring"))).alias("_area"))
+    met = overlap_join(bounds.where(F.col("_area") >= min_area).drop("_area"), patches.select("patch_path", *BOX), cell)
+    bands = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
+    met = met.select(F.col("way_id_a").alias("_way"), F.col("patch_path_b").alias("patch_path"), "minx_b", "maxx_b", "maxy_b", F.greatest("miny_a", "miny_b").alias("from"), F.least("maxy_a", "maxy_b").alias("to"))
+    e = polygons.select("way_id", F.explode(edges(F.col("ring"))).alias("e")).select("way_id", "e.*", F.least("e.ay", "e.by").alias("low"), F.greatest("e.ay", "e.by").alias("high"))
+    # Both are in all bands they meet; a pair is made in the band where they begin to have y in common. What lies right of a patch doesn't matter to it.
+    once = (F.floor(F.greatest("low", "from") / cell) == F.col("band")) & (F.least("ax", "bx") < F.col("maxx_b"))
+    pairs = e.withColumn("band", bands("low", "high")).join(met.withColumn("_band", bands("from", "to")), F.col("way_id").eqNullSafe(F.col("_way")) & (F.col("band") == F.col("_band")) & once)
     # Rows count down from the patch's upper bound.
-    rows = F.sequence(low(F.col("maxy_b"), F.col("maxy_a")), high(F.col("maxy_b"), F.col("miny_a")))
-    lines = met.select("patch_path_b", "minx_b", "maxy_b", edges(F.col("ring_a")).alias("e"), F.explode(rows).alias("row"))
+    first, last = F.greatest(F.floor((F.col("maxy_b") - F.col("high")) / gsd), F.lit(0)), F.least(F.ceil((F.col("maxy_b") - F.col("low")) / gsd) - 1, F.lit(patch - 1))
+    lines = pairs.where(first <= last).withColumn("row", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
     lines = lines.withColumn("y1", F.col("maxy_b") - F.col("row") * gsd).withColumn("y0", F.col("y1") - gsd)
-    y0, y1 = F.col("y0"), F.col("y1")
-
-    def at(e: Column, y: Column) -> Column:
-        return F.when(y == e["ay"], e["ax"]).when(y == e["by"], e["bx"]).otherwise(e["ax"] + (y - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"]))
-
-    def within(e: Column) -> Column:
-        """Columns whose inside the edge meets in this row."""
-        level = e["ay"] == e["by"]
-        p = F.when(level, e["ax"]).otherwise(at(e, F.greatest(F.least(e["ay"], e["by"]), y0)))
-        q = F.when(level, e["bx"]).otherwise(at(e, F.least(F.greatest(e["ay"], e["by"]), y1)))
-        return F.struct(F.floor((F.least(p, q) - F.col("minx_b")) / gsd).alias("a"), (F.ceil((F.greatest(p, q) - F.col("minx_b")) / gsd) - 1).alias("b"))
-
-    crossed = F.transform(F.filter("e", lambda e: (F.greatest(e["ay"], e["by"]) > y0) & (F.least(e["ay"], e["by"]) < y1)), within)
-    middle = lambda x: F.ceil((x - F.col("minx_b")) / gsd - 0.5)
-    inside = F.transform(inside_spans(F.col("e"), y1 - gsd / 2), lambda s: F.struct(middle(s["a"]).alias("a"), (middle(s["b"]) - 1).alias("b")))
-    runs = F.transform(F.concat(crossed, inside), lambda s: F.struct(F.greatest(s["a"], F.lit(0)).cast("int").alias("a"), F.least(s["b"], F.lit(patch - 1)).cast("int").alias("b")))
-    cols = F.flatten(F.transform(F.filter(runs, lambda s: s["b"] >= s["a"]), lambda s: F.sequence(s["a"], s["b"])))
-    return lines.select(F.col("patch_path_b").alias("patch_path"), "row", F.explode(F.array_distinct(cols)).alias("col")).distinct()
+    ax, ay, bx, by, y0, y1, left = (F.col(c) for c in ("ax", "ay", "bx", "by", "y0", "y1", "minx_b"))
+
+    def at(y: Column) -> Column:
+        return F.when(y == ay, ax).when(y == by, bx).otherwise(ax + (y - ay) * (bx - ax) / (by - ay))
+
+    level, middle = ay == by, y1 - gsd / 2
+    p, q = F.when(level, ax).otherwise(at(F.greatest("low", y0))), F.when(level, bx).otherwise(at(F.least("high", y1)))
+    crosses = (F.col("high") > y0) & (F.col("low") < y1)
+    a = F.when(crosses, F.greatest(F.floor((F.least(p, q) - left) / gsd), F.lit(0)).cast("int")).otherwise(0)
+    b = F.when(crosses, F.least(F.ceil((F.greatest(p, q) - left) / gsd) - 1, F.lit(patch - 1)).cast("int")).otherwise(-1)
+    turn = F.ceil(((bx - ax) * (middle - ay) / (by - ay) + ax - left) / gsd - 0.5)
+    turn = F.when((ay > middle) != (by > middle), F.greatest(F.least(turn, F.lit(patch)), F.lit(0)).cast("int")).otherwise(patch)
+    lines = lines.select("patch_path", "row", "_way", a.alias("a"), b.alias("b"), turn.alias("turn"))
+    marks = [F.bit_or(_stretch(F.col("a"), F.col("b"), k)).alias(f"m{k}") for k in words]
+    flips = [F.bit_xor(_stretch(F.col("turn"), F.lit(patch - 1), k)).alias(f"i{k}") for k in words]
+    filled = lines.groupBy("patch_path", "row", "_way").agg(*marks, *flips)
+    rows = filled.groupBy("patch_path", "row").agg(*(F.bit_or(F.col(f"m{k}").bitwiseOR(F.col(f"i{k}"))).alias(f"m{k}") for k in words))
+    # A row for each column and a test of its bit, which are compiled, where functions of arrays are not.
+    every = rows.where(reduce(or_, (F.col(f"m{k}") != 0 for k in words))).select("*", F.explode(F.sequence(F.lit(0), F.lit(patch - 1))).alias("col"))
+    word = F.coalesce(*(F.when(F.col("col") < 64 * (k + 1), F.col(f"m{k}")) for k in words))
+    return every.where(_shift("shiftright", word, F.col("col") % 64).bitwiseAND(F.lit(1).cast("long")) == 1).select("patch_path", "row", "col")
 
 
 def mask_summary(cells: DataFrame, patches: DataFrame, patch: int) -> DataFrame:

@@ -1,21 +1,30 @@
 """Incremental work by Structured Streaming: files that arrive are processed once, a stopped run goes on where it was.
 
 Each micro-batch is written to a folder of its number, replacing what an earlier attempt at it left, so a batch that is
-run again after a failure doesn't double its rows. An index is cut into PARTS by a hash of its keys, and a batch reads the keys of
-those parts alone that its own rows fall in.
+run again after a failure doesn't double its rows. The folders of an index are merged by levels, and Bloom filters say which parts of them
+may hold a batch's keys.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.catalogue import read_or_empty
 
-PARTS = 64
+PARTS = 1024
+#: A Bloom filter's block.
+_FILTER = T.StructType([T.StructField("block", T.LongType()), *(T.StructField(f"w{k}", T.LongType()) for k in range(8)), T.StructField("n_blocks", T.LongType())])
+#: Folders of a level that become one of the next.
+FAN = 4
+#: For each batch of the last incremental_index() that asked filters: the number of parts named, by span.
+LAST_READ: list[dict[str, int]] = []
 #: Progress of the batches of the last run_available(), oldest first.
 LAST_PROGRESS: list[dict] = []
 
@@ -36,21 +45,123 @@ def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
     LAST_PROGRESS[:] = query.recentProgress
 
 
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, at = _fs(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def spans(spark: SparkSession, out: str) -> list[tuple[int, int]]:
+    """The spans of batches (first, last) that hold the index: complete folders that no larger complete one replaces, oldest first."""
+    there = {kind: [n for n in _names(spark, f"{out}/{kind}") if "_SUCCESS" in _names(spark, f"{out}/{kind}/{n}")] for kind in ("rows", "filters")}
+    whole = [tuple(map(int, n.removeprefix("span=").split("-"))) for n in there["rows"] if n in there["filters"]]
+    return sorted(s for s in whole if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in whole))
+
+
+def vacuum(spark: SparkSession, out: str) -> int:
+    """Deletes the folders that larger spans replaced and returns their number; for when nothing reads an older state of the index."""
+    live = {f"span={a}-{b}" for a, b in spans(spark, out)}
+    old = [n for n in _names(spark, f"{out}/rows") if n not in live]
+    for n in old:
+        for kind in ("rows", "filters"):
+            fs, at = _fs(spark, f"{out}/{kind}/{n}")
+            fs.delete(at, True)
+    return len(old)
+
+
+def _block(n_blocks: Column) -> Column:
+    return F.pmod(F.shiftrightunsigned("_hash", 8), n_blocks)
+
+
+def _bits() -> list[Column]:
+    """The bit that a key sets in each of the eight words of its block."""
+    return [F.expr(f"shiftleft(1L, cast(pmod(xxhash64(_hash, {k}), 64) as int))") for k in range(8)]
+
+
+def _filter(keyed: DataFrame, n: int) -> DataFrame:
+    """A Bloom filter in blocks as a table: (n_blocks, block, w0..w7). A key sets a bit in each word of one block of 512 bits, 16 bits for each key."""
+    blocks = F.lit(max(1, -(-n * 16 // 512))).cast("long")
+    words = [F.bit_or(b).alias(f"w{k}") for k, b in enumerate(_bits())]
+    return keyed.groupBy(_block(blocks).alias("block")).agg(*words).withColumn("n_blocks", blocks)
+
+
+def _perhaps(keyed: DataFrame, filters: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """(span and the keyed columns) of keys that a span's filter doesn't rule out."""
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("span"), F.lit(n).cast("long").alias("n_blocks")) for s, n in sizes.items()))).alias("_s")
+    asked = keyed.select("*", each).select("*", "_s.span", _block(F.col("_s.n_blocks")).alias("block")).drop("_s")
+    held = [(F.col(f"w{k}").bitwiseAND(b)) != 0 for k, b in enumerate(_bits())]
+    return asked.join(filters.drop("n_blocks"), ["span", "block"]).where(reduce(and_, held)).select("span", *keyed.columns)
+
+
 def incremental_index(spark: SparkSession, source: str, schema: T.StructType, rows: Callable[[DataFrame], DataFrame], keys: list[str], out: str, checkpoint: str, files_per_batch: int = 1000) -> DataFrame:
-    """Appends rows(new files) whose key isn't in the index yet; returns the index."""
-    made = rows(spark.createDataFrame([], schema)).schema
+    """Appends rows(new files) whose key isn't in the index yet; returns the index. A checkpoint and an index belong together.
 
-    stored = T.StructType([*made, T.StructField("part", T.IntegerType())])
+    A batch is a folder of its own, sorted by PARTS of its keys' hash, with a Bloom filter as a table beside it. Keys that no filter
+    holds are new without a look at the index; of the rest only the parts are read that a filter named. FAN folders of a level are
+    written together as one of the next, so that few are live however many batches there were: a folder counts once it is
+    complete, and replaces those that it covers. So a stopped compaction loses nothing, and a batch that is run again is known by its number.
+    """
+    made = rows(spark.createDataFrame([], schema)).schema
+    stored = T.StructType([*made, T.StructField("part", T.IntegerType()), T.StructField("_hash", T.LongType())])
+
+    def at(kind: str, span: tuple[int, int]) -> str:
+        return f"{out}/{kind}/span={span[0]}-{span[1]}"
+
+    def held(own: SparkSession, kind: str, live: list[tuple[int, int]]) -> DataFrame:
+        """Rows or filters of some spans, with their span; one scan."""
+        return own.read.option("basePath", f"{out}/{kind}").schema(T.StructType([*(stored if kind == "rows" else _FILTER), T.StructField("span", T.StringType())])).parquet(*(at(kind, s) for s in live))
+
+    def store(df: DataFrame, span: tuple[int, int]) -> None:
+        # Few rows come together in one file, many are spread; in each file a part is a stretch that the reader's bounds find.
+        df.select(*stored.names).repartition("part").sortWithinPartitions("part").write.mode("overwrite").parquet(at("rows", span))
+        keyed = df.sparkSession.read.schema(stored).parquet(at("rows", span)).select("_hash")
+        _filter(keyed, keyed.count()).write.mode("overwrite").partitionBy("n_blocks").parquet(at("filters", span))
+
+    def unseen(new: DataFrame, live: list[tuple[int, int]]) -> DataFrame:
+        own = new.sparkSession
+        # A filter's number of blocks is the name of its folder; an empty span has none.
+        sizes = {f"{a}-{b}": int(n.removeprefix("n_blocks=")) for a, b in live for n in _names(own, at("filters", (a, b))) if n.startswith("n_blocks=")}
+        if not sizes:
+            return new
+        perhaps = _perhaps(new.select("part", "_hash", *keys), held(own, "filters", live), sizes)
+        named = perhaps.groupBy("span").agg(F.collect_set("part").alias("parts")).collect()  # at most PARTS numbers for each span
+        LAST_READ.append({r["span"]: len(r["parts"]) for r in named})
+        if not named:
+            return new
+        of = [(F.col("span") == r["span"]) & (F.lit(True) if len(r["parts"]) == PARTS else F.col("part").isin(r["parts"])) for r in named]
+        known = held(own, "rows", [s for s in live if f"{s[0]}-{s[1]}" in {r["span"] for r in named}]).where(reduce(or_, of))
+        known = known.select(F.col("_hash").alias("_k_hash"), *(F.col(k).alias(f"_k_{k}") for k in keys))
+        same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys), F.col("_hash") == F.col("_k_hash"))
+        return new.join(known, same, "left_anti")
 
     def write(batch: DataFrame, number: int) -> None:
-        new = rows(batch).dropDuplicates(keys).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")).persist()
-        touched = [r["part"] for r in new.select("part").distinct().collect()]  # at most PARTS numbers
-        known = table(spark, out, stored).where((F.col("batch") != number) & F.col("part").isin(touched)).select("part", *keys)
-        new.join(known, ["part", *keys], "left_anti").select(*stored.names).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{out}/batch={number}")
-        new.unpersist()
-
+        own = batch.sparkSession
+        live = spans(own, out)
+        if not any(a <= number <= b for a, b in live):
+            key = F.xxhash64(*keys)
+            new = rows(batch).dropDuplicates(keys).withColumns({"part": F.pmod(key, F.lit(PARTS)).cast("int"), "_hash": key}).persist(StorageLevel.MEMORY_AND_DISK)
+            store(unseen(new, live) if live else new, (number, number))
+            new.unpersist()
+        compact(own, number)
+
+    def compact(own: SparkSession, number: int) -> None:
+        width = FAN
+        while (number + 1) % width == 0:
+            span = (number + 1 - width, number)
+            under = [s for s in spans(own, out) if span[0] <= s[0] and s[1] <= span[1]]
+            if len(under) > 1:
+                store(held(own, "rows", under).drop("span"), span)
+            width *= FAN
+
+    LAST_READ.clear()
     run_available(read_stream(spark, source, schema, files_per_batch), write, checkpoint)
-    return table(spark, out, stored).drop("batch", "part")
+    live = spans(spark, out)
+    index = held(spark, "rows", live) if live else spark.createDataFrame([], stored)
+    return index.select(*made.names)
 
 
 def metrics_stream(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str, time: str = "ts", late: str = "30 days", window: str = "1 day", files_per_batch: int = 1000) -> DataFrame:

@@ -114,6 +114,39 @@ def test_rasterised_slanted_ring_equals_brute_force(spark):
     assert made == want
 
 
+def test_rasterised_polygons_with_holes_over_many_patches_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    spokes = lambda n, x, y, lo, hi: [(x + r * np.cos(a), y + r * np.sin(a)) for a, r in zip(np.linspace(0, 2 * np.pi, n, endpoint=False), rng.uniform(lo, hi, n), strict=True)]
+    rings = [(1, spokes(90, 200.3, 190.1, 120, 160)), (1, spokes(11, 190.7, 200.2, 40, 70)), (None, spokes(7, 330.1, 60.4, 30, 50)), (3, spokes(3, 5.2, 5.1, 1, 2)), (4, spokes(5, 60.3, 330.9, 40, 60))]
+    rings = [(w, [*map(tuple, np.round(r, 3).tolist()), tuple(np.round(r[0], 3).tolist())]) for w, r in rings]
+    poly = spark.createDataFrame([(w, [{"x": x, "y": y} for x, y in r]) for w, r in rings], "way_id int, ring array<struct<x:double,y:double>>")
+    size, gsd = 70, 1.5
+    boxes = [(f"p{i}{j}{z}", i * 105.0 + z, j * 105.0 - z) for i in range(4) for j in range(4) for z in (0.0, 0.4)]
+    patch = spark.createDataFrame([(n, x, y, x + size * gsd, y + size * gsd) for n, x, y in boxes], "patch_path string, minx double, miny double, maxx double, maxy double")
+    made = {}
+    for r in G.rasterize(poly, patch, gsd, size, 20.0).collect():
+        assert (r["row"], r["col"]) not in made.setdefault(r["patch_path"], set())
+        made[r["patch_path"]].add((r["row"], r["col"]))
+    y_in, x_in = np.mgrid[0:size, 0:size] + 0.5
+    for n, x0, y0 in boxes:
+        x, y, want = x0 + x_in * gsd, y0 + size * gsd - y_in * gsd, np.zeros((size, size), bool)
+        for way in (1, None, 4):
+            inside = np.zeros((size, size), bool)
+            for r in (r for w, r in rings if w == way):
+                for (ax, ay), (bx, by) in zip(r, r[1:], strict=False):
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        inside ^= ((ay > y) != (by > y)) & (x >= (bx - ax) * (y - ay) / (by - ay) + ax)
+                    # The places where the edge meets a line of the grid cut it; each piece's middle lies in one cell.
+                    lines = [(x0 + np.arange(size + 1) * gsd - ax) / (bx - ax), (y0 + np.arange(size + 1) * gsd - ay) / (by - ay), [0.0, 1.0]]
+                    f = np.unique(np.clip(np.concatenate(lines), 0, 1))
+                    f = (f[1:] + f[:-1]) / 2
+                    c, d = np.floor((ax + f * (bx - ax) - x0) / gsd).astype(int), np.floor((y0 + size * gsd - ay - f * (by - ay)) / gsd).astype(int)
+                    ok = (c >= 0) & (c < size) & (d >= 0) & (d < size)
+                    want[d[ok], c[ok]] = True
+            want |= inside
+        assert made.get(n, set()) == set(map(tuple, np.argwhere(want).tolist())), n
+
+
 def test_ways_skip_missing_nodes_close_and_drop_short(spark):
     ways = spark.createDataFrame([(1, [1, 2, 3]), (2, [1, 2, 9]), (3, [1, 2, 3, 1])], "way_id int, nodes array<int>")
     nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 1.0, 1.0)], "node_id int, lon double, lat double")
@@ -367,20 +400,56 @@ def test_array_forms_equal_cell_forms(spark):
         assert [x if x is None else pytest.approx(x) for x in r["s"]] == want[r["t"]]
 
 
-def test_index_batches_read_the_touched_parts_only_and_other_failures_are_raised(spark, tmp_path):
+def test_index_reads_the_parts_that_filters_name_and_merges_its_folders(spark, tmp_path):
     from gridloom.streaming import incremental
 
     schema = spark.createDataFrame([], "k long, v string").schema
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    for rows in ([(k, "a") for k in range(50)], [(k, "b") for k in range(40, 60)], [(0, "c")]):
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
-        made = incremental.incremental_index(spark, source, schema, lambda df: df, ["k"], out, state)
-    assert sorted(values(made, "k", "v")) == [(k, "a" if k < 50 else "b") for k in range(60)]
+    add = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    index = lambda: incremental.incremental_index(spark, source, schema, lambda df: df, ["k"], out, state, 1)
+    add([(k, "a") for k in range(500)] + [(None, "a")])
+    index()
+    add([(k, "b") for k in range(1000, 1400)])
+    index()
+    # Keys that no filter holds: hardly any part is read; a key that is there: its part is.
+    assert sum(incremental.LAST_READ[0].values()) <= 3
+    add([(7, "c"), (None, "c"), (5000, "c")])
+    made = index()
+    assert incremental.LAST_READ[0].get("0-0", 0) in (2, 3) and made.where("k = 7 OR k IS NULL").count() == 2
+    for k in range(14):
+        add([(6000 + k, "d"), (k, "d")])
+    made = index()
+    assert all(r.get("0-0", 0) + r.get("0-3", 0) <= 3 for r in incremental.LAST_READ)
+    want = {**{k: "a" for k in (*range(500), None)}, **{k: "b" for k in range(1000, 1400)}, 5000: "c", **{6000 + k: "d" for k in range(14)}}
+    assert dict(values(made, "k", "v")) == want and made.count() == len(want)
+    assert incremental.spans(spark, out) == [(0, 15), (16, 16)]
+    assert incremental.vacuum(spark, out) == 16 + 4 and dict(values(index(), "k", "v")) == want and incremental.vacuum(spark, out) == 0
     assert incremental.table(spark, str(tmp_path / "none"), schema).count() == 0
     with pytest.raises(Exception, match="nosuchstore"):
         incremental.table(spark, "nosuchstore://there/x", schema)
 
 
+def test_a_stopped_compaction_or_a_batch_run_again_loses_and_doubles_nothing(spark, tmp_path):
+    from gridloom.streaming import incremental
+
+    schema = spark.createDataFrame([], "k long").schema
+    source, out, state = (tmp_path / n for n in ("in", "out", "state"))
+    index = lambda: incremental.incremental_index(spark, str(source), schema, lambda df: df, ["k"], str(out), str(state), 1)
+    for k in range(4):
+        spark.createDataFrame([(k,), (k + 1,)], schema).coalesce(1).write.mode("append").parquet(str(source))
+        made = index()
+    assert incremental.spans(spark, str(out)) == [(0, 3)]
+    # As if the merge had stopped before its filter was written: the four folders count again.
+    (out / "filters" / "span=0-3" / "_SUCCESS").unlink()
+    assert incremental.spans(spark, str(out)) == [(k, k) for k in range(4)]
+    # As if the last batch had not been acknowledged: it is known by its number, and the merge is made up for.
+    for name in ("3", ".3.crc"):
+        if (state / "commits" / name).exists():
+            (state / "commits" / name).unlink()
+    made = index()
+    assert incremental.spans(spark, str(out)) == [(0, 3)] and sorted(values(made, "k")) == list(range(5))
+
+
 def test_overlaps_with_a_third_of_all_boxes_in_one_cell(spark):
     from gridloom.operators import quadtree
 
