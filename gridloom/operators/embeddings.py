@@ -140,6 +140,39 @@ def uniformity(df: DataFrame, key: str, vector: str, t: float = 2.0) -> DataFram
     return total.select(F.when((F.col("n") > 0) & (F.col("e") > 0), u).otherwise(0.0).alias("uniformity"), F.coalesce(2 * F.col("c") / F.lit(max(1, n)) / F.lit(max(1, n)), F.lit(0.0)).alias("mean_abs_cosine"))
 
 
+def uniformity_features(df: DataFrame, key: str, vector: str, t: float = 2.0, draws: int = 4096, seed: int = 42, risk: float = 0.05) -> DataFrame:
+    """uniformity() for any number of points: (uniformity, mean_kernel, error, n), one row, from one pass of sums.
+
+    exp(-t d) is the characteristic function of a Cauchy distribution, so its sum over all ordered pairs is the mean, over draws w from that,
+    of |sum exp(i w x)|^2. A draw's share of n^2 is between 0 and 1, so by Hoeffding mean_kernel, the mean of exp(-t d) over ordered pairs with
+    each point beside itself, is off by more than `error` with a probability of `risk` at most. Null vectors are left out; under
+    two points, or where the estimate leaves nothing for pairs, uniformity is 0.
+    """
+    v = df.where(F.col(vector).isNotNull()).select(l2_normalize(F.col(vector).cast("array<double>")).alias("v"))
+
+    def sums(batches):
+        total, n, w = np.zeros((2, draws)), 0, None
+        for g in batches:
+            if len(g):
+                x = np.stack(g["v"])
+                if w is None:
+                    rng = np.random.default_rng(seed)
+                    w = t * rng.normal(size=(x.shape[1], draws)) / np.abs(rng.normal(size=draws))
+                for k in range(0, len(x), BLOCK):
+                    a = x[k : k + BLOCK] @ w
+                    total += np.cos(a).sum(0), np.sin(a).sum(0)
+                n += len(x)
+        if n:
+            yield pd.DataFrame({"draw": np.arange(draws), "c": total[0], "s": total[1], "n": n})
+
+    each = v.mapInPandas(sums, "draw int, c double, s double, n long").groupBy("draw").agg(*(F.sum(c).alias(c) for c in ("c", "s", "n")))
+    n = F.coalesce(F.max("n"), F.lit(0))
+    one = each.agg(n.alias("n"), F.avg((F.col("c") * F.col("c") + F.col("s") * F.col("s")) / (F.col("n").cast("double") * F.col("n"))).alias("mean_kernel"))
+    pairs, size = F.col("n") * (F.col("n") - 1) / 2, F.col("n").cast("double")
+    e = (F.col("mean_kernel") * size * size - size) / 2
+    return one.select(F.when((F.col("n") > 1) & (e > 0), F.log(e) / pairs).otherwise(0.0).alias("uniformity"), "mean_kernel", F.lit(float(np.sqrt(np.log(2 / risk) / (2 * draws)))).alias("error"), "n")
+
+
 def linear_probe(train: DataFrame, val: DataFrame, vector: str, label: str, one_vs_rest: bool = False) -> DataFrame:
     """val with y_pred of a linear classifier on frozen features."""
     prepared = [d.withColumns({"_features": array_to_vector(F.col(vector).cast("array<double>")), "_label": F.col(label).cast("double")}) for d in (train, val)]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from .raster import resample_nearest
 
 # Source land-cover codes to the six classes, and the classes' names.
@@ -60,6 +61,19 @@ def threshold_mask(df: DataFrame, keys: list[str], limit: float = 140) -> DataFr
     return df.groupBy(*keys, "px").agg(F.avg("v").alias("_m")).select(*keys, "px", (F.col("_m") >= limit).cast("int").alias("mask"))
 
 
+def threshold_mask_bands(bands: Column | str, limit: float = 140) -> Column:
+    """threshold_mask() of an array: a mask by pixel, inside the row."""
+    b = S.col(bands)
+    mean = lambda k: F.aggregate(b, F.lit(0.0), lambda a, p: a + F.get(p, k)) / F.size(b)
+    return F.transform(b[0], lambda _, k: (mean(k) >= limit).cast("int"))
+
+
+def positive_share_of(mask: Column | str) -> Column:
+    """positive_share() of an array; null without pixels."""
+    m = S.col(mask)
+    return F.aggregate(m, F.lit(0), lambda a, x: a + x) / F.nullif(F.size(m), F.lit(0))
+
+
 def positive_share(mask: DataFrame, keys: list[str]) -> DataFrame:
     return mask.groupBy(*keys).agg(F.avg("mask").alias("building_share"))
 

@@ -44,12 +44,13 @@ def running_sums(df: DataFrame, group: str, order: Column, sums: list[str]) -> D
 
 def percentiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     """One row: for each name the exact percentile at its share, linear between neighbours; null without values."""
-    known = df.select(F.col(value).cast("double").alias("_v")).where("_v is not null")
-    ranks = placed(known, F.col("_v"))
-    n = ranks.count()
+    # Equal values are one row with their number, so that a frequent one is no range of its own; a value has the places up to its running total.
+    counts = df.select(F.col(value).cast("double").alias("_v"), F.lit(0).alias("_all")).where("_v is not null").groupBy("_all", "_v").agg(F.count("*").alias("_n"))
+    ranks = running_sums(counts, "_all", F.col("_v"), ["_n"]).select("_v", F.col("running__n").alias("_to"), (F.col("running__n") - F.col("_n")).alias("_from"))
+    n = ranks.agg(F.coalesce(F.max("_to"), F.lit(0))).first()[0]
     out = []
     for name, share in shares.items():
         at = share * max(n - 1, 0)
-        low, high = (F.max(F.when(F.col("_place") == k, F.col("_v"))) for k in (int(at) + 1, min(int(at) + 2, max(n, 1))))
+        low, high = (F.max(F.when((F.col("_from") < k) & (F.col("_to") >= k), F.col("_v"))) for k in (int(at) + 1, min(int(at) + 2, max(n, 1))))
         out.append((low + (high - low) * (at - int(at))).alias(name))
     return ranks.agg(*out)

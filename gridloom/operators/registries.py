@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,10 +23,24 @@ def activate_model(models: DataFrame, model_id) -> DataFrame:
 
 
 def job_progress(jobs: DataFrame, metrics: str = "metrics") -> DataFrame:
-    """status, current epoch, last loss and number of entries from a JSON of arrays."""
-    m = F.from_json(metrics, "epoch array<int>, loss array<double>")
-    last = lambda a: F.when(F.size(a) > 0, F.element_at(a, -1))
-    return jobs.withColumn("_m", m).withColumns({"current_epoch": F.coalesce(last(F.col("_m.epoch")), F.lit(0)), "last_loss": last(F.col("_m.loss")), "n_entries": F.coalesce(F.size("_m.loss"), F.lit(0))}).drop("_m")
+    """status, current epoch, last loss and number of entries from a JSON of arrays, or of a list of entries; one value stands for a list of one.
+
+    Jobs need no common schema: each JSON is a variant, of which a field is taken with the wanted type, and what isn't of it is null. A field
+    that is missing, and text that is no JSON, is an empty list.
+    """
+    m = F.col("_m")
+    listed = F.schema_of_variant(m).startswith("ARRAY")
+
+    def field(name: str, kind: str) -> Column:
+        own = lambda x, path, t: F.try_variant_get(x, path, t)
+        items = F.when(listed, F.transform(own(m, "$", "array<variant>"), lambda x: own(x, f"$.{name}", kind)))
+        many = F.transform(own(m, f"$.{name}", "array<variant>"), lambda x: own(x, "$", kind))
+        one = own(m, f"$.{name}", kind)
+        return F.coalesce(items, many, F.when(one.isNotNull(), F.array(one)), F.array().cast(f"array<{kind}>"))
+
+    last = lambda c: F.when(F.size(c) > 0, F.element_at(c, -1))
+    taken = jobs.withColumn("_m", F.try_parse_json(metrics)).withColumns({"_epoch": field("epoch", "int"), "_loss": field("loss", "double")})
+    return taken.withColumns({"current_epoch": F.coalesce(last("_epoch"), F.lit(0)), "last_loss": last("_loss"), "n_entries": F.size("_loss")}).drop("_m", "_epoch", "_loss")
 
 
 def entry_progress(entries: DataFrame, job: str, order: str, epoch: str, loss: str) -> DataFrame:

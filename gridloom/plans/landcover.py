@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..operators import landcover as L
 from ..operators import raster as R
 from .catalogue import _BUCKET, _SAT, scene_qc
+from .pixels import arrays
 from .registry import query, r6
 
 
@@ -60,8 +61,8 @@ def _(t):
 
 @query("f7_threshold_mask", "SELECT patch_id, round(avg((m>=120)::INT),6)+0.0 AS building_share FROM (SELECT patch_id, px, avg(v) AS m FROM fx_pixels WHERE band<3 GROUP BY ALL) GROUP BY 1")
 def _(t):
-    m = L.threshold_mask(t["fx_pixels"].where("band < 3"), ["patch_id"], 120)
-    return L.positive_share(m, ["patch_id"]).withColumn("building_share", r6("building_share"))
+    mask = L.threshold_mask_bands(F.slice("bands", 1, 3), 120)
+    return arrays(t).select("patch_id", mask.alias("mask")).select("patch_id", r6(L.positive_share_of("mask")).alias("building_share"))
 
 
 @query(

@@ -37,6 +37,21 @@ def _(t):
     return K.entry_progress(t["events"].select("user_id", "event_id", k.alias("k"), (k + 0.5).cast("double").alias("loss")), "user_id", "event_id", "k", "loss")
 
 
+# Jobs of drifting shape: arrays, a list of entries, single values, a field of another type, no JSON.
+_SHAPES = ["'{\"epoch\": [1, ' || {k} || '], \"loss\": [0.5, ' || {k} || '.25]}'", "'[{\"epoch\": 1, \"loss\": 2.5}, {\"epoch\": ' || {k} || ', \"loss\": 0.125, \"lr\": 1}]'", "'{\"epoch\": ' || {k} || ', \"loss\": \"none\", \"note\": {\"a\": 1}}'", "'Epoch ' || {k}"]
+
+
+@query(
+    "k3_job_progress_json",
+    """SELECT event_id, CAST(CASE event_id%4 WHEN 3 THEN 0 ELSE event_id%50 END AS INTEGER) AS current_epoch, CASE event_id%4 WHEN 0 THEN event_id%50+0.25::DOUBLE WHEN 1 THEN 0.125::DOUBLE END AS last_loss, CAST(CASE WHEN event_id%4<2 THEN 2 ELSE 0 END AS INTEGER) AS n_entries FROM events""",
+)
+def _(t):
+    k = "CAST(event_id % 50 AS STRING)"
+    shapes = " ".join(f"WHEN {i} THEN {s.replace('{k}', k)}" for i, s in enumerate(_SHAPES))
+    jobs = t["events"].select("event_id", F.expr(f"CASE event_id % 4 {shapes} END").alias("metrics"))
+    return K.job_progress(jobs).select("event_id", "current_epoch", "last_loss", "n_entries")
+
+
 @query("k4_register_result", "SELECT o_orderkey AS model_id, CASE WHEN o_orderkey%3=0 THEN o_totalprice*2 ELSE o_totalprice END AS score FROM orders")
 def _(t):
     o = t["orders"].select(F.col("o_orderkey").alias("model_id"), F.col("o_orderdate").alias("written"), F.col("o_totalprice").alias("score"))

@@ -78,6 +78,12 @@ def _(t):
     return u.select(r6(F.col("uniformity") * 1000).alias("uniformity_k"), r6("mean_abs_cosine").alias("mean_abs_cosine"))
 
 
+@query("j4_uniformity_features")
+def _(t):
+    u = E.uniformity_features(vectors(t), "vec_id", "e")
+    return u.select(r6(F.col("uniformity") * 1000).alias("uniformity_k"), r6("mean_kernel").alias("mean_kernel"), "error", "n")
+
+
 @query("j5_distances", f"WITH {_V} SELECT a.vec_id, round(list_cosine_similarity(a.e,b.e),6)+0.0 AS cosine, round(list_distance(a.e,b.e),6)+0.0 AS euclidean FROM v a JOIN v b ON b.vec_id=a.vec_id+1")
 def _(t):
     v = vectors(t)

@@ -245,6 +245,12 @@ def test_silhouette_and_uniformity_equal_numpy(spark):
     z = x / np.linalg.norm(x, axis=1, keepdims=True)
     at = np.triu_indices(60, 1)
     assert u["uniformity"] == pytest.approx(np.log(np.exp(-2 * np.sqrt(((z[at[0]] - z[at[1]]) ** 2).sum(1))).sum()) / len(at[0]))
+    kernel = np.exp(-2 * np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))).mean()
+    for draws in (256, 20000):
+        f = embeddings.uniformity_features(df.repartition(5), "k", "v", draws=draws).first()
+        assert f["n"] == 60 and abs(f["mean_kernel"] - kernel) <= f["error"] == pytest.approx(np.sqrt(np.log(40) / 2 / draws))
+    assert f["uniformity"] == pytest.approx(u["uniformity"], rel=0.02)
+    assert [embeddings.uniformity_features(df.where(w), "k", "v", draws=64).first()["uniformity"] for w in ("k < 0", "k = 1")] == [0.0, 0.0]
 
 
 def test_pca_projection_has_the_leading_variances(spark):
@@ -282,6 +288,9 @@ def test_reoriented_activation_and_registration(spark):
 def test_progress_of_json_and_of_rows(spark):
     jobs = spark.createDataFrame([(1, '{"epoch": [1, 2], "loss": [0.5, 0.25]}'), (2, '{"epoch": [], "loss": []}'), (3, None)], "job int, metrics string")
     assert sorted(values(registries.job_progress(jobs), "job", "current_epoch", "last_loss", "n_entries")) == [(1, 2, 0.25, 2), (2, 0, None, 0), (3, 0, None, 0)]
+    other = ['[{"epoch": 4, "loss": 3}, {"epoch": 5, "loss": "x", "lr": 1}]', '{"epoch": 6, "loss": 0.5}', '{"epoch": [1, "a"], "loss": null}', "no json", "[]", "7", '{"epoch": [3], "loss": [[1], 0.25]}']
+    got = sorted(values(registries.job_progress(spark.createDataFrame(list(enumerate(other)), "job int, metrics string")), "job", "current_epoch", "last_loss", "n_entries"))
+    assert got == [(0, 5, None, 2), (1, 6, 0.5, 1), (2, 0, None, 0), (3, 0, None, 0), (4, 0, None, 0), (5, 0, None, 0), (6, 3, 0.25, 2)]
     rows = spark.createDataFrame([(1, 7, 1, 0.5), (1, 8, 2, 0.25), (2, 1, None, None)], "job int, at int, epoch int, loss double")
     assert sorted(values(registries.entry_progress(rows, "job", "at", "epoch", "loss"), "job", "current_epoch", "last_loss", "n_entries")) == [(1, 2, 0.25, 2), (2, 0, None, 1)]
 
@@ -358,6 +367,10 @@ def test_ranges_give_exact_places_sums_and_percentiles(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert tuple(ranges.percentiles(df.limit(0), "v", {"a": 0.5}).first()) == (None,)
+    # A value of two thirds of all rows is one row of the ranges.
+    often = np.concatenate([x, np.full(800, 7.0)])
+    got = ranges.percentiles(df.select("v").union(spark.range(800).select(F.lit(7.0))), "v", {"a": 0.1, "b": 0.5, "c": 0.9}).first()
+    assert np.allclose(tuple(got), [np.percentile(often, q) for q in (10, 50, 90)])
     assert tuple(ranges.percentiles(df.where("n = 5"), "v", {"a": 0.95}).first()) == (x[5],)
 
 
