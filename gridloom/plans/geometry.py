@@ -109,6 +109,33 @@ def _(t):
     return G.rasterize_summary(m).withColumn("mean_share", r6("mean_share"))
 
 
+# Slanted polygons with a hole, eight times as large as the ways: corners (share of the width, share of the height) of the outer ring and of the hole.
+_CORNERS = [[(0.0, 0.3), (0.4, 0.0), (1.0, 0.6), (0.5, 1.0)], [(0.25, 0.4), (0.45, 0.25), (0.75, 0.6), (0.5, 0.75)]]
+_HOLED = f"""x AS ({_XY}), w AS (SELECT way_id, x0, y0, 8*(x1-x0) AS w, 8*(y1-y0) AS h FROM x), e AS ({" UNION ALL ".join(f"SELECT way_id, x0+{a}*w AS a_x, y0+{b}*h AS a_y, x0+{c}*w AS b_x, y0+{d}*h AS b_y FROM w" for r in _CORNERS for (a, b), (c, d) in zip(r, [*r[1:], r[0]], strict=True))}),
+met AS (SELECT patch_path, scene_id, minx, maxy, way_id, x0, y0, w, h FROM w JOIN fx_patches p ON x0<p.maxx AND x0+w>p.minx AND y0<p.maxy AND y0+h>p.miny),
+lines AS (SELECT *, maxy-r*10 AS y1, maxy-r*10-10 AS y0r FROM (SELECT *, unnest(range(greatest(CAST(floor((maxy-y0-h)/10) AS INTEGER),0), least(CAST(ceil((maxy-y0)/10) AS INTEGER),128))) AS r FROM met)),
+le AS (SELECT patch_path, minx, way_id, r, y1, y0r, a_x, a_y, b_x, b_y FROM lines JOIN e USING(way_id)),
+edge_span AS (SELECT patch_path, r, least(p,q) AS lo, greatest(p,q) AS hi, minx FROM (SELECT *, a_x+(greatest(least(a_y,b_y),y0r)-a_y)*(b_x-a_x)/(b_y-a_y) AS p, a_x+(least(greatest(a_y,b_y),y1)-a_y)*(b_x-a_x)/(b_y-a_y) AS q FROM le WHERE greatest(a_y,b_y)>y0r AND least(a_y,b_y)<y1)),
+edge_cells AS (SELECT DISTINCT patch_path, r, unnest(range(greatest(CAST(floor((lo-minx)/10) AS INTEGER),0), least(CAST(ceil((hi-minx)/10) AS INTEGER),128))) AS c FROM edge_span),
+cols AS (SELECT patch_path, minx, way_id, r, y1-5 AS y, unnest(range(greatest(CAST(floor((x0-minx)/10) AS INTEGER),0), least(CAST(ceil((x0+w-minx)/10) AS INTEGER),128))) AS c FROM lines),
+inner_cells AS (SELECT DISTINCT patch_path, r, c FROM (SELECT patch_path, way_id, r, c, count(*) AS n FROM cols JOIN e USING(way_id) WHERE (a_y>y)<>(b_y>y) AND minx+c*10+5>=(b_x-a_x)*(y-a_y)/(b_y-a_y)+a_x GROUP BY ALL) WHERE n%2=1),
+cells AS (FROM edge_cells UNION FROM inner_cells)"""
+
+
+def holed(t):
+    """The slanted polygons; a polygon's two rings are rows of one way_id."""
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    box = projected_rings(t).select("way_id", F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), (8 * (F.array_max(xs) - F.array_min(xs))).alias("w"), (8 * (F.array_max(ys) - F.array_min(ys))).alias("h"))
+    corner = lambda a, b: F.struct((F.col("x0") + a * F.col("w")).alias("x"), (F.col("y0") + b * F.col("h")).alias("y"))
+    return box.select("way_id", F.explode(F.array(*(F.array(*(corner(*c) for c in [*r, r[0]])) for r in _CORNERS))).alias("ring"))
+
+
+@query("c10_rasterize_holed", f"WITH {_HOLED} SELECT patch_path, count(*) AS positive, CAST(sum(r*128+c) AS BIGINT) AS places FROM cells GROUP BY 1")
+def _(t):
+    cells = G.rasterize(holed(t), t["fx_patches"], 10.0, 128)
+    return cells.groupBy("patch_path").agg(F.count("*").alias("positive"), F.sum(F.col("row").cast("long") * 128 + F.col("col")).alias("places"))
+
+
 _COVER = """c AS (SELECT DISTINCT quarter, x, unnest(range(CAST(floor(miny/1280) AS BIGINT), CAST(ceil(maxy/1280) AS BIGINT))) AS y FROM (SELECT quarter, miny, maxy, unnest(range(CAST(floor(minx/1280) AS BIGINT), CAST(ceil(maxx/1280) AS BIGINT))) AS x FROM fx_scenes)),
 n AS (SELECT quarter, count(*) AS n FROM c GROUP BY 1), i AS (SELECT a.quarter AS qa, b.quarter AS qb, count(*) AS i FROM c a JOIN c b ON a.x=b.x AND a.y=b.y GROUP BY ALL),
 q AS (SELECT na.quarter AS quarter_a, nb.quarter AS quarter_b, coalesce(i,0)/(na.n+nb.n-coalesce(i,0)) AS iou FROM n na CROSS JOIN n nb LEFT JOIN i ON qa=na.quarter AND qb=nb.quarter)"""
