@@ -275,3 +275,9 @@ def mask_summary(cells: DataFrame, patches: DataFrame, patch: int) -> DataFrame:
 
 def rasterize_summary(masks: DataFrame) -> DataFrame:
     return masks.groupBy("scene_id").agg(F.count("*").alias("n_patches"), F.count_if(F.col("positive") > 0).alias("n_with"), F.sum("positive").alias("pixels"), F.avg("share").alias("mean_share"))
+
+
+def iou_matrix(matrix: DataFrame, quarters: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """The pairs as a matrix: a row and a column for each quarter with the prefix. Without named quarters, those of the table (few: a row of it for each)."""
+    some = matrix.where(F.col("quarter_a").startswith(prefix) & F.col("quarter_b").startswith(prefix))
+    return some.groupBy(F.col("quarter_a").alias("quarter")).pivot("quarter_b", quarters).agg(F.max("iou"))

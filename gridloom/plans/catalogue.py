@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources import catalogue as C
+from ..sources import layout as Y
 from ..sources.geojson import write_collections
 from ..sources.scratch import scratch
 from .registry import query, r6
@@ -70,6 +71,21 @@ def _(t):
     return some.groupBy("quarter").agg(F.count("*").alias("n"), F.countDistinct("patch_path").alias("n_paths"), F.sum("row").cast("long").alias("rows"))
 
 
+_BOX = (11876640, 4832160, 11884320, 4840480)
+
+
+@query(
+    "a5_spatial_index_box",
+    f"""SELECT quarter, count(*) AS n, count(DISTINCT patch_path) AS n_paths, min(minx) AS minx, max(maxy) AS maxy FROM fx_patches
+    WHERE minx<={_BOX[2]} AND maxx>={_BOX[0]} AND miny<={_BOX[3]} AND maxy>={_BOX[1]} GROUP BY 1""",
+)
+def _(t):
+    """The whole index laid out along a Hilbert curve; a box is read back by the bounds of row groups and pages."""
+    path = scratch(t.spark, "spatial_index")
+    Y.write_spatial_index(t["fx_patches"], path)
+    return Y.read_box(t.spark, path, _BOX).groupBy("quarter").agg(F.count("*").alias("n"), F.countDistinct("patch_path").alias("n_paths"), F.min("minx").alias("minx"), F.max("maxy").alias("maxy"))
+
+
 @query("a9_list_written_datasets", "SELECT quarter AS dataset, count(*) AS n_files FROM (SELECT DISTINCT quarter FROM fx_patches) GROUP BY 1")
 def _(t):
     """Datasets by the files that lie in their folders, as they were written: one for each quarter."""
@@ -207,15 +223,27 @@ def _(t):
     return C.available_satellites(t["supplier"].select(F.when(F.col("s_suppkey") % 3 != 0, F.col("s_suppkey")).alias("norad_number"), "s_name"))
 
 
-@query(
-    "b14_scene_search",
-    f"""SELECT satellite, date, scene_id, scene_key FROM (SELECT *, {_SAT} AS satellite, scene_key%100 AS cloud_cover FROM fx_scenes)
-    WHERE minx<=11866880 AND maxx>=11856640 AND miny<=4838400 AND maxy>=4828160 AND date>=DATE '1997-01-01' AND date<DATE '1999-01-01' AND cloud_cover<20
-    QUALIFY row_number() OVER (PARTITION BY satellite ORDER BY date, scene_id, scene_key)=1""",
-)
+_SEARCH = f"""SELECT satellite, date, scene_id, scene_key FROM (SELECT *, {_SAT} AS satellite, scene_key%100 AS cloud_cover FROM fx_scenes)
+WHERE minx<=11866880 AND maxx>=11856640 AND miny<=4838400 AND maxy>=4828160 AND date>=DATE '1997-01-01' AND date<DATE '1999-01-01' AND cloud_cover<20
+QUALIFY row_number() OVER (PARTITION BY satellite ORDER BY date, scene_id, scene_key)=1"""
+
+
+def _clouded(t):
+    return t["fx_scenes"].select(S.parse_satellite("scene_id").alias("satellite"), "date", "scene_id", "scene_key", (F.col("scene_key") % 100).alias("cloud_cover"), "minx", "miny", "maxx", "maxy")
+
+
+@query("b14_scene_search", _SEARCH)
+def _(t):
+    return C.scene_search(_clouded(t), (11856640, 4828160, 11866880, 4838400), "1997-01-01", "1999-01-01", 20).select("satellite", "date", "scene_id", "scene_key")
+
+
+@query("b14_scene_search_in_layout", _SEARCH)
 def _(t):
-    s = t["fx_scenes"].select(S.parse_satellite("scene_id").alias("satellite"), "date", "scene_id", "scene_key", (F.col("scene_key") % 100).alias("cloud_cover"), "minx", "miny", "maxx", "maxy")
-    return C.scene_search(s, (11856640, 4828160, 11866880, 4838400), "1997-01-01", "1999-01-01", 20).select("satellite", "date", "scene_id", "scene_key")
+    """The same search in a catalogue laid out in space, in folders by quarter."""
+    path = scratch(t.spark, "scene_layout")
+    Y.write_spatial_index(_clouded(t).withColumn("quarter", F.concat(F.year("date"), F.lit("Q"), F.quarter("date"))), path, ["quarter"])
+    found = C.scene_search(t.spark.read.parquet(path), (11856640, 4828160, 11866880, 4838400), "1997-01-01", "1999-01-01", 20)
+    return found.select("satellite", "date", "scene_id", "scene_key")
 
 
 @query(

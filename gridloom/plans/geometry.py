@@ -199,6 +199,16 @@ def _(t):
     return G.iou_pairs(G.quarter_iou(t["fx_scenes"], CELL), 0.1, "199").withColumn("iou", r6("iou"))
 
 
+@query(
+    "c14_iou_matrix",
+    f"WITH {_COVER} SELECT quarter_a AS quarter, " + ", ".join(f"round(max(iou) FILTER (WHERE quarter_b='{b}'),6)+0.0 AS \"{b}\"" for b in QUARTERS) + " FROM q WHERE quarter_a LIKE '1998%' GROUP BY 1",
+)
+def _(t):
+    """The sub-matrix of one year's quarters."""
+    out = G.iou_matrix(G.quarter_iou(t["fx_scenes"], CELL), QUARTERS, "1998")
+    return out.select("quarter", *(r6(F.col(q)).alias(q) for q in QUARTERS))
+
+
 _Q4 = "('1998Q1','1998Q2','1998Q3','1998Q4')"
 _PAIRS = f"""p AS (SELECT patch_path, scene_id, quarter, date, minx, miny, maxx, maxy FROM fx_patches WHERE quarter IN {_Q4}),
 pairs AS (SELECT * FROM (SELECT a.patch_path AS patch_path_a, b.patch_path AS patch_path_b, a.quarter AS quarter_a, b.quarter AS quarter_b, a.date AS date_a, b.date AS date_b, b.date-a.date AS days_gap, i/(3276800.0-i) AS iou, i/1638400.0 AS share_a, i/1638400.0 AS share_b FROM

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import raster as R
+from ..operators import tiles as TI
 from .registry import query, r6
 
 KEYS = ["patch_id"]
@@ -92,6 +93,43 @@ def _(t):
     return R.explode_pixels(arrays(t).select("patch_id", R.bilinear_bands("bands", 4, 4, 6, 6).alias("bands")), KEYS).withColumn("v", F.round("v", 5) + 0.0)
 
 
+def scene_tiles(t):
+    """Scenes of 2 x 3 patches, each patch a tile of 4 x 4; one patch of seventeen is missing."""
+    p = arrays(t).where("patch_id % 17 <> 5")
+    return p.select(F.floor(F.col("patch_id") / 6).alias("scene"), F.floor(F.col("patch_id") % 6 / 3).cast("int").alias("tile_row"), (F.col("patch_id") % 3).cast("int").alias("tile_col"), "bands")
+
+
+def _tiled_sql(y: str, x: str, value: str, of: tuple[int, int], to: tuple[int, int], size: int) -> str:
+    """Every destination pixel of the whole scene from its four source pixels; missing ones as in operators.tiles."""
+    h, w = to
+    return f"""WITH s AS (SELECT patch_id//6 AS scene, band, (patch_id%6//3)*4+px//4 AS y, (patch_id%3)*4+px%4 AS x, v FROM fx_pixels WHERE patch_id%17<>5),
+    d AS (SELECT i, j, {y.format(i="(i+0.5::DOUBLE)", a=of[0], b=h)} AS cy, {x.format(i="(j+0.5::DOUBLE)", a=of[1], b=w)} AS cx FROM range({h}) r(i), range({w}) c(j)),
+    n AS (SELECT scene, band, i, j, cy-floor(cy) AS dy, cx-floor(cx) AS dx, CAST(floor(cy) AS BIGINT) AS y, CAST(floor(cx) AS BIGINT) AS x FROM (SELECT DISTINCT scene, band FROM s), d),
+    q AS (SELECT n.*, a.v AS a, b.v AS b, c.v AS c, e.v AS e FROM n LEFT JOIN s a ON a.scene=n.scene AND a.band=n.band AND a.y=n.y AND a.x=n.x LEFT JOIN s b ON b.scene=n.scene AND b.band=n.band AND b.y=n.y AND b.x=n.x+1
+     LEFT JOIN s c ON c.scene=n.scene AND c.band=n.band AND c.y=n.y+1 AND c.x=n.x LEFT JOIN s e ON e.scene=n.scene AND e.band=n.band AND e.y=n.y+1 AND e.x=n.x+1)
+    SELECT scene, CAST(i//{size} AS INTEGER) AS tile_row, CAST(j//{size} AS INTEGER) AS tile_col, band, CAST((i%{size})*least({size},{w}-(j//{size})*{size})+j%{size} AS INTEGER) AS px, round(coalesce({value},0),5)+0.0 AS v
+    FROM q QUALIFY max(a) OVER (PARTITION BY scene, band, i//{size}, j//{size}) IS NOT NULL"""
+
+
+_CLAMPED, _HELD = "greatest(0,least({a}-1,{i}*{a}/{b}-0.5))", "floor({i}*{a}/{b})"
+_BLEND = "CASE WHEN a IS NOT NULL THEN (1-dy)*((1-dx)*a+dx*coalesce(b,a))+dy*((1-dx)*coalesce(c,a)+dx*coalesce(e,c,b,a)) END"
+
+
+def _tile_pixels(df):
+    return R.explode_pixels(df, ["scene", "tile_row", "tile_col"]).withColumn("v", F.round("v", 5) + 0.0)
+
+
+@query("d8_resample_tiles", _tiled_sql(_CLAMPED, _CLAMPED, _BLEND, (8, 12), (11, 17), 5))
+def _(t):
+    """Scenes that no row holds whole, resampled over the borders of their tiles."""
+    return _tile_pixels(TI.resample_tiles(scene_tiles(t), ["scene"], 4, 8, 12, 5, 11, 17))
+
+
+@query("d8_resample_tiles_nearest", _tiled_sql(_HELD, _HELD, "a", (8, 12), (5, 7), 3))
+def _(t):
+    return _tile_pixels(TI.resample_tiles(scene_tiles(t), ["scene"], 4, 8, 12, 3, 5, 7, "nearest"))
+
+
 @query("d9_stack_sources", "SELECT patch_id, px, CAST(band AS INTEGER) AS band, v FROM fx_pixels WHERE patch_id%5<>0")
 def _(t):
     b = arrays(t)

@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as S
-from gridloom.operators import change, datasets, embeddings, experiments, landcover, metrics, raster, registries
+from gridloom.operators import change, datasets, embeddings, experiments, landcover, metrics, raster, registries, tiles
 from gridloom.operators import spatial as G
 from gridloom.sources import catalogue as C
+from gridloom.sources import layout
 
 
 def values(df, *cols):
@@ -617,3 +618,113 @@ def test_results_of_drifting_and_conflicting_shape(spark, tmp_path):
     assert dict(r.dtypes) == {"batch": "string", "acc": "string", "it's": "double", "method": "string", "odd.name": "string", "ok": "string", "seed": "double", "record": "variant"}
     assert sorted(map(str, values(r, "acc"))) == ["0.25", "0.5", "[1,2]"]
     assert values(r.where("batch = 'b'"), "`odd.name`", "ok", "`it's`") == [("x", "true", 1.0)]
+
+
+def _whole(scene: np.ndarray, to: tuple[int, int], method: str) -> np.ndarray:
+    """A band resampled with the whole scene at hand."""
+    out = np.zeros(to)
+    (h, w), (th, tw) = scene.shape, to
+    for i in range(th):
+        for j in range(tw):
+            if method == "nearest":
+                out[i, j] = scene[int((i + 0.5) * h / th), int((j + 0.5) * w / tw)]
+                continue
+            y, x = min(h - 1, max(0, (i + 0.5) * h / th - 0.5)), min(w - 1, max(0, (j + 0.5) * w / tw - 0.5))
+            a, b = int(y), int(x)
+            c, d = min(a + 1, h - 1), min(b + 1, w - 1)
+            out[i, j] = (1 - (y - a)) * ((1 - (x - b)) * scene[a, b] + (x - b) * scene[a, d]) + (y - a) * ((1 - (x - b)) * scene[c, b] + (x - b) * scene[c, d])
+    return out
+
+
+def _cut(scene: np.ndarray, size: int) -> list[tuple]:
+    """(tile_row, tile_col, bands) of a scene of bands x rows x columns."""
+    _, h, w = scene.shape
+    parts = {(r, c): scene[:, r * size : (r + 1) * size, c * size : (c + 1) * size] for r in range(-(-h // size)) for c in range(-(-w // size))}
+    return [(r, c, [b.ravel().tolist() for b in p]) for (r, c), p in parts.items()]
+
+
+TILE = "scene string, tile_row int, tile_col int, bands array<array<double>>, height int, width int, to_height int, to_width int"
+
+
+@pytest.mark.parametrize("method", ["bilinear", "nearest"])
+def test_tiles_are_resampled_as_their_whole_scenes(spark, method):
+    rng = np.random.default_rng(7)
+    # Sizes of the scene and of its destination: both smaller and larger, one tile only, last tiles of one row, very unlike scales.
+    sizes = {"up": (10, 7, 23, 31), "down": (13, 17, 5, 4), "one": (3, 2, 7, 5), "thin": (9, 13, 9, 13), "far": (5, 6, 60, 1)}
+    scenes = {k: rng.normal(size=(2, h, w)) for k, (h, w, _, _) in sizes.items()}
+    rows = [(k, r, c, b, *sizes[k]) for k, s in scenes.items() for r, c, b in _cut(s, 4)]
+    got = tiles.resample_tiles(spark.createDataFrame(rows, TILE), ["scene"], 4, "height", "width", 6, "to_height", "to_width", method)
+    got = {(t["scene"], t["tile_row"], t["tile_col"]): t["bands"] for t in got.collect()}
+    want = {(k, r, c): b for k, s in scenes.items() for r, c, b in _cut(np.stack([_whole(x, sizes[k][2:], method) for x in s]), 6)}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert np.allclose(got[k], want[k], atol=1e-12), k
+
+
+def test_tiles_with_missing_neighbours_nulls_and_none(spark):
+    scene = np.arange(64.0).reshape(1, 8, 8)
+    rows = [("s", r, c, None if (r, c) == (1, 1) else b, 8, 8, 16, 16) for r, c, b in _cut(scene, 4) if (r, c) != (0, 1)]
+    got = tiles.resample_tiles(spark.createDataFrame(rows, TILE), ["scene"], 4, 8, 8, 8, 16, 16, fill=-1.0).collect()
+    got = {(t["tile_row"], t["tile_col"]): np.array(t["bands"][0]) for t in got}
+    # The left half is there; to the right of it the border is repeated, and what the missing tiles would have made is fill.
+    left = np.hstack([scene[0][:, :4]] + [scene[0][:, 3:4]] * 4)
+    want = _whole(left, (16, 16), "bilinear")
+    want[:, 9:] = -1  # pixels from x = 4 on belong to the missing tiles
+    assert got.keys() == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    for (r, c), b in got.items():
+        assert np.allclose(b.reshape(8, 8), want[r * 8 : r * 8 + 8, c * 8 : c * 8 + 8]), (r, c)
+    assert tiles.resample_tiles(spark.createDataFrame([], TILE), ["scene"], 4, 8, 8, 4, 3, 3).count() == 0
+    with pytest.raises(ValueError):
+        tiles.resample_tiles(spark.createDataFrame(rows, TILE), ["scene"], 4, 8, 8, 4, 3, 3, "cubic")
+
+
+def test_neighbours_on_the_hilbert_curve_are_neighbours_in_the_plane(spark):
+    cells = spark.range(256).select((F.col("id") % 16).alias("x"), F.floor(F.col("id") / 16).alias("y"))
+    at = {r["d"]: (r["x"], r["y"]) for r in cells.select("x", "y", layout.hilbert(F.col("x"), F.col("y"), 4).alias("d")).collect()}
+    assert sorted(at) == list(range(256)) and at[0] == (0, 0)
+    assert all(abs(at[k][0] - at[k + 1][0]) + abs(at[k][1] - at[k + 1][1]) == 1 for k in range(255))
+    assert cells.select(layout.hilbert(F.lit(None).cast("int"), F.col("y")).alias("d")).where("d IS NOT NULL").count() == 0
+
+
+def _scanned(df) -> int:
+    """Rows that the file scans of a query gave, after it ran."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = (plan.finalPhysicalPlan() if hasattr(plan, "finalPhysicalPlan") and "Adaptive" in plan.getClass().getSimpleName() else plan).collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+
+def test_box_reads_touch_few_rows_of_the_layout(spark, tmp_path):
+    n = 40_000
+    at = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(100_000)) / 10
+    # A third of all boxes lie at one place.
+    hot = F.col("id") % 3 == 0
+    df = spark.range(n).select("id", F.when(hot, 2500.0).otherwise(at(1)).alias("minx"), F.when(hot, 2500.0).otherwise(at(2)).alias("miny"))
+    df = df.select("id", "minx", "miny", (F.col("minx") + 5).alias("maxx"), (F.col("miny") + 5).alias("maxy"), F.lit("q").alias("quarter"))
+    odd = spark.createDataFrame([(-1, None, 1.0, 2.0, 2.0, None)], "id long, minx double, miny double, maxx double, maxy double, quarter string")
+    plain, laid = str(tmp_path / "plain"), str(tmp_path / "laid")
+    whole = df.unionByName(odd)
+    whole.write.parquet(plain)
+    layout.write_spatial_index(whole, laid, files=8, row_group=64 << 10, page_rows=250)
+    box = (7000.0, 7000.0, 7400.0, 7400.0)
+    found, want = layout.read_box(spark, laid, box), layout.read_box(spark, plain, box)
+    assert sorted(r["id"] for r in found.collect()) == sorted(r["id"] for r in want.collect()) and found.count() > 20
+    assert _scanned(want) > n * 0.9
+    assert _scanned(found) < n * 0.05
+    # No file holds much more than its share, whatever lies at the hot place.
+    sizes = sorted(r["n"] for r in spark.read.parquet(laid).groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect())
+    assert len(sizes) == 8 and sizes[-1] < 2 * n / 8
+    folders = str(tmp_path / "folders")
+    layout.write_spatial_index(whole, folders, ["quarter"])
+    assert spark.read.parquet(folders).count() == n + 1 and layout.read_box(spark, folders, box).count() == found.count()
+    layout.write_spatial_index(df.limit(0), str(tmp_path / "none"))
+    assert layout.read_box(spark, str(tmp_path / "none"), box).count() == 0
+
+
+def test_iou_matrix_has_a_row_and_a_column_for_each_quarter(spark):
+    boxes = [("2025Q1", 0.0, 0.0, 2.0, 1.0), ("2025Q2", 1.0, 0.0, 3.0, 1.0), ("2024Q1", 0.0, 0.0, 9.0, 9.0)]
+    m = G.quarter_iou(spark.createDataFrame(boxes, "quarter string, minx double, miny double, maxx double, maxy double"), 1.0)
+    got = G.iou_matrix(m, prefix="2025").orderBy("quarter")
+    assert got.columns == ["quarter", "2025Q1", "2025Q2"]
+    assert values(got, "2025Q1", "2025Q2") == [(1.0, 1 / 3), (1 / 3, 1.0)]
+    assert len(G.iou_matrix(m).collect()) == 3
