@@ -15,6 +15,8 @@ from ..functions import scalars as S
 
 #: Points of a block; two blocks meet in one task.
 BLOCK = 1000
+#: Pairs of near points that are looked at together.
+NEAR = 16_384
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -59,12 +61,17 @@ def _met_blocks(df: DataFrame, key: str, columns: list[str], n: int) -> DataFram
 
 
 def _distances(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all rows of u to all of w, a dimension at a time, so memory is that of the result and no digits are lost."""
-    out = np.zeros((len(u), len(w)))
-    for k in range(u.shape[1]):
-        d = u[:, k, None] - w[None, :, k]
-        out += d * d
-    return np.sqrt(out)
+    """Euclidean distances of all rows of u to all of w by one matrix product; those of near rows, which that leaves few digits, are taken from the differences."""
+    middle = u.mean(axis=0)
+    u, w = u - middle, w - middle
+    norms = (u * u).sum(1)[:, None] + (w * w).sum(1)[None]
+    out = norms - 2 * (u @ w.T)
+    near_u, near_w = np.nonzero(out < 1e-4 * norms)
+    for k in range(0, len(near_u), NEAR):
+        a, b = near_u[k : k + NEAR], near_w[k : k + NEAR]
+        d = u[a] - w[b]
+        out[a, b] = (d * d).sum(1)
+    return np.sqrt(np.maximum(out, 0))
 
 
 def silhouette_squared(df: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
