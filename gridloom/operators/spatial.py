@@ -266,10 +266,17 @@ def rasterize(polygons: DataFrame, patches: DataFrame, gsd: float, patch: int, m
     return every.where(_shift("shiftright", word, F.col("col") % 64).bitwiseAND(F.lit(1).cast("long")) == 1).select("patch_path", "row", "col")
 
 
-def mask_summary(cells: DataFrame, patches: DataFrame, patch: int) -> DataFrame:
-    """Positive cells and share of each patch, patches without any included."""
-    n = cells.groupBy("patch_path").agg(F.count("*").alias("positive"))
-    out = patches.join(n, "patch_path", "left").withColumn("positive", F.coalesce("positive", F.lit(0)))
+def rasterize_places(polygons: DataFrame, patches: DataFrame, gsd: float, patch: int, min_area: float = 0.0, coarse: float | None = None) -> DataFrame:
+    """rasterize() of each distinct box of the patches once: (minx, miny, maxx, maxy, row, col). Patches of a common grid share a few boxes, so this grows with places."""
+    places = patches.select(BOX).distinct().select(F.struct(*BOX).alias("patch_path"), *BOX)
+    return rasterize(polygons, places, gsd, patch, min_area, coarse).select("patch_path.*", "row", "col")
+
+
+def mask_summary(cells: DataFrame, patches: DataFrame, patch: int, by: list[str] | None = None) -> DataFrame:
+    """Positive cells and share of each patch, patches without any included. by: what names a mask in both tables (default: patch_path); BOX for cells of rasterize_places()."""
+    by = by or ["patch_path"]
+    n = cells.groupBy(*by).agg(F.count("*").alias("positive"))
+    out = patches.join(n, by, "left").withColumn("positive", F.coalesce("positive", F.lit(0)))
     return out.withColumn("share", F.col("positive") / (patch * patch))
 
 

@@ -728,3 +728,15 @@ def test_iou_matrix_has_a_row_and_a_column_for_each_quarter(spark):
     assert got.columns == ["quarter", "2025Q1", "2025Q2"]
     assert values(got, "2025Q1", "2025Q2") == [(1.0, 1 / 3), (1 / 3, 1.0)]
     assert len(G.iou_matrix(m).collect()) == 3
+
+
+def test_masks_of_one_place_are_drawn_once(spark):
+    slanted = [(0.0, 3.0), (14.0, 0.0), (40.0, 22.0), (17.0, 37.0), (0.0, 3.0)]
+    ways = spark.createDataFrame([(1, [{"x": x, "y": y} for x, y in slanted])], "way_id long, ring array<struct<x: double, y: double>>")
+    boxes = [(0.0, 0.0, 32.0, 32.0), (32.0, 0.0, 64.0, 32.0), (500.0, 0.0, 532.0, 32.0), (None, 0.0, 1.0, 1.0)]
+    patches = spark.createDataFrame([(f"p{k}", *boxes[k % 4]) for k in range(40)], "patch_path string, minx double, miny double, maxx double, maxy double")
+    drawn = G.rasterize_places(ways, patches, 1.0, 32)
+    each = G.rasterize(ways, patches, 1.0, 32)
+    assert drawn.count() * 10 == each.count() > 0
+    made = {r[0]: r[1:] for r in values(G.mask_summary(drawn, patches, 32, G.BOX), "patch_path", "positive", "share")}
+    assert made == {r[0]: r[1:] for r in values(G.mask_summary(each, patches, 32), "patch_path", "positive", "share")} and len(made) == 40
