@@ -83,24 +83,33 @@ def spatial_pair(patches: DataFrame, min_iou: float = 0.8, quarters: list[str] |
 
     quarter_iou (quarter_a, quarter_b, iou), a row for each pair of quarters, prunes pairs of quarters; a pair that isn't in it is kept.
     """
-    keep = ["patch_path", "scene_id", "quarter", "date", *BOX]
-    p = patches.select(keep)
+    return _paired(patches, ["patch_path", "scene_id", "quarter", "date"], min_iou, quarters, quarter_iou, min_quarter_iou)
+
+
+def near_places(patches: DataFrame, min_iou: float) -> DataFrame:
+    """Pairs of distinct boxes with an IoU from min_iou on, both ways and with themselves: minx_a, ..., maxy_b, shared."""
+    places = patches.select(BOX).distinct()
+    return overlaps(places, places, min_iou)
+
+
+def _paired(p: DataFrame, keep: list[str], min_iou: float, quarters: list[str] | None, quarter_iou: DataFrame | None, min_quarter_iou: float) -> DataFrame:
+    """Rows of a table of boxes, quarters and dates at the same place in different quarters: the kept columns of both sides, and what spatial_pair() adds."""
+    p = p.select(*keep, *BOX)
     if quarters:
         p = p.where(F.col("quarter").isin(quarters))
     # Patches of a common grid have one box in many quarters: places meet once, and their patches are joined to the pairs of places.
-    places = p.select(BOX).distinct()
-    near = overlaps(places, places, min_iou)
+    near = near_places(p, min_iou)
     left, meet = p, F.col("quarter_a") < F.col("quarter_b")
     if quarter_iou is not None:
         # The quarters that a quarter isn't matched with, a short list; the join itself looks at it, so pruned pairs are never made.
         pruned = quarter_iou.where(F.col("iou") < min_quarter_iou).groupBy(F.col("quarter_a").alias("quarter")).agg(F.collect_set("quarter_b").alias("_not"))
-        left = p.join(pruned, "quarter", "left").select(*keep, "_not")
+        left = p.join(pruned, "quarter", "left").select(*keep, *BOX, "_not")
         meet &= ~F.coalesce(F.array_contains("_not_a", F.col("quarter_b")), F.lit(False))
     sides = [df.withColumnsRenamed({c: f"{c}_{s}" for c in df.columns}) for df, s in ((left, "a"), (p, "b"))]
     pairs = near.join(sides[0], [f"{c}_a" for c in BOX]).join(sides[1], [f"{c}_b" for c in BOX]).where(meet)
     area = lambda s: (F.col(f"maxx_{s}") - F.col(f"minx_{s}")) * (F.col(f"maxy_{s}") - F.col(f"miny_{s}"))
     out = pairs.select(
-        *(f"{c}_{s}" for c in keep[:4] for s in "ab"),
+        *(f"{c}_{s}" for c in keep for s in "ab"),
         F.date_diff("date_b", "date_a").alias("days_gap"),
         (F.col("shared") / (area("a") + area("b") - F.col("shared"))).alias("iou"),
         (F.col("shared") / area("a")).alias("share_a"),
@@ -109,6 +118,20 @@ def spatial_pair(patches: DataFrame, min_iou: float = 0.8, quarters: list[str] |
     return out.where(F.col("iou") >= min_iou)
 
 
+def spatial_pair_summary(patches: DataFrame, min_iou: float = 0.8, quarters: list[str] | None = None, quarter_iou: DataFrame | None = None, min_quarter_iou: float = 0.1) -> DataFrame:
+    """pair_summary() of spatial_pair(), every pair counted, without making it: patches of one place and day are one row with their number, and pairs of
+    such rows stand for the products of their numbers. So it grows with places times days squared, whatever the number of patches."""
+    days = patches.groupBy("quarter", "date", *BOX).agg(F.count("*").alias("n"))
+    pairs = _paired(days, ["quarter", "date", "n"], min_iou, quarters, quarter_iou, min_quarter_iou)
+    n = F.col("n_a") * F.col("n_b")
+    gaps = pairs.groupBy("quarter_a", "quarter_b", "days_gap").agg(F.sum(n).alias("n"), F.sum(n * F.col("iou")).alias("iou"))
+    gap, known = F.col("days_gap"), F.sum(F.when(F.col("days_gap").isNotNull(), F.col("n")))
+    return gaps.groupBy("quarter_a", "quarter_b").agg(
+        F.sum("n").alias("n_pairs"), (F.sum("iou") / F.sum("n")).alias("mean_iou"), (F.sum(gap * F.col("n")) / known).alias("mean_gap"),
+        F.percentile(gap, 0.5, F.col("n")).alias("median_gap"), F.min(gap).alias("min_gap"), F.max(gap).alias("max_gap"),
+    )
+
+
 def pair_summary(pairs: DataFrame) -> DataFrame:
     gap = F.col("days_gap")
     return pairs.groupBy("quarter_a", "quarter_b").agg(F.count("*").alias("n_pairs"), F.avg("iou").alias("mean_iou"), F.avg(gap).alias("mean_gap"), F.percentile(gap, 0.5).alias("median_gap"), F.min(gap).alias("min_gap"), F.max(gap).alias("max_gap"))

@@ -740,3 +740,15 @@ def test_masks_of_one_place_are_drawn_once(spark):
     assert drawn.count() * 10 == each.count() > 0
     made = {r[0]: r[1:] for r in values(G.mask_summary(drawn, patches, 32, G.BOX), "patch_path", "positive", "share")}
     assert made == {r[0]: r[1:] for r in values(G.mask_summary(each, patches, 32), "patch_path", "positive", "share")} and len(made) == 40
+
+
+def test_pair_summary_counts_days_instead_of_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"p{k}", "s", f"q{k % 3}", None if k % 41 == 0 else f"2025-01-{1 + int(rng.integers(9)):02d}", float(x), 0.0, float(x) + 10, 10.0) for k, x in enumerate(rng.choice([0.0, 1.0, 30.0], 300))]
+    p = spark.createDataFrame(rows, "patch_path string, scene_id string, quarter string, date string, minx double, miny double, maxx double, maxy double").withColumn("date", F.col("date").cast("date"))
+    iou = spark.createDataFrame([("q0", "q2", 0.05), ("q0", "q1", 0.5)], "quarter_a string, quarter_b string, iou double")
+    for more in ({}, {"quarter_iou": iou}):
+        want = G.pair_summary(G.spatial_pair(p, 0.8, **more)).orderBy("quarter_a", "quarter_b").toPandas()
+        made = G.spatial_pair_summary(p, 0.8, **more).orderBy("quarter_a", "quarter_b").toPandas()
+        assert len(made) == (2 if more else 3) and made.columns.tolist() == want.columns.tolist()
+        assert made.drop(columns="mean_iou").equals(want.drop(columns="mean_iou")) and np.allclose(made["mean_iou"], want["mean_iou"], rtol=1e-12)
