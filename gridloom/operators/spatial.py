@@ -148,9 +148,10 @@ def reoriented(pairs: DataFrame, qa: str, qb: str) -> DataFrame:
 
 def cell_cover(df: DataFrame, cell: float, by: list[str], ring: str | None = None) -> DataFrame:
     """Distinct cells that the footprints of each group cover: those their boxes meet or, with a ring column, those whose centre is in the ring."""
+    # Equal footprints cover equal cells: each is divided once.
     if ring is not None:
-        return ring_cells(df, cell, ring).select(*by, "gx", "gy").distinct()
-    return grid_keys(df, cell).select(*by, "gx", "gy").distinct()
+        return ring_cells(df.select(*by, ring).distinct(), cell, ring).select(*by, "gx", "gy").distinct()
+    return grid_keys(df.select(*by, *BOX).distinct(), cell).select(*by, "gx", "gy").distinct()
 
 
 def ring_cells(df: DataFrame, cell: float, ring: str) -> DataFrame:

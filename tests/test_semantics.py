@@ -752,3 +752,13 @@ def test_pair_summary_counts_days_instead_of_pairs(spark):
         made = G.spatial_pair_summary(p, 0.8, **more).orderBy("quarter_a", "quarter_b").toPandas()
         assert len(made) == (2 if more else 3) and made.columns.tolist() == want.columns.tolist()
         assert made.drop(columns="mean_iou").equals(want.drop(columns="mean_iou")) and np.allclose(made["mean_iou"], want["mean_iou"], rtol=1e-12)
+
+
+def test_equal_footprints_are_divided_once(spark):
+    ring = [{"x": x, "y": y} for x, y in [(0.0, 0.0), (4.0, 0.0), (5.0, 4.0), (1.0, 4.0), (0.0, 0.0)]]
+    s = spark.createDataFrame([("a", 0.0, 0.0, 4.0, 4.0, ring)] * 50 + [("b", 1.0, 0.0, 3.0, 2.0, ring)], "quarter string, minx double, miny double, maxx double, maxy double, ring array<struct<x: double, y: double>>")
+    for of in (None, "ring"):
+        cover = G.cell_cover(s, 1.0, ["quarter"], of)
+        assert cover.count() == len(set(cover.collect()))
+        plan = cover._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.rindex("Aggregate") > plan.rindex("Generate")
