@@ -762,3 +762,33 @@ def test_equal_footprints_are_divided_once(spark):
         assert cover.count() == len(set(cover.collect()))
         plan = cover._jdf.queryExecution().optimizedPlan().toString()
         assert plan.rindex("Aggregate") > plan.rindex("Generate")
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_scores_made_at_places_equal_those_of_joined_pairs(spark, block):
+    rng = np.random.default_rng(11)
+    place = lambda k: (float(k % 3), 0.0, float(k % 3) + 10, 10.0)
+    rows = [(f"p{k:02d}", "ab"[k % 2], *place(int(rng.integers(3))), int(rng.integers(12))) for k in range(60)]
+    p = spark.createDataFrame(rows, "patch_path string, quarter string, minx double, miny double, maxx double, maxy double, vec_id long")
+    bands = [[rng.integers(0, 255, 16).tolist() for _ in range(4)] for _ in range(12)]
+    bands[3][1][2] = None
+    bands[5] = [b[:9] for b in bands[5]]
+    arrays = spark.createDataFrame(list(enumerate(bands)), "vec_id long, bands array<array<int>>")
+    near = G.near_places(p, 0.8)
+    a, b = (p.where(F.col("quarter") == q).join(arrays, "vec_id").drop("quarter") for q in "ab")
+    pairs = G.spatial_pair(p.withColumns({"scene_id": F.lit("s"), "date": F.lit("2025-01-01").cast("date")}), 0.8)
+    v = p.select("patch_path", "vec_id")
+    linked = pairs.join(v.toDF("patch_path_a", "vec_id_a"), "patch_path_a").join(v.toDF("patch_path_b", "vec_id_b"), "patch_path_b")
+    rgb = {r[:2]: r[2] for r in values(change.change_scores(linked, arrays, rx=False), "patch_path_a", "patch_path_b", "mean_rgb_diff")}
+    made = {r[:2]: r[2] for r in values(change.place_scores(near, a, b, rx=False, block=block), "patch_path_a", "patch_path_b", "mean_rgb_diff")}
+    assert made.keys() == rgb.keys() and len(rgb) == linked.count() and any(x is None for x in rgb.values())
+    assert all((x is None) == (rgb[k] is None) and (x is None or abs(x - rgb[k]) < 1e-12) for k, x in made.items())
+    whole = ~F.col("vec_id").isin(3, 5)
+    cols = ("patch_path_a", "patch_path_b", "mean_pca_score", "max_pca_score")
+    want = {r[:2]: r[2:] for r in values(change.change_scores(linked.where("vec_id_a not in (3, 5) and vec_id_b not in (3, 5)"), arrays), *cols)}
+    made = {r[:2]: r[2:] for r in values(change.place_scores(near, a.where(whole), b.where(whole), block=block), *cols)}
+    assert made.keys() == want.keys() and all(np.allclose(made[k], want[k], atol=1e-9) for k in want)
+    # The largest of each task hold the largest of all; ties by paths.
+    order = lambda scores: sorted(((-np.floor((d or 0.0) * 1e6 + 0.5), *k) for k, d in scores.items()))
+    top = {r[:2]: r[2] for r in values(change.place_scores(near, a, b, rx=False, top=5, block=block), "patch_path_a", "patch_path_b", "mean_rgb_diff")}
+    assert order(top)[:5] == order(rgb)[:5] and len(top) < len(rgb)
