@@ -9,6 +9,8 @@ by a hash of the whole row, so no range depends on it; rows equal in all columns
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,16 +22,23 @@ BITS = 16
 def hilbert(x: Column, y: Column, bits: int = BITS) -> Column:
     """Place of a cell on the Hilbert curve, from 0 on; x and y are whole numbers from 0 to 2 ** bits - 1, or null."""
     top = (1 << bits) - 1
-    state = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
 
-    def step(a: Column, s: Column) -> Column:
-        rx, ry = F.when(a["x"].bitwiseAND(s) > 0, 1).otherwise(0), F.when(a["y"].bitwiseAND(s) > 0, 1).otherwise(0)
-        d = a["d"] + s * s * (3 * rx).bitwiseXOR(ry)
-        turned = lambda v: F.when(rx == 1, top - v).otherwise(v)
-        return F.struct(F.when(ry == 0, turned(a["y"])).otherwise(a["x"]).alias("x"), F.when(ry == 0, turned(a["x"])).otherwise(a["y"]).alias("y"), d.alias("d"))
-
-    halves = F.array(*(F.lit(1 << k).cast("long") for k in reversed(range(bits))))
-    return F.when(x.isNotNull() & y.isNotNull(), F.aggregate(halves, state, step, lambda a: a["d"]))
+    @F.pandas_udf("long")
+    def place(a: pd.Series, b: pd.Series) -> pd.Series:
+        known = (a.notna() & b.notna()).to_numpy()
+        u, v = a[known].to_numpy(np.int64), b[known].to_numpy(np.int64)
+        d = np.zeros(len(u), np.int64)
+        for s in (1 << k for k in reversed(range(bits))):
+            rx, ry = (u & s) > 0, (v & s) > 0
+            d += s * s * ((3 * rx) ^ ry)
+            p, q = np.where(rx, top - u, u), np.where(rx, top - v, v)
+            u, v = np.where(ry, u, q), np.where(ry, v, p)
+        out = pd.Series(pd.array(np.zeros(len(a), np.int64), "Int64"))
+        out[~known] = pd.NA
+        out[known] = d
+        return out
+
+    return place(x.cast("long"), y.cast("long"))
 
 
 def with_curve(df: DataFrame, extent: tuple[float, float, float, float] | None = None, name: str = "_curve") -> DataFrame:
