@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-#: Points of a block; two blocks meet in one task.
-BLOCK = 1000
+#: Points of a block; two blocks meet in one task. More points make larger blocks once there are BLOCKS of them, so that a point is moved BLOCKS times at most, up to LARGEST points.
+BLOCK, BLOCKS, LARGEST = 1000, 32, 32_768
+#: Distances that are held at once.
+STRIP = 2_000_000
 #: Pairs of near points that are looked at together.
 NEAR = 16_384
 
@@ -54,7 +56,7 @@ def kmeans_labels(df: DataFrame, key: str, vector: str, k: int | None = None, se
 
 def _met_blocks(df: DataFrame, key: str, columns: list[str], n: int) -> DataFrame:
     """Every point in each of the pairs of blocks (p <= q) that its block is in: p, q, b."""
-    blocks = max(1, -(-n // BLOCK))
+    blocks = max(1, min(-(-n // BLOCK), BLOCKS), -(-n // LARGEST))
     own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     return df.select(key, *columns, own.alias("b"), other.alias("o")).withColumns({"p": F.least("b", "o"), "q": F.greatest("b", "o")})
@@ -96,7 +98,7 @@ def silhouette_squared(df: DataFrame, key: str, vector: str, cluster: str) -> Da
 def silhouette(df: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
     """Each point's exact Euclidean silhouette, by distances between blocks of points; a cluster of one has 0.
 
-    Quadratic by definition: for many points see silhouette_squared().
+    Quadratic by definition, in time: what is moved follows the points (see BLOCKS). For many points see silhouette_squared().
     """
     df = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(cluster).cast("long").alias("c"))
 
@@ -106,10 +108,12 @@ def silhouette(df: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
         out = []
         for x, y in ((a, b),) if p == q else ((a, b), (b, a)):
             if len(x) and len(y):
+                y = y.sort_values("c", kind="stable")
                 u, w = np.stack(x["v"]), np.stack(y["v"])
-                d = _distances(u, w)
-                for c in np.unique(y["c"]):
-                    out.append(pd.DataFrame({"k": x["k"].to_numpy(), "c": x["c"].to_numpy(), "other": c, "d": d[:, (y["c"] == c).to_numpy()].sum(1)}))
+                kinds, first = np.unique(y["c"], return_index=True)
+                strip = max(1, STRIP // len(w))
+                d = np.concatenate([np.add.reduceat(_distances(u[k : k + strip], w), first, axis=1) for k in range(0, len(u), strip)])
+                out.append(pd.DataFrame({"k": np.repeat(x["k"].to_numpy(), len(kinds)), "c": np.repeat(x["c"].to_numpy(), len(kinds)), "other": np.tile(kinds, len(x)), "d": d.ravel()}))
         return pd.concat(out) if out else pd.DataFrame({"k": [], "c": [], "other": [], "d": []})
 
     met = _met_blocks(df, "k", ["v", "c"], df.count())
@@ -136,10 +140,16 @@ def uniformity(df: DataFrame, key: str, vector: str, t: float = 2.0) -> DataFram
         if not len(a) or not len(b):
             return pd.DataFrame({"e": [], "c": [], "n": []})
         u, w = np.stack(a["v"]), np.stack(b["v"])
-        c = u @ w.T
-        at = np.triu(np.ones(c.shape, bool), 1) if p == q else np.ones(c.shape, bool)
-        d = np.sqrt(np.maximum((u**2).sum(1)[:, None] + (w**2).sum(1)[None] - 2 * c, 0))
-        return pd.DataFrame({"e": [np.exp(-t * d[at]).sum()], "c": [np.abs(c[at]).sum()], "n": [int(at.sum())]})
+        e, total, n = 0.0, 0.0, 0
+        strip = max(1, STRIP // len(w))
+        for k in range(0, len(u), strip):
+            x = u[k : k + strip]
+            c = x @ w.T
+            # Of a block with itself, each point beside those after it.
+            at = np.arange(len(w)) > np.arange(k, k + len(x))[:, None] if p == q else np.ones(c.shape, bool)
+            d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (w**2).sum(1)[None] - 2 * c, 0))
+            e, total, n = e + np.exp(-t * d[at]).sum(), total + np.abs(c[at]).sum(), n + int(at.sum())
+        return pd.DataFrame({"e": [e], "c": [total], "n": [n]})
 
     n = df.count()
     total = _met_blocks(df, "k", ["v"], n).groupBy("p", "q").applyInPandas(sums, "e double, c double, n long").agg(F.sum("e").alias("e"), F.sum("c").alias("c"), F.sum("n").alias("n"))

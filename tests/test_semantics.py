@@ -792,3 +792,9 @@ def test_scores_made_at_places_equal_those_of_joined_pairs(spark, block):
     order = lambda scores: sorted(((-np.floor((d or 0.0) * 1e6 + 0.5), *k) for k, d in scores.items()))
     top = {r[:2]: r[2] for r in values(change.place_scores(near, a, b, rx=False, top=5, block=block), "patch_path_a", "patch_path_b", "mean_rgb_diff")}
     assert order(top)[:5] == order(rgb)[:5] and len(top) < len(rgb)
+
+
+def test_many_points_are_moved_a_bounded_number_of_times(spark):
+    points = spark.range(500).withColumnRenamed("id", "k")
+    assert embeddings._met_blocks(points, "k", [], 300_000).count() == 500 * embeddings.BLOCKS
+    assert embeddings._met_blocks(points, "k", [], 2_500).count() == 500 * 3
