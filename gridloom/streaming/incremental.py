@@ -143,7 +143,9 @@ def incremental_index(spark: SparkSession, source: str, schema: T.StructType, ro
         live = spans(own, out)
         if not any(a <= number <= b for a, b in live):
             key = F.xxhash64(*keys)
-            new = rows(batch).dropDuplicates(keys).withColumns({"part": F.pmod(key, F.lit(PARTS)).cast("int"), "_hash": key}).persist(StorageLevel.MEMORY_AND_DISK)
+            # rows() may make many of one, and a file may be one task: what arrives is dealt out before, so that no task's keys are those of a whole file.
+            dealt = batch.repartition(int(own.conf.get("spark.sql.shuffle.partitions")), *batch.columns)
+            new = rows(dealt).dropDuplicates(keys).withColumns({"part": F.pmod(key, F.lit(PARTS)).cast("int"), "_hash": key}).persist(StorageLevel.MEMORY_AND_DISK)
             store(unseen(new, live) if live else new, (number, number))
             new.unpersist()
         compact(own, number)
