@@ -206,11 +206,16 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return read_geojson_lines(spark, lines)
 
 
-def write_geojson(df: DataFrame, path: str, kind: str, coordinates: Column, properties: list[str]) -> None:
-    """A line for each feature, written by all tasks: the form of GeoJSON that can be split and read by many."""
+def geojson_features(df: DataFrame, kind: str, coordinates: Column, properties: list[str]) -> DataFrame:
+    """(value): the text of each row's feature."""
     geometry = F.named_struct(F.lit("type"), F.lit(kind), F.lit("coordinates"), coordinates)
     feature = F.named_struct(F.lit("type"), F.lit("Feature"), F.lit("geometry"), geometry, F.lit("properties"), F.struct(*properties))
-    df.select(F.to_json(feature).alias("value")).write.text(path)
+    return df.select(F.to_json(feature).alias("value"))
+
+
+def write_geojson(df: DataFrame, path: str, kind: str, coordinates: Column, properties: list[str]) -> None:
+    """A line for each feature, written by all tasks: the form of GeoJSON that can be split and read by many."""
+    geojson_features(df, kind, coordinates, properties).write.text(path)
 
 
 def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -21,8 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import scratch
-
 #: Bytes of a split that are looked at together.
 _CHUNK = 1 << 20
 _ESCAPE = re.compile(rb"\\.", re.S)
@@ -146,10 +144,7 @@ def feature_texts(spark: SparkSession, path: str) -> DataFrame:
             yield batch_of([row(begin_of, *last, part, False, False)])
 
     pieces = text.mapInArrow(cut, "file string, owner long, begin long, text string, closes boolean, whole boolean")
-    path_ = scratch(spark, "pieces")
-    pieces.write.parquet(path_)
-    pieces = spark.read.parquet(path_)
-    # Of a feature that was cut there are as many rows as splits that it lies in.
+    # Of a feature that was cut there are as many rows as splits that it lies in. They alone are moved: whole ones are taken from a look of their own at the text.
     cut_ones = pieces.where("not whole").groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("begin", "text"))).alias("p"), F.bool_or("closes").alias("closed")).where("closed")
     return pieces.where("whole").select(F.col("text").alias("feature")).unionByName(cut_ones.select(F.array_join(F.transform("p", lambda x: x["text"]), "").alias("feature")))
 
