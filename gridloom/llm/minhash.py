@@ -7,8 +7,9 @@
    held only against the first member of each of its buckets (that of the least doc_id, likely what the others were made from), the likeliest one by signature is confirmed on the full
    sets, and the links give components.
 4. Members of buckets that hold several components are banded once more, by FINE bands of FINE_ROWS minima, so that only likely
-   texts meet. In a fine bucket, members outside its most frequent component meet the others in blocks of bounded size: signatures first, then the
-   full sets of those that have a like one in their block. So no link between components is lost, and the rule is the same for buckets of every size.
+   texts meet. In a fine bucket, members outside its most frequent component meet the others: signatures first, then the full sets of those that
+   have a like one. A bucket of up to BLOCK is one block, a row a member; a larger one is dealt to SIDES blocks a side at most, so its rows grow with its
+   members, not with their pairs. Of a block only the members that ask are held. No link between components is lost, whatever the bucket's size.
 5. Components come from alternating large-star and small-star steps. Classes that share a doc_id are linked as well.
 
 Misses are those of the method alone: with 32 bands of 4 rows, a pair at similarity 0.8 shares no band with probability
@@ -35,8 +36,8 @@ from .common import merged, numbered, slices, written
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
-#: Members of a bucket that are compared in one group at most (against as many).
-BLOCK = 256
+#: Members of a bucket that are compared in one group before it is dealt to several, and groups that a side is dealt to at most.
+BLOCK, SIDES = 1024, 8
 #: Fine bands, and the minima of each: a pair at 0.8 shares none of them with probability 1e-6.
 FINE, FINE_ROWS = 124, 10
 #: Edges of a partition while components are found.
@@ -210,31 +211,30 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     return merged(merged(pairs, left, "a"), right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, same long")
 
 
-def _grouped(rows: DataFrame, keys: list[str], columns: list[str], work, schema: str) -> DataFrame:
-    """work(columns of a group as lists) for each group of equal keys; groups are cut from sorted partitions, which is far cheaper
-    than a call of its own for each of very many small groups. work returns a list of rows of longs."""
+def _streamed(rows: DataFrame, keys: list[str], columns: list[str], group, schema: str) -> DataFrame:
+    """What group() makes of each group of equal keys, those that ask first; groups are cut from sorted partitions, which is far cheaper than a call of
+    its own for each of very many small groups. Its add() takes a piece of the group, its end() is called after the last; both give lists of rows of longs."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, [[] for _ in columns]
+        last, held = None, None
         for batch in batches:
             out: list[tuple] = []
-            data = [batch.column(c).to_pylist() for c in columns]
             at = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            data = [batch.column(c).to_pylist() for c in columns]
             begin = 0
             for k in range(1, len(at) + 1):
                 if k == len(at) or at[k] != at[begin]:
-                    if last is not None and at[begin] != last:
-                        out += work(*held)
-                        held = [[] for _ in columns]
-                    for h, d in zip(held, data, strict=True):
-                        h += d[begin:k]
-                    last, begin = at[begin], k
+                    if at[begin] != last:
+                        out += held.end() if held else []
+                        last, held = at[begin], group(at[begin])
+                    out += held.add(*(d[begin:k] for d in data))
+                    begin = k
             yield _longs(out, names)
-        if last is not None:
-            yield _longs(work(*held), names)
+        if held:
+            yield _longs(held.end(), names)
 
-    return rows.select(*dict.fromkeys([*keys, *columns])).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return rows.select(*dict.fromkeys([*keys, *columns])).repartition(*keys).sortWithinPartitions(*keys, F.desc("asks")).mapInArrow(run, schema)
 
 
 def _longs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -248,10 +248,27 @@ def _count_to(n: Column) -> Column:
 
 def _blocks(key: str, of: str, salt: int) -> tuple[Column, Column]:
     """The number of blocks for a count, and the block of a key."""
-    n = F.ceil(F.col(of) / BLOCK).cast("int")
+    n = F.least(F.ceil(F.col(of) / BLOCK), F.lit(SIDES)).cast("int")
     return n, F.pmod(F.xxhash64(key, F.lit(salt)), n).cast("int")
 
 
+def _meetings(near: DataFrame) -> DataFrame:
+    """(band, p, q, asks, id, component): near's members (band, id, component) in the blocks of their band in which they meet.
+
+    Members outside a band's most frequent component ask all others. asks: 2 asks and is asked (in a band that is one block), 1 asks, 0 is asked.
+    """
+    parts = near.groupBy("band", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"))
+    main = main.select("band", F.col("m.component").alias("main"), "n", (F.col("n") - F.col("m.n")).alias("n_odd"))
+    sized, odd = merged(near, main, "band"), F.col("component") != F.col("main")
+    (blocks, own), (odd_blocks, own_odd) = _blocks("id", "n", 0), _blocks("id", "n_odd", 1)
+    as_other = F.transform(_count_to(odd_blocks), lambda k: F.struct(k.alias("p"), own.alias("q"), F.lit(0).alias("asks")))
+    as_odd = F.transform(_count_to(blocks), lambda k: F.struct(own_odd.alias("p"), k.alias("q"), F.lit(1).alias("asks")))
+    dealt = sized.where(F.col("n") > BLOCK).select("band", "id", "component", F.explode(F.when(odd, F.concat(as_other, as_odd)).otherwise(as_other)).alias("g"))
+    whole = sized.where(F.col("n") <= BLOCK).select("band", F.lit(0).alias("p"), F.lit(0).alias("q"), F.when(odd, 2).otherwise(0).alias("asks"), "id", "component")
+    return whole.unionByName(dealt.select("band", "g.p", "g.q", "g.asks", "id", "component"))
+
+
 def fine_keys(sigs: np.ndarray) -> np.ndarray:
     """FINE band keys of each signature (rows of bytes), each of other FINE_ROWS of its bytes."""
     keys = np.broadcast_to(np.arange(1, FINE + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407), (len(sigs), FINE))
@@ -274,32 +291,84 @@ def _fine_rows(members: DataFrame) -> DataFrame:
     return members.select("id", "component", "sig").mapInArrow(run, "band long, id long, component long")
 
 
-def _like(asks: list, ids: list, comps: list, sigs: list, here: int | None, least: int) -> Iterator[tuple[int, list[int]]]:
-    """Each asker's place in a block, and the places of others in it of another component with a like signature, likest first.
-    Two documents that share several fine bands are looked at in the first of them (here) alone."""
-    others = [k for k, x in enumerate(asks) if not x]
-    askers = [k for k, x in enumerate(asks) if x]
-    if not others or not askers:
-        return
-    table = np.frombuffer(b"".join([sigs[k] for k in others]), np.uint8).reshape(-1, HASHES)
-    keys, of = None, np.array([comps[k] for k in others])
-    for k in askers:
-        own = np.frombuffer(sigs[k], np.uint8)
-        same = (table == own).sum(axis=1)
-        at = np.flatnonzero((same >= least) & (of != comps[k]))
-        if len(at):
-            keys = fine_keys(table) if keys is None else keys
-            mine = fine_keys(own[None, :])
-            at = at[mine[0, (keys[at] == mine).argmax(axis=1)] == here]
-        if len(at):
-            yield k, [others[m] for m in at[np.argsort(-same[at], kind="stable")].tolist()]
+class _Block:
+    """A block's members that ask, against which the others are held piece by piece, as they come."""
+
+    def __init__(self, here: tuple, least: int):
+        self.here, self.least = here, least
+        self.asks, self.ids, self.comps, self.sigs = [], [], [], []
+
+    def take(self, asks: list, ids: list, comps: list, sigs: list) -> list[int]:
+        """Holds those that ask; the places in the piece of those that are asked."""
+        for k, a in enumerate(asks):
+            if a:
+                self.asks.append(a), self.ids.append(ids[k]), self.comps.append(comps[k]), self.sigs.append(sigs[k])
+        return [k for k, a in enumerate(asks) if a != 1]
+
+    def like(self, others: list[int], comps: list, sigs: list) -> Iterator[tuple[int, list[int]]]:
+        """Each held one's place, and the places of others of the piece that are of another component and have a like signature, likest first.
+        Two documents that share several fine bands are looked at in the first of them (here) alone."""
+        if not others or not self.ids:
+            return
+        table = np.frombuffer(b"".join([sigs[k] for k in others]), np.uint8).reshape(-1, HASHES)
+        keys, of = None, np.array([comps[k] for k in others])
+        for k, sig in enumerate(self.sigs):
+            own = np.frombuffer(sig, np.uint8)
+            same = (table == own).sum(axis=1)
+            at = np.flatnonzero((same >= self.least) & (of != self.comps[k]))
+            if len(at):
+                keys = fine_keys(table) if keys is None else keys
+                mine = fine_keys(own[None, :])
+                at = at[mine[0, (keys[at] == mine).argmax(axis=1)] == self.here[0]]
+            if len(at):
+                yield k, [others[m] for m in at[np.argsort(-same[at], kind="stable")].tolist()]
+
+
+class _LikeBlock(_Block):
+    """(band, p, q, asks, id, component) of the members with a like one in the block."""
+
+    def __init__(self, here: tuple, least: int):
+        super().__init__(here, least)
+        self.kept: set[int] = set()
+
+    def add(self, asks: list, ids: list, comps: list, sigs: list) -> list[tuple]:
+        found: set[int] = set()
+        for k, at in self.like(self.take(asks, ids, comps, sigs), comps, sigs):
+            self.kept.add(self.ids[k])
+            found.update(at)
+        # One that asks as well is told at the end.
+        self.kept.update(ids[k] for k in found if asks[k])
+        return [(*self.here, 0, ids[k], comps[k]) for k in sorted(found) if not asks[k]]
+
+    def end(self) -> list[tuple]:
+        return [(*self.here, a, i, c) for a, i, c in zip(self.asks, self.ids, self.comps, strict=True) if i in self.kept]
+
+
+class _LinkBlock(_Block):
+    """(a, b): each that asks with one member of each other component whose full set is similar enough."""
+
+    def __init__(self, here: tuple, least: int, percent: int):
+        super().__init__(here, least)
+        self.percent, self.sets, self.done = percent, [], set()
+
+    def add(self, asks: list, ids: list, comps: list, sigs: list, sets: list) -> list[tuple]:
+        self.sets += [np.frombuffer(x, np.uint64) for x, a in zip(sets, asks, strict=True) if a]
+        out = []
+        for k, found in self.like(self.take(asks, ids, comps, sigs), comps, sigs):
+            for j in found:
+                if (k, comps[j]) not in self.done and _sets_similar(self.sets[k], np.frombuffer(sets[j], np.uint64), self.percent):
+                    self.done.add((k, comps[j]))
+                    out.append((min(self.ids[k], ids[j]), max(self.ids[k], ids[j])))
+        return out
+
+    def end(self) -> list[tuple]:
+        return []
 
 
 def _links_between(members: DataFrame, sigs: DataFrame, sets: DataFrame, labels: DataFrame, least: int, percent: int) -> DataFrame:
     """(a, b): links between components. members: (band, id). A document is linked with one member of each component that is similar enough in a block.
 
-    Blocks hold BLOCK members at most that ask and as many that are asked. No pair is a row, and full sets go only to the blocks
-    in which a signature is like theirs.
+    No pair is a row, and full sets go only to the blocks in which a signature is like theirs.
     """
     named = merged(members, labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
@@ -307,35 +376,12 @@ def _links_between(members: DataFrame, sigs: DataFrame, sets: DataFrame, labels:
     spots = written(_fine_rows(merged(inner, sigs.select("id", "sig"), "id")), "spots")
     spread = spots.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
     near = written(merged(spots, spread, "band", "left_semi"), "near")
-    parts = near.groupBy("band", "component").agg(F.count("*").alias("n"))
-    main = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"))
-    main = main.select("band", F.col("m.component").alias("main"), "n", (F.col("n") - F.col("m.n")).alias("n_odd"))
-    (blocks, own), (odd_blocks, own_odd) = _blocks("id", "n", 0), _blocks("id", "n_odd", 1)
-    as_other = F.transform(_count_to(odd_blocks), lambda k: F.struct(k.alias("p"), own.alias("q"), F.lit(0).alias("asks")))
-    as_odd = F.transform(_count_to(blocks), lambda k: F.struct(own_odd.alias("p"), k.alias("q"), F.lit(1).alias("asks")))
-    met = merged(near, main, "band").select("band", "id", "component", F.explode(F.when(F.col("component") != F.col("main"), F.concat(as_other, as_odd)).otherwise(as_other)).alias("g"))
     place = ["band", "p", "q"]
-    rows = merged(met.select("band", "g.p", "g.q", "g.asks", "id", "component"), sigs.select("id", "sig"), "id")
-
-    def like(band: list, p: list, q: list, asks: list, ids: list, comps: list, sigs_: list) -> list[tuple]:
-        kept: set[int] = set()
-        for k, found in _like(asks, ids, comps, sigs_, band[0], least):
-            kept.update(found, [k])
-        return [(band[k], p[k], q[k], asks[k], ids[k], comps[k]) for k in sorted(kept)]
-
-    def work(band: list, asks: list, ids: list, comps: list, sigs_: list, sets_: list) -> list[tuple]:
-        out = []
-        for k, found in _like(asks, ids, comps, sigs_, band[0], least):
-            own_set, done = np.frombuffer(sets_[k], np.uint64), set()
-            for j in found:
-                if comps[j] not in done and _sets_similar(own_set, np.frombuffer(sets_[j], np.uint64), percent):
-                    done.add(comps[j])
-                    out.append((min(ids[k], ids[j]), max(ids[k], ids[j])))
-        return out
-
-    kept = written(_grouped(rows, place, [*place, "asks", "id", "component", "sig"], like, "band long, p long, q long, asks long, id long, component long"), "like")
+    rows = merged(_meetings(near), sigs.select("id", "sig"), "id")
+    kept = _streamed(rows, place, ["asks", "id", "component", "sig"], lambda here: _LikeBlock(here, least), "band long, p long, q long, asks long, id long, component long")
+    kept = written(kept, "like")
     full = merged(kept, sets.join(kept.select("id").distinct().hint("merge"), "id", "left_semi"), "id")
-    return _grouped(merged(full, sigs.select("id", "sig"), "id"), place, ["band", "asks", "id", "component", "sig", "shingles"], work, "a long, b long").distinct()
+    return _streamed(merged(full, sigs.select("id", "sig"), "id"), place, ["asks", "id", "component", "sig", "shingles"], lambda here: _LinkBlock(here, least, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", order: str | None = None) -> DataFrame:

@@ -509,6 +509,24 @@ def test_near_duplicates_with_a_hot_group_use_no_broadcast(spark, tmp_path):
     assert "Broadcast" not in plan
 
 
+def test_members_of_a_large_bucket_meet_in_rows_that_grow_with_them(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    made = []
+    for n in (200, 400):
+        # Two thirds are of one component, the others of their own; a small bucket beside them is one block.
+        near = spark.createDataFrame([(1, k, 0 if k % 3 else k) for k in range(1, n)] + [(2, 9001, 0), (2, 9002, 0), (2, 9003, 9003)], "band long, id long, component long")
+        rows = minhash._meetings(near).collect()
+        assert sorted((r["id"], r["asks"]) for r in rows if r["band"] == 2) == [(9001, 0), (9002, 0), (9003, 2)]
+        blocks = {}
+        for r in rows:
+            if r["band"] == 1:
+                blocks.setdefault((r["p"], r["q"]), ([], []))[r["asks"]].append((r["id"], r["component"]))
+        met = [(a, b) for asked, ask in blocks.values() for a, x in ask for b, y in asked if x != y]
+        assert len(met) == len(set(met)) and set(met) == {(a, b) for a in range(3, n, 3) for b in range(1, n) if a != b}
+        made.append(len(rows))
+    assert made[1] <= 2.1 * made[0]  # with as many blocks as the bucket has eights: four times
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert minhash.near_duplicates(docs_of(spark, ["x"]).limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "a b c", None, None, None), (1, "a b c", None, None, None), (1, "a b c", None, None, None), (2, None, None, None, None)], DOCS)
