@@ -1,6 +1,7 @@
 """Small cases of the rules that are easy to get wrong, and properties."""
 
 import json
+import tempfile
 
 import numpy as np
 import pytest
@@ -95,6 +96,23 @@ def test_grid_join_equals_brute_force(spark):
     assert len(made) == len(want) and set(made) == want
 
 
+def test_places_are_found_in_one_pass_and_pairs_joined_by_their_numbers(spark, tmp_path):
+    def seen(batches):
+        tempfile.mkstemp(dir=tmp_path)
+        yield from batches
+
+    rows = [(f"{q}{k}", "s", q, k % 3 * 1.0, 0.0, k % 3 + 10.0, 10.0) for q in "xy" for k in range(12)]
+    schema = "patch_path string, scene_id string, quarter string, minx double, miny double, maxx double, maxy double"
+    p = spark.createDataFrame(rows, schema).coalesce(1).mapInArrow(seen, schema)
+    assert len(G.near_places(p, 0.5).collect()) == 9
+    assert len(list(tmp_path.iterdir())) == 1
+    pairs = G.spatial_pair(p.withColumn("date", F.lit("2025-01-01").cast("date")), 0.8)
+    assert len(list(tmp_path.iterdir())) == 2
+    made = {tuple(r) for r in pairs.select("patch_path_a", "patch_path_b", F.round("iou", 9), F.round("share_a", 9)).collect()}
+    shared = lambda j, k: 10 - abs(j % 3 - k % 3)
+    assert made == {(f"x{j}", f"y{k}", round(shared(j, k) / (20 - shared(j, k)), 9), shared(j, k) / 10) for j in range(12) for k in range(12) if shared(j, k) >= 9}
+
+
 def test_quarter_iou_is_symmetric_with_ones(spark):
     s = spark.createDataFrame([("a", 0.0, 0.0, 2.0, 2.0), ("b", 1.0, 0.0, 3.0, 2.0), ("c", 9.0, 9.0, 10.0, 10.0)], "quarter string, minx double, miny double, maxx double, maxy double")
     m = {(r[0], r[1]): r[2] for r in G.quarter_iou(s, 1.0).collect()}
