@@ -42,6 +42,8 @@ BLOCK, SIDES = 1024, 8
 FINE, FINE_ROWS = 124, 10
 #: Edges of a partition while components are found.
 EDGES = 100_000
+#: Rows, and bytes of texts or sets, that a stored file has at least where a table is in several.
+FILE_ROWS, FILE_BYTES = 4000, 8 << 20
 #: Words whose hash a worker keeps.
 _KEPT_WORDS = 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -162,6 +164,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return merged(merged(pairs.select("a", "b"), left, "a"), right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _files(rows: int, size: int = 0) -> int:
+    """Files that a table with as many rows and bytes is stored in at most. Its partitions may be hundreds, and then it would be mostly files, whose making costs
+    more than the rows: on a local disk Hadoop starts several processes for each, and while one starts it shares all of the executor's memory."""
+    return max(1, -(-rows // FILE_ROWS), -(-size // FILE_BYTES))
+
+
 def _edges(df: DataFrame, parts: int) -> tuple[DataFrame, int, int]:
     """Edges (u, v) stored, with their number and the sum of their hashes, counted as they are written."""
     seen = Observation()
@@ -170,14 +178,14 @@ def _edges(df: DataFrame, parts: int) -> tuple[DataFrame, int, int]:
     return made, seen.get["n"], int(seen.get["h"])
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every linked id, component being the least id reachable: alternating large-star and small-star.
+def components(links: DataFrame, parts: int | None = None) -> DataFrame:
+    """(id, component) of every linked id, component being the least id reachable: alternating large-star and small-star. parts: files of the links at most.
 
     A step groups to a minimum with partial sums and joins it back, so a node with very many neighbours is never
     gathered; the edges of each round are written. Rounds end when the edge set stays the same.
     """
-    few = links.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    edges, *before = _edges(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), int(few))
+    parts = parts or int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges, *before = _edges(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), parts)
     while before[0]:
         # Files follow the number of edges: a small graph in hundreds of partitions would be mostly files.
         parts = max(1, -(-before[0] // EDGES))
@@ -365,7 +373,7 @@ class _LinkBlock(_Block):
         return []
 
 
-def _links_between(members: DataFrame, sigs: DataFrame, sets: DataFrame, labels: DataFrame, least: int, percent: int) -> DataFrame:
+def _links_between(members: DataFrame, sigs: DataFrame, sets: DataFrame, labels: DataFrame, least: int, percent: int, parts: int) -> DataFrame:
     """(a, b): links between components. members: (band, id). A document is linked with one member of each component that is similar enough in a block.
 
     No pair is a row, and full sets go only to the blocks in which a signature is like theirs.
@@ -373,47 +381,50 @@ def _links_between(members: DataFrame, sigs: DataFrame, sets: DataFrame, labels:
     named = merged(members, labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
     inner = merged(named, mixed, "band", "left_semi").select("id", "component").distinct()
-    spots = written(_fine_rows(merged(inner, sigs.select("id", "sig"), "id")), "spots")
+    spots = written(_fine_rows(merged(inner, sigs.select("id", "sig"), "id")).coalesce(parts), "spots")
     spread = spots.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    near = written(merged(spots, spread, "band", "left_semi"), "near")
+    near = written(merged(spots, spread, "band", "left_semi").coalesce(parts), "near")
     place = ["band", "p", "q"]
     rows = merged(_meetings(near), sigs.select("id", "sig"), "id")
     kept = _streamed(rows, place, ["asks", "id", "component", "sig"], lambda here: _LikeBlock(here, least), "band long, p long, q long, asks long, id long, component long")
-    kept = written(kept, "like")
+    kept = written(kept.coalesce(parts), "like")
     full = merged(kept, sets.join(kept.select("id").distinct().hint("merge"), "id", "left_semi"), "id")
     return _streamed(merged(full, sigs.select("id", "sig"), "id"), place, ["asks", "id", "component", "sig", "shingles"], lambda here: _LinkBlock(here, least, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", order: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs. `order` says which texts are looked at first (else the key); results don't depend on it."""
-    sketches = written(sketch(docs, shingle, key, text, order), "sketches")
+    seen = Observation()
+    counts = [F.count("*").alias("n"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("shingles")]
+    sketches = written(sketch(docs, shingle, key, text, order).observe(seen, *counts), "sketches")
+    parts = _files(seen.get["n"])
     sound = sketches.where("digest is not null and doc_id is not null")
     # A class of equal sets, whose bands and signatures are equal: partial minima, whatever its size. Its number is stored, so it stays the same.
     classes = sound.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("place").alias("place"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()).coalesce(parts), "classes")
     rows = classes.select(F.explode(F.array_distinct("bands")).alias("band"), "id", "place")
     # Null places, if any, come last.
     lead = F.min(F.struct(F.col("place").isNull(), "place", "id"))["id"].alias("lead")
     buckets = rows.groupBy("band").agg(lead, F.count("*").alias("n")).where("n > 1").select("band", "lead")
-    members = written(merged(rows.drop("place"), buckets, "band").select("band", "id", "lead"), "buckets")
-    within = written(members.select("id").distinct(), "within")
+    members = written(merged(rows.drop("place"), buckets, "band").select("band", "id", "lead").coalesce(parts), "buckets")
+    within = written(members.select("id").distinct().coalesce(parts), "within")
     shared = merged(classes.select("id", "rep", "digest", "sig"), within, "id", "left_semi")
-    sigs = written(shared.select("id", "sig"), "signatures")
+    sigs = written(shared.select("id", "sig").coalesce(parts), "signatures")
     reps = shared.select("id", F.col("rep").alias("doc_id"), "digest")
     texts = merged(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), reps, "doc_id")
     texts = texts.groupBy("doc_id", "id", "digest", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
-    sets = written(shingle_sets(texts, shingle), "sets")
+    sets = written(shingle_sets(texts, shingle).coalesce(_files(seen.get["n"], 8 * seen.get["shingles"])), "sets")
     least = least_agreement(percent)
 
     pairs = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     likely = _agreeing(pairs, sigs, least).groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    named = written(merged(sound.select("doc_id", "digest"), classes.select("digest", "id"), "digest").select("doc_id", "id").distinct(), "named")
+    named = written(merged(sound.select("doc_id", "digest"), classes.select("digest", "id"), "digest").select("doc_id", "id").distinct().coalesce(parts), "named")
     several = named.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
     of_one = merged(named, several, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
-    labels = components(confirmed(likely, sets, percent).unionByName(of_one))
-    more = written(_links_between(members.select("band", "id"), sigs, sets, labels, least, percent), "links")
+    labels = components(confirmed(likely, sets, percent).unionByName(of_one), parts)
+    more = written(_links_between(members.select("band", "id"), sigs, sets, labels, least, percent, parts).coalesce(parts), "links")
     if not more.isEmpty():
-        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), parts)
     # The least doc_id of each component, given to its classes by a join that Spark splits where a component holds very many.
     own = merged(classes.select("id", "rep"), labels, "id", "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
     lowest = own.groupBy("component").agg(F.min("rep").alias("_c"), F.count("*").alias("n")).where("n > 1").select("component", "_c")
@@ -428,12 +439,15 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80
 
     Rows count one by one, whatever their keys: of repeated rows one stays. Rows without words are linked with nothing and stay.
     """
-    rows, row = numbered(docs, "rows")
-    found = written(near_duplicates(rows, shingle, percent, row, text, key).select(F.col("doc_id").alias("row"), "component_id"), "found")
+    seen = Observation()
+    sizes = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)).cast("long") for c, kind in docs.dtypes if kind in ("string", "binary")]
+    rows, row = numbered(docs.observe(seen, F.count("*").alias("n"), F.coalesce(F.sum(sum(sizes, F.lit(0))), F.lit(0)).alias("size")), "rows")
+    parts = _files(seen.get["n"])
+    found = written(near_duplicates(rows, shingle, percent, row, text, key).select(F.col("doc_id").alias("row"), "component_id").coalesce(parts), "found")
     named = merged(found, rows.select(F.col(row).alias("row"), F.col(key).alias("k")), "row")
-    groups = written(named.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("k").isNull(), "k", "row")).alias("m")).where("n > 1"), "groups")
+    groups = written(named.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("k").isNull(), "k", "row")).alias("m")).where("n > 1").coalesce(parts), "groups")
     out = merged(found.where("row <> component_id").select("row").unionByName(groups.select(F.col("component_id").alias("row"))), groups.select(F.col("m.row").alias("row")), "row", "left_anti")
-    return merged(rows, out.withColumnRenamed("row", row), row, "left_anti").select(docs.columns)
+    return merged(rows, out.withColumnRenamed("row", row), row, "left_anti").select(docs.columns).coalesce(_files(seen.get["n"], seen.get["size"]))
 
 
 #: DuckDB SQL for the rows of op6, from the contract's own words: all pairs that share a shingle, then reachability.

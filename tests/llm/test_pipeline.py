@@ -1,6 +1,7 @@
 """The pipeline against a brute-force version of its stages."""
 
 import random
+from pathlib import Path
 
 import corpus_pipeline
 from gridloom.llm import langid, minhash, pieces
@@ -31,6 +32,28 @@ def test_stages_keep_the_columns_of_documents(spark):
         assert stage(spark, docs, DIR).columns == docs.columns
 
 
+def test_near_duplicates_store_few_files_whatever_the_number_of_partitions(spark, tmp_path, monkeypatch):
+    """Files follow the rows: hundreds of tiny ones were made, and on a local disk each starts processes that count as the executor's memory."""
+    stored = []
+    monkeypatch.setattr(minhash, "written", lambda df, name, f=minhash.written: stored.append(f(df, name)) or stored[-1])
+    docs, (_, stage) = spark.read.parquet(f"{DIR}/documents.parquet"), corpus_pipeline.STAGES[1]
+    want = sorted(map(tuple, stage(spark, docs, DIR).collect()))
+    stored.clear()
+    held = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = stage(spark, docs, DIR)
+        out.write.parquet(f"{tmp_path}/out")
+        assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(stored) > 10 and all(len(df.inputFiles()) <= 2 for df in stored)
+    assert len(list(Path(tmp_path, "out").glob("part-*"))) <= 2
+
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score string, _language string, _id string, _digest string, _row string, id string, row string"
 
 
