@@ -1,6 +1,7 @@
 """Small cases of the rules that are easy to get wrong, and properties."""
 
 import json
+import re
 import tempfile
 
 import numpy as np
@@ -113,6 +114,51 @@ def test_places_are_found_in_one_pass_and_pairs_joined_by_their_numbers(spark, t
     assert made == {(f"x{j}", f"y{k}", round(shared(j, k) / (20 - shared(j, k)), 9), shared(j, k) / 10) for j in range(12) for k in range(12) if shared(j, k) >= 9}
 
 
+def test_pairs_read_the_patches_once_and_move_them_once(spark, tmp_path):
+    def seen(batches):
+        tempfile.mkstemp(dir=tmp_path)
+        yield from batches
+
+    rows = [(f"{q}{k}", q, k % 3 * 1.0, 0.0, k % 3 + 10.0, 10.0) for q in "xy" for k in range(12)]
+    schema = "patch_path string, quarter string, minx double, miny double, maxx double, maxy double"
+    p = spark.createDataFrame(rows, schema).coalesce(1).mapInArrow(seen, schema).withColumns({"scene_id": F.lit("s"), "date": F.lit("2025-01-01").cast("date")})
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(old, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        pairs = G.spatial_pair(p, 0.8, quarter_iou=spark.createDataFrame([("x", "y", 0.5)], "quarter_a string, quarter_b string, iou double"))
+        assert pairs.count() == 16 * 7
+        assert len(list(tmp_path.iterdir())) == 1
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    # A side of the join is the other's exchange.
+    assert re.search(r"ReusedExchange .*hashpartitioning\(place", plan)
+
+
+def test_pairs_of_unequally_crowded_places_equal_brute_force(spark):
+    rng = np.random.default_rng(17)
+    # Places of several sizes, crowded by 1 to 30 patches; one so large that its area isn't a number, one without area, one without a bound.
+    places = [(float(x), 0.0, float(x + w), 10.0) for x, w in ((0, 10), (1, 10), (2, 10), (0, 12), (4, 9), (30, 10), (31, 10), (60, 10))]
+    places += [(-1e200, -1e200, 1e200, 1e200), (5.0, 5.0, 5.0, 9.0), (None, 0.0, 9.0, 9.0)]
+    rows = [(f"p{k}-{j}", None if rng.random() < 0.05 else f"q{rng.integers(4)}", f"2025-01-{1 + int(rng.integers(28)):02d}", *box) for k, box in enumerate(places) for j in range([1, 30, 4][k % 3])]
+    p = spark.createDataFrame(rows, "patch_path string, quarter string, date string, minx double, miny double, maxx double, maxy double").withColumn("date", F.col("date").cast("date"))
+    area = lambda r: (r[5] - r[3]) * (r[6] - r[4])
+    for least in (0.0, 0.5, 0.8):
+        want = set()
+        for a in rows:
+            for b in rows:
+                if a[1] is None or b[1] is None or a[1] >= b[1] or (a[1], b[1]) == ("q0", "q3") or None in (a[3], b[3]):
+                    continue
+                w, h = min(a[5], b[5]) - max(a[3], b[3]), min(a[6], b[6]) - max(a[4], b[4])
+                if w > 0 and h > 0 and (iou := w * h / (area(a) + area(b) - w * h)) >= least:
+                    want.add((a[0], b[0], a[1], b[1], int(b[2][-2:]) - int(a[2][-2:]), iou, w * h / area(a), w * h / area(b)))
+        pruned = spark.createDataFrame([("q0", "q3", 0.05), ("q3", "q0", 0.05), ("q1", "q2", 0.5)], "quarter_a string, quarter_b string, iou double")
+        made = values(G.spatial_pair(p, least, quarter_iou=pruned), "patch_path_a", "patch_path_b", "quarter_a", "quarter_b", "days_gap", "iou", "share_a", "share_b")
+        assert len(made) == len(want) > 500 and set(made) == want
+
+
 def test_quarter_iou_is_symmetric_with_ones(spark):
     s = spark.createDataFrame([("a", 0.0, 0.0, 2.0, 2.0), ("b", 1.0, 0.0, 3.0, 2.0), ("c", 9.0, 9.0, 10.0, 10.0)], "quarter string, minx double, miny double, maxx double, maxy double")
     m = {(r[0], r[1]): r[2] for r in G.quarter_iou(s, 1.0).collect()}
