@@ -5,6 +5,7 @@ import re
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -858,6 +859,40 @@ def test_scores_made_at_places_equal_those_of_joined_pairs(spark, block):
     assert order(top)[:5] == order(rgb)[:5] and len(top) < len(rgb)
 
 
+@pytest.mark.parametrize("slots", [2048, 4, 1])
+def test_scores_by_groups_of_arrays_equal_those_of_joined_arrays(spark, slots, monkeypatch):
+    """Pixels aren't moved with patches where arrays are few (2048: one group; 4: three groups); 1: more arrays than groups hold, which are joined."""
+    rng = np.random.default_rng(12)
+    place = lambda k: (float(k % 3), 0.0, float(k % 3) + 10, 10.0)
+    rows = [(f"p{k:02d}", "ab"[k % 2], *place(int(rng.integers(3))), None if k == 9 else int(rng.integers(14))) for k in range(80)]
+    p = spark.createDataFrame(rows, "patch_path string, quarter string, minx double, miny double, maxx double, maxy double, vec_id long")
+    bands = [[rng.integers(0, 255, 16).tolist() for _ in range(4)] for _ in range(12)]
+    bands[3][1][2], bands[5], bands[7] = None, [b[:9] for b in bands[5]], None
+    arrays = spark.createDataFrame(list(enumerate(bands)), "vec_id long, bands array<array<int>>")  # 12 and 13 have none
+    near = G.near_places(p, 0.8)
+    monkeypatch.setattr(change, "SLOTS", slots)
+    a, b = (p.where(F.col("quarter") == q).drop("quarter") for q in "ab")
+    found = change.place_scores(near, a, b, block=3, arrays=arrays, bounds=slots < 2048)
+    assert ("task" in found._jdf.queryExecution().analyzed().toString()) == (slots > 1)
+    want = change.place_scores(near, *(x.join(arrays, "vec_id") for x in (a, b))).select(*found.columns)
+    order = lambda df: sorted(map(str, df.select(*(F.round(c, 9) if c.startswith("m") else c for c in df.columns)).collect()))
+    assert order(found) == order(want) and ("maxy_a" in found.columns) == (slots < 2048)
+
+
+def test_a_pair_of_arrays_is_scored_once(monkeypatch):
+    """However many patches of however many places have them: the RX map of a pair is the dear part."""
+    pixels = [list(range(48)), list(range(100, 148)), [float(k * k) for k in range(48)]]
+    arrays = pa.table({"is_a": [True] * 3 + [False] * 3, "vec_id": [0, 1, 2] * 2, "pixels": pa.array(pixels * 2, pa.list_(pa.float64()))})
+    block = pa.table({"is_a": [True] * 20 + [False] * 10, "vec_id": [k % 2 for k in range(20)] + [1 + k % 2 for k in range(10)]})
+    known, scored = change._Known(arrays, True), []
+    made_of = change._stack_scores
+    monkeypatch.setattr(change, "_stack_scores", lambda x, y, rx: scored.append(len(x)) or made_of(x, y, rx))
+    for blocks in ([block, block], [block]):
+        rows = [(i, j) for found in known.pairs(blocks) for i, j in zip(found[0].tolist(), found[1].tolist(), strict=True)]
+        assert sorted(rows) == sorted((30 * n + i, 30 * n + j) for n in range(len(blocks)) for i in range(20) for j in range(20, 30))
+    assert sum(scored) == 4
+
+
 def test_many_points_are_moved_a_bounded_number_of_times(spark):
     points = spark.range(500).withColumnRenamed("id", "k")
     assert embeddings._met_blocks(points, "k", [], 300_000).count() == 500 * embeddings.BLOCKS
