@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from gridloom.functions import scalars as S
 from gridloom.operators import change, datasets, embeddings, experiments, landcover, metrics, raster, registries, tiles
 from gridloom.operators import spatial as G
+from gridloom.plans import change as plan_change
+from gridloom.plans.fixtures import Tables
 from gridloom.sources import catalogue as C
 from gridloom.sources import layout
 
@@ -879,6 +881,24 @@ def test_scores_by_groups_of_arrays_equal_those_of_joined_arrays(spark, slots, m
     assert order(found) == order(want) and ("maxy_a" in found.columns) == (slots < 2048)
 
 
+def test_linked_patches_of_two_quarters_move_no_other_scenes(spark, tmp_path):
+    """Their patches and arrays are those of the whole tables, also where a scene_key has orders of several quarters."""
+    small = "/root/testdata/sf0.001"
+    for name in ("lineitem", "embeddings"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{small}/{name}.parquet")
+    orders = spark.read.parquet(f"{small}/orders.parquet")
+    again = orders.where("o_orderkey % 3 = 0").withColumn("o_orderdate", F.lit("1998-02-03").cast(orders.schema["o_orderdate"].dataType))
+    orders.unionByName(again).write.parquet(str(tmp_path / "orders.parquet"))
+    t = Tables(spark, str(tmp_path))
+    some = t.of_quarters("1998Q1", "1998Q2")
+    linked = lambda x: sorted(map(str, x["fx_patches"].where("quarter IN ('1998Q1', '1998Q2')").join(x["fx_patch_vec"], "patch_path").select("quarter", "patch_path", "minx", "maxy", "vec_id").collect()))
+    assert linked(some) == linked(t) and some["fx_patches"].count() < t["fx_patches"].count()
+    assert len(set(linked(t))) < len(linked(t))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" in plan(t["fx_patch_vec"]) and "l_orderkey" not in plan(some["fx_patch_vec"].join(some["fx_patches"], "patch_path"))
+    assert "l_orderkey" not in plan(plan_change.linked_scores(t, "1998Q1", "1998Q2", 0.8, rx=False))
+
+
 def test_a_pair_of_arrays_is_scored_once(monkeypatch):
     """However many patches of however many places have them: the RX map of a pair is the dear part."""
     pixels = [list(range(48)), list(range(100, 148)), [float(k * k) for k in range(48)]]
