@@ -52,11 +52,11 @@ def _(t):
 
 @query("a3_read_geojson", "SELECT patch_path, quarter, 'Polygon' AS geometry_type, 5 AS points, minx, maxy FROM fx_patches")
 def _(t):
-    """Footprints written as GeoJSON collections, one a task, and read back by as many tasks as the collections have splits."""
+    """Footprints written as compressed GeoJSON collections of 100,000 features at most, and read back by many tasks."""
     path = scratch(t.spark, "collections")
     corner = lambda x, y: F.array(F.col(x), F.col(y))
     ring = F.array(F.array(corner("minx", "miny"), corner("maxx", "miny"), corner("maxx", "maxy"), corner("minx", "maxy"), corner("minx", "miny")))
-    write_collections(C.geojson_features(t["fx_patches"], "Polygon", ring, ["patch_path", "quarter"]), path, "value")
+    write_collections(C.geojson_features(t["fx_patches"], "Polygon", ring, ["patch_path", "quarter"]), path, "value", 100_000)
     r = F.col("coordinates")[0]
     return C.read_geojson(t.spark, path).select("patch_path", "quarter", "geometry_type", F.size(r).alias("points"), F.array_min(F.transform(r, lambda p: p[0])).alias("minx"), F.array_max(F.transform(r, lambda p: p[1])).alias("maxy"))
 

@@ -202,7 +202,7 @@ def read_results(spark: SparkSession, path: str, fields: dict[str, str] | None =
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """A row for each feature of the FeatureCollections at a path: its properties as columns and its geometry's type and rings. One collection is read by many tasks."""
     lines = scratch(spark, "features")
-    feature_texts(spark, path).write.text(lines)
+    feature_texts(spark, path).write.text(lines, compression="gzip")
     return read_geojson_lines(spark, lines)
 
 

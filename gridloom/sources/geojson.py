@@ -144,23 +144,31 @@ def feature_texts(spark: SparkSession, path: str) -> DataFrame:
             yield batch_of([row(begin_of, *last, part, False, False)])
 
     pieces = text.mapInArrow(cut, "file string, owner long, begin long, text string, closes boolean, whole boolean")
+    features = pieces.where("whole").select(F.col("text").alias("feature"))
+    if all(owner is None for _, _, owner in known.values()):
+        return features  # no split begins inside a feature, so none was cut
     # Of a feature that was cut there are as many rows as splits that it lies in. They alone are moved: whole ones are taken from a look of their own at the text.
     cut_ones = pieces.where("not whole").groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("begin", "text"))).alias("p"), F.bool_or("closes").alias("closed")).where("closed")
-    return pieces.where("whole").select(F.col("text").alias("feature")).unionByName(cut_ones.select(F.array_join(F.transform("p", lambda x: x["text"]), "").alias("feature")))
+    return features.unionByName(cut_ones.select(F.array_join(F.transform("p", lambda x: x["text"]), "").alias("feature")))
 
 
-def write_collections(features: DataFrame, path: str, feature: str = "feature") -> None:
-    """A FeatureCollection for each partition of a table of feature texts."""
+def write_collections(features: DataFrame, path: str, feature: str = "feature", most: int | None = None) -> None:
+    """A FeatureCollection for each partition of a table of feature texts. most: features of a collection at most, each then a compressed file of its own, as small ones needn't be split."""
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = True
+        n = 0
         for batch in batches:
-            lines = [("" if k == 0 and first else ",") + f for k, f in enumerate(batch.column(0).to_pylist())]
-            if lines:
-                lines[0] = ('{"type": "FeatureCollection", "features": [' if first else "") + lines[0]
-                first = False
-                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
-        if not first:
+            lines = []
+            for f in batch.column(0).to_pylist():
+                if n == most:
+                    lines.append("]}")
+                    n = 0
+                lines.append(("," if n else '{"type": "FeatureCollection", "features": [') + f)
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        if n:
             yield pa.RecordBatch.from_arrays([pa.array(["]}"], pa.string())], names=["value"])
 
-    features.select(feature).mapInArrow(framed, "value string").write.text(path)
+    # All lines of a full collection, the last of which closes it, are one file.
+    options = {"maxRecordsPerFile": most + 1, "compression": "gzip"} if most else {}
+    features.select(feature).mapInArrow(framed, "value string").write.options(**options).text(path)

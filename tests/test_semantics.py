@@ -1,5 +1,6 @@
 """Small cases of the rules that are easy to get wrong, and properties."""
 
+import gzip
 import json
 import re
 import tempfile
@@ -674,6 +675,34 @@ def test_collections_are_read_by_many_tasks(spark, tmp_path):
     assert C.read_geojson(spark, str(tmp_path / "none.geojson")).count() == 0
 
 
+def test_written_collections_are_bounded_and_compressed(spark, tmp_path, monkeypatch):
+    from gridloom.sources import geojson
+
+    texts = [json.dumps({"type": "Feature", "geometry": {"type": "Point", "coordinates": [k, 1]}, "properties": {"k": k, "name": "a}{" * 40}}) for k in range(47)]
+    table = spark.createDataFrame([(x,) for x in texts], "feature string").coalesce(1)
+    plain, small = str(tmp_path / "plain"), str(tmp_path / "small")
+    geojson.write_collections(table, plain)
+    geojson.write_collections(table, small, most=10)
+    files = sorted((tmp_path / "small").glob("part*"))
+    bodies = [json.loads(gzip.decompress(f.read_bytes())) for f in files]
+    assert [len(b["features"]) for b in bodies] == [10, 10, 10, 10, 7] and len(list((tmp_path / "plain").glob("part*"))) == 1
+    assert [json.dumps(f) for b in bodies for f in b["features"]] == texts
+    size = sum(f.stat().st_size for f in (tmp_path / "plain").glob("part*"))
+    assert sum(f.stat().st_size for f in files) * 4 < size
+    # Full collections alone, and no rows at all.
+    geojson.write_collections(table.limit(20), str(tmp_path / "full"), most=10)
+    geojson.write_collections(table.limit(0), str(tmp_path / "none"), most=10)
+    assert len(list((tmp_path / "full").glob("part*"))) == 2
+    for path, n in ((plain, 47), (small, 47), (str(tmp_path / "full"), 20), (str(tmp_path / "none"), 0)):
+        made = geojson.feature_texts(spark, path)
+        assert sorted(json.loads(r.feature)["properties"]["k"] for r in made.collect()) == list(range(n))
+    # Nothing was cut by splits, so the text isn't looked through for it.
+    assert "Union" not in made._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(C, "scratch", lambda spark, name: str(tmp_path / name))
+    assert C.read_geojson(spark, small).count() == 47
+    assert {f.suffix for f in (tmp_path / "features").glob("part*")} == {".gz"}
+
+
 def test_results_of_drifting_and_conflicting_shape(spark, tmp_path):
     runs = {"a": [{"method": "m", "seed": 1, "acc": 0.5}, 7, None], "b": {"method": "n", "acc": "0.25", "ok": True, "odd.name": "x", "it's": 1}, "c": [{"method": {"name": "o"}, "acc": [1, 2], "ok": "no"}]}
     for name, x in runs.items():
