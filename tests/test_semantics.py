@@ -850,6 +850,23 @@ def test_pair_summary_counts_days_instead_of_pairs(spark):
         assert made.drop(columns="mean_iou").equals(want.drop(columns="mean_iou")) and np.allclose(made["mean_iou"], want["mean_iou"], rtol=1e-12)
 
 
+def test_two_quarters_are_paired_by_sides(spark):
+    """A side is one quarter, so no pair is asked for its quarters, and pairs are made in as many tasks as are asked for, however few bytes their patches have."""
+    rng = np.random.default_rng(4)
+    rows = [(f"p{k}", f"q{k % 4}", f"2025-01-{1 + int(rng.integers(9)):02d}", float(x), 0.0, float(x) + 10, 10.0) for k, x in enumerate(rng.choice([0.0, 1.0, 30.0], 120))]
+    p = spark.createDataFrame(rows, "patch_path string, quarter string, date string, minx double, miny double, maxx double, maxy double").withColumn("date", F.col("date").cast("date"))
+    every = G.spatial_pair(p, 0.8)
+    for names in (["q3", "q1"], ["q1", "q3", "q1"]):
+        some = G.spatial_pair(p, 0.8, names)
+        assert some.columns == every.columns and some.dtypes == every.dtypes
+        assert sorted(map(str, some.collect())) == sorted(map(str, every.where("quarter_a = 'q1' AND quarter_b = 'q3'").collect())) != []
+    join = next(line for line in some._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line and "place" in line and "guest" in line)
+    assert "quarter" not in join
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    assert every.rdd.getNumPartitions() == some.rdd.getNumPartitions() == int(tasks)
+    assert G.spatial_pair(p, 0.8, ["q1"]).count() == 0
+
+
 def test_equal_footprints_are_divided_once(spark):
     ring = [{"x": x, "y": y} for x, y in [(0.0, 0.0), (4.0, 0.0), (5.0, 4.0), (1.0, 4.0), (0.0, 0.0)]]
     s = spark.createDataFrame([("a", 0.0, 0.0, 4.0, 4.0, ring)] * 50 + [("b", 1.0, 0.0, 3.0, 2.0, ring)], "quarter string, minx double, miny double, maxx double, maxy double, ring array<struct<x: double, y: double>>")
